@@ -95,8 +95,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     shards = max(1, -(-n // SHARD), min(spark.sparkContext.defaultParallelism, -(-n // 1024)))
     groups = max(1, -(-n // (GROUP * every)))
     salt = F.abs(F.xxhash64("vec_id", F.lit(1)))
-    query = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", (F.abs(F.xxhash64("vec_id", F.lit(2))) % groups).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint").alias("s"))
-    candidate = rows.select("vec_id", "v", (salt % shards).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("bigint").alias("g"))
+    query = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", (F.abs(F.xxhash64("vec_id", F.lit(2))) % groups).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
+    candidate = rows.select("vec_id", "v", (salt % shards).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
 
     def work(key, left, right):
         made = _table([], [], [])
