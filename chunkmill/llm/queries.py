@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import lm_ppm, quality, toxicity
 from .bpe_codec import encode_digests
 from .exact_dedup import mark_copies
 from .exact_topk import top_k
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .token_counts import count_tokens
 from .token_store import stored_digests
@@ -25,10 +27,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_lm_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_ppm.score(_table(spark, sf_dir, "documents"), buckets=7, held=2)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), label="toxic", threshold=0.5)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(_table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -41,7 +55,11 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_counts, op5_exact_dedup, op7_token_store, op8_packing, op9_exact_topk)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), label="quality", threshold=0.3)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_counts, op3_lm_ppm, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_token_store, op8_packing, op9_exact_topk, op10_quality)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
