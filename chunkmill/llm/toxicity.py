@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from .segments import raw_buffer, slices
 from .shared import crc32_bucket, stored
 
-ORDERS = (3, 4, 5)
+ORDERS = (4, 6, 8)
 BUCKETS = 1 << 20
 #: Features that the linear model keeps.
-FEATURES = 6000
+FEATURES = 2000
 #: Labelled rows that a model is fitted on at most (those of smallest hashed id).
 FIT_ROWS = 20_000
 
@@ -83,12 +83,15 @@ class NaiveBayesLinear:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def _logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, penalty: float, rounds: int = 150) -> tuple[np.ndarray, float]:
+def _logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-penalised logistic model over sparse rows, by Nesterov's method."""
     n, m = len(label), len(value)
     x = value[feature]
-    # rows are scaled so that the curvature is bounded by their largest squared length
-    bound = 0.25 * (np.bincount(row, x * x, n).max(initial=1.0) + 1) / 4 + penalty
+    lead = np.ones(m)
+    for _ in range(10):  # largest curvature, by power iteration
+        lead = np.bincount(feature, x * np.bincount(row, x * lead[feature], n)[row], m)
+        lead /= max(np.linalg.norm(lead), 1e-12)
+    bound = 0.25 * (np.linalg.norm(np.bincount(row, x * lead[feature], n)) ** 2 / n + 1) / 4 + penalty
     w, b = np.zeros(m), float(np.log((label.sum() + 1) / (n - label.sum() + 1)))
     v, vb, t, last = w.copy(), b, 1.0, np.inf
     for _ in range(rounds):
