@@ -45,6 +45,7 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows without an id are left alone."""
-    dropped = mark_copies(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(dropped, docs[id_col] == dropped["_gone"], "left_anti")
+    """The rows of ``docs`` that stay, with all their columns. Rows without an id are left alone."""
+    gone = mark_copies(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    own = F.sha2(folded(docs[text_col]), 256)
+    return docs.join(gone, (docs[id_col] == gone["_id"]) & (own == gone["_sha"]), "left_anti")

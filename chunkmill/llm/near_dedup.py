@@ -271,6 +271,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, id_col: s
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the smallest id of their component."""
+    gone = near_duplicates(docs, size, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
 def _posted(classes: DataFrame) -> DataFrame:
     """Prefix postings: ``token``, ``id``, ``sig``, ``places``, ``members`` (postings of that token)."""
 

@@ -171,6 +171,13 @@ def fit(table: dict[str, np.ndarray], label: np.ndarray, penalty: float = 5e-4)
     return RuleEnsemble([rules[i] for i in keep], [float(w[i]) for i in keep], b)
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, label: str, buckets: int, held: int, fit_rows: int, id_col: str, text_col: str) -> RuleEnsemble:
+    sample, names = with_statistics(labelled_sample(docs, labels, label, buckets, held, fit_rows, id_col, text_col))
+    rows = sample.select("label", *names).toArrow()
+    table = {n: rows.column(n).to_numpy() for n in names}
+    return fit(table, rows.column("label").to_numpy().astype(np.float64))
+
+
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: int = 5, held: int = 0, fit_rows: int = FIT_ROWS, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text; only labels of ids whose crc32 bucket is not ``held`` are learnt from.
 
@@ -179,11 +186,17 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: i
     counts as empty. Without labels all scores are 0.5. The driver gets ten numbers of each of at
     most ``fit_rows`` labelled texts.
     """
-    sample, names = with_statistics(labelled_sample(docs, labels, label, buckets, held, fit_rows, id_col, text_col))
-    rows = sample.select("label", *names).toArrow()
-    table = {n: rows.column(n).to_numpy() for n in names}
-    model = fit(table, rows.column("label").to_numpy().astype(np.float64))
+    model = _fitted(docs, labels, label, buckets, held, fit_rows, id_col, text_col)
     texts = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text"), F.coalesce(crc32_bucket(docs[id_col], buckets) == held, F.lit(False)).alias("held_out"))
     measured, _ = with_statistics(texts)
     scored = measured.withColumn("score", model.column())
     return scored.select(F.col("key").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: int = 5, held: int = 0, fit_rows: int = FIT_ROWS, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, whose text scores ``threshold`` or more; filtered
+    where they are read."""
+    model = _fitted(docs, labels, label, buckets, held, fit_rows, id_col, text_col)
+    held_columns = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].alias("text"))
+    measured, _ = with_statistics(held_columns)
+    return measured.where(model.column() >= threshold).select("row.*")

@@ -190,3 +190,17 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", buckets: int
     rows = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text"), F.coalesce(crc32_bucket(docs[id_col], buckets) == held, F.lit(False)).alias("held_out"))
     scored = rows.mapInArrow(work, f"key {kind}, held_out boolean, score double")
     return scored.select(F.col("key").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", buckets: int = 5, held: int = 0, fit_rows: int = FIT_ROWS, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, whose text scores below ``threshold``; filtered
+    where they are read."""
+    model = fit(stored(labelled_sample(docs, labels, label, buckets, held, fit_rows, id_col, text_col), "labelled-texts"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches):
+        for batch in batches:
+            for part in slices(batch, text_col, 4 << 20):
+                yield part.filter(pa.array(sent.value.scores(part.column(text_col)) < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
