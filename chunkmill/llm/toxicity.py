@@ -129,7 +129,7 @@ def fit(sample: DataFrame, features: int = FEATURES, penalty: float = 1e-4) -> N
         total = np.zeros((2, BUCKETS), np.int64)
         size = np.zeros(2, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 label = part.column("label").to_numpy()
                 text, feature = text_features(part.column("text"))
                 for c in (0, 1):
@@ -155,7 +155,7 @@ def fit(sample: DataFrame, features: int = FEATURES, penalty: float = 1e-4) -> N
 
     def vectors(batches):
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 text, feature = text_features(part.column("text"), chosen)
                 edges = np.searchsorted(text, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(feature.astype(np.int32)))], ["label", "features"])
@@ -184,7 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", buckets: int
 
     def work(batches):
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("held_out"), pa.array(sent.value.scores(part.column("text")), pa.float64())], ["key", "held_out", "score"])
 
     rows = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text"), F.coalesce(crc32_bucket(docs[id_col], buckets) == held, F.lit(False)).alias("held_out"))
@@ -200,7 +200,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", buckets
 
     def work(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 yield part.filter(pa.array(sent.value.scores(part.column(text_col)) < threshold))
 
     return docs.mapInArrow(work, docs.schema)
