@@ -328,3 +328,44 @@ def p8_refine_mp4(boxes):
 def o3_order_chunks(files):
     rows = files.select("cache_dir", "name", F.when(F.col("hex_value") % 11 != 0, F.col("hex_value")).alias("hex_value"))
     return layout.order_chunks(rows, "cache_dir").select("cache_dir", "name", F.col("place").cast("bigint").alias("place"))
+
+
+@query("fx_files", None)
+def j7_mp4_header_chunks(files):
+    return group.mp4_header_chunks(files)
+
+
+@query("fx_files", None)
+def grouped_chunks(files):
+    return group.grouped_chunks(files)
+
+
+@query("fx_files", """, r AS (SELECT cache_dir, hex_value AS ord, CASE WHEN hex_value % 4 = 0 THEN etag END AS index_url, name AS header_file, ['f_' || printf('%06x', hex_value + 1), 'f_' || printf('%06x', hex_value + 2)] AS names FROM fx_files WHERE file_type = 'mp3'),
+m AS (SELECT cache_dir, name, content_range AS url FROM fx_files WHERE content_range IS NOT NULL), e AS (SELECT cache_dir, ord, unnest(list_concat([header_file], names)) AS name, unnest([0, 1, 2]) AS pos FROM r WHERE index_url IS NULL),
+h AS (SELECT e.cache_dir, ord, arg_min(url, pos) AS url FROM e JOIN m USING (cache_dir, name) GROUP BY ALL) SELECT r.cache_dir, r.ord, coalesce(index_url, url) AS index_url FROM r LEFT JOIN h ON r.cache_dir = h.cache_dir AND r.ord = h.ord""")
+def j10_attach_index_metadata(files):
+    n = F.col("hex_value")
+    names = F.array(F.format_string("f_%06x", n + 1), F.format_string("f_%06x", n + 2))
+    res = files.where("file_type = 'mp3'").select("cache_dir", n.alias("ord"), F.when(n % 4 == 0, F.col("etag")).alias("index_url"), F.col("name").alias("header_file"), names.alias("file_names"))
+    return group.attach_index_metadata(res, files.where("content_range is not null").select("cache_dir", "name", F.col("content_range").alias("url"))).select("cache_dir", "ord", "index_url")
+
+
+@query("fx_files", """, r AS (SELECT cache_dir, hex_value AS ord, name AS header_file, unnest([0, 1]) AS pos, unnest([name, CASE WHEN hex_value % 9 = 0 THEN 'x' ELSE 'f_' || printf('%06x', hex_value + 7) END]) AS name, hex_value FROM fx_files WHERE file_type = 'mp3')
+SELECT cache_dir, ord, CAST(pos AS BIGINT) AS pos, name, CASE WHEN name = 'x' THEN 0 ELSE hex_value + 7 * pos END AS hex_value, CASE WHEN name <> 'x' THEN CAST(7 * pos AS BIGINT) END AS hex_distance FROM r""")
+def w9_chunk_associations(files):
+    n = F.col("hex_value")
+    names = F.array("name", F.when(n % 9 == 0, "x").otherwise(F.format_string("f_%06x", n + 7)))
+    res = files.where("file_type = 'mp3'").select("cache_dir", n.alias("ord"), F.col("name").alias("header_file"), F.lit("index").alias("method"), names.alias("file_names"))
+    return group.chunk_associations(res).select("cache_dir", "ord", F.col("pos").cast("bigint").alias("pos"), "name", "hex_value", "hex_distance")
+
+
+@query("fx_files", _RES + """, f AS (SELECT cache_dir, count(*) AS total_files, count(*) AS blockfile_files, CAST(0 AS BIGINT) AS simple_files FROM fx_files GROUP BY cache_dir) SELECT f.*, count(r.ord) AS resources, count(*) FILTER (index_url IS NOT NULL OR index_content_type IS NOT NULL) AS with_metadata FROM f LEFT JOIN r USING (cache_dir) GROUP BY ALL""")
+def a6_scan_stats(files):
+    return group.scan_stats(files, _resources(files))
+
+
+@query("fx_entries fx_children", """ SELECT url, CASE WHEN creation_time_us % 5 <> 0 THEN creation_time_us WHEN creation_time_us % 3 = 0 THEN 0 ELSE 9 END AS modified_at FROM fx_entries""")
+def p17_resource_modified_at(entries, children):
+    t = F.col("creation_time_us")
+    rows = entries.select("url", F.when(t % 5 != 0, t).alias("creation_time_us"), F.when(t % 3 != 0, F.array(F.lit(4), F.lit(9)).cast("array<bigint>")).alias("file_times"))
+    return group.resource_modified_at(rows).select("url", "modified_at")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +119,93 @@ def chunk_gaps(chunks: DataFrame) -> DataFrame:
     previous = F.coalesce(F.lag("hex_value").over(order), F.col("header_hex"))
     between = F.coalesce((F.col("tail_hex") > previous) & (F.col("tail_hex") < F.col("hex_value")), F.lit(False))
     return chunks.withColumn("gap", F.greatest(F.col("hex_value") - previous - 1 - between.cast("int"), F.lit(0)))
+
+
+def _mp4_reach(files: DataFrame) -> DataFrame:
+    """Adds ``max_chunks`` and ``reach`` (how far in position its chunks may lie) of MP4 headers."""
+    length, begin, declared = F.col("size"), F.col("mdat_offset"), F.col("mdat_size")
+    to_end = begin + declared >= length
+    need = F.when(to_end, declared - (length - begin)).otherwise(declared + length)
+    most = F.ceil(need / CHUNK_BYTES) + 5
+    header = (F.col("file_type") == "mp4_header_only") & declared.isNotNull()
+    return files.withColumns({"max_chunks": F.when(header, most), "reach": F.when(header, F.when(to_end, most + 10).otherwise(most * 2))})
+
+
+def _claims(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Greedy claims in one island: headers in order, each takes the first free chunks it may."""
+    rows = pdf.sort_values(["hex_value", "name"])
+    heads, chunks = rows[rows.is_header], rows[~rows.is_header]
+    position, free = chunks.hex_value.to_numpy(), np.ones(len(chunks), bool)
+    etag, total = chunks.etag.to_numpy(object), chunks.range_total.to_numpy()
+    found = []
+    for h in heads.itertuples():
+        a, b = np.searchsorted(position, [h.hex_value + 1, h.hex_value + h.reach + 1])
+        fits = free[a:b].copy()
+        if pd.notna(h.etag_members):
+            fits &= etag[a:b] == h.etag
+        elif pd.notna(h.range_members):
+            fits &= total[a:b] == h.range_total
+        taken = a + np.flatnonzero(fits)[: int(h.max_chunks)]
+        free[taken] = False
+        method = "etag" if pd.notna(h.etag_members) else "content-range" if pd.notna(h.range_members) else "hex-proximity"
+        own = chunks.iloc[taken]
+        found.append(pd.DataFrame({"cache_dir": own.cache_dir, "name": own.name, "hex_value": own.hex_value, "header_file": h.name, "hex_distance": own.hex_value - h.hex_value, "method": method}))
+    columns = ["cache_dir", "name", "hex_value", "header_file", "hex_distance", "method"]
+    return pd.concat(found)[columns] if found else pd.DataFrame({c: [] for c in columns})
+
+
+def mp4_header_chunks(files: DataFrame) -> DataFrame:
+    """Chunks that MP4 headers claim, in header order: an earlier header keeps a chunk that a later
+    one could use too. A chunk lies behind its header by ``reach`` at most, may continue an MP4, is no
+    known non-media file and passes the header's affinity gate; a header takes ``max_chunks``.
+
+    Claims depend on each other only where the reaches of headers overlap, so each cache is split
+    into islands of overlapping reaches, and the order-dependent fold runs once an island. Headers
+    without chunks, or without ``mdat_size``, give no rows.
+    """
+    known = _mp4_reach(with_affinity(files))
+    kind = F.col("file_type")
+    header = F.col("reach").isNotNull()
+    eligible = (kind.isNull() | kind.isin("mp4_fragment", "media_data_chunk")) & ~is_known_non_media(F.col("content_type"))
+    order = Window.partitionBy(CACHE).orderBy("hex_value", "name")
+    end = F.max(F.when(header, F.col("hex_value") + F.col("reach"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = known.where(header | eligible).withColumn("is_header", header).withColumn("_end", end)
+    outside = F.col("_end").isNull() | (F.col("hex_value") > F.col("_end"))
+    islands = marked.withColumn("island", F.sum((F.col("is_header") & outside).cast("int")).over(order)).where(F.col("is_header") | ~outside)
+    columns = [CACHE, "island", "is_header", "name", "hex_value", "etag", "range_total", "etag_members", "range_members", "max_chunks", "reach"]
+    schema = "cache_dir string, name string, hex_value bigint, header_file string, hex_distance bigint, method string"
+    return islands.select(*columns).groupBy(CACHE, "island").applyInPandas(_claims, schema)
+
+
+def grouped_chunks(files: DataFrame) -> DataFrame:
+    """The whole walk: claims of MP4 headers, and sequential chunks of the other headers without those
+    an MP4 header before them has taken."""
+    claimed = mp4_header_chunks(files)
+    return claimed.unionByName(sequential_chunks(files).join(claimed.select(CACHE, "name"), [CACHE, "name"], "left_anti"))
+
+
+def attach_index_metadata(resources: DataFrame, entry_of_file: DataFrame) -> DataFrame:
+    """Index columns of each resource without any: those of the first file that the index knows, the
+    header file first, then the files in order. Needs ``ord``, ``header_file``, ``file_names``."""
+    bare = resources.where("index_url is null").select(CACHE, "ord", F.posexplode(F.concat(F.array("header_file"), "file_names")).alias("pos", "name"))
+    hit = bare.join(entry_of_file, [CACHE, "name"]).groupBy(CACHE, "ord").agg(F.min_by("url", "pos").alias("_url"))
+    return resources.join(hit, [CACHE, "ord"], "left").withColumn("index_url", F.coalesce("index_url", "_url")).drop("_url")
+
+
+def chunk_associations(resources: DataFrame) -> DataFrame:
+    """One row a file of each resource: its position, and its distance from the header's."""
+    each = resources.select(CACHE, "ord", "header_file", "method", F.posexplode("file_names").alias("pos", "name"))
+    place = lambda c: F.when(F.col(c).rlike("^f_[0-9a-fA-F]{6}$"), F.conv(F.substring(c, 3, 6), 16, 10).cast("bigint"))
+    return each.withColumns({"hex_value": F.coalesce(place("name"), F.lit(0).cast("bigint")), "hex_distance": place("name") - place("header_file")})
+
+
+def scan_stats(files: DataFrame, resources: DataFrame) -> DataFrame:
+    """Per cache: files of each layout, resources, and resources with metadata."""
+    layouts = files.groupBy(CACHE).agg(F.count(F.lit(1)).alias("total_files"), F.count_if(F.col("name").startswith("f_")).alias("blockfile_files"), F.count_if(F.col("name").rlike("^[0-9a-f]{16}_")).alias("simple_files"))
+    made = resources.groupBy(CACHE).agg(F.count(F.lit(1)).alias("resources"), F.count_if(F.col("index_url").isNotNull() | F.col("index_content_type").isNotNull()).alias("with_metadata"))
+    return layouts.join(made, CACHE, "left").na.fill(0, ["resources", "with_metadata"])
+
+
+def resource_modified_at(resources: DataFrame) -> DataFrame:
+    """Adds ``modified_at``: the entry's creation time, else the latest file time, else 0."""
+    return resources.withColumn("modified_at", F.coalesce("creation_time_us", F.array_max("file_times"), F.lit(0)))
