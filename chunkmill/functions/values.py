@@ -26,7 +26,7 @@ def format_bytes(size: Column) -> Column:
         hit = size < F.lit(1 << (10 * (i + 1)))
         value = F.regexp_replace(F.format_string("%.2f", F.round(size / F.lit(float(1 << (10 * i))), 2)), r"\.?0+$", "")
         text = F.concat(value, F.lit(" " + unit))
-        out = out.when(hit, text) if i < 4 else out.otherwise(text)
+        out = out.when(hit if i < 4 else size.isNotNull(), text)
     return out
 
 

@@ -1 +1 @@
-
+"""Jobs and queries of chunkmill."""

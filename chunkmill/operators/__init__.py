@@ -1 +1 @@
-
+"""Table operators of chunkmill."""

@@ -1 +1 @@
-
+"""Sources of chunkmill."""

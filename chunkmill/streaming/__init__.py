@@ -1 +1 @@
-
+"""No streaming jobs: the work has no unbounded input, windows or late data."""
