@@ -9,6 +9,7 @@ from ..operators import group, layout, link, report
 from .column_queries import _sql_map
 from .fixtures import ORACLE, fixture
 from .recoverable import recoverable_downloads
+from ..sources.resources import export_audit_json, load_resources, shared_folder, write_resources
 
 QUERIES, SQL = {}, {}
 
@@ -369,3 +370,32 @@ def p17_resource_modified_at(entries, children):
     t = F.col("creation_time_us")
     rows = entries.select("url", F.when(t % 5 != 0, t).alias("creation_time_us"), F.when(t % 3 != 0, F.array(F.lit(4), F.lit(9)).cast("array<bigint>")).alias("file_times"))
     return group.resource_modified_at(rows).select("url", "modified_at")
+
+
+@query("fx_files", """, e AS (SELECT name, content_type, hex_value AS n, CASE WHEN hex_value % 3 <> 0 THEN size END AS disk, CASE WHEN hex_value % 4 <> 0 THEN size END AS body, file_type FROM fx_files),
+k AS (SELECT *, CASE trim(split_part(lower(content_type), ';', 1)) WHEN 'video/mp4' THEN 'mp4_complete' WHEN 'image/png' THEN 'png' END AS mime FROM e),
+t AS (SELECT *, CASE WHEN disk IS NOT NULL THEN coalesce(CASE WHEN n % 12 > 8 THEN file_type END, mime) END AS s, CASE WHEN body IS NOT NULL THEN coalesce(CASE WHEN n % 2 = 0 THEN file_type END, mime) END AS b FROM k)
+SELECT name, coalesce(s, b) AS file_type, CASE WHEN s IS NOT NULL THEN 'sparse' ELSE 'body' END AS source, CASE WHEN s IS NULL THEN body WHEN n % 5 = 0 THEN n ELSE disk + n % 7 END AS size FROM t WHERE coalesce(s, b) IS NOT NULL""")
+def p9_type_simple_entries(files):
+    n = F.col("hex_value")
+    disk = F.when(n % 3 != 0, F.col("size"))
+    rows = files.select(
+        "name", "content_type", F.col("file_type").alias("sparse_magic"), (n % 12).alias("sparse_head_bytes"), F.when(n % 5 == 0, F.lit(0)).otherwise(disk + n % 7).alias("sparse_size"),
+        disk.alias("sparse_disk_size"), n.alias("sparse_length"), F.when(n % 2 == 0, F.col("file_type")).alias("body_magic"), F.when(n % 4 != 0, F.col("size")).alias("body_size"),
+    )
+    return link.type_simple_entries(rows).select("name", "file_type", "source", "size")
+
+
+@query("fx_files", _RES + " SELECT cache_dir, ord, resource_type FROM r WHERE media_category = 'audio'")
+def s6_load_resources(files):
+    path = shared_folder(files.sparkSession)
+    write_resources(_resources(files), path)
+    return load_resources(files.sparkSession, path, "audio").select("cache_dir", "ord", "resource_type")
+
+
+@query("fx_files", _RES + """ SELECT cache_dir, ord, json_object('cache_dir', cache_dir, 'ord', ord, 'error', error)::VARCHAR AS line FROM r""")
+def s7_export_audit_json(files):
+    path = shared_folder(files.sparkSession)
+    export_audit_json({"resources": _resources(files).select("cache_dir", "ord", "error")}, path)
+    lines = files.sparkSession.read.text(f"{path}/resources")
+    return lines.select(F.get_json_object("value", "$.cache_dir").alias("cache_dir"), F.get_json_object("value", "$.ord").cast("bigint").alias("ord"), F.col("value").alias("line"))

@@ -110,3 +110,21 @@ def classify_entries(entries: DataFrame) -> DataFrame:
 
 def skip_summary(entries: DataFrame) -> DataFrame:
     return entries.groupBy(CACHE, "skip_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def type_simple_entries(entries: DataFrame) -> DataFrame:
+    """Type, source and size of each Simple entry: its sparse stream first (by first bytes, if there are
+    more than eight, else by the MIME type of the headers), else its body (the same way); entries
+    without a type are dropped. A sparse size that is not positive, or below the size on disk, is
+    replaced by the reassembled length.
+
+    Needs ``sparse_magic``, ``sparse_head_bytes``, ``sparse_size``, ``sparse_disk_size``,
+    ``sparse_length`` (null without a sparse stream), ``body_magic``, ``body_size``, ``content_type``.
+    """
+    mime = media.mime_to_file_type(F.col("content_type"))
+    sparse = F.when(F.col("sparse_disk_size").isNotNull(), F.coalesce(F.when(F.col("sparse_head_bytes") > 8, F.col("sparse_magic")), mime))
+    body = F.when(F.col("body_size").isNotNull(), F.coalesce("body_magic", mime))
+    told = F.when((F.col("sparse_size") <= 0) | (F.col("sparse_size") < F.col("sparse_disk_size")), F.col("sparse_length")).otherwise(F.col("sparse_size"))
+    typed = entries.withColumns({"_s": sparse, "_b": body, "_t": told})
+    out = typed.withColumns({"file_type": F.coalesce("_s", "_b"), "source": F.when(F.col("_s").isNotNull(), "sparse").when(F.col("_b").isNotNull(), "body"), "size": F.when(F.col("_s").isNotNull(), F.col("_t")).otherwise(F.col("body_size"))})
+    return out.where("file_type is not null").drop("_s", "_b", "_t")
