@@ -1,20 +1,21 @@
 """Near-duplicates by an inverted join over the coordinates of MinHash signatures.
 
-A text's shingle set is signed by ``COORDINATES`` minima. Texts with equal sets are one class, and
-only one member of a class goes on. Each class posts its (coordinate, value) pairs; values that
-no other class has are dropped, the rest are put in a global order, rarest first. Two classes that
-agree in at least ``MATCHES`` coordinates must share one of the first (number left - MATCHES + 1)
-of them, the *prefix*, so only prefixes are posted, and classes with fewer than MATCHES values
-left are skipped altogether. Within a posting list the full signatures are merged and a pair is
-retained if it has enough collisions; every retained pair is confirmed on the full sets.
-
-A link of similarity 0.8 is missed only if fewer than 20 of 40 coordinates agree (about 3 in a
-million at exactly 0.8, less above).
-
-What is wanted is components, so pairs inside a component need not be looked at. A first, linear
-round compares each member of a list with a leader and its neighbour in a hashed order; a second
-round compares, exhaustively, only members of different components. Long lists are dealt out in
-blocks, so no list meets in one task.
+A text's shingle set is signed by ``COORDINATES`` values, each made of ``MINIMA`` minima under
+random orders, so that two sets agree in a coordinate with the ``MINIMA``-th power of their
+similarity. Texts with equal sets are one class, and only one member of a class goes on. Each
+class posts its (coordinate, value) pairs; values that no other class has are dropped, the rest
+are put in a global order, rarest first. Two classes that agree in at least ``MATCHES``
+coordinates must share one of the first (number left - MATCHES + 1) of them, the *prefix*, so only
+prefixes are posted, and classes with fewer than MATCHES values left are skipped altogether.
+Within a posting list the signatures are merged, and a pair is retained if it has enough
+collisions, in coordinates and in single minima. A link of similarity 0.8 is missed with a chance
+of about two in a million (0.7 for the coordinates, 1.1 for the minima), a closer one with less.
+
+Retained pairs are confirmed on the full sets, but not as rows: a group of near copies has too
+many. Classes lie in *blocks* of at most BLOCK, by the most frequent value of their prefix, so
+that near copies lie together; retained pairs name pairs of blocks, and each pair of blocks is
+compared in one place, where a pair inside a component that is already known is skipped. Long
+posting lists are dealt out in parts, so no list meets in one task.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ from .lm_ppm import words_of
 from .segments import raw_buffer, slices
 from .shared import stored
 
-COORDINATES, MATCHES = 40, 20
-#: Members of a block in the linear round, and in the exhaustive one.
-BLOCK, WIDE_BLOCK = 128, 512
+COORDINATES, MINIMA, MATCHES = 32, 3, 4
+#: Of all single minima, so many agree in a retained pair.
+CLOSE = 57
+#: Classes of a block, and members of a part of a long posting list.
+BLOCK, PART = 256, 512
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SEEDS = np.random.default_rng(11).integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = np.random.default_rng(11).integers(0, 1 << 63, COORDINATES * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -73,17 +76,21 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def signatures(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Upper 32 bits of the minimum of each coordinate's permutation, a row a text that has shingles."""
+def signatures(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text that has shingles: its coordinates (32 bits each), and the lowest byte of every
+    single minimum."""
     begins = bounds[:-1][np.diff(bounds) > 0]
-    out = np.zeros((len(begins), COORDINATES), np.uint32)
+    values = np.zeros((len(begins), COORDINATES), np.uint64)
+    minima = np.zeros((len(begins), COORDINATES * MINIMA), np.uint8)
     if len(begins):
-        for c in range(COORDINATES):
+        for c in range(COORDINATES * MINIMA):
             moved = (shingles ^ _SEEDS[c]) * _M1
             moved ^= moved >> np.uint64(32)
             moved *= _SEEDS[c]
-            out[:, c] = np.minimum.reduceat(moved, begins) >> np.uint64(32)
-    return out
+            least = np.minimum.reduceat(moved, begins)
+            values[:, c // MINIMA] = _mixed(values[:, c // MINIMA] ^ least)
+            minima[:, c] = least >> np.uint64(56)
+    return (values >> np.uint64(32)).astype(np.uint32), minima
 
 
 def _signed(rows: DataFrame, size: int) -> DataFrame:
@@ -92,14 +99,15 @@ def _signed(rows: DataFrame, size: int) -> DataFrame:
             for part in slices(batch, "text", 4 << 20):
                 shingles, bounds = shingle_sets(part.column("text"), size)
                 lengths = np.diff(bounds)
-                sig = iter(signatures(shingles, bounds))
-                digest, signature = [], []
+                sig, fine = (iter(x) for x in signatures(shingles, bounds))
+                digest, signature, minima = [], [], []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     digest.append(xxhash.xxh3_128_digest(shingles[a:b].tobytes()) if b > a else None)
                     signature.append(next(sig).tobytes() if b > a else None)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lengths), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())], ["id", "n", "digest", "sig"])
+                    minima.append(next(fine).tobytes() if b > a else None)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lengths), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), pa.array(minima, pa.binary())], ["id", "n", "digest", "sig", "fine"])
 
-    return rows.mapInArrow(work, "id bigint, n bigint, digest binary, sig binary")
+    return rows.mapInArrow(work, "id bigint, n bigint, digest binary, sig binary, fine binary")
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -135,90 +143,109 @@ def _runs(batches, key: list[str]):
         yield held
 
 
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures, and each coordinate's place in its class's prefix (255: not in it)."""
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-    place = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-    return sig, place
+def _matrix(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _linear_pairs(posts: DataFrame) -> DataFrame:
-    """(a, b), a < b: members against their block's leader and against the next member."""
+def _edges(*keys: np.ndarray) -> list[int]:
+    """Where the groups of equal keys begin, and the end."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return [*np.flatnonzero(new).tolist(), len(new)]
 
-    def work(batches):
-        for table in _runs(batches, ["token", "block"]):
-            token, block, ids = (table.column(c).to_numpy() for c in ("token", "block", "id"))
-            sig, _ = _unpacked(table)
-            new = np.ones(len(ids), bool)
-            new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
-            leader = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
-            at = np.flatnonzero(~new)
-            left = np.concatenate([leader[at], at - 1])
-            right = np.concatenate([at, at])
-            keep = (sig[left] == sig[right]).sum(axis=1) >= MATCHES
-            a, b = ids[left[keep]], ids[right[keep]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    dealt = posts.withColumn("block", (F.pmod(F.xxhash64("id", "token"), F.ceil(F.col("members") / BLOCK))).cast("bigint"))
-    ordered = dealt.repartition("token", "block").sortWithinPartitions("token", "block", F.xxhash64("token", "id"))
-    return ordered.select("token", "block", "id", "sig", "places").mapInArrow(work, "a bigint, b bigint").distinct()
-
-
-def _crossing_pairs(posts: DataFrame) -> DataFrame:
-    """(a, b), a < b: all retained pairs of members of different components, each from the first
-    prefix value the two share. ``posts`` has ``component``."""
+
+def _block_pairs(posts: DataFrame) -> DataFrame:
+    """(a, b), a <= b: pairs of blocks that hold a retained pair; and, with ``id`` alone, the classes
+    that are in one."""
 
     def work(batches):
+        seen: set[tuple[int, int]] = set()
+        near: set[int] = set()
         for table in _runs(batches, ["token", "i", "j"]):
-            token, i, j, ids, own, comp = (table.column(c).to_numpy() for c in ("token", "i", "j", "id", "block", "component"))
-            sig, place = _unpacked(table)
-            new = np.ones(len(ids), bool)
-            new[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-            edges = np.append(np.flatnonzero(new), len(ids))
-            found = []
-            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                group = comp[s:e]
-                if e - s < 2 or (group == group[0]).all():
+            token, i, j, own, block, ids = (table.column(c).to_numpy() for c in ("token", "i", "j", "part", "block", "id"))
+            sig, fine = _matrix(table.column("sig"), np.uint32, COORDINATES), _matrix(table.column("fine"), np.uint8, COORDINATES * MINIMA)
+            edges = _edges(token, i, j)
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if e - s < 2:
                     continue
-                c = int(token[s] >> 32)
-                names, n = np.unique(group, return_counts=True)
-                usual = names[np.argmax(n)]
-                rest = s + np.flatnonzero(group != usual)
-                for at in range(0, len(rest), 64):
-                    x = rest[at : at + 64]
-                    same = sig[x][:, None, :] == sig[s:e][None, :, :]
-                    ok = (same.sum(axis=2) >= MATCHES) & (comp[x][:, None] != group[None, :])
-                    if i[s] != j[s]:
-                        ok &= own[x][:, None] != own[s:e][None, :]
-                    p, q = np.nonzero(ok)
-                    if not len(p):
-                        continue
-                    shared = same[p, q] & (place[s:e][q] < 255)
-                    first = np.where(shared, place[x][p], 255).argmin(axis=1) == c
-                    a, b = ids[x[p[first]]], ids[s + q[first]]
-                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    mixed = posts.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-    blocks = F.ceil(F.col("members") / WIDE_BLOCK)
-    dealt = posts.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("id", "token"), blocks).cast("bigint"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.withColumns({"i": F.least("block", "other").cast("bigint"), "j": F.greatest("block", "other").cast("bigint")})
+                left = s + np.flatnonzero(own[s:e] == i[s])
+                right = s + np.flatnonzero(own[s:e] == j[s])
+                for at in range(0, len(left), 64):
+                    x = left[at : at + 64]
+                    p, q = np.nonzero((sig[x][:, None, :] == sig[right][None, :, :]).sum(axis=2) >= MATCHES)
+                    other = x[p] != right[q]
+                    p, q = x[p[other]], right[q[other]]
+                    pair = np.stack([np.minimum(block[p], block[q]), np.maximum(block[p], block[q])], axis=1)
+                    close = np.zeros(len(p), bool)
+                    for part in range(0, len(p), 65536):
+                        cut = slice(part, part + 65536)
+                        close[cut] = (fine[p[cut]] == fine[q[cut]]).sum(axis=1) >= CLOSE
+                    seen.update(map(tuple, np.unique(pair[close], axis=0).tolist()))
+                    near.update(np.unique(ids[np.concatenate([p[close], q[close]])]).tolist())
+        pairs = sorted(seen)
+        columns = [a for a, _ in pairs] + [None] * len(near), [b for _, b in pairs] + [None] * len(near), [None] * len(pairs) + sorted(near)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "id"])
+
+    parts = F.ceil(F.col("members") / PART)
+    dealt = posts.withColumn("part", F.pmod(F.xxhash64("id", "token"), parts).cast("bigint"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.withColumns({"i": F.least("part", "other").cast("bigint"), "j": F.greatest("part", "other").cast("bigint")})
     ordered = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return ordered.select("token", "i", "j", "id", "block", "component", "sig", "places").mapInArrow(work, "a bigint, b bigint").distinct()
+    return ordered.select("token", "i", "j", "part", "block", "id", "sig", "fine").mapInArrow(work, "a bigint, b bigint, id bigint").distinct()
+
 
+def _links(blocks: DataFrame, retained: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): enough confirmed links to join all classes that links join, from the pairs of blocks.
+    ``blocks`` has ``id``, ``block``, ``fine``."""
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stored(_sets_of(rows, wanted, size), "shingle-sets")
-    one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
-    both = F.size(F.array_intersect("s", "t"))
-    linked = pairs.join(one, "a").join(two, "b").where(both * 100 >= (F.size("s") + F.size("t") - both) * percent)
-    return linked.select("a", "b")
+    def work(batches):
+        for table in _runs(batches, ["a", "b"]):
+            a, b, block, ids = (table.column(c).to_numpy() for c in ("a", "b", "block", "id"))
+            fine = _matrix(table.column("fine"), np.uint8, COORDINATES * MINIMA)
+            lists = table.column("shingles").combine_chunks()
+            flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            found = []
+            edges = _edges(a, b)
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                left, right = s + np.flatnonzero(block[s:e] == a[s]), s + np.flatnonzero(block[s:e] == b[s])
+                sets: dict[int, frozenset] = {}
+                top = {int(k): int(k) for k in ids[s:e]}
+
+                def root(k, top=top):
+                    while top[k] != k:
+                        top[k] = top[top[k]]
+                        k = top[k]
+                    return k
+
+                def own(k, sets=sets):
+                    if k not in sets:
+                        sets[k] = frozenset(flat[at[k] : at[k + 1]].tolist())
+                    return sets[k]
+
+                for k in left.tolist():
+                    same = (fine[right] == fine[k]).sum(axis=1)
+                    for m in right[np.argsort(-same, kind="stable")[: int((same >= CLOSE).sum())]].tolist():
+                        x, y = root(int(ids[k])), root(int(ids[m]))
+                        if x == y:
+                            continue
+                        n1, n2 = at[k + 1] - at[k], at[m + 1] - at[m]
+                        if min(n1, n2) * 100 < max(n1, n2) * percent:
+                            continue
+                        both = len(own(k) & own(m))
+                        if 100 * both >= percent * (n1 + n2 - both):
+                            top[max(x, y)] = min(x, y)
+                            found.append((int(ids[k]), int(ids[m])))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    pairs = retained.where("id is null").select("a", "b")
+    involved = stored(blocks.join(retained.where("id is not null").select("id"), "id"), "involved")
+    sets = stored(_sets_of(rows, involved.select("id"), size), "shingle-sets")
+    held = involved.join(sets, "id")
+    sides = pairs.select("a", "b", F.col("a").alias("block")).union(pairs.where("a <> b").select("a", "b", F.col("b").alias("block")))
+    met = sides.join(held, "block").repartition("a", "b").sortWithinPartitions("a", "b")
+    return met.select("a", "b", "block", "id", "fine", "shingles").mapInArrow(work, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,20 +277,13 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, id_col: s
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
     signed = stored(_signed(rows, size), "signed")
     able = signed.where("digest is not null and id is not null")
-    classes = stored(able.groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
+    classes = stored(able.groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("fine").alias("fine")), "classes")
     posts = _posted(classes)
-    pairs = stored(_linear_pairs(posts), "pairs")
-    links = stored(_confirmed(pairs, rows, size, percent), "confirmed")
-    labels = components(links)
-    label = F.coalesce("component", "id").alias("component")
-    crossing = _crossing_pairs(posts.join(labels, "id", "left").withColumn("component", label))
-    crossing = stored(crossing.join(pairs, ["a", "b"], "left_anti"), "crossing-pairs")
-    more = stored(_confirmed(crossing, rows, size, percent), "confirmed")
-    # a member follows its class; rows of one id meet in that id
+    pairs = stored(_block_pairs(posts), "block-pairs")
+    links = stored(_links(posts.select("id", "block", "fine").distinct(), pairs, rows, size, percent), "links")
     repeated = able.groupBy("id").agg(F.count_distinct("digest").alias("texts")).where("texts > 1")
     joints = able.join(repeated, "id", "left_semi").join(classes.select("digest", F.col("id").alias("head")), "digest").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    if more.limit(1).count() or joints.limit(1).count():
-        labels = components(links.union(more).union(joints))
+    labels = components(links.union(joints))
     heads = classes.select("digest", F.col("id").alias("head"))
     final = signed.join(heads, "digest", "left").join(labels.select(F.col("id").alias("head"), "component"), "head", "left")
     own = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "head", "id"))
@@ -278,31 +298,23 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
 
 
 def _posted(classes: DataFrame) -> DataFrame:
-    """Prefix postings: ``token``, ``id``, ``sig``, ``places``, ``members`` (postings of that token)."""
+    """Prefix postings: ``token``, ``id``, ``sig``, ``fine``, ``block``, ``members`` (of that token)."""
 
     def tokens(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            sig = _matrix(batch.column("sig"), np.uint32, COORDINATES)
             token = (np.arange(COORDINATES, dtype=np.int64) << 32) + sig
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), COORDINATES)), pa.array(token.ravel())], ["id", "token"])
 
-    def prefixes(batches):
-        for batch in batches:
-            ids, out_token, out_row, places = batch.column("id"), [], [], []
-            for row, found in enumerate(batch.column("tokens").to_pylist()):
-                kept = [t["token"] for t in found[: len(found) - MATCHES + 1]]
-                place = np.full(COORDINATES, 255, np.uint8)
-                place[[t >> 32 for t in kept]] = np.arange(len(kept))
-                out_token += kept
-                out_row += [row] * len(kept)
-                places.append(place.tobytes())
-            at = pa.array(out_row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out_token, pa.int64()), ids.take(at), batch.column("sig").take(at), pa.array(places, pa.binary()).take(at)], ["token", "id", "sig", "places"])
-
     all_tokens = classes.select("id", "sig").mapInArrow(tokens, "id bigint, token bigint")
     shared = all_tokens.groupBy("token").count().where("count > 1")
     mine = all_tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("tokens")).where(F.size("tokens") >= MATCHES)
-    first = mine.join(classes.select("id", "sig"), "id").select("id", "sig", "tokens").mapInArrow(prefixes, "token bigint, id bigint, sig binary, places binary")
-    first = stored(first, "prefixes")
-    members = first.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return stored(first.join(members, "token"), "posts")
+    prefix = mine.select("id", F.slice("tokens", 1, F.size("tokens") - MATCHES + 1).alias("prefix"))
+    # the home of a class: its most frequent prefix value
+    homes = stored(prefix.select("id", F.transform("prefix", lambda t: t["token"]).alias("prefix"), F.element_at("prefix", -1)["token"].alias("home")), "prefixes")
+    crowd = homes.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("id", "home"), F.ceil(F.col("n") / BLOCK)))
+    housed = homes.join(crowd, "home").select("id", "prefix", block.alias("block")).join(classes.select("id", "sig", "fine"), "id")
+    housed = stored(housed, "housed")
+    members = housed.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return stored(housed.select(F.explode("prefix").alias("token"), "id", "sig", "fine", "block").join(members, "token"), "posts")
