@@ -61,6 +61,23 @@ def mp4_files(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit((16).to_bytes(4, "big") + b"ftypmp42\0\0\0\0" + moov), size(F.octet_length(text).cast("bigint") + 8), F.lit(b"mdat"), text).alias("content"))
 
 
+def tracked_files(docs: DataFrame) -> DataFrame:
+    """An index box of each document: a picture and a sound track, and as many milliseconds as its text has bytes."""
+
+    def box(kind: bytes, body: bytes) -> bytes:
+        return (len(body) + 8).to_bytes(4, "big") + kind + body
+
+    def track(handler: bytes, codec: bytes) -> bytes:
+        sample = bytes(8) + (36).to_bytes(4, "big") + codec + bytes(16) + (640).to_bytes(2, "big") + (360).to_bytes(2, "big") + bytes(8)
+        return box(b"trak", box(b"mdia", box(b"hdlr", bytes(8) + handler + bytes(12)) + box(b"minf", box(b"stbl", box(b"stsd", sample)))))
+
+    rest = bytes(300) + track(b"vide", b"avc1") + track(b"soun", b"mp4a")
+    whole = 8 + 28 + len(rest)
+    length = F.unhex(F.lpad(F.hex(F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("bigint")), 8, "0"))
+    head = whole.to_bytes(4, "big") + b"moov" + (328).to_bytes(4, "big") + b"mvhd" + bytes(12) + (1000).to_bytes(4, "big")
+    return docs.select("doc_id", F.concat(F.lit(head), length, F.lit(rest)).alias("content"))
+
+
 _TEXT = "octet_length(encode(coalesce(text, '')))"
 _KEY = "24 + length('1/0/https://x.org/' || CAST(doc_id AS VARCHAR))"
 
@@ -103,3 +120,8 @@ def u3_moov_hits(docs):
 def u6_concat_bodies(docs):
     rows = docs.select(F.col("source").alias("cache_dir"), F.floor(F.col("doc_id") / 50).alias("part"), "doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"))
     return bodies.concat_bodies(rows, ["cache_dir", "part"], "doc_id", "body").select("cache_dir", "part", F.md5("content").alias("md5"))
+
+
+@query(f"SELECT doc_id, 640 AS width, 360 AS height, 'avc1' AS video_codec, 'mp4a' AS audio_codec, {_TEXT} / CAST(1000 AS DOUBLE) AS duration FROM documents")
+def u4_video_info(docs):
+    return bodies.video_info(tracked_files(docs), ["doc_id"])

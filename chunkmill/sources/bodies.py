@@ -121,6 +121,38 @@ def moov_hits(data: bytes) -> list[tuple[int, int]]:
     return found
 
 
+def video_facts(moov: bytes) -> tuple[int, int, str, str, float]:
+    """(width, height, video codec, audio codec, seconds) told by an index box; 0 and "" where it does
+    not say. Of several tracks of a kind, the last decides."""
+    found = boxes(moov)
+    width = height = 0
+    codec = {"vide": "", "soun": ""}
+    for at, size, _, _, _ in (b for b in found if b[3] == "trak"):
+        first = {}
+        for inside in found:
+            if at < inside[0] < at + size:
+                first.setdefault(inside[3], inside[0])
+        if "hdlr" not in first or "stsd" not in first:
+            continue
+        handler = moov[first["hdlr"] + 16 : first["hdlr"] + 20].decode("latin-1")
+        entry = first["stsd"] + 16
+        if handler in codec and entry + 8 <= len(moov):
+            codec[handler] = moov[entry + 4 : entry + 8].decode("latin-1").strip()
+            if handler == "vide" and entry + 28 <= len(moov):
+                width, height = struct.unpack_from(">HH", moov, entry + 24)
+    seconds = 0.0
+    head = next((b[0] for b in found if b[3] == "mvhd"), None)
+    if head is not None and head + 9 <= len(moov):
+        if moov[head + 8] == 0 and head + 28 <= len(moov):
+            scale, units = struct.unpack_from(">II", moov, head + 20)
+        elif head + 40 <= len(moov):
+            scale, units = struct.unpack_from(">IQ", moov, head + 28)
+        else:
+            scale = 0
+        seconds = units / scale if scale else 0.0
+    return width, height, codec["vide"], codec["soun"], seconds
+
+
 def _rows(df: DataFrame, keys: list[str], content: str, helper, schema: str) -> DataFrame:
     """Each body's helper rows beside its keys."""
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -134,7 +166,7 @@ def _rows(df: DataFrame, keys: list[str], content: str, helper, schema: str) ->
                     at.append(i)
                     out.append(row)
             index = pa.array(at, pa.int64())
-            made = [pa.array([r[j] for r in out], pa.string() if f.endswith("string") else pa.int64()) for j, f in enumerate(schema.split(", "))]
+            made = [pa.array([r[j] for r in out], pa.string() if f.endswith("string") else pa.float64() if f.endswith("double") else pa.int64()) for j, f in enumerate(schema.split(", "))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(index) for k in keys), *made], [*keys, *names])
 
     return df.select(*dict.fromkeys([*keys, content])).mapInArrow(work, f"{kinds}, {schema}")
@@ -158,6 +190,16 @@ def find_moov(df: DataFrame, keys: list[str], content: str = "content") -> DataF
     return _rows(df, keys, content, moov_hits, "box_offset bigint, box_size bigint")
 
 
+def video_info(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """Facts of each file that has a plausible index box, from the last one."""
+
+    def told(data: bytes):
+        hits = moov_hits(data)
+        return [video_facts(data[hits[-1][0] : sum(hits[-1])])] if hits else []
+
+    return _rows(df, keys, content, told, "width bigint, height bigint, video_codec string, audio_codec string, duration double")
+
+
 def file_head(content: Column, start: Column, n: int = 256) -> Column:
     """First bytes of a body (at most 4096), from where it starts."""
     return F.substring(content, start.cast("int") + 1, F.lit(min(n, 4096)))
