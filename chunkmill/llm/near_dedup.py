@@ -34,8 +34,9 @@ from .shared import stored
 COORDINATES, MINIMA, MATCHES = 32, 3, 4
 #: Of all single minima, so many agree in a retained pair.
 CLOSE = 57
-#: Classes of a block, and members of a part of a long posting list.
-BLOCK, PART = 256, 512
+#: Classes of a block, members of a part of a long posting list, and classes of a pair of blocks
+#: that are named one by one.
+BLOCK, PART, DENSE = 256, 512, 48
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.random.default_rng(11).integers(0, 1 << 63, COORDINATES * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,12 +158,19 @@ def _edges(*keys: np.ndarray) -> list[int]:
 
 
 def _block_pairs(posts: DataFrame) -> DataFrame:
-    """(a, b), a <= b: pairs of blocks that hold a retained pair; and, with ``id`` alone, the classes
-    that are in one."""
+    """(a, b, id), a <= b: pairs of blocks that hold a retained pair, with the classes in one; a null id
+    stands for all classes of both blocks, where more than DENSE are."""
 
     def work(batches):
-        seen: set[tuple[int, int]] = set()
-        near: set[int] = set()
+        near: dict[tuple[int, int], set[int] | None] = {}
+
+        def note(pair: tuple[int, int], members: list[int]) -> None:
+            held = near.setdefault(pair, set())
+            if held is not None:
+                held.update(members)
+                if len(held) > DENSE:
+                    near[pair] = None
+
         for table in _runs(batches, ["token", "i", "j"]):
             token, i, j, own, block, ids = (table.column(c).to_numpy() for c in ("token", "i", "j", "part", "block", "id"))
             sig, fine = _matrix(table.column("sig"), np.uint32, COORDINATES), _matrix(table.column("fine"), np.uint8, COORDINATES * MINIMA)
@@ -182,11 +190,15 @@ def _block_pairs(posts: DataFrame) -> DataFrame:
                     for part in range(0, len(p), 65536):
                         cut = slice(part, part + 65536)
                         close[cut] = (fine[p[cut]] == fine[q[cut]]).sum(axis=1) >= CLOSE
-                    seen.update(map(tuple, np.unique(pair[close], axis=0).tolist()))
-                    near.update(np.unique(ids[np.concatenate([p[close], q[close]])]).tolist())
-        pairs = sorted(seen)
-        columns = [a for a, _ in pairs] + [None] * len(near), [b for _, b in pairs] + [None] * len(near), [None] * len(pairs) + sorted(near)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "id"])
+                    if not close.any():
+                        continue
+                    kept, which = np.unique(pair[close], axis=0, return_inverse=True)
+                    which, one, two = which.reshape(-1), ids[p[close]], ids[q[close]]
+                    for n, (a, b) in enumerate(kept.tolist()):
+                        here = which == n
+                        note((a, b), np.unique(np.concatenate([one[here], two[here]])).tolist())
+        rows = [(a, b, k) for (a, b), held in sorted(near.items()) for k in ([None] if held is None else sorted(held))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["a", "b", "id"])
 
     parts = F.ceil(F.col("members") / PART)
     dealt = posts.withColumn("part", F.pmod(F.xxhash64("id", "token"), parts).cast("bigint"))
@@ -201,23 +213,26 @@ def _links(blocks: DataFrame, retained: DataFrame, rows: DataFrame, size: int, p
     ``blocks`` has ``id``, ``block``, ``fine``."""
 
     def work(batches):
+        top: dict[int, int] = {}  # what this task's links have joined so far
+
+        def root(k: int) -> int:
+            while top[k] != k:
+                top[k] = top[top[k]]
+                k = top[k]
+            return k
+
         for table in _runs(batches, ["a", "b"]):
             a, b, block, ids = (table.column(c).to_numpy() for c in ("a", "b", "block", "id"))
             fine = _matrix(table.column("fine"), np.uint8, COORDINATES * MINIMA)
             lists = table.column("shingles").combine_chunks()
             flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             found = []
+            for k in ids.tolist():
+                top.setdefault(k, k)
             edges = _edges(a, b)
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 left, right = s + np.flatnonzero(block[s:e] == a[s]), s + np.flatnonzero(block[s:e] == b[s])
                 sets: dict[int, frozenset] = {}
-                top = {int(k): int(k) for k in ids[s:e]}
-
-                def root(k, top=top):
-                    while top[k] != k:
-                        top[k] = top[top[k]]
-                        k = top[k]
-                    return k
 
                 def own(k, sets=sets):
                     if k not in sets:
@@ -239,12 +254,13 @@ def _links(blocks: DataFrame, retained: DataFrame, rows: DataFrame, size: int, p
                             found.append((int(ids[k]), int(ids[m])))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    pairs = retained.where("id is null").select("a", "b")
-    involved = stored(blocks.join(retained.where("id is not null").select("id"), "id"), "involved")
-    sets = stored(_sets_of(rows, involved.select("id"), size), "shingle-sets")
-    held = involved.join(sets, "id")
-    sides = pairs.select("a", "b", F.col("a").alias("block")).union(pairs.where("a <> b").select("a", "b", F.col("b").alias("block")))
-    met = sides.join(held, "block").repartition("a", "b").sortWithinPartitions("a", "b")
+    whole = retained.where("id is null").select("a", "b")
+    sides = whole.select("a", "b", F.col("a").alias("block")).union(whole.where("a <> b").select("a", "b", F.col("b").alias("block")))
+    few = retained.where("id is not null").join(whole, ["a", "b"], "left_anti").select("a", "b", "id")
+    columns = ["a", "b", "block", "id", "fine"]
+    members = stored(sides.join(blocks, "block").select(*columns).union(few.join(blocks, "id").select(*columns)), "members")
+    sets = stored(_sets_of(rows, members.select("id"), size), "shingle-sets")
+    met = members.join(sets, "id").repartition("a", "b").sortWithinPartitions("a", "b")
     return met.select("a", "b", "block", "id", "fine", "shingles").mapInArrow(work, "a bigint, b bigint")
 
 

@@ -94,6 +94,7 @@ def test_near_blocks(family, monkeypatch):
     want = sorted(tuple(r) for r in near_dedup.near_duplicates(family).collect())
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     monkeypatch.setattr(near_dedup, "PART", 32)
+    monkeypatch.setattr(near_dedup, "DENSE", 5)
     assert sorted(tuple(r) for r in near_dedup.near_duplicates(family).collect()) == want
 
 
