@@ -1,10 +1,10 @@
 """Language-model scoring: prediction by partial matching over bytes, beside a unigram base.
 
 Training counts every byte with its ``ORDER`` preceding ones; counts of shorter contexts are sums
-of these, so one shuffle of counts gives the whole context trie. A trie entry (context, next
-symbol) is kept if it makes up more than 1 / RESOLUTION of all training symbols, so each order has
-at most RESOLUTION entries at any corpus size: that is the proven size of what is broadcast. What
-is not kept goes into the escape of its context, and no mass is lost.
+of these, so one shuffle of counts gives the whole context trie. Every counted entry (context, next
+symbol) is kept, in stored tables of contexts. Longest entries that make up more than 1 / HEAD of all
+training symbols are broadcast with their code lengths (HEAD at most, at any corpus size); the others
+that a text has are joined to the stored tables, so the broadcast changes no result.
 
 A symbol is coded in the longest kept context of its history. If it is not kept there, an escape
 is coded, the symbols of that context are excluded, and the next shorter context is tried; after
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from .segments import raw_buffer, slices
 from .shared import crc32_bucket, stored
 
-#: Bytes of the longest context; a kept trie entry or frequent word has more than 1 / RESOLUTION of the count.
+#: Bytes of the longest context; an entry or word that is broadcast has more than 1 / HEAD of the count.
 ORDER = 5
-RESOLUTION = 1 << 21
+HEAD = 1 << 22
+#: Unseen entries that one task gives code lengths to at once.
+_UNSEEN = 20_000
 #: Symbols are byte + 1; 0 stands before a text, _END after it. Nine bits hold one.
 _BITS, _END, _SYMBOLS = 9, 257, 257
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -148,6 +150,13 @@ class Trie:
         return out
 
 
+def _per_text(text: np.ndarray, code: np.ndarray, texts: int, codes: int, named, name: str) -> pa.ListArray:
+    """For each text, its distinct codes by name with their number, from the text and code of each token."""
+    pair, n = np.unique(text * codes + code, return_counts=True)
+    edges = np.searchsorted(pair, np.arange(texts + 1) * codes)
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays([named(pair % codes), pa.array(n.astype(np.int64))], [name, "n"]))
+
+
 def _count(train: DataFrame, order: int) -> DataFrame:
     """``gram`` or ``word``, and ``n``: how often it stands in the training texts."""
 
@@ -165,31 +174,44 @@ def _count(train: DataFrame, order: int) -> DataFrame:
     return counted.groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
 
-def _build_trie(counts: DataFrame, symbols: int, order: int, resolution: int) -> Trie:
-    level = counts.where("gram is not null").select(F.col("gram").alias("key"), "n")
-    entries, totals = [], []
-    for k in range(order, -1, -1):
-        if k < order:
-            level = level.groupBy(F.col("key").bitwiseAND(F.lit(_mask(k))).alias("key")).agg(F.sum("n").alias("n"))
-        context = F.shiftright("key", _BITS).alias("context")
-        keep = F.col("n") * resolution > symbols
+def _contexts(counts: DataFrame, symbols: int, order: int, resolution: int | None) -> DataFrame:
+    """The context trie: ``level`` (bytes of the context), ``context``, ``total`` (all its counts) and
+    ``kept``, an array of (key, n), for every context that has a kept entry."""
+    spark = counts.sparkSession
+    held = spark.createDataFrame([], "level int, context bigint, total bigint, kept array<struct<key:bigint,n:bigint>>")
+    keep = F.lit(True) if resolution is None else F.col("n") * resolution > symbols
+    for k in range(order + 1):
+        level = counts.where("gram is not null").groupBy(F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("key")).agg(F.sum("n").alias("n"))
         # a context has 257 symbols at most, so its group is small
-        held = level.groupBy(context).agg(F.sum("n").alias("total"), F.filter(F.collect_list(F.when(keep, F.struct("key", "n"))), lambda x: x.isNotNull()).alias("kept")).where(F.size("kept") > 0)
-        table = held.toArrow()
-        total = table.column("total").to_numpy()
-        ctx = table.column("context").to_numpy()
-        by = np.argsort(ctx)
-        totals.append((ctx[by], total[by]))
-        flat = pc.list_flatten(table.column("kept")).combine_chunks()
-        if isinstance(flat, pa.ChunkedArray):
-            flat = flat.combine_chunks()
-        keys, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2)) if len(flat) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        by = np.argsort(keys)
-        entries.append((keys[by], n[by]))
-    return Trie(entries[::-1], totals[::-1])
-
-
-def score(docs: DataFrame, buckets: int = 7, held: int = 2, order: int = ORDER, resolution: int = RESOLUTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        one = level.groupBy(F.shiftright("key", _BITS).alias("context")).agg(F.sum("n").alias("total"), F.filter(F.collect_list(F.when(keep, F.struct("key", "n"))), lambda x: x.isNotNull()).alias("kept"))
+        held = held.unionByName(one.where(F.size("kept") > 0).withColumn("level", F.lit(k)))
+    return stored(held, "lm-contexts")
+
+
+def _unseen_lengths(unseen: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
+    """``gram`` and ``gain``, its log10 probability, of distinct grams that are not kept in full. Each
+    bucket of grams meets the contexts of its grams, all orders of them, and no others."""
+    buckets = max(1, -(-unseen.count() // _UNSEEN))
+    grams_of = unseen.select("gram", F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket"))
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(F.col("gram").bitwiseAND(F.lit(_mask(k))), _BITS).alias("context")) for k in range(order + 1)))
+    own = grams_of.select(F.col("bucket").alias("lot"), F.inline(levels)).distinct().join(contexts, ["level", "context"])
+
+    def work(left, right):
+        level = right.column("level").to_numpy()
+        entries, totals = [], []
+        for k in range(order + 1):
+            rows = right.filter(pa.array(level == k)).sort_by("context").combine_chunks()
+            totals.append((rows.column("context").to_numpy(), rows.column("total").to_numpy()))
+            flat = pc.struct_field(pc.list_flatten(rows.column("kept")), "key").to_numpy(), pc.struct_field(pc.list_flatten(rows.column("kept")), "n").to_numpy()
+            by = np.argsort(flat[0])
+            entries.append((flat[0][by], flat[1][by]))
+        gram = left.column("gram")
+        return pa.table({"gram": gram, "gain": Trie(entries, totals).log10(gram.to_numpy())})
+
+    return grams_of.groupBy("bucket").cogroup(own.groupBy("lot")).applyInArrow(work, "gram bigint, gain double")
+
+
+def score(docs: DataFrame, buckets: int = 7, held: int = 2, order: int = ORDER, resolution: int | None = None, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text by a model of the texts whose crc32 bucket is not ``held``.
 
     Returns for each input row (repeated rows stay): ``id_col``, ``held_out`` boolean (a null id is
@@ -198,6 +220,9 @@ def score(docs: DataFrame, buckets: int = 7, held: int = 2, order: int = ORDER,
     add-one smoothing over the training vocabulary and one unknown), ``score`` double (log10
     probability by partial matching). Null text counts as empty: one token, its end. With nothing
     to train on, all symbols are equally likely.
+
+    ``resolution``: if given, entries of at most 1 / resolution of all symbols are left to the escape
+    of their context. ``head``: what is broadcast; it changes no result.
     """
     spark: SparkSession = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -208,20 +233,30 @@ def score(docs: DataFrame, buckets: int = 7, held: int = 2, order: int = ORDER,
     symbols, train_words, vocabulary, ends = (x or 0 for x in sums)
     train_tokens = train_words + ends
     vocabulary += 1 if ends else 0
-    trie = _build_trie(counts, symbols, order, resolution)
-    # at most ``resolution`` words
-    frequent = counts.where(F.col("word").isNotNull() & (F.col("n") * resolution > train_tokens)).select("word", "n").toArrow()
+    contexts = _contexts(counts, symbols, order, resolution)
+    base = F.log10(F.col("total") + F.size("kept"))
+    full = contexts.where(F.col("level") == order).select(base.alias("base"), F.inline("kept")).select(F.col("key").alias("gram"), "n", (F.log10("n") - F.col("base")).alias("gain"))
+    # at most ``head`` entries and as many words
+    top = full.where(F.col("n") * head > symbols).select("gram", "gain").sort("gram").toArrow()
+    frequent = counts.where(F.col("word").isNotNull() & (F.col("n") * head > train_tokens)).select("word", "n").toArrow()
     end_gain = float(np.log10(ends + 1))
-    sent = spark.sparkContext.broadcast((trie, frequent.column("word").combine_chunks().cast(pa.large_binary()), np.log10(frequent.column("n").to_numpy() + 1.0)))
+    sent = spark.sparkContext.broadcast((top.column("gram").to_numpy(), top.column("gain").to_numpy(), frequent.column("word").combine_chunks().cast(pa.large_binary()), np.log10(frequent.column("n").to_numpy() + 1.0)))
 
     def work(batches):
-        model, known, gain = sent.value
+        keys, lengths, known, gain = sent.value
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 data, starts = raw_buffer(part.column("text"))
                 code, begins = grams(data, starts, order)
                 own, inverse = np.unique(code, return_inverse=True)
-                total = np.add.reduceat(model.log10(own)[inverse], begins) if len(begins) else np.zeros(0)
+                at = Trie._find(keys, own)
+                met = at >= 0
+                own_gain = np.zeros(len(own))
+                own_gain[met] = lengths[at[met]]
+                total = np.add.reduceat(own_gain[inverse], begins) if len(begins) else np.zeros(0)
+                away = np.flatnonzero(~met[inverse])
+                text_at = np.searchsorted(begins, away, "right") - 1
+                tail = _per_text(text_at, inverse[away], part.num_rows, max(len(own), 1), lambda i: pa.array(own[i]), "gram")
                 names, codes, bounds = words_of(data, starts)
                 place = pc.index_in(names, value_set=known).fill_null(-1).to_numpy() if len(names) else np.zeros(0, np.int64)
                 n_docs = part.num_rows
@@ -230,22 +265,28 @@ def score(docs: DataFrame, buckets: int = 7, held: int = 2, order: int = ORDER,
                 common = spot >= 0
                 settled = np.bincount(text_of[common], gain[spot[common]], n_docs) + end_gain
                 n_known = np.bincount(text_of[common], minlength=n_docs) + (1 if ends else 0)
-                pair, n = np.unique(text_of[~common] * len(names) + codes[~common], return_counts=True) if len(names) else (np.zeros(0, np.int64),) * 2
-                edges = np.searchsorted(pair, np.arange(n_docs + 1) * max(len(names), 1))
-                rare = pa.StructArray.from_arrays([names.take(pa.array(pair % max(len(names), 1))).cast(pa.binary()), pa.array(n.astype(np.int64))], ["word", "n"])
+                rare = _per_text(text_of[~common], codes[~common], n_docs, max(len(names), 1), lambda i: names.take(pa.array(i)).cast(pa.binary()), "word")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("held_out"), pa.array(np.diff(bounds) + 1), pa.array(n_known.astype(np.int64)), pa.array(settled), pa.array(total), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), rare)],
-                    ["key", "held_out", "n_tokens", "n_known", "gain", "score", "rare"],
+                    [part.column("key"), part.column("held_out"), pa.array(np.diff(bounds) + 1), pa.array(n_known.astype(np.int64)), pa.array(settled), pa.array(total), rare, tail],
+                    ["key", "held_out", "n_tokens", "n_known", "gain", "score", "rare", "tail"],
                 )
 
-    scored = rows.mapInArrow(work, f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, gain double, score double, rare array<struct<word binary, n bigint>>")
+    scored = rows.mapInArrow(work, f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, gain double, score double, rare array<struct<word:binary,n:bigint>>, tail array<struct<gram:bigint,n:bigint>>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    # the words that are not broadcast: none of them stands in more than 1 / resolution of the tokens
+    # the words and entries that are not broadcast: none that was trained on stands in more than 1 / head of the training texts
     rest = scored.select("row", F.inline("rare")).join(counts.where("word is not null").select("word", F.col("n").alias("c")), "word")
-    gained = rest.groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("more"))
+    pairs = scored.select("row", F.inline("tail"))
+    # a training text has no unseen entry, unless entries were left out
+    maybe = scored if resolution is not None else scored.where("held_out")
+    unseen = stored(maybe.select(F.explode("tail.gram").alias("gram")).distinct().join(full, "gram", "left_anti"), "lm-unseen")
+    priced = pairs.join(full.select("gram", "gain").unionByName(_unseen_lengths(unseen, contexts, order)), "gram")
+    none = F.lit(0.0)
+    parts = rest.select("row", "n", (F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("more"), none.alias("tail_score"))
+    parts = parts.unionByName(priced.select("row", F.lit(0).cast("bigint").alias("n"), none.alias("more"), (F.col("n") * F.col("gain")).alias("tail_score")))
+    gained = parts.groupBy("row").agg(F.sum("n").alias("more_known"), F.sum("more").alias("more"), F.sum("tail_score").alias("tail_score"))
     zero = F.lit(0)
     base = F.col("gain") + F.coalesce("more", zero) - F.col("n_tokens") * F.lit(float(np.log10(train_tokens + vocabulary + 1)))
-    return scored.drop("rare").join(gained, "row", "left").select(
+    return scored.drop("rare", "tail").join(gained, "row", "left").select(
         F.col("key").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"),
-        F.lit(train_tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(train_tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("tail_score", zero)).alias("score"),
     )

@@ -82,6 +82,26 @@ def test_scores_against_brute_force(small, edge, empty, resolution):
     assert lm_ppm.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("head", [1, 2000, lm_ppm.HEAD])
+def test_every_count_is_kept(small, edge, head):
+    for df in (small.limit(25), edge.where("length(text) < 1000 or text is null")):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        want = plain_ppm([t for k, t in rows if not in_bucket(k, 7, 2)], [t for _, t in rows], lm_ppm.ORDER, 10**12)
+        got = [(r.doc_id, r.score) for r in lm_ppm.score(df, head=head).collect()]
+        by = lambda r: (str(r[0]), r[1])
+        for a, b in zip(sorted(got, key=by), sorted(zip((k for k, _ in rows), want, strict=True), key=by), strict=True):
+            assert a[0] == b[0] and a[1] == pytest.approx(b[1])
+
+
+def test_a_count_of_one_among_millions_is_kept(spark):
+    held, *train = sorted(range(40), key=lambda i: not in_bucket(i, 7, 2))
+    train = [i for i in train if not in_bucket(i, 7, 2)]
+    df = spark.createDataFrame([(train[0], "ab" * 2_200_000), (train[1], "qzj"), (held, "qzj")], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in lm_ppm.score(df).collect()}
+    # one of two first symbols, and then contexts that were seen once
+    assert got[train[1]] == got[held] == pytest.approx(math.log10(1 / 4) + 3 * math.log10(1 / 2))
+
+
 @pytest.mark.parametrize(("order", "resolution"), [(0, 100), (2, 1000), (3, 7), (5, 12), (2, 4)])
 def test_probabilities_sum_to_one(order, resolution):
     codes, _ = lm_ppm.grams(*raw_buffer(pa.array(["abab ac", "aab", "", None, "bb"])), order)
