@@ -64,6 +64,44 @@ def j6_unclaimed_files(entries, children, files):
     return link.unclaimed_files(files, link.link_sparse_children(entries, children), made).select("cache_dir", "name", "size")
 
 
+# two streams an entry: headers (0) and body (1), the body in the file that comes before the children's
+_STREAMS = """, numbered AS (SELECT cache_dir, url, is_sparse, CAST(regexp_extract(url, '([0-9]+)[.]mp4$', 1) AS BIGINT) AS ord FROM fx_entries),
+streams AS (SELECT cache_dir, url, is_sparse, ord, ord % 7 AS body_size, 1 AS stream_index, 'f_' || lpad(lower(to_hex(ord * 8)), 6, '0') AS file_name, ord % 3 <> 0 AS is_external FROM numbered
+UNION ALL SELECT cache_dir, url, is_sparse, ord, ord % 7, 0, 'f_' || lpad(lower(to_hex(ord * 4)), 6, '0'), ord % 5 = 0 FROM numbered)"""
+
+
+def _entry_streams(entries):
+    """Entries with ``ord``, and a row for each of their streams."""
+    entries = entries.withColumn("ord", F.regexp_extract("url", "([0-9]+)[.]mp4$", 1).cast("bigint"))
+    n = F.col("ord")
+    both = [F.struct(F.lit(i).alias("stream_index"), F.concat(F.lit("/c/d/f_"), F.lpad(F.lower(F.hex(n * by)), 6, "0")).alias("file_name"), external.alias("is_external")) for i, by, external in ((1, 8, n % 3 != 0), (0, 4, n % 5 == 0))]
+    return entries, entries.select("cache_dir", "url", "ord", "is_sparse", (n % 7).alias("body_size"), F.inline(F.array(*both)))
+
+
+@query("fx_entries fx_children fx_files", _KIDS + _STREAMS + """, refs AS (SELECT k.cache_dir, k.url, k.file_name FROM kids k JOIN sparse USING (cache_dir, url) WHERE k.is_external
+UNION ALL SELECT cache_dir, url, file_name FROM streams s WHERE stream_index = 1 AND is_external AND NOT (is_sparse AND EXISTS (SELECT 1 FROM kids k WHERE k.cache_dir = s.cache_dir AND k.url = s.url)))
+SELECT r.cache_dir, r.url, count(*) AS n_files, CAST(sum(f.size) AS BIGINT) AS bytes FROM refs r JOIN fx_files f ON f.cache_dir = r.cache_dir AND f.name = r.file_name GROUP BY ALL""")
+def j4_match_stream_files(entries, children, files):
+    entries, streams = _entry_streams(entries)
+    out = link.match_entry_files(link.link_sparse_children(entries, children), files, streams)
+    return out.select("cache_dir", "url", "n_files", F.aggregate("files", F.lit(0).cast("bigint"), lambda a, f: a + f["size"]).alias("bytes"))
+
+
+@query("fx_entries fx_children", _KIDS + _STREAMS + """, refs AS (SELECT k.cache_dir, k.url, n.ord, k.file_name AS name FROM kids k JOIN numbered n USING (cache_dir, url) WHERE k.is_external AND n.is_sparse
+UNION ALL SELECT cache_dir, url, ord, file_name FROM streams WHERE is_external AND (is_sparse OR body_size > 0)) SELECT cache_dir, name, arg_max(url, ord) AS url FROM refs GROUP BY ALL""")
+def j5_stream_entry_map(entries, children):
+    entries, streams = _entry_streams(entries)
+    return link.file_entry_map(link.link_sparse_children(entries, children), streams)
+
+
+@query("fx_entries fx_children fx_files", _KIDS + _STREAMS + """ SELECT cache_dir, name, size FROM fx_files f WHERE file_type IS DISTINCT FROM 'jpeg' AND NOT EXISTS (SELECT 1 FROM kids k JOIN sparse USING (cache_dir, url) WHERE is_external AND k.cache_dir = f.cache_dir AND k.file_name = f.name)
+AND NOT EXISTS (SELECT 1 FROM streams s WHERE is_sparse AND is_external AND s.cache_dir = f.cache_dir AND s.file_name = f.name)""")
+def j6_unclaimed_stream_files(entries, children, files):
+    entries, streams = _entry_streams(entries)
+    made = files.where("file_type = 'jpeg'")
+    return link.unclaimed_files(files, link.link_sparse_children(entries, children), made, streams).select("cache_dir", "name", "size")
+
+
 _HEADER = f"(coalesce(file_type IN ({', '.join(repr(t) for t in group.HEADER_TYPES)}), false) OR coalesce(file_type = 'mp4_complete' AND size = 1048576, false) OR coalesce(file_type = 'mp4_header_only', false))"
 _AFFINITY = """, t AS (SELECT *, CASE WHEN TRY_CAST(regexp_extract(content_range, '/([0-9]+)$', 1) AS BIGINT) > 0 THEN CAST(regexp_extract(content_range, '/([0-9]+)$', 1) AS BIGINT) END AS range_total FROM fx_files),
 a AS (SELECT *, CASE WHEN etag IS NOT NULL THEN count(*) OVER (PARTITION BY cache_dir, etag) END AS em, CASE WHEN range_total IS NOT NULL THEN count(*) OVER (PARTITION BY cache_dir, range_total) END AS rm FROM t)"""

@@ -63,25 +63,51 @@ def link_stats(entries: DataFrame, children: DataFrame) -> DataFrame:
     )
 
 
-def match_entry_files(linked: DataFrame, files: DataFrame) -> DataFrame:
-    """Files of each linked entry, in the order of its external children; files that are not there
-    are dropped: ``files``, an array of (name, size), and ``n_files``."""
-    refs = linked.select(CACHE, "url", F.posexplode("children").alias("pos", "c")).where("c.is_external").select(CACHE, "url", "pos", file_basename(F.col("c.file_name")).alias("name"))
+def _child_files(linked: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, ``pos`` and the base ``name`` of every external child."""
+    return linked.select(CACHE, *columns, F.posexplode("children").alias("pos", "c")).where("c.is_external").select(CACHE, *columns, "pos", file_basename(F.col("c.file_name")).alias("name"))
+
+
+def _own_files(entry_streams: DataFrame, *columns: str) -> DataFrame:
+    """The same of every external stream of the entries themselves."""
+    return entry_streams.where("is_external").select(CACHE, *columns, F.lit(0).alias("pos"), file_basename(F.col("file_name")).alias("name"))
+
+
+def match_entry_files(linked: DataFrame, files: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
+    """Files of each entry, in the order of its external children; of an entry without children, its
+    stream 1 if that is external. Files that are not there are dropped: ``files``, an array of (name,
+    size), and ``n_files``.
+
+    ``entry_streams`` has a row for every stream of every entry: ``url``, ``ord``, ``is_sparse`` and
+    ``body_size`` of the entry, ``stream_index``, ``file_name``, ``is_external``. With it, ``linked``
+    needs ``ord``, and entries of one URL are told apart by it.
+    """
+    entry = [CACHE, "url"] if entry_streams is None else [CACHE, "url", "ord"]
+    refs = _child_files(linked, *entry[1:])
+    if entry_streams is not None:
+        bodies = entry_streams.where("stream_index = 1").join(linked.where(F.size("children") > 0).select(*entry), entry, "left_anti")
+        refs = refs.unionByName(_own_files(bodies, *entry[1:]))
     found = refs.join(files.select(CACHE, "name", "size"), [CACHE, "name"])
     ordered = F.sort_array(F.collect_list(F.struct("pos", "name", "size")))
-    return found.groupBy(CACHE, "url").agg(F.transform(ordered, lambda x: F.struct(x["name"].alias("name"), x["size"].alias("size"))).alias("files"), F.count(F.lit(1)).alias("n_files"))
+    return found.groupBy(*entry).agg(F.transform(ordered, lambda x: F.struct(x["name"].alias("name"), x["size"].alias("size"))).alias("files"), F.count(F.lit(1)).alias("n_files"))
 
 
-def file_entry_map(linked: DataFrame) -> DataFrame:
-    """The entry of each external file: the last one, by ``ord``, of those with a body or sparse."""
-    refs = linked.where("is_sparse or body_size > 0").select(CACHE, "url", "ord", F.explode("children").alias("c")).where("c.is_external")
-    return refs.groupBy(CACHE, file_basename(F.col("c.file_name")).alias("name")).agg(F.max_by("url", F.struct("ord", "url")).alias("url"))
+def file_entry_map(linked: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
+    """The entry of each external file, a child's or (with ``entry_streams``, as in
+    ``match_entry_files``) any stream's: the last one, by ``ord``, of those with a body or sparse."""
+    refs = _child_files(linked.where("is_sparse or body_size > 0"), "url", "ord")
+    if entry_streams is not None:
+        refs = refs.unionByName(_own_files(entry_streams.where("is_sparse or body_size > 0"), "url", "ord"))
+    return refs.groupBy(CACHE, "name").agg(F.max_by("url", F.struct("ord", "url")).alias("url"))
 
 
-def unclaimed_files(files: DataFrame, linked: DataFrame, resource_files: DataFrame) -> DataFrame:
-    """Files that neither a sparse entry's external children nor a created resource has taken."""
-    taken = linked.where("is_sparse").select(CACHE, F.explode("children").alias("c")).where("c.is_external").select(CACHE, file_basename(F.col("c.file_name")).alias("name"))
-    return files.join(taken.union(resource_files.select(CACHE, "name")), [CACHE, "name"], "left_anti")
+def unclaimed_files(files: DataFrame, linked: DataFrame, resource_files: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
+    """Files that neither a sparse entry's external children or streams (``entry_streams``, as in
+    ``match_entry_files``) nor a created resource has taken."""
+    taken = _child_files(linked.where("is_sparse")).select(CACHE, "name").union(resource_files.select(CACHE, "name"))
+    if entry_streams is not None:
+        taken = taken.union(_own_files(entry_streams.where("is_sparse")).select(CACHE, "name"))
+    return files.join(taken, [CACHE, "name"], "left_anti")
 
 
 def merge_path_lists(auto: DataFrame, custom: DataFrame) -> DataFrame:

@@ -136,3 +136,17 @@ def test_links(spark):
     assert [(c.child_id, c.offset_bytes, c.file_name) for c in linked["u", 1].children] == [(0, 0, "f_1"), (1, M, "f_2")] and linked["u", 1].body_size == 9
     assert [tuple(r) for r in link.orphan_children(entries, kids).collect()] == [("d", "u", 1)]
     assert [tuple(r) for r in link.unmatched_parents(entries, kids).collect()] == [("c", "v")]
+
+
+def test_files_of_the_entries_themselves(spark):
+    entries = spark.createDataFrame([("c", "u", True, 1), ("c", "v", False, 2), ("c", "w", True, 3), ("c", "e", False, 4), ("c", "v", False, 5)], "cache_dir string, url string, is_sparse boolean, ord bigint")
+    kids = spark.createDataFrame([("c", "Range_u:0000:0", 4, "f_1", True)], "cache_dir string, child_key string, size bigint, file_name string, is_external boolean")
+    streams = [("u", 1, True, 4, 1, "f_2", True), ("v", 2, False, 9, 1, "/x/f_3", True), ("v", 2, False, 9, 0, "f_4", True), ("w", 3, True, 0, 1, "f_5", True), ("e", 4, False, 0, 0, "f_6", True), ("v", 5, False, 9, 1, "f_7", False)]
+    streams = spark.createDataFrame([("c", *s) for s in streams], "cache_dir string, url string, ord bigint, is_sparse boolean, body_size bigint, stream_index int, file_name string, is_external boolean")
+    files = spark.createDataFrame([("c", f"f_{i}", i) for i in range(1, 9)], "cache_dir string, name string, size bigint")
+    linked = link.link_sparse_children(entries, kids)
+    matched = {(r.url, r.ord): [f.name for f in r.files] for r in link.match_entry_files(linked, files, streams).collect()}
+    assert matched == {("u", 1): ["f_1"], ("v", 2): ["f_3"], ("w", 3): ["f_5"]}
+    assert {r.name: r.url for r in link.file_entry_map(linked, streams).collect()} == {"f_1": "u", "f_2": "u", "f_3": "v", "f_4": "v", "f_5": "w"}
+    left = link.unclaimed_files(files, linked, files.where("name = 'f_8'"), streams).collect()
+    assert sorted(r.name for r in left) == ["f_3", "f_4", "f_6", "f_7"]
