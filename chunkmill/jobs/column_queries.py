@@ -221,3 +221,13 @@ def f15_epoch_format(fx):
 def u8_inline_image(fx):
     body = F.unhex("body_hex")
     return fx.where("doc_id % 8 IN (0, 1, 2, 3, 5)").select("doc_id", media.inline_image(media.detect_file_type(body), body).alias("data_url"))
+
+
+# the type of every body, as p3_detect_file_type has it
+_TYPED = SQL["p3_detect_file_type"].replace("SELECT doc_id, CASE", "SELECT doc_id, body_hex, CASE")
+
+
+@query("fx_bodies", f", t AS ({_TYPED}), m AS (SELECT *, {_sql_map(media.IMAGE_MIME, 'file_type')} AS mime FROM t) SELECT doc_id, 'data:' || mime || ';base64,' || to_base64(unhex(body_hex)) AS data_url FROM m")
+def u8_inline_image_all(fx):
+    body = F.unhex("body_hex")
+    return fx.select("doc_id", media.inline_image(media.detect_file_type(body), body).alias("data_url"))

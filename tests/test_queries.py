@@ -46,3 +46,9 @@ def test_entry(spark):
 
     rows = __spark_entry__.entry(spark).collect()
     assert rows and all(0 <= r.missing_bytes < r.total_bytes for r in rows)
+
+
+def test_every_body_is_read_for_inline_images(spark):
+    fx = spark.createDataFrame([(6, "000002006d6f6f66"), (7, b"GIF89a".hex()), (15, b"BMW".hex()), (23, b"text".hex()), (31, None)], "doc_id bigint, body_hex string")
+    got = {r.doc_id: r.data_url for r in column_queries.u8_inline_image_all(fx).collect()}
+    assert got == {6: None, 7: "data:image/gif;base64,R0lGODlh", 15: "data:image/bmp;base64,Qk1X", 23: None, 31: None}
