@@ -90,7 +90,7 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
             moved *= _SEEDS[c]
             least = np.minimum.reduceat(moved, begins)
             values[:, c // MINIMA] = _mixed(values[:, c // MINIMA] ^ least)
-            minima[:, c] = least >> np.uint64(56)
+            minima[:, c] = least & np.uint64(0xFF)
     return (values >> np.uint64(32)).astype(np.uint32), minima
 
 

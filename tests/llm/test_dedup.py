@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from chunkmill.llm import exact_dedup, exact_topk, near_dedup
@@ -90,6 +91,13 @@ def test_near_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_minima_tell_unrelated_sets_apart():
+    shingles = np.random.default_rng(3).integers(0, 1 << 63, 3000, np.uint64)
+    one, two = np.sort(shingles[:1500]), np.sort(shingles[1500:])
+    _, fine = near_dedup.signatures(np.concatenate([one, two, one]), np.array([0, 1500, 3000, 4500]))
+    assert (fine[0] == fine[1]).sum() < 10 and (fine[0] == fine[2]).all()
+
+
 def test_near_blocks(family, monkeypatch):
     want = sorted(tuple(r) for r in near_dedup.near_duplicates(family).collect())
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
