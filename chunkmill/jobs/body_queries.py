@@ -94,6 +94,12 @@ def s2_file_heads(docs):
     return layout.where("body_end - body_start >= 8").select("doc_id", F.lower(F.hex(bodies.file_head(F.col("content"), F.col("body_start"), 8))).alias("head"))
 
 
+@query(None)
+def s2_file_heads_all(docs):
+    layout = bodies.unwrap_simple(simple_files(docs), ["doc_id", "content"])
+    return layout.select("doc_id", F.lower(F.hex(bodies.file_head(F.col("content"), F.col("body_start")))).alias("head"))
+
+
 @query(f"""SELECT doc_id, {_TEXT} + 1000 AS range_offset, {_TEXT} AS range_length, 24 + length(CAST(doc_id AS VARCHAR)) + 32 AS data_pos FROM documents
 UNION ALL SELECT doc_id, 0, {_TEXT}, 24 + length(CAST(doc_id AS VARCHAR)) + 64 + {_TEXT} FROM documents""")
 def u1_sparse_ranges(docs):

@@ -153,6 +153,15 @@ def a2_pair_simple_streams(files):
     return report.pair_simple_streams(files.where("hex_value % 7 <> 0").select("cache_dir", hash_.alias("hash"), stream.alias("stream"), "size"))
 
 
+@query("fx_files", """, s AS (SELECT cache_dir, CASE WHEN hex_value % 11 <> 0 THEN lpad(lower(to_hex(hex_value // 3)), 16, '0') END AS hash, CASE WHEN hex_value % 7 = 0 THEN '1' ELSE ['0', '1', 's'][hex_value % 3 + 1] END AS stream, size FROM fx_files)
+SELECT cache_dir, hash, max(size) FILTER (stream = '0') AS body_size, max(size) FILTER (stream = '1') AS side_size, max(size) FILTER (stream = 's') AS sparse_size FROM s WHERE hash IS NOT NULL GROUP BY ALL HAVING body_size IS NOT NULL OR sparse_size IS NOT NULL""")
+def a2_pair_simple_streams_all(files):
+    n = F.col("hex_value")
+    hash_ = F.when(n % 11 != 0, F.lpad(F.lower(F.hex(F.floor(n / 3))), 16, "0"))
+    stream = F.when(n % 7 == 0, "1").otherwise(F.element_at(F.array(F.lit("0"), F.lit("1"), F.lit("s")), (n % 3 + 1).cast("int")))
+    return report.pair_simple_streams(files.select("cache_dir", hash_.alias("hash"), stream.alias("stream"), "size"))
+
+
 @query("fx_files", """ SELECT cache_dir, etag, count(*) AS members, min(hex_value) AS first_hex, max(hex_value) AS last_hex, CAST(sum(size) AS BIGINT) AS bytes FROM fx_files WHERE etag IS NOT NULL GROUP BY ALL HAVING count(*) > 1""")
 def a3_affinity_by_etag(files):
     return group.affinity_by_etag(files)

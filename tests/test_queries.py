@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from chunkmill.jobs import body_queries, column_queries, table_queries
+from chunkmill.sources import bodies
 
 SF = "/root/testdata/sf0.001"
 QUERIES = {**column_queries.QUERIES, **table_queries.QUERIES, **body_queries.QUERIES}
@@ -52,3 +53,12 @@ def test_every_body_is_read_for_inline_images(spark):
     fx = spark.createDataFrame([(6, "000002006d6f6f66"), (7, b"GIF89a".hex()), (15, b"BMW".hex()), (23, b"text".hex()), (31, None)], "doc_id bigint, body_hex string")
     got = {r.doc_id: r.data_url for r in column_queries.u8_inline_image_all(fx).collect()}
     assert got == {6: None, 7: "data:image/gif;base64,R0lGODlh", 15: "data:image/bmp;base64,Qk1X", 23: None, 31: None}
+
+
+def test_every_body_has_its_head(spark):
+    texts = {1: None, 2: "", 3: "ab", 4: "é" * 200}
+    docs = spark.createDataFrame([(k, v, "en") for k, v in texts.items()], "doc_id bigint, text string, lang string")
+    eof = lambda n: bodies.EOF_MAGIC.to_bytes(8, "little") + bytes(8) + n.to_bytes(4, "little") + bytes(4)
+    body = {k: (v or "").encode() for k, v in texts.items()}
+    want = {k: (b + eof(len(b)) + b"en" + eof(2))[:256].hex() for k, b in body.items()}
+    assert {r.doc_id: r.head for r in body_queries.s2_file_heads_all(docs).collect()} == want
