@@ -100,12 +100,41 @@ def test_minima_tell_unrelated_sets_apart():
 
 def test_near_blocks(family, monkeypatch):
     want = sorted(tuple(r) for r in near_dedup.near_duplicates(family).collect())
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    monkeypatch.setattr(near_dedup, "PART", 32)
-    monkeypatch.setattr(near_dedup, "DENSE", 5)
+    for name, least in (("BLOCK", 16), ("WIDE", 24), ("PART", 32), ("HASHES", 3000)):
+        monkeypatch.setattr(near_dedup, name, least)
     assert sorted(tuple(r) for r in near_dedup.near_duplicates(family).collect()) == want
 
 
+def test_near_far_members(spark):
+    """Copies of a few texts that lie just below and just above the threshold, and chains of links."""
+    rng, rows = random.Random(8), []
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    for i in range(1200):
+        own = list(base)
+        for _ in range(rng.choice((2, 6, 9, 12, 15))):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(90)}"
+        rows.append((i, " ".join(own)))
+    for i in range(1200, 1300):  # each near the one before
+        base[(i * 7) % 120] = f"y{i}"
+        rows.append((i, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = [tuple(r) for r in near_dedup.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == brute_components(rows, 2)
+
+
+def test_near_short_texts(spark):
+    """Texts of fewer words than a shingle has, alone in their batch."""
+    rows = [(1, "a"), (2, "A"), (3, "b c"), (4, None), (5, ""), (6, "b c")]
+    for size in (2, 5):
+        got = [tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), size=size).collect()]
+        assert sorted(got, key=str) == brute_components(rows, size)
+
+
+def test_thresholds():
+    assert near_dedup.thresholds(80) == (4, 57)
+    assert near_dedup.thresholds(100) == (32, 96)
+
+
 def brute_topk(rows, k, every):
     import math
 
