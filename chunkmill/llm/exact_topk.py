@@ -1,14 +1,16 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-Vectors of integers are cut into blocks of rows. Each block keeps, per dimension, the largest and
-the smallest component (its *term maxima* for positive and for negative query weights). Of a
-query, the sum over its terms of weight times the block's maximum bounds every score in the
-block; blocks are taken in order of falling bound and scored through the block's forward index
-(its rows) until the next bound falls below the k-th score so far: the rest cannot matter.
-
-Blocks are made of rows that point the same way (a fixed set of random planes orders the rows),
-so that the maxima are tight. Blocks are gathered into shards; queries come in groups; a task
-joins one group with one shard, and a top-k over each query's shard winners ends the search.
+Vectors of integers are cut into *blocks* of rows that point the same way (the signs of a fixed
+set of random projections name a cell; a crowded cell has several blocks). A block is packed into
+one row, its forward index, with its *term maxima*: per dimension the largest component and the
+smallest (for negative weights). Of a query, the sum over its terms of weight times the block's
+maximum bounds every score in the block.
+
+Queries are packed into *lots* the same way. The maxima of all blocks (at most BOUNDS_BYTES, by the
+choice of the block size) are broadcast. A lot is first scored in the SEEDS blocks that most of its
+queries bound highest, which gives each query a k-th score; after that it is sent only to blocks in
+which the bound of one of its queries reaches that query's k-th score. Inside a block, smaller
+blocks are taken in order of falling bound until the next bound is below the k-th score so far.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-#: Rows of a block, of a shard, and queries of a group.
-BLOCK, SHARD, GROUP = 128, 8192, 2048
+#: Rows of a block (more where the maxima would exceed BOUNDS_BYTES) and of the blocks inside it;
+#: queries of a lot, and blocks that a lot begins with.
+ROWS, BLOCK, LOT, SEEDS = 4096, 128, 512, 2
+BOUNDS_BYTES = 32 << 20
 
 
 def _finite(vector):
@@ -30,25 +34,31 @@ def _finite(vector):
 
 
 def quantized(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id`` and ``v`` array<int> = floor(scale * x); rows whose vector is null or holds a
-    null or non-finite component are left out."""
+    """``vec_id``, ``v`` array<long> = floor(scale * x), and ``top`` double, the largest magnitude in it;
+    rows whose vector is null or holds a null or non-finite component are left out."""
     whole = F.transform(vectors[vector_col], lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
-    return vectors.where(_finite(vectors[vector_col]) & vectors[id_col].isNotNull()).select(vectors[id_col].cast("bigint").alias("vec_id"), whole.alias("v"))
+    top = F.array_max(F.transform(vectors[vector_col], lambda x: F.abs(x.cast("double") * scale) + 1))
+    return vectors.where(_finite(vectors[vector_col]) & vectors[id_col].isNotNull()).select(vectors[id_col].cast("bigint").alias("vec_id"), whole.alias("v"), F.coalesce(top, F.lit(0.0)).alias("top"))
 
 
-def search_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, ...]:
-    """(query position, row position, score) of each query's k best rows (ties to the smaller id),
-    its own row left out. Components are integers held as float64, sums under 2**53 exact."""
-    order = np.lexsort((ids, *_signs(rows)))
+def _bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+
+
+def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None, block: int = BLOCK) -> tuple[np.ndarray, ...]:
+    """(query position, row position, score) of each query's k best rows (ties to the smaller id) whose
+    score is not below its ``floor``, its own row left out. Components are integers, held as int64 or,
+    where sums stay under 2**53, as float64."""
+    least = np.iinfo(np.int64).min if rows.dtype == np.int64 else -np.inf
+    order = np.lexsort((ids, *_signs(rows, 8).T))
     rows, ids = rows[order], ids[order]
     begins = np.arange(0, len(rows), block)
-    high, low = np.maximum.reduceat(rows, begins), np.minimum.reduceat(rows, begins)
-    bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+    bounds = _bounds(queries, np.maximum.reduceat(rows, begins), np.minimum.reduceat(rows, begins))
     by_bound = np.argsort(-bounds, axis=1, kind="stable")
     n = len(queries)
-    best_score = np.full((n, k), -np.inf)
+    best_score = np.full((n, k), least, rows.dtype)
     best_row = np.full((n, k), -1, np.int64)
-    floor = np.full(n, -np.inf)
+    floor = np.full(n, least, rows.dtype) if floor is None else floor.astype(rows.dtype)
     live = np.arange(n)
     for turn in range(len(begins)):
         nth = by_bound[live, turn]
@@ -59,24 +69,53 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, i
         by_block = np.argsort(nth, kind="stable")
         for part in np.split(by_block, np.flatnonzero(np.diff(nth[by_block])) + 1):
             q, b = live[part], begins[nth[part[0]]]
-            scores = queries[q] @ rows[b : b + block].T
             own = ids[b : b + block]
-            scores[query_ids[q][:, None] == own[None, :]] = -np.inf
+            scores = queries[q] @ rows[b : b + block].T
+            places = np.broadcast_to(np.arange(b, b + len(own)), scores.shape)
+            out = (query_ids[q][:, None] == own[None, :]) | (scores < floor[q][:, None])
+            scores, places = np.where(out, least, scores), np.where(out, -1, places)
             pool = np.concatenate([best_score[q], scores], axis=1)
-            pool_rows = np.concatenate([best_row[q], np.broadcast_to(np.arange(b, b + len(own)), scores.shape)], axis=1)
+            pool_rows = np.concatenate([best_row[q], places], axis=1)
             pool_ids = np.where(pool_rows >= 0, ids[pool_rows], np.iinfo(np.int64).max)
-            top = np.lexsort((pool_ids, -pool), axis=1)[:, :k]
+            top = np.lexsort((pool_ids, ~pool if pool.dtype == np.int64 else -pool), axis=1)[:, :k]
             best_score[q] = np.take_along_axis(pool, top, 1)
             best_row[q] = np.take_along_axis(pool_rows, top, 1)
-            floor[q] = best_score[q, k - 1]
-    q, j = np.nonzero(best_score > -np.inf)
+            floor[q] = np.maximum(floor[q], best_score[q, k - 1])
+    q, j = np.nonzero(best_row >= 0)
     return q, order[best_row[q, j]], best_score[q, j]
 
 
-def _signs(rows: np.ndarray) -> list[np.ndarray]:
-    """Keys that sort rows by the side of fixed random planes they lie on."""
-    planes = np.random.default_rng(7).standard_normal((rows.shape[1], 8))
-    return list((rows @ planes > 0).T)
+def _signs(rows: np.ndarray, planes: int) -> np.ndarray:
+    """On which side of fixed random planes each row lies."""
+    return rows @ np.random.default_rng(7).standard_normal((rows.shape[1], 12))[:, :planes] > 0
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind=np.float64) -> np.ndarray:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.asarray(pa.compute.list_value_length(lists))
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    if (lengths == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(lengths), width), kind)
+    out[np.arange(width) < lengths[:, None]] = flat
+    return out
+
+
+def _packed(rows: DataFrame, most: int, width: int, kind: str, name: str) -> DataFrame:
+    """Rows of one cell, at most about ``most``, as one row: ``name`` (its number), ``ids`` and ``values`` (in bytes),
+    ``high`` and ``low`` (per dimension)."""
+    cells = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    # 4,096 cells at most
+    dealt = rows.join(F.broadcast(cells), "cell").withColumn(name, F.xxhash64("cell", F.pmod(F.xxhash64("vec_id", F.lit(name)), "parts")))
+
+    def work(key, table):
+        ids = table.column("vec_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        values = _matrix(table.column("v"), width, np.int64)[order]
+        ends = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (values.max(axis=0), values.min(axis=0))]
+        return pa.table([pa.array([key[0].as_py()]), pa.array([ids[order].tobytes()], pa.binary()), pa.array([values.astype(kind).tobytes()], pa.binary()), *ends], [name, "ids", "values", "high", "low"])
+
+    return stored(dealt.select(name, "vec_id", "v").groupBy(name).applyInArrow(work, f"{name} bigint, ids binary, values binary, high array<bigint>, low array<bigint>"), name)
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -86,45 +125,83 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     Returns ``query_id`` long, ``rank`` int (from 1), ``vec_id`` long, ``score`` long; ties go to
     the smaller id; fewer rows where there are fewer candidates. Vectors that are null or hold a
     null or non-finite component take no part. Candidates are the rows with another id than the
-    query's; repeated rows are candidates each. Vectors of different lengths are compared as if
-    padded with zeros.
+    query's; repeated rows are candidates each; of several rows with a query's id, the greatest
+    vector is the query. Vectors of different lengths are compared as if padded with zeros. Where a
+    score could exceed a long, ``OverflowError`` is raised.
     """
     spark = vectors.sparkSession
     rows = stored(quantized(vectors, scale, id_col, vector_col), "vectors")
-    n = rows.count()
-    shards = max(1, -(-n // SHARD), min(spark.sparkContext.defaultParallelism, -(-n // 1024)))
-    groups = max(1, -(-n // (GROUP * every)))
-    salt = F.abs(F.xxhash64("vec_id", F.lit(1)))
-    query = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", (F.abs(F.xxhash64("vec_id", F.lit(2))) % groups).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
-    candidate = rows.select("vec_id", "v", (salt % shards).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-
-    def work(key, left, right):
-        made = _table([], [], [])
-        if left.num_rows and right.num_rows:
-            width = max(*(len(v) for t in (left, right) for v in t.column("v").to_pylist()), 1)
-            queries, rows = _matrix(left.column("v"), width), _matrix(right.column("v"), width)
-            query_ids, ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-            q, r, score = search_shard(queries, query_ids, rows, ids, k)
-            made = _table(query_ids[q], ids[r], score.astype(np.int64))
-        return made
-
-    found = query.groupBy("s", "g").cogroup(candidate.groupBy("s", "g")).applyInArrow(work, "query_id bigint, vec_id bigint, score bigint")
+    n, width, top = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max("top")).first()
+    width, top = max(width or 0, 1), top or 0.0
+    if top * top * width >= 2.0**63:
+        raise OverflowError(f"components up to {top:g} in {width} dimensions could give scores beyond 64 bits")
+    exact = np.float64 if top * top * width < 2.0**53 else np.int64
+    kind = next(t for t, bits in (("<i2", 15), ("<i4", 31), ("<i8", 64)) if top < 2.0**bits)
+    most_blocks = max(BOUNDS_BYTES // (16 * width), 16)
+    planes = min(12, max(0, int(min(n / ROWS, most_blocks / 2))).bit_length())
+
+    def cells(batches):
+        for batch in batches:
+            signs = _signs(_matrix(batch.column("v"), width), planes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs @ (1 << np.arange(planes)), pa.int64())], ["vec_id", "v", "cell"])
+
+    placed = rows.select("vec_id", "v").mapInArrow(cells, "vec_id bigint, v array<bigint>, cell bigint")
+    blocks = _packed(placed, max(ROWS, 2 * n // most_blocks), width, kind, "block")
+    asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max(F.struct("v", "cell")).alias("q")).select("vec_id", "q.*")
+    lots = _packed(asked, LOT, width, kind, "lot").drop("high", "low")
+    ends = blocks.select("block", "high", "low").sort("block").toArrow()  # within BOUNDS_BYTES
+    sent = spark.sparkContext.broadcast((ends.column("block").to_numpy(), *(_matrix(ends.column(c), width, exact) for c in ("high", "low"))))
+
+    def unpacked(batch, prefix, i):
+        ids = np.frombuffer(batch.column(f"{prefix}ids")[i].as_py(), np.int64)
+        return ids, np.frombuffer(batch.column(f"{prefix}values")[i].as_py(), kind).reshape(-1, width).astype(exact)
+
+    def seeds(batches):
+        names, high, low = sent.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, queries = unpacked(batch, "", i)
+                votes = np.bincount(_bounds(queries, high, low).argmax(axis=1), minlength=len(names))
+                best = [j for j in np.argsort(-votes, kind="stable")[:SEEDS] if votes[j]]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("lot")[i].as_py()] * len(best), pa.int64()), pa.array(names[best])], ["lot", "block"])
+
+    def reached(batches):
+        names, high, low = sent.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, queries = unpacked(batch, "", i)
+                floor = _floors(ids, batch.column("floors")[i].as_py(), exact)
+                done = set(batch.column("done")[i].as_py() or ())
+                hit = [b for b in names[(_bounds(queries, high, low) >= floor[:, None]).any(axis=0)].tolist() if b not in done]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("lot")[i].as_py()] * len(hit), pa.int64()), pa.array(hit, pa.int64())], ["lot", "block"])
+
+    def scored(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                query_ids, queries = unpacked(batch, "", i)
+                ids, values = unpacked(batch, "b_", i)
+                q, r, score = search_block(queries, query_ids, values, ids, k, _floors(query_ids, batch.column("floors")[i].as_py(), exact))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("lot")[i].as_py()] * len(q), pa.int64()), pa.array(query_ids[q]), pa.array(ids[r]), pa.array(score.astype(np.int64))], ["lot", "query_id", "vec_id", "score"])
+
+    def met(pairs, lots):
+        both = pairs.join(lots.select("lot", "ids", "values", "floors"), "lot").join(blocks.select("block", F.col("ids").alias("b_ids"), F.col("values").alias("b_values")), "block")
+        return both.drop("block").mapInArrow(scored, "lot bigint, query_id bigint, vec_id bigint, score bigint")
+
+    floor = "array<struct<query_id:bigint,floor:bigint>>"
+    first = stored(lots.select("lot", "ids", "values").mapInArrow(seeds, "lot bigint, block bigint"), "seeds")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _table(query_ids, ids, scores) -> pa.Table:
-    return pa.table({"query_id": pa.array(query_ids, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.int64())})
-
-
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    lists = column.combine_chunks()
-    lengths = np.asarray(pa.compute.list_value_length(lists))
-    flat = lists.flatten().to_numpy().astype(np.float64)
-    if (lengths == width).all():
-        return flat.reshape(-1, width)
-    out = np.zeros((len(lengths), width))
-    at = np.cumsum(lengths) - lengths
-    for i, n in enumerate(lengths.tolist()):
-        out[i, :n] = flat[at[i] : at[i] + n]
-    return out
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = stored(ranked(met(first, lots.withColumn("floors", F.lit(None).cast(floor)))).drop("rank"), "found")
+    floors = found.groupBy("lot", "query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+    floors = floors.groupBy("lot").agg(F.collect_list(F.struct("query_id", "floor")).alias("floors"))
+    known = lots.join(floors, "lot", "left").join(first.groupBy("lot").agg(F.collect_list("block").alias("done")), "lot", "left")
+    known = stored(known, "lots-known")
+    rest = known.select("lot", "ids", "values", "floors", "done").mapInArrow(reached, "lot bigint, block bigint")
+    return ranked(found.unionByName(met(rest, known))).select("query_id", "rank", "vec_id", "score")
+
+
+def _floors(ids: np.ndarray, known: list | None, kind) -> np.ndarray:
+    """The k-th score of each query that has one, else the least value."""
+    least = np.iinfo(np.int64).min if kind == np.int64 else -np.inf
+    floor = {x["query_id"]: x["floor"] for x in known or ()}
+    return np.array([floor.get(i, least) for i in ids.tolist()], kind)

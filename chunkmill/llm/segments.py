@@ -6,7 +6,7 @@ the distinct segments of a batch meet Python. Cuts made, all of them borders for
 byte-level pattern and for the word-end pattern alike:
 
 * before an ASCII white-space byte that follows something other than white space;
-* after a single line feed that follows something other than white space;
+* after a single line feed that stands between other things than white space;
 * between an ASCII letter and one of ``PUNCTUATION`` (apostrophes and the characters of
   special tokens are left out, so contractions and special strings stay whole).
 
@@ -36,6 +36,9 @@ _MAYBE_SPACE_END = np.zeros(256, bool)
 _MAYBE_SPACE_END[[0x85, 0xA0, 0xA8, 0xA9, 0xAF, 0x9F, *range(0x80, 0x8B)]] = True
 _MAYBE_SPACE_LEAD = np.zeros(256, bool)
 _MAYBE_SPACE_LEAD[[0xC2, 0x9A, 0x80, 0x81]] = True
+#: The first UTF-8 bytes of those characters.
+_MAYBE_SPACE_BEGIN = np.zeros(256, bool)
+_MAYBE_SPACE_BEGIN[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -77,7 +80,7 @@ def segment(texts: pa.Array, fold: bool = False) -> Segments:
     cut[1:n] = here & ~before & ~soft[:-1]
     if n > 2:
         # x \n | y : the line feed is a piece of its own
-        cut[2:n] |= (data[1:-1] == 10) & ~space[2:] & ~space[:-2] & ~soft[:-2]
+        cut[2:n] |= (data[1:-1] == 10) & ~space[2:] & ~_MAYBE_SPACE_BEGIN[data[2:]] & ~space[:-2] & ~soft[:-2]
     letter, punct = _LETTER[data], _PUNCT[data]
     cut[1:n] |= (letter[:-1] & punct[1:]) | (punct[:-1] & letter[1:])
     cut[starts] = True

@@ -9,10 +9,13 @@ transition is annotated with how the number of tokens changes. States are compil
 met and shared by all later texts; a table that has grown beyond ``_MOST`` transitions starts
 anew, so memory is bounded.
 
-Long texts are cut into chunks anywhere. What a chunk does to any entry state is its *map*: up
-to the first white space after something else, the entry state matters; from there on the
-state, the count and the exit do not depend on it. Maps compose associatively, so chunks are
-run in parallel as rows, and one prefix scan over a text's maps gives its count.
+Long texts are cut into chunks anywhere; special strings are taken out first, as each side of one
+is a text of its own. What a chunk does to any entry state is its *state map*: the characters up
+to the first place where the state no longer depends on how the chunk was entered (the head, a
+word or less), and from there on the tokens counted and the exit state. Maps compose
+associatively: the exit state of one chunk runs through the head of the next. So chunks are run in
+parallel as rows, and a prefix scan over a text's maps gives its count. A text's first chunk is
+entered at the beginning, and has no head.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +38,8 @@ _MOST = 800_000
 CHUNK = 1 << 16
 
 _SPACES = frozenset([*map(chr, range(9, 14)), " ", "\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　"])
-#: Where a chunk's state no longer depends on how it was entered: white space after something else.
-_SETTLED = re.compile(r"[^\s\x1c-\x1f][ \t\n\r]")
+#: Where a chunk's state may no longer depend on how it was entered: another kind of character than the one before.
+_TURN = regex.compile(r"(?<=\p{L})\P{L}|(?<=\p{N})\P{N}|(?<=[^\s\p{L}\p{N}])[\s\p{L}\p{N}]")
 
 
 def _kind(c: str) -> str:
@@ -194,8 +198,18 @@ class CountTransducer:
             n += d + state.rest
         return n
 
-    def settled(self, c: str) -> _State:
-        return self.state(("W", self.EMPTY, c))
+    def settled(self, c: str) -> tuple[_State, int]:
+        """State and change in tokens at a character that begins a piece, whatever stood before."""
+        what = _kind(c)
+        if what == "W":
+            return self.state(("W", self.EMPTY, c)), 0
+        made, change = self.piece(c, what)
+        return self.state(("Q", made[1]) if c == "'" else made), change
+
+
+def special_strings(path: str) -> list[str]:
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
 @functools.lru_cache(maxsize=1)
@@ -210,39 +224,55 @@ def transducer(path: str) -> CountTransducer:
     return CountTransducer(path)
 
 
-def chunk_map(machine: CountTransducer, text: str) -> tuple[str, int | None, str]:
-    """Map of one chunk: the part in which the entry state matters, then the tokens from the
-    first to the last settled place (None: there is no such place) and the text after the last."""
-    first = _SETTLED.search(text)
-    if first is None:
-        return text, None, ""
-    begin = first.end() - 1
-    last = begin
-    for m in _SETTLED.finditer(text, max(begin, len(text) - 4096)):
-        last = m.end() - 1
-    _, n = machine.run(machine.settled(text[begin]), text[begin + 1 : last + 1])
-    return text[:begin], n, text[last:]
+def _turn(text: str) -> int:
+    """The first place at which a piece begins for sure, -1 if there is none: the kind changes there, and
+    what stands before is neither white space nor an apostrophe (of a contraction)."""
+    for m in _TURN.finditer(text):
+        before = text[m.start() - 1]
+        if before != "'" and "W" != _kind(before) != _kind(m[0]):
+            return m.start()
+    return -1
+
+
+def chunk_map(machine: CountTransducer, text: str, first: bool = False) -> tuple[str, int | None, tuple | None]:
+    """State map of one chunk: its head, then the tokens from the first settled place to the end and
+    the key of the exit state (None, None: there is no such place, and the head is the chunk)."""
+    if first:
+        state, n = machine.run(machine.begin, text)
+        return "", n, state.key
+    at = _turn(text)
+    if at < 0:
+        return text, None, None
+    state, n = machine.settled(text[at])
+    state, d = machine.run(state, text[at + 1 :])
+    return text[:at], n + d, state.key
 
 
 def compose(machine: CountTransducer, a: tuple, b: tuple) -> tuple:
     """The map of two chunks that follow each other (associative)."""
     if a[1] is None:
         return a[0] + b[0], b[1], b[2]
+    state, n = machine.run(machine.state(a[2]), b[0])
     if b[1] is None:
-        return a[0], a[1], a[2] + b[0]
-    joint = a[2] + b[0]
-    _, n = machine.run(machine.settled(joint[0]), joint[1:])
-    # what b begins with is white space after something else: it starts a run, and counts nothing yet
+        return a[0], a[1] + n, state.key
     return a[0], a[1] + n + b[1], b[2]
 
 
 def apply_map(machine: CountTransducer, whole: tuple) -> int:
     """Tokens of a text from its map, entered at its beginning."""
     state, n = machine.run(machine.begin, whole[0])
-    if whole[1] is not None:
-        state, d = machine.run(machine.settled(whole[2][0]), whole[2][1:])
-        n += whole[1] + d
-    return n + state.rest
+    if whole[1] is None:
+        return n + state.rest
+    return n + whole[1] + machine.state(whole[2]).rest
+
+
+def _packed(key: tuple | None) -> str | None:
+    return None if key is None else json.dumps(key)
+
+
+def _unpacked(key: str | None) -> tuple | None:
+    tuples = lambda x: tuple(map(tuples, x)) if isinstance(x, list) else x
+    return None if key is None else tuples(json.loads(key))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -250,48 +280,47 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
     Returns ``id_col``, ``n_bytes`` long (UTF-8), ``n_tokens`` long, ``over_limit`` boolean
     (``n_tokens > limit``): one row for each input row (repeated rows and null ids stay), no
-    other input column. Null text counts as empty (0 bytes, 0 tokens). Texts of one chunk are
-    finished where they are read; only texts that hold more (or a special string that a cut
-    could split) have their chunk maps gathered by row.
+    other input column. Null text counts as empty (0 bytes, 0 tokens). The state maps of a text's
+    chunks meet in one row: a few dozen bytes for each ``chunk`` characters. ``tokenizer`` is the path
+    of a tokenizer file, here and on every worker.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["row", "n_bytes", "part", "i", "head", "count", "exit"]
 
     def maps(batches):
         machine = transducer(tokenizer)
         for batch in batches:
-            cols = batch.to_pydict()
-            out = {"key": [], "row": [], "i": [], "n_bytes": [], "n_tokens": [], "head": [], "count": [], "tail": []}
-            for key, row, i, chunks, text in zip(cols["key"], cols["row"], cols["i"], cols["chunks"], cols["text"], strict=True):
-                whole = chunks == 1
-                head, n, tail = ("", None, "") if whole else chunk_map(machine, text)
-                for name, v in zip(out, (key, row, i, len(text.encode()), machine.count(text) if whole else None, head, n, tail), strict=True):
-                    out[name].append(v)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(out["key"], batch.column("key").type), "row": pa.array(out["row"], pa.int64()), "i": pa.array(out["i"], pa.int64()), **{c: pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_tokens")}, "head": pa.array(out["head"], pa.string()), "count": pa.array(out["count"], pa.int64()), "tail": pa.array(out["tail"], pa.string())})
+            cols, out = batch.to_pydict(), []
+            for text, i in zip(cols["text"], cols["i"], strict=True):
+                head, n, key = chunk_map(machine, text, i == 0)
+                out.append((head, n, _packed(key)))
+            made = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(batch.column(c) for c in names[:4]), *made], ["key", *names])
 
     def scan(batches):
         machine = transducer(tokenizer)
         for batch in batches:
             cols, n = batch.to_pydict(), []
-            for known, parts in zip(cols["known"], cols["maps"], strict=True):
-                if known is None:
-                    level = [(p["head"], p["count"], p["tail"]) for p in sorted(parts, key=lambda p: p["i"])]
+            for maps_ in cols["maps"]:
+                parts: dict[int, list] = {}
+                for p in sorted(maps_, key=lambda p: (p["part"], p["i"])):
+                    parts.setdefault(p["part"], []).append((p["head"], p["count"], _unpacked(p["exit"])))
+                total = len(parts) - 1  # the special strings between parts
+                for level in parts.values():
                     while len(level) > 1:  # in pairs, as maps compose associatively
                         level = [compose(machine, *level[j : j + 2]) if j + 1 < len(level) else level[j] for j in range(0, len(level), 2)]
-                    known = apply_map(machine, level[0])
-                n.append(known)
+                    total += apply_map(machine, level[0])
+                n.append(total)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_bytes"), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
+    special = sorted(special_strings(tokenizer), key=len, reverse=True)
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].alias("key"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    # a special string is never cut: texts that hold one and the like are counted whole
-    chunks = F.when((F.length("text") <= chunk) | F.col("text").contains("<|"), F.lit(1)).otherwise(F.ceil(F.length("text") / F.lit(chunk)).cast("int"))
-    rows = rows.withColumn("chunks", chunks)
-    cut = rows.select("key", "row", "chunks", "text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("n"))
-    cut = cut.select("key", "row", F.col("n").cast("bigint").alias("i"), "chunks", F.when(F.col("chunks") == 1, F.col("text")).otherwise(F.substring("text", F.col("n") * chunk + 1, F.lit(chunk))).alias("text"))
-    mapped = cut.mapInArrow(maps, f"key {kind}, row bigint, i bigint, n_bytes bigint, n_tokens bigint, head string, count bigint, tail string")
-    gathered = mapped.groupBy("key", "row").agg(
-        F.sum("n_bytes").alias("n_bytes"),
-        F.max("n_tokens").alias("known"),
-        F.collect_list(F.when(F.col("n_tokens").isNull(), F.struct("i", "head", "count", "tail"))).alias("maps"),
-    )
-    return gathered.select("key", "n_bytes", "known", "maps").mapInArrow(scan, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    parts = F.split(text, "|".join(map(re.escape, special)), -1) if special else F.array(text)
+    rows = docs.select(docs[id_col].alias("key"), F.monotonically_increasing_id().alias("row"), F.octet_length(text).cast("bigint").alias("n_bytes"), parts.alias("parts"))
+    # a text of one chunk is one row; chunks of 0-based place i begin at i * chunk
+    each = rows.select("key", "row", "n_bytes", F.posexplode("parts").alias("part", "text"))
+    cut = each.select("key", "row", "n_bytes", "part", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / F.lit(chunk)).cast("int") - 1, F.lit(0)))).alias("n"))
+    cut = cut.select("key", "row", "n_bytes", F.col("part").cast("bigint").alias("part"), F.col("n").cast("bigint").alias("i"), F.substring("text", F.col("n") * chunk + 1, F.lit(chunk)).alias("text"))
+    mapped = cut.mapInArrow(maps, f"key {kind}, row bigint, n_bytes bigint, part bigint, i bigint, head string, count bigint, exit string")
+    gathered = mapped.groupBy("key", "row").agg(F.max("n_bytes").alias("n_bytes"), F.collect_list(F.struct("part", "i", "head", "count", "exit")).alias("maps"))
+    return gathered.select("key", "n_bytes", "maps").mapInArrow(scan, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -151,8 +151,27 @@ def test_topk(spark):
     rng = random.Random(5)
     rows = [(i, [rng.choice((-1.0, -0.5, 0.0, 0.25, 1.0)) for _ in range(8)]) for i in range(700)]
     rows += [(700, None), (701, []), (702, [None] * 8), (703, [float("nan")] * 8), (704, [float("inf")] * 8), (None, [1.0] * 8)]
+    rows += [(i, [0.5] * 8) for i in range(1000, 1100)] + [(3, [1.0] * 8), (3, [1.0] * 8), (705, [1.0] * 5)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
-    assert sorted(tuple(r) for r in exact_topk.top_k(df).collect()) == brute_topk(rows, 20, 20)
+    clash = df.selectExpr("*", "1 AS v", "2 AS lot", "3 AS score", "'x' AS ids")
+    assert sorted(tuple(r) for r in exact_topk.top_k(clash).collect()) == brute_topk(rows, 20, 20)
     few = df.where("vec_id < 5")
     assert sorted(tuple(r) for r in exact_topk.top_k(few).collect()) == brute_topk([r for r in rows if r[0] is not None and r[0] < 5], 20, 20)
     assert exact_topk.top_k(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1.0, 1e6, 3e13])
+def test_topk_over_blocks_and_lots(spark, monkeypatch, size):
+    """Many blocks and lots, ties across them, and components whose sums need all 64 bits."""
+    for name, least in (("ROWS", 64), ("LOT", 4), ("SEEDS", 1)):
+        monkeypatch.setattr(exact_topk, name, least)
+    rng = random.Random(6)
+    rows = [(i, [float(rng.choice((-3, -1, 0, 1, 2))) * size / 1e7 for _ in range(6)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in exact_topk.top_k(df, every=30).collect()) == brute_topk(rows, 20, 30)
+
+
+def test_topk_refuses_scores_beyond_a_long(spark):
+    df = spark.createDataFrame([(i, [1e17 + i]) for i in range(21)], "vec_id bigint, embedding array<double>")
+    with pytest.raises(OverflowError):
+        exact_topk.top_k(df)
