@@ -45,7 +45,14 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows without an id are left alone."""
-    gone = mark_copies(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = F.sha2(folded(docs[text_col]), 256)
-    return docs.join(gone, (docs[id_col] == gone["_id"]) & (own == gone["_sha"]), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns: of equal texts (A-Z folded, null as empty)
+    the one with the largest id, null ids being smaller than any. Of rows that repeat this id and its text one stays,
+    whichever it is. An empty table stays empty. Columns of any name pass through."""
+    marked = mark_copies(docs, id_col, text_col)
+    key, sha = "_kept_id", "_kept_sha"
+    own = docs.select("*", docs[id_col].alias(key), F.sha2(folded(docs[text_col]), 256).alias(sha))
+    same = lambda other: own[key].eqNullSafe(other["_id"]) & (own[sha] == other["_sha"])
+    gone = marked.where("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    repeated = marked.where("kept").groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_sha")
+    single = own.join(gone.unionByName(repeated), same, "left_anti")
+    return single.unionByName(own.join(repeated, same, "left_semi").dropDuplicates([key, sha])).drop(key, sha)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .lm_ppm import words_of
 from .segments import raw_buffer, slices
-from .shared import stored
+from .shared import discard, stored
 
 COORDINATES, MINIMA = 32, 3
 #: Chance that either threshold misses a link of just the similarity asked for.
@@ -261,18 +261,20 @@ def _joined_at_home(met: DataFrame, percent: int, close: int) -> DataFrame:
 
 
 def _home_links(homes: DataFrame, signed: DataFrame, sets: DataFrame, percent: int, close: int) -> DataFrame:
-    """(a, b): links that join classes of one home, found level by level; a center takes its component's
-    place in the next level, so that levels shrink to a 256th where copies are many."""
-    found, level = [], homes
+    """(a, b): links that join classes of one home, found level by level, and the stored tables they are read
+    from. A center takes its component's place in the next level, so that levels shrink to a 256th where
+    copies are many."""
+    found, level, tables = [], homes, []
     while True:
         crowd = level.join(signed.select("id", "n"), "id").groupBy("home").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("hashes")).where("members > 1")
         crowd = crowd.withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("hashes") / HASHES)))
         housed = stored(level.join(crowd, "home").select("id", "home", "blocks", F.pmod(F.xxhash64("id", "home"), "blocks").alias("block")), "housed")
         joined = stored(_joined_at_home(housed.join(signed.select("id", "fine"), "id").join(sets, "id"), percent, close), "joined")
+        tables += [housed, joined]
         found.append(joined.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
         crowded = housed.where("blocks > 1")
         if not crowded.limit(1).count():
-            return reduce(DataFrame.union, found)
+            return reduce(DataFrame.union, found), tables
         level = crowded.join(joined.where("id = center").select("id").distinct(), "id").select("id", "home")
 
 
@@ -410,7 +412,9 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after links (a, b) between components."""
     lower = components(links)
     known = labels.join(lower.select(F.col("id").alias("component"), F.col("component").alias("lower")), "component", "left").select("id", F.coalesce("lower", "component").alias("component"))
-    return stored(known.union(lower.join(labels, "id", "left_anti").select("id", "component")), "labels")
+    made = stored(known.union(lower.join(labels, "id", "left_anti").select("id", "component")), "labels")
+    discard(labels, lower)
+    return made
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -424,8 +428,10 @@ def components(edges: DataFrame) -> DataFrame:
         # of the label, its label
         known = labels.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
         lower = stored(lower.join(known, "component", "left").select("id", "was", F.least("component", "beyond").alias("component")), "labels")
+        discard(labels)
         labels = lower.select("id", "component")
         if not lower.where("component <> was").limit(1).count():
+            discard(both)
             return labels
 
 
@@ -447,17 +453,20 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, id_col: s
     homes = stored(_prefixes(classes, matches), "homes")
     sets = stored(_sets_of(rows, homes.select("id"), size), "shingle-sets")
     signs = stored(homes.select("id", "posted", "block").join(classes.select("id", "n", "sig", "fine"), "id"), "signs")
-    links = _home_links(homes.select("id", "home"), signs, sets, percent, close)
+    links, stars = _home_links(homes.select("id", "home"), signs, sets, percent, close)
     # rows of one id are joined through the classes of their texts
     repeated = able.groupBy("id").agg(F.count_distinct("digest").alias("texts")).where("texts > 1")
     joints = able.join(repeated, "id", "left_semi").join(classes.select("digest", F.col("id").alias("head")), "digest").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     labels = components(links.union(joints))
+    discard(*stars)
     posts = stored(homes.select("id", F.explode("prefix").alias("token")), "posts")
     scouts = posts.where(F.shiftright("token", 32) < SCOUTS)
     pairs = stored(_retained(_dealt(scouts, labels), signs, percent, matches, close, True), "neighbours")
     labels = _relabelled(labels, _confirmed(pairs, sets, percent))
+    discard(pairs)
     calls = stored(_retained(_dealt(posts, labels), signs, percent, matches, close, False), "calls")
     labels = _relabelled(labels, _joined_in_blocks(calls, signs, labels, sets, percent, close))
+    discard(calls, posts, signs, sets, homes)
     heads = classes.select("digest", F.col("id").alias("head"))
     final = signed.join(heads, "digest", "left").join(labels.select(F.col("id").alias("head"), "component"), "head", "left")
     own = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "head", "id"))
@@ -466,7 +475,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, id_col: s
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are the smallest id of their component."""
+    """The rows of ``docs``, with all their columns, whose id is the smallest of its component. Rows without an id,
+    without text or without words stay; an empty table stays empty; rows that repeat an id stay or go together."""
     gone = near_duplicates(docs, size, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 

@@ -4,8 +4,11 @@ Within a group of documents, Karmarkar-Karp differencing builds the windows: eve
 as a partial partition (its length in one window, nothing in the others); the two partial
 partitions of largest spread are merged again and again, the fullest window of one with the
 emptiest of the other, so that imbalances cancel. The number of windows begins at the least that
-could hold the group, and rises whenever a window exceeds the capacity. Groups follow the order
-of rows within a task, so packing needs no shuffle and grows with the number of tasks.
+could hold the group, and rises whenever a window exceeds the capacity. Short documents that
+follow each other are one item of the differencing, and a group ends at ITEMS items; those that
+would begin another window are left to the next group, so windows of all but a task's last group
+are nearly full. Groups follow the order of rows within a task, so packing needs no shuffle and
+grows with the number of tasks.
 """
 
 from __future__ import annotations
@@ -23,10 +26,8 @@ from .vocab import batch_ids, segment_ids
 
 #: Pieces are at most this share of a window, so that differencing has pieces to balance with.
 SHARE = 8
-#: Documents of a group.
-GROUP = 512
-#: Pieces that are differenced together.
-PIECES = 512
+#: Items that are differenced together, and how many ids of a window may stay free so that they fit.
+ITEMS, SLACK = 512, 4
 
 
 def difference(lengths: list[int], windows: int) -> list[list[int]]:
@@ -71,6 +72,18 @@ def cut(length: int, capacity: int, share: int = SHARE) -> list[int]:
     return [capacity] * full + [step] * (rest // step) + ([rest % step] if rest % step else [])
 
 
+def grouped(lengths: list[int], most: int) -> list[list[int]]:
+    """Indexes of ``lengths`` in items: neighbours together up to ``most``."""
+    items, held = [], most + 1
+    for i, n in enumerate(lengths):
+        if held + n > most:
+            items.append([])
+            held = 0
+        items[-1].append(i)
+        held += n
+    return items
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", ids_too: bool = False) -> DataFrame:
     """Pack every whole text, each with ``end_id`` appended, into sequences of ``capacity`` ids.
 
@@ -90,14 +103,22 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
         task, sequence = TaskContext.get().partitionId() << 33, 0
         whole: list[tuple] = []  # (row, start, length) that fill a sequence alone
         keys, texts, starts, lengths, totals = [], [], [], [], []
-        n_docs = 0
-
-        def packed():
-            nonlocal sequence
+        step, n_items, held = max(1, capacity // SHARE), 0, 0  # items begun, and ids in the last
+
+        def packed(end):
+            """Windows of the pieces held; unless it is the ``end``, those of a window begun stay."""
+            nonlocal sequence, n_items
+            items = grouped(lengths, step)
+            sums = [sum(lengths[i] for i in item) for item in items]
+            if not end:
+                room = sum(sums) // capacity * (capacity - SLACK)
+                while len(items) > 1 and sum(sums) > room > 0:
+                    items.pop()
+                    sums.pop()
             rows = []
-            for s in pack(lengths, capacity):
+            for s in pack(sums, capacity):
                 at = 0
-                for i in s:
+                for i in (i for j in s for i in items[j]):
                     rows.append((i, task + sequence, at))
                     at += lengths[i]
                 sequence += 1
@@ -109,6 +130,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
             ]
             if ids_too:
                 arrays.append(pa.array([np.frombuffer(texts[i], "<u4").astype(np.int64) for i in index], pa.list_(pa.int64())))
+            for column in (keys, texts, starts, lengths, totals):
+                del column[: len(index)]  # items are in the order of pieces
+            n_items = len(grouped(lengths, step))
             return pa.RecordBatch.from_arrays(arrays, names)
 
         def alone():
@@ -134,26 +158,25 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                         if n == capacity:
                             whole.append((key, at, piece, len(own)))
                         else:
+                            if not lengths or held + n > step:
+                                n_items, held = n_items + 1, 0
+                            held += n
                             keys.append(key)
                             starts.append(at)
                             lengths.append(n)
                             texts.append(piece.tobytes())
                             totals.append(len(own))
                         at += n
-                    n_docs += 1
                     if len(whole) >= 512:
                         yield alone()
                         whole.clear()
-                    if len(lengths) >= PIECES or n_docs >= GROUP:
-                        if lengths:
-                            yield packed()
-                        for column in (keys, texts, starts, lengths, totals):
-                            column.clear()
-                        n_docs = 0
+                    if n_items >= ITEMS:
+                        yield packed(False)
+                        held = step
         if whole:
             yield alone()
         if lengths:
-            yield packed()
+            yield packed(True)
 
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<bigint>" * ids_too
     return docs.select(docs[id_col].alias("key"), docs[text_col].alias("text")).mapInArrow(work, schema)

@@ -14,11 +14,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only where none is (as in tests)."""
+    """The cluster's checkpoint folder. Where none is set: a temporary one in a local session (as in tests), else
+    the warehouse, which driver and executors share."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="chunkmill-")
+        local = context.master.split("[")[0] == "local"
+        folder = tempfile.mkdtemp(prefix="chunkmill-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -36,6 +38,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of ``stored`` frames that no later read needs."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_if_few(ids: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """``ids`` (a stored frame of one long column), to be broadcast if it has at most ``most`` rows (some 100 MB
+    as a hash table); beyond that, left to a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def folded(text: Column) -> Column:
     """Null as empty, and A-Z (only) in lower case."""
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)

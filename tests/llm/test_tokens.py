@@ -150,3 +150,12 @@ def test_pack_documents(small, edge, empty):
                 own = sorted(whole[k], key=lambda p: p.start)
                 assert [i for p in own for i in p.ids] == [*ids_of(WORD, t), 1] and {p.doc_tokens for p in own} == {len(ids_of(WORD, t)) + 1}
     assert packing.pack_documents(empty, WORD, 1).count() == 0
+
+
+@pytest.mark.parametrize("words", [0, 8, 18, 38, 300, 2500])
+def test_short_and_long_documents_fill_their_sequences(spark, words):
+    df = spark.createDataFrame([(i, " ".join(["the"] * words)) for i in range(20_000 if words < 100 else 1500)], "doc_id bigint, text string").coalesce(1)
+    pieces = packing.pack_documents(df, WORD, 1).toPandas()
+    used = pieces.groupby("sequence_id").length.sum()
+    assert used.max() <= 2048 and len(used) <= used.sum() / 2040 + 2
+    assert pieces.length.sum() == df.count() * (words + 1) and not pieces.duplicated(["doc_id", "start"]).any()
