@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that executors and driver share: below the cluster's checkpoint folder, or a
-    temporary one where none is set (as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="chunkmill-")
+    """A new folder that executors and driver share: below the cluster's checkpoint folder; where none is
+    set, a temporary one in a local session (as in tests), else below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        base = tempfile.mkdtemp(prefix="chunkmill-") if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/resources-{uuid.uuid4().hex}"
 
 
