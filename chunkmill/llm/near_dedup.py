@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .lm_ppm import words_of
 from .segments import raw_buffer, slices
-from .shared import discard, stored
+from .shared import broadcast_if_few, discard, stored
 
 COORDINATES, MINIMA = 32, 3
 #: Chance that either threshold misses a link of just the similarity asked for.
@@ -143,7 +143,8 @@ def thresholds(percent: int) -> tuple[int, int]:
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``id`` and ``shingles`` of the rows whose id is wanted, but for rows without any."""
+    """``id`` and ``shingles`` of the rows whose id is wanted, but for rows without any. Texts are not shuffled
+    unless the wanted ids are too many to be broadcast."""
 
     def work(batches):
         for batch in batches:
@@ -152,7 +153,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(shingles.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), sets], ["id", "shingles"])
 
-    made = rows.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(work, "id bigint, shingles array<bigint>")
+    made = rows.join(broadcast_if_few(wanted), "id", "left_semi").select("id", "text").mapInArrow(work, "id bigint, shingles array<bigint>")
     return made.where(F.size("shingles") > 0)
 
 
@@ -477,6 +478,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, id_col: s
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id is the smallest of its component. Rows without an id,
     without text or without words stay; an empty table stays empty; rows that repeat an id stay or go together."""
-    gone = near_duplicates(docs, size, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"))
+    gone = stored(near_duplicates(docs, size, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    gone = broadcast_if_few(gone)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
