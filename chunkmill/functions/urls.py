@@ -48,19 +48,33 @@ def snowflake_to_ms(text: Column) -> Column:
     return F.when(F.year(F.timestamp_millis(ms)).between(2015, 2030), ms)
 
 
-def _query_hex_ms(url: Column, name: str) -> Column:
-    value = F.try_parse_url(url, F.lit("QUERY"), F.lit(name))
-    return F.conv(F.regexp_extract(value, "^([0-9a-fA-F]+)", 1), 16, 10).cast("bigint") * 1000
+def _hex_ms(params: Column, name: str) -> Column:
+    value = F.try_element_at(F.filter(params, lambda p: p.startswith(f"{name}=")), F.lit(1))
+    return F.conv(F.regexp_extract(value, "^[^=]*=([0-9a-fA-F]+)", 1), 16, 10).cast("bigint") * 1000
 
 
 def parse_cdn_url(key: Column, strip_prefix: bool = False) -> Column:
     """What a CDN URL says, as a struct (null for other hosts): ``kind``, ``filename``, ``channel_id``,
     ``user_id``, ``resource_id``, ``uploaded_at``, ``channel_created_at``, ``expires_at``,
-    ``issued_at`` (epoch ms), ``is_media_proxy`` and ``clean_url`` (without its signature)."""
+    ``issued_at`` (epoch ms), ``is_media_proxy`` and ``clean_url`` (without its signature).
+    The URL is cut once, and only where its host is one of the two."""
     url = strip_cache_key_prefix(key) if strip_prefix else key
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    parts = path_segments(url)
-    at = lambda i: F.try_element_at(parts, F.lit(i))
+    host = F.lower(F.substring_index(F.split_part(F.substring_index(F.substring_index(url, "#", 1), "?", 1), F.lit("/"), F.lit(3)), ":", 1))
+    known = (url.startswith("https://") | url.startswith("http://")) & host.isin(CDN_HOST, PROXY_HOST)
+    return F.when(known, F.element_at(F.transform(F.array(url), lambda u: F.element_at(F.transform(F.array(_cut(u)), _told), 1)), 1))
+
+
+def _cut(url: Column) -> Column:
+    """``base`` (before query and fragment), ``host``, ``parts`` of the path and ``params`` of the query."""
+    bare = F.substring_index(url, "#", 1)
+    base = F.substring_index(bare, "?", 1)
+    pieces = F.filter(F.split(base, "/"), lambda s: s != "")
+    params = F.filter(F.split(F.substr(bare, F.length(base) + 2), "&"), lambda p: p != "")
+    return F.struct(base.alias("base"), F.lower(F.element_at(pieces, 2)).alias("host"), F.slice(pieces, 3, 8).alias("parts"), params.alias("params"))
+
+
+def _told(cut: Column) -> Column:
+    at = lambda i: F.try_element_at(cut["parts"], F.lit(i))
     first = at(1)
     attached = first.isin("attachments", "ephemeral-attachments")
     kind = (
@@ -68,13 +82,12 @@ def parse_cdn_url(key: Column, strip_prefix: bool = False) -> Column:
         .when(first == "emojis", "emoji").when(first == "stickers", "sticker").when(first == "external", "external_proxy").otherwise("other")
     )
     resource = F.when(attached, at(3)).when(first == "avatars", at(2)).when(first.isin("emojis", "stickers"), F.element_at(F.split(at(2), r"\."), 1))
-    query = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda p: (p != "") & ~p.rlike("^hm(=|$)"))
-    base = F.regexp_extract(url, r"^([^?#]*)", 1)
-    clean = F.when(F.size(query) > 0, F.concat(base, F.lit("?"), F.array_join(query, "&"))).otherwise(base)
-    made = F.struct(
+    query = F.filter(cut["params"], lambda p: ~(p.startswith("hm=") | (p == "hm")))
+    clean = F.when(F.size(query) > 0, F.concat(cut["base"], F.lit("?"), F.array_join(query, "&"))).otherwise(cut["base"])
+    proxied = F.substring_index(cut["host"], ":", 1) == PROXY_HOST
+    return F.struct(
         kind.alias("kind"), F.when(attached, lenient_decode(at(4))).alias("filename"), F.when(attached, at(2)).alias("channel_id"),
         F.when(first == "avatars", at(2)).alias("user_id"), resource.alias("resource_id"), snowflake_to_ms(resource).alias("uploaded_at"),
-        F.when(attached, snowflake_to_ms(at(2))).alias("channel_created_at"), F.when(attached, _query_hex_ms(url, "ex")).alias("expires_at"),
-        F.when(attached, _query_hex_ms(url, "is")).alias("issued_at"), ((host == PROXY_HOST) | (first == "external")).alias("is_media_proxy"), clean.alias("clean_url"),
+        F.when(attached, snowflake_to_ms(at(2))).alias("channel_created_at"), F.when(attached, _hex_ms(cut["params"], "ex")).alias("expires_at"),
+        F.when(attached, _hex_ms(cut["params"], "is")).alias("issued_at"), (proxied | F.coalesce(first == "external", F.lit(False))).alias("is_media_proxy"), clean.alias("clean_url"),
     )
-    return F.when(host.isin(CDN_HOST, PROXY_HOST), made)

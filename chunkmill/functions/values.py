@@ -38,16 +38,22 @@ def format_duration(seconds: Column) -> Column:
     return F.when(seconds <= 0, "0:00").when(h > 0, long).otherwise(F.concat(m.cast("string"), F.lit(":"), two(s)))
 
 
+def _all_hex(text: Column, least: int, most: int) -> Column:
+    return F.length(text).between(least, most) & (F.translate(text, "0123456789abcdefABCDEF", "") == "")
+
+
 def parse_child_key(key: Column) -> Column:
     """Struct of ``parent_url``, ``child_id`` (hex after the last colon, bad: 0), ``offset_bytes``,
-    ``reject_reason``. The signature before the id is dropped if it has four hex digits or more."""
-    rest = F.regexp_extract(key, r"(?s)^Range_(.*)$", 1)
-    tail = F.regexp_extract(rest, r"(?s)^(.*):([^:]*)$", 2)
-    body = F.regexp_extract(rest, r"(?s)^(.*):([^:]*)$", 1)
-    signed = body.rlike(r"(?s)^.*:[0-9a-fA-F]{4,}$")
-    parent = F.when(signed, F.regexp_extract(body, r"(?s)^(.*):[^:]*$", 1)).otherwise(body)
-    child = F.when(tail.rlike("^[0-9a-fA-F]{1,15}$"), F.conv(tail, 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    reason = F.when(~key.startswith("Range_"), "no-prefix").when(F.instr(rest, ":") == 0, "no-colon")
+    ``reject_reason``. The signature before the id is dropped if it has four hex digits or more.
+    Cuts at the last colons by length, without patterns."""
+    rest = F.substr(key, F.lit(7))
+    tail = F.substring_index(rest, ":", -1)
+    body = F.left(rest, F.length(rest) - F.length(tail) - 1)
+    signature = F.substring_index(body, ":", -1)
+    signed = F.contains(body, F.lit(":")) & _all_hex(signature, 4, 1 << 30)
+    parent = F.when(signed, F.left(body, F.length(body) - F.length(signature) - 1)).otherwise(body)
+    child = F.when(_all_hex(tail, 1, 15), F.conv(tail, 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    reason = F.when(~key.startswith("Range_"), "no-prefix").when(~F.contains(rest, F.lit(":")), "no-colon")
     ok = reason.isNull()
     return F.struct(
         F.when(ok, parent).alias("parent_url"), F.when(ok, child).alias("child_id"), F.when(ok, child * CHILD_BYTES).alias("offset_bytes"), reason.alias("reject_reason")

@@ -23,7 +23,7 @@ SELECT concat('dir', CAST(user_id % 4 AS STRING)) AS cache_dir, event_id AS hex_
  CASE WHEN event_type = 'signup' AND event_id % 4 = 0 THEN CAST(event_id % 40 + 1 AS BIGINT) * 262144 END AS mdat_size, CAST(32 AS BIGINT) AS mdat_offset FROM events""",
     "fx_entries": r"""
 SELECT concat('dir', CAST(o_custkey % 4 AS STRING)) AS cache_dir, concat('1/0/https://cdn.example.org/v/', CAST(o_orderkey AS STRING), '.mp4') AS url,
- o_orderstatus <> 'F' AS is_sparse, unix_micros(CAST(o_orderdate AS TIMESTAMP)) AS creation_time_us FROM orders WHERE o_orderkey % 11 <> 0""",
+ o_orderstatus <> 'F' AS is_sparse, unix_micros(CAST(o_orderdate AS TIMESTAMP)) AS creation_time_us, CAST(o_orderkey AS BIGINT) AS ord, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 777 ELSE 0 END AS BIGINT) AS body_size FROM orders WHERE o_orderkey % 11 <> 0""",
     "fx_children": r"""
 SELECT concat('dir', CAST(o_custkey % 4 AS STRING)) AS cache_dir,
  concat('Range_1/0/https://cdn.example.org/v/', CAST(l_orderkey AS STRING), '.mp4:', lpad(lower(hex(l_partkey+65536)),16,'0'), ':', lower(hex(CAST(l_linenumber-1 AS BIGINT)))) AS child_key,
@@ -62,7 +62,7 @@ SELECT concat('dir', CAST(user_id % 4 AS STRING)) AS cache_dir, event_id AS hex_
  CASE WHEN event_type = 'signup' AND event_id % 4 = 0 THEN CAST(event_id % 40 + 1 AS BIGINT) * 262144 END AS mdat_size, CAST(32 AS BIGINT) AS mdat_offset FROM events""",
     "fx_entries": r"""
 SELECT concat('dir', CAST(o_custkey % 4 AS STRING)) AS cache_dir, concat('1/0/https://cdn.example.org/v/', CAST(o_orderkey AS STRING), '.mp4') AS url,
- o_orderstatus <> 'F' AS is_sparse, epoch_us(o_orderdate) AS creation_time_us FROM orders WHERE o_orderkey % 11 <> 0""",
+ o_orderstatus <> 'F' AS is_sparse, epoch_us(o_orderdate) AS creation_time_us, CAST(o_orderkey AS BIGINT) AS ord, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 777 ELSE 0 END AS BIGINT) AS body_size FROM orders WHERE o_orderkey % 11 <> 0""",
     "fx_children": r"""
 SELECT concat('dir', CAST(o_custkey % 4 AS STRING)) AS cache_dir,
  concat('Range_1/0/https://cdn.example.org/v/', CAST(l_orderkey AS STRING), '.mp4:', lpad(lower(to_hex(l_partkey+65536)),16,'0'), ':', lower(to_hex(CAST(l_linenumber-1 AS BIGINT)))) AS child_key,

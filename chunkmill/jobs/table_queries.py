@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.media import CATEGORIES, EXTENSIONS, media_category
@@ -31,7 +32,7 @@ _KIDS = """, kids AS (SELECT cache_dir, regexp_extract(child_key, '^Range_(.*):[
 sparse AS (SELECT DISTINCT cache_dir, url FROM fx_entries WHERE is_sparse)"""
 
 
-@query("fx_entries fx_children", _KIDS + """ SELECT s.cache_dir, s.url, count(k.url) AS n_children, CAST(coalesce(sum(k.size), 0) AS BIGINT) AS body_size, coalesce(max(k.child_id) * 1048576, -1) AS last_offset FROM sparse s LEFT JOIN kids k USING (cache_dir, url) GROUP BY ALL""")
+@query("fx_entries fx_children", _KIDS + """ SELECT s.cache_dir, s.url, count(k.url) AS n_children, CAST(CASE WHEN max(e.body_size) > 0 THEN max(e.body_size) ELSE coalesce(sum(k.size), 0) END AS BIGINT) AS body_size, coalesce(max(k.child_id) * 1048576, -1) AS last_offset FROM sparse s JOIN fx_entries e USING (cache_dir, url) LEFT JOIN kids k ON k.cache_dir = s.cache_dir AND k.url = s.url GROUP BY ALL""")
 def j1_link_sparse_children(entries, children):
     out = link.link_sparse_children(entries, children)
     return out.select("cache_dir", "url", F.col("n_children").cast("bigint").alias("n_children"), "body_size", F.coalesce(F.try_element_at("children", F.lit(-1))["offset_bytes"], F.lit(-1)).alias("last_offset"))
@@ -53,9 +54,9 @@ def j4_match_entry_files(entries, children, files):
     return out.select("cache_dir", "url", "n_files", F.aggregate("files", F.lit(0).cast("bigint"), lambda a, f: a + f["size"]).alias("bytes"))
 
 
-@query("fx_entries fx_children", _KIDS + """ SELECT k.cache_dir, file_name AS name, max(url) AS url FROM kids k JOIN sparse USING (cache_dir, url) WHERE is_external GROUP BY ALL""")
+@query("fx_entries fx_children", _KIDS + """ SELECT k.cache_dir, file_name AS name, arg_max(k.url, e.ord) AS url FROM kids k JOIN fx_entries e ON e.cache_dir = k.cache_dir AND e.url = k.url WHERE e.is_sparse AND is_external GROUP BY ALL""")
 def j5_file_entry_map(entries, children):
-    return link.file_entry_map(link.link_sparse_children(entries, children).withColumn("ord", F.lit(0)))
+    return link.file_entry_map(link.link_sparse_children(entries, children))
 
 
 @query("fx_entries fx_children fx_files", _KIDS + """ SELECT cache_dir, name, size FROM fx_files f WHERE file_type IS DISTINCT FROM 'jpeg' AND NOT EXISTS (SELECT 1 FROM kids k JOIN sparse USING (cache_dir, url) WHERE is_external AND k.cache_dir = f.cache_dir AND k.file_name = f.name)""")
@@ -162,9 +163,14 @@ def a2_pair_simple_streams_all(files):
     return report.pair_simple_streams(files.select("cache_dir", hash_.alias("hash"), stream.alias("stream"), "size"))
 
 
-@query("fx_files", """ SELECT cache_dir, etag, count(*) AS members, min(hex_value) AS first_hex, max(hex_value) AS last_hex, CAST(sum(size) AS BIGINT) AS bytes FROM fx_files WHERE etag IS NOT NULL GROUP BY ALL HAVING count(*) > 1""")
+@query("fx_files", _AFFINITY + """ SELECT cache_dir, 'etag' AS method, etag AS key, hex_value, name FROM a WHERE em > 1 UNION ALL SELECT cache_dir, 'content-range-total', CAST(range_total AS VARCHAR) || ' bytes', hex_value, name FROM a WHERE rm > 1""")
+def a3_affinity_files(files):
+    return group.affinity_files(files)
+
+
+@query("fx_files", """ SELECT cache_dir, etag, count(*) AS members, min(hex_value) AS first_hex, max(hex_value) AS last_hex, CAST(sum(size) AS BIGINT) AS bytes, arg_min('u' || name, hex_value) AS first_url FROM fx_files WHERE etag IS NOT NULL GROUP BY ALL HAVING count(*) > 1""")
 def a3_affinity_by_etag(files):
-    return group.affinity_by_etag(files)
+    return group.affinity_by_etag(files.withColumn("url", F.concat(F.lit("u"), F.col("name"))))
 
 
 @query("fx_files", _AFFINITY + """ SELECT cache_dir, range_total, count(*) AS members, min(hex_value) AS first_hex, max(hex_value) AS last_hex, CAST(sum(size) AS BIGINT) AS bytes FROM a WHERE range_total IS NOT NULL GROUP BY ALL HAVING count(*) > 1""")
@@ -277,6 +283,11 @@ def p15_recovery_plan(files):
     return report.recovery_plan(res, convert_webm=True).select("cache_dir", "ord", "action", "subfolder", "safe_name", "extension", "convert_to", "out_path", "collides")
 
 
+@query("fx_files", _RES + f""" SELECT cache_dir, ord, CASE WHEN resource_type = 'unknown_data' THEN 'none' WHEN resource_type IN ({', '.join(repr(t) for t in group.HEADER_TYPES)}) AND n_files > 1 THEN 'concat' ELSE 'copy' END AS action FROM r""")
+def p15_recovery_plan_of_groups(files):
+    return report.recovery_plan(_resources(files).withColumn("sparse_stream", F.lit(False)), concat_groups=True).select("cache_dir", "ord", "action")
+
+
 @query(
     "fx_files",
     _RES
@@ -300,6 +311,11 @@ def a11_unidentified_bucket(files):
     return group.unidentified_bucket(files.where("file_type is null"))
 
 
+@query("fx_files", """ SELECT cache_dir, name, size, 'Unidentified chunks (' || CAST(count(*) OVER (PARTITION BY cache_dir) AS VARCHAR) || ')' AS display_name FROM fx_files WHERE file_type IS NULL""")
+def a11_unidentified_files(files):
+    return group.unidentified_files(files.where("file_type is null")).select("cache_dir", "name", "size", "display_name")
+
+
 @query(
     "fx_files",
     _RES
@@ -328,10 +344,10 @@ def w1_dedupe_mp4_headers(bodies):
     return group.dedupe_mp4_headers(rows).select(F.col("hex_value").alias("doc_id"), "file_type", "demoted")
 
 
-@query("fx_files", """, c AS (SELECT cache_dir, hex_value // 100 * 100 - 3 AS header_hex, hex_value, CASE WHEN hex_value % 7 = 0 THEN hex_value - 2 END AS tail_hex FROM fx_files), p AS (SELECT *, coalesce(lag(hex_value) OVER (PARTITION BY cache_dir, header_hex ORDER BY hex_value), header_hex) AS prev FROM c) SELECT cache_dir, header_hex, hex_value, greatest(hex_value - prev - 1 - CASE WHEN tail_hex > prev AND tail_hex < hex_value THEN 1 ELSE 0 END, 0) AS gap FROM p""")
+@query("fx_files", """, c AS (SELECT cache_dir, hex_value // 100 * 100 - 3 AS header_hex, hex_value, CASE WHEN hex_value % 7 = 0 THEN hex_value - 2 END AS tail_hex FROM fx_files), p AS (SELECT *, coalesce(lag(hex_value) OVER (PARTITION BY cache_dir, header_hex ORDER BY hex_value), header_hex) AS prev FROM c) SELECT cache_dir, header_hex, hex_value, greatest(hex_value - prev - 1 - CASE WHEN tail_hex > prev AND tail_hex < hex_value THEN 1 ELSE 0 END, 0) AS gap, gap * 4096 AS zero_bytes FROM p""")
 def w2_chunk_gaps(files):
-    rows = files.select("cache_dir", (F.floor(F.col("hex_value") / 100) * 100 - 3).alias("header_hex"), "hex_value", F.when(F.col("hex_value") % 7 == 0, F.col("hex_value") - 2).alias("tail_hex"))
-    return group.chunk_gaps(rows).select("cache_dir", "header_hex", "hex_value", "gap")
+    rows = files.select("cache_dir", (F.floor(F.col("hex_value") / 100) * 100 - 3).alias("header_hex"), "hex_value", F.when(F.col("hex_value") % 7 == 0, F.col("hex_value") - 2).alias("tail_hex"), F.lit(4096).cast("bigint").alias("modal_size"))
+    return group.chunk_gaps(rows).select("cache_dir", "header_hex", "hex_value", "gap", "zero_bytes")
 
 
 _PLAN = """, o AS (SELECT *, lead(range_offset) OVER w AS nxt, coalesce(max(range_offset + range_length) OVER (PARTITION BY resource_id ORDER BY range_offset, range_length, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach, row_number() OVER w AS rank, range_offset + range_length AS e FROM (SELECT * FROM fx_ranges WHERE range_length > 0) WINDOW w AS (PARTITION BY resource_id ORDER BY range_offset, range_length, seq)),
@@ -356,6 +372,58 @@ def w5_pick_tail(ranges):
     return layout.pick_tail(ranges.select("resource_id", F.col("seq").alias("ord"), F.col("range_length").alias("size"), F.lit(524288).alias("modal_size"), (F.col("seq") % 5 == 0).alias("has_moov")))
 
 
+_CHUNKS = """, c AS (SELECT resource_id, row_number() OVER (PARTITION BY resource_id ORDER BY range_offset, seq, range_length) AS ord, range_length AS size, 524288 AS modal_size, seq % 5 = 0 AS has_moov, seq % 3 = 0 AS standalone FROM fx_ranges),
+t AS (SELECT *, arg_min(ord, (CASE WHEN size >= modal_size THEN 1 ELSE 0 END, ord)) FILTER (has_moov) OVER (PARTITION BY resource_id) AS tail_ord FROM c)"""
+
+
+@query("fx_ranges", _CHUNKS + """ SELECT resource_id, ord, CASE WHEN ord = tail_ord THEN 'tail' WHEN has_moov AND size <> modal_size THEN 'duplicate' WHEN standalone AND size < modal_size THEN 'foreign' ELSE 'middle' END AS role FROM t""")
+def w5_chunk_roles(ranges):
+    order = Window.partitionBy("resource_id").orderBy("range_offset", "seq", "range_length")
+    chunks = ranges.select("resource_id", F.row_number().over(order).cast("bigint").alias("ord"), F.col("range_length").alias("size"), F.lit(524288).alias("modal_size"), (F.col("seq") % 5 == 0).alias("has_moov"), (F.col("seq") % 3 == 0).alias("standalone"))
+    return layout.chunk_roles(chunks).select("resource_id", "ord", "role")
+
+
+# pieces of chunked videos: the first line of an order is its header, the others are chunks
+_PIECES = """, p AS (SELECT resource_id, row_number() OVER (PARTITION BY resource_id ORDER BY range_offset, seq, range_length) - 1 AS ord, range_offset // 1048576 AS place, range_length AS n, seq FROM fx_ranges),
+pieces AS (SELECT resource_id, ord, CASE WHEN seq % 11 <> 0 THEN place * 2 + seq % 2 END AS hex_value, CASE WHEN ord > 0 AND seq % 3 <> 0 THEN 700000 ELSE n END AS size, CASE WHEN seq % 13 <> 0 THEN 24 END AS mdat_offset, n * (seq % 9) + 16 AS mdat_size, CASE WHEN seq % 2 = 0 THEN 16 ELSE 8 END AS mdat_head, CASE WHEN ord > 0 AND seq % 4 = 0 THEN n // 2 END AS moov_offset, seq % 7 = 0 AS standalone FROM p)"""
+_CHUNK_PLAN = _PIECES + """, h AS (SELECT * FROM pieces WHERE ord = 0), cnt AS (SELECT resource_id, size, count(*) AS k FROM pieces WHERE ord > 0 GROUP BY ALL), m AS (SELECT resource_id, arg_max(size, (k, size)) AS modal FROM cnt GROUP BY ALL),
+t AS (SELECT c.*, modal, arg_min(ord, (CASE WHEN size >= modal THEN 1 ELSE 0 END, ord)) FILTER (moov_offset IS NOT NULL) OVER (PARTITION BY resource_id) AS tail_ord FROM pieces c JOIN m USING (resource_id) WHERE ord > 0),
+r AS (SELECT *, CASE WHEN ord = tail_ord THEN 'tail' WHEN moov_offset IS NOT NULL AND size <> modal THEN 'duplicate' WHEN standalone AND size < modal THEN 'foreign' ELSE 'middle' END AS role FROM t),
+l AS (SELECT resource_id, ord, size, moov_offset, 0 AS phase, NULL AS hex_value FROM h WHERE mdat_offset IS NOT NULL UNION ALL SELECT r.resource_id, r.ord, r.size, r.moov_offset, CASE role WHEN 'tail' THEN 2 ELSE 1 END, r.hex_value FROM r JOIN h USING (resource_id) WHERE h.mdat_offset IS NOT NULL AND (role = 'tail' OR role = 'middle' AND NOT (r.standalone AND r.size <> modal))),
+o AS (SELECT *, coalesce(sum(size) OVER w, 0) AS pos, sum(size) OVER (PARTITION BY resource_id) AS whole, row_number() OVER (PARTITION BY resource_id ORDER BY phase, hex_value NULLS LAST, ord) AS seq FROM l WINDOW w AS (PARTITION BY resource_id ORDER BY phase, hex_value NULLS LAST, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT resource_id FROM o GROUP BY resource_id HAVING max(pos + moov_offset) > any_value(whole) // 2),
+mid AS (SELECT r.resource_id, r.ord, r.size, r.hex_value, modal, coalesce(last_value(r.hex_value IGNORE NULLS) OVER w, h.hex_value) AS prev, (SELECT x.hex_value FROM r x WHERE x.resource_id = r.resource_id AND x.role = 'tail') AS t_hex, row_number() OVER (PARTITION BY r.resource_id ORDER BY r.hex_value NULLS LAST, r.ord) AS nth FROM r JOIN h USING (resource_id) JOIN s USING (resource_id) WHERE role = 'middle' WINDOW w AS (PARTITION BY r.resource_id ORDER BY r.hex_value NULLS LAST, r.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+seg AS (SELECT resource_id, 0 AS ph, 0 AS nth, 0 AS sub, 'prefix' AS kind, ord AS source, 0 AS src_offset, 24 AS length FROM h JOIN s USING (resource_id)
+UNION ALL SELECT resource_id, 1, 0, 0, 'mdat head', NULL, NULL, mdat_head FROM h JOIN s USING (resource_id)
+UNION ALL SELECT resource_id, 2, 0, 0, 'media', ord, 24 + mdat_head, size - 24 - mdat_head FROM h JOIN s USING (resource_id)
+UNION ALL SELECT resource_id, 3, nth, 0, 'zero', NULL, NULL, coalesce(greatest(greatest(hex_value - prev - 1, 0) - CASE WHEN t_hex > prev AND t_hex < hex_value THEN 1 ELSE 0 END, 0), 0) * modal FROM mid
+UNION ALL SELECT resource_id, 3, nth, 1, 'data', ord, 0, size FROM mid
+UNION ALL SELECT resource_id, 4, 0, 0, 'tail', ord, 0, moov_offset FROM r JOIN s USING (resource_id) WHERE role = 'tail'),
+pl AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY resource_id ORDER BY ph, nth, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS out_offset FROM seg WHERE length > 0),
+e AS (SELECT resource_id, sum(length) AS ending, any_value(h.mdat_size) AS declared FROM pl JOIN h USING (resource_id) GROUP BY resource_id),
+f AS (SELECT *, CASE WHEN ending - 24 > 2 * declared THEN ending - 24 ELSE declared END AS final FROM e),
+cut AS (SELECT pl.resource_id, ph, nth, sub, kind, source, src_offset, CASE WHEN ph < 2 THEN length ELSE least(length, 24 + final - out_offset) END AS length, out_offset FROM pl JOIN f USING (resource_id)
+UNION ALL SELECT resource_id, 5, 0, 0, 'zero', NULL, NULL, 24 + declared - ending, ending FROM f WHERE 24 + declared > ending
+UNION ALL SELECT f.resource_id, 6, 0, 0, 'moov', r.ord, moov_offset, 600, 24 + final FROM f JOIN r USING (resource_id) WHERE role = 'tail'),
+plan AS (SELECT resource_id, row_number() OVER (PARTITION BY resource_id ORDER BY ph, nth, sub) AS seq, kind, source, src_offset, length, out_offset, NULL AS error FROM cut WHERE length > 0
+UNION ALL SELECT resource_id, seq, 'data', ord, 0, size, pos, NULL FROM o WHERE size > 0 AND resource_id NOT IN (SELECT resource_id FROM s)
+UNION ALL SELECT resource_id, 0, NULL, NULL, NULL, NULL, NULL, 'no mdat box' FROM h WHERE mdat_offset IS NULL)"""
+
+
+@query("fx_ranges", _CHUNK_PLAN + """ SELECT resource_id, seq, kind, CAST(source AS BIGINT) AS source, CAST(src_offset AS BIGINT) AS src_offset, CAST(length AS BIGINT) AS length, CAST(out_offset AS BIGINT) AS out_offset, CAST(error AS VARCHAR) AS error FROM plan""")
+def w3_segment_plan_chunks(ranges):
+    order = Window.partitionBy("resource_id").orderBy("range_offset", "seq", "range_length")
+    p = ranges.withColumn("ord", F.row_number().over(order).cast("bigint") - 1)
+    n, seq, later = F.col("range_length"), F.col("seq"), F.col("ord") > 0
+    none = F.lit(None).cast("bigint")
+    pieces = p.select(
+        "resource_id", "ord", (~later).alias("is_header"), F.when(seq % 11 != 0, F.floor(F.col("range_offset") / 1048576) * 2 + seq % 2).alias("hex_value"), F.when(later & (seq % 3 != 0), F.lit(700000)).otherwise(n).cast("bigint").alias("size"),
+        F.lit(0).cast("bigint").alias("ftyp_offset"), F.lit(24).cast("bigint").alias("ftyp_size"), F.when(seq % 13 != 0, F.lit(24)).cast("bigint").alias("mdat_offset"), (n * (seq % 9) + 16).alias("mdat_size"), F.when(seq % 2 == 0, 16).otherwise(8).cast("bigint").alias("mdat_head"),
+        F.when(later & (seq % 4 == 0), F.floor(n / 2)).alias("moov_offset"), F.lit(600).cast("bigint").alias("moov_size"), none.alias("cut_offset"), none.alias("cut_size"), (seq % 7 == 0).alias("standalone"),
+    )
+    return layout.segment_plan_chunks(pieces).drop("literal")
+
+
 @query("fx_boxes", """, n AS (SELECT *, sum(CASE WHEN box_type = 'moov' THEN 1 ELSE 0 END) OVER w AS nth, CAST(sum(CASE WHEN box_type = 'moov' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id) AS BIGINT) AS moov_found FROM fx_boxes WINDOW w AS (PARTITION BY file_id ORDER BY box_offset, tie, box_size, box_type ROWS UNBOUNDED PRECEDING)),
 k AS (SELECT * FROM n WHERE box_type <> 'moov' OR nth = 1) SELECT file_id, box_offset, tie, box_size, box_type, moov_found, CAST(coalesce(sum(box_size) OVER (PARTITION BY file_id ORDER BY box_offset, tie, box_size, box_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS new_offset FROM k""")
 def w7_strip_duplicate_moov(boxes):
@@ -388,28 +456,36 @@ def grouped_chunks(files):
     return group.grouped_chunks(files)
 
 
-@query("fx_files", """, r AS (SELECT cache_dir, hex_value AS ord, CASE WHEN hex_value % 4 = 0 THEN etag END AS index_url, name AS header_file, ['f_' || printf('%06x', hex_value + 1), 'f_' || printf('%06x', hex_value + 2)] AS names FROM fx_files WHERE file_type = 'mp3'),
-m AS (SELECT cache_dir, name, content_range AS url FROM fx_files WHERE content_range IS NOT NULL), e AS (SELECT cache_dir, ord, unnest(list_concat([header_file], names)) AS name, unnest([0, 1, 2]) AS pos FROM r WHERE index_url IS NULL),
-h AS (SELECT e.cache_dir, ord, arg_min(url, pos) AS url FROM e JOIN m USING (cache_dir, name) GROUP BY ALL) SELECT r.cache_dir, r.ord, coalesce(index_url, url) AS index_url FROM r LEFT JOIN h ON r.cache_dir = h.cache_dir AND r.ord = h.ord""")
-def j10_attach_index_metadata(files):
+@query("fx_files fx_media_urls", """, r AS (SELECT cache_dir, hex_value AS ord, CASE WHEN hex_value % 4 = 0 THEN etag END AS index_url, CASE hex_value % 3 WHEN 0 THEN 'Video ' || CAST(hex_value AS VARCHAR) WHEN 1 THEN 'my clip' ELSE '' END AS display_name, name AS header_file, ['f_' || printf('%06x', hex_value + 1), 'f_' || printf('%06x', hex_value + 2)] AS names FROM fx_files),
+m AS (SELECT cache_dir, name, url, content_type, size AS content_length, hex_value % 2 = 0 AS is_sparse, CASE WHEN hex_value % 10 = 0 THEN 'o' || CAST(hex_value AS VARCHAR) ELSE '' END AS original_filename, 'my clip ' || CAST(hex_value AS VARCHAR) || '.mp4' AS base FROM fx_files JOIN fx_media_urls ON event_id = hex_value WHERE content_range IS NOT NULL),
+e AS (SELECT cache_dir, ord, unnest(list_concat([header_file], names)) AS name, unnest([0, 1, 2]) AS pos FROM r WHERE index_url IS NULL),
+h AS (SELECT e.cache_dir, ord, arg_min({'url': url, 'type': content_type, 'length': content_length, 'sparse': is_sparse, 'original': original_filename, 'base': base}, pos) AS x FROM e JOIN m USING (cache_dir, name) GROUP BY ALL)
+SELECT r.cache_dir, r.ord, coalesce(index_url, x.url) AS index_url, x.type AS index_content_type, x.length AS index_content_length, x.sparse AS index_is_sparse, x.original AS index_original_filename,
+CASE WHEN x IS NOT NULL AND (display_name = '' OR starts_with(display_name, 'Video ')) THEN CASE WHEN x.original <> '' THEN x.original ELSE x.base END ELSE display_name END AS display_name FROM r LEFT JOIN h ON r.cache_dir = h.cache_dir AND r.ord = h.ord""")
+def j10_attach_index_metadata(files, urls):
     n = F.col("hex_value")
     names = F.array(F.format_string("f_%06x", n + 1), F.format_string("f_%06x", n + 2))
-    res = files.where("file_type = 'mp3'").select("cache_dir", n.alias("ord"), F.when(n % 4 == 0, F.col("etag")).alias("index_url"), F.col("name").alias("header_file"), names.alias("file_names"))
-    return group.attach_index_metadata(res, files.where("content_range is not null").select("cache_dir", "name", F.col("content_range").alias("url"))).select("cache_dir", "ord", "index_url")
+    shown = F.when(n % 3 == 0, F.concat(F.lit("Video "), n.cast("string"))).when(n % 3 == 1, "my clip").otherwise("")
+    res = files.select("cache_dir", n.alias("ord"), F.when(n % 4 == 0, F.col("etag")).alias("index_url"), shown.alias("display_name"), F.col("name").alias("header_file"), names.alias("file_names"))
+    known = files.where("content_range is not null").join(urls, F.col("event_id") == n)
+    facts = known.select("cache_dir", "name", "url", "content_type", F.col("size").alias("content_length"), (n % 2 == 0).alias("is_sparse"), F.when(n % 10 == 0, F.concat(F.lit("o"), n.cast("string"))).otherwise("").alias("original_filename"))
+    return group.attach_index_metadata(res, facts).drop("header_file", "file_names")
 
 
-@query("fx_files", """, r AS (SELECT cache_dir, hex_value AS ord, name AS header_file, unnest([0, 1]) AS pos, unnest([name, CASE WHEN hex_value % 9 = 0 THEN 'x' ELSE 'f_' || printf('%06x', hex_value + 7) END]) AS name, hex_value FROM fx_files WHERE file_type = 'mp3')
-SELECT cache_dir, ord, CAST(pos AS BIGINT) AS pos, name, CASE WHEN name = 'x' THEN 0 ELSE hex_value + 7 * pos END AS hex_value, CASE WHEN name <> 'x' THEN CAST(7 * pos AS BIGINT) END AS hex_distance FROM r""")
+@query("fx_files", _AFFINITY + """, r AS (SELECT cache_dir, hex_value AS ord, etag, range_total, name AS header_file, unnest([0, 1]) AS pos, unnest([name, CASE WHEN hex_value % 9 = 0 THEN 'x' ELSE 'f_' || printf('%06x', hex_value + 7) END]) AS name, hex_value FROM a)
+SELECT cache_dir, ord, CAST(pos AS BIGINT) AS pos, name, header_file, CASE WHEN ord % 2 = 0 THEN 'index' ELSE 'etag' END AS method, etag, range_total, CASE WHEN name = 'x' THEN 0 ELSE hex_value + 7 * pos END AS hex_value, CASE WHEN name <> 'x' THEN CAST(7 * pos AS BIGINT) END AS hex_distance FROM r""")
 def w9_chunk_associations(files):
     n = F.col("hex_value")
     names = F.array("name", F.when(n % 9 == 0, "x").otherwise(F.format_string("f_%06x", n + 7)))
-    res = files.where("file_type = 'mp3'").select("cache_dir", n.alias("ord"), F.col("name").alias("header_file"), F.lit("index").alias("method"), names.alias("file_names"))
-    return group.chunk_associations(res).select("cache_dir", "ord", F.col("pos").cast("bigint").alias("pos"), "name", "hex_value", "hex_distance")
+    res = group.with_affinity(files).select("cache_dir", n.alias("ord"), "etag", "range_total", F.col("name").alias("header_file"), F.when(n % 2 == 0, "index").otherwise("etag").alias("method"), names.alias("file_names"))
+    return group.chunk_associations(res).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("fx_files", _RES + """, f AS (SELECT cache_dir, count(*) AS total_files, count(*) AS blockfile_files, CAST(0 AS BIGINT) AS simple_files FROM fx_files GROUP BY cache_dir) SELECT f.*, count(r.ord) AS resources, count(*) FILTER (index_url IS NOT NULL OR index_content_type IS NOT NULL) AS with_metadata FROM f LEFT JOIN r USING (cache_dir) GROUP BY ALL""")
-def a6_scan_stats(files):
-    return group.scan_stats(files, _resources(files))
+@query("fx_files fx_entries", _RES + """, f AS (SELECT cache_dir, count(*) AS total_files, count(*) AS blockfile_files, CAST(0 AS BIGINT) AS simple_files, count(*) FILTER (file_type IS NULL AND hex_value % 7 <> 0) AS unclaimed, count(*) FILTER (etag IS NOT NULL AND file_type IS NULL) AS heuristic_grouped, count(*) FILTER (content_range IS NOT NULL) AS index_claimed FROM fx_files GROUP BY cache_dir),
+e AS (SELECT cache_dir, count(*) AS index_entries FROM fx_entries GROUP BY cache_dir)
+SELECT f.*, coalesce(index_entries, 0) AS index_entries, count(r.ord) AS resources, count(*) FILTER (index_url IS NOT NULL OR index_content_type IS NOT NULL) AS with_metadata FROM f LEFT JOIN e USING (cache_dir) LEFT JOIN r ON r.cache_dir = f.cache_dir GROUP BY ALL""")
+def a6_scan_stats(files, entries):
+    return group.scan_stats(files, _resources(files), entries, files.where("content_range is not null"), files.where("etag is not null and file_type is null"), files.where("file_type is null and hex_value % 7 <> 0"))
 
 
 @query("fx_entries fx_children", """ SELECT url, CASE WHEN creation_time_us % 5 <> 0 THEN creation_time_us WHEN creation_time_us % 3 = 0 THEN 0 ELSE 9 END AS modified_at FROM fx_entries""")

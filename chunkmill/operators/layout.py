@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,121 @@ def pick_tail(chunks: DataFrame, key: str = "resource_id") -> DataFrame:
     first of any size that holds one. Needs ``ord``, ``size``, ``modal_size``, ``has_moov``."""
     hit = chunks.where("has_moov").withColumn("_p", F.struct((F.col("size") >= F.col("modal_size")).cast("int"), F.col("ord")))
     return hit.groupBy(key).agg(F.min_by("ord", "_p").alias("tail_ord"))
+
+
+def chunk_roles(chunks: DataFrame, key: str = "resource_id") -> DataFrame:
+    """Adds ``tail_ord`` and ``role`` of each chunk: ``tail``; ``duplicate``, another one with a valid moov
+    that has not the modal size; ``foreign``, one below the modal size that looks like a whole file of
+    another kind; else ``middle``. ``plain``: whether a plain concatenation has it, which also leaves out
+    foreign ones above the modal size. Needs ``standalone`` besides the columns of ``pick_tail``."""
+    known = chunks.join(pick_tail(chunks, key), key, "left")
+    odd, moov = F.col("size") != F.col("modal_size"), F.coalesce("has_moov", F.lit(False))
+    role = F.when(F.col("ord") == F.col("tail_ord"), "tail").when(odd & moov, "duplicate").when((F.col("size") < F.col("modal_size")) & F.col("standalone"), "foreign").otherwise("middle")
+    return known.withColumn("role", role).withColumn("plain", (F.col("role") == "tail") | (F.col("role") == "middle") & ~(odd & F.col("standalone")))
+
+
+def _be(number: Column, size: int) -> Column:
+    """A non-negative integer, most significant byte first."""
+    return F.unhex(F.lpad(F.hex(number), 2 * size, "0"))
+
+
+def _mdat_head(size: Column, head: Column) -> Column:
+    """Box head of ``head`` bytes (8 or 16); a size that does not fit 32 bits is capped in the short one."""
+    return F.when(head == 16, F.concat(F.lit((1).to_bytes(4, "big") + b"mdat"), _be(size, 8))).otherwise(F.concat(_be(F.least(size, F.lit((1 << 32) - 1)), 4), F.lit(b"mdat")))
+
+
+_SEGMENT = ["kind", "source", "src_offset", "length", "out_offset", "literal"]
+
+
+def _segment(kind: str, source, src_offset, length, literal=None) -> list[Column]:
+    none = F.lit(None)
+    long = lambda c: (none if c is None else c).cast("bigint")
+    return [F.lit(kind).alias("kind"), long(source).alias("source"), long(src_offset).alias("src_offset"), length.cast("bigint").alias("length"), (none if literal is None else literal).cast("binary").alias("literal")]
+
+
+def segment_plan_chunks(pieces: DataFrame, key: str = "resource_id") -> DataFrame:
+    """Segments of each chunked MP4, before any byte is touched: ``key``, ``seq``, ``kind``, ``source`` (``ord`` of a piece),
+    ``src_offset``, ``length``, ``out_offset``, ``literal``, ``error``.
+
+    ``pieces``: ``key``, ``ord``, ``is_header`` (one a key), ``hex_value`` (null where the name has none) and the columns of
+    ``bodies.piece_facts``. The chunks that stay (``chunk_roles``) follow the header by position, those without
+    one last, then the tail. Where the last valid moov of that concatenation begins behind its middle, the
+    header is taken apart: what lies before its mdat, a new mdat head, its media, each chunk after zeros
+    for the positions missing before it, and the tail's bytes before its moov; then mdat is padded with
+    zeros to the size it declared, or kept longer if that is more than twice as large, or else cut; the
+    tail's moov ends the file. Otherwise the concatenation is the plan. A header without ftyp or mdat
+    gives one row with ``error``. A moov that runs over the end of a piece counts if its mvhd is in the piece.
+    """
+    chunks = pieces.where(~F.col("is_header"))
+    stats = chunk_size_stats(chunks, key, "size").select(key, "modal_size")
+    roles = chunk_roles(chunks.join(stats, key).withColumn("has_moov", F.col("moov_offset").isNotNull()), key)
+    header = pieces.where("is_header")
+    able = F.col("ftyp_offset").isNotNull() & F.col("mdat_offset").isNotNull()
+    failed = header.where(~able).select(key, F.lit(0).cast("bigint").alias("seq"), *(F.lit(None).cast("bigint" if c not in ("kind", "literal") else "string" if c == "kind" else "binary").alias(c) for c in _SEGMENT), F.when(F.col("ftyp_offset").isNull(), "no ftyp box").otherwise("no mdat box").alias("error"))
+
+    # the concatenation: header, middle chunks, tail
+    place = F.struct((F.col("role") == "tail").cast("int").alias("last"), F.col("hex_value").isNull().alias("unnamed"), F.col("hex_value"), F.col("ord"))
+    lead = header.where(able).select(key, "ord", "size", "moov_offset", "cut_offset", "cut_size", F.lit(0).alias("phase"), F.struct(F.lit(0).alias("last"), F.lit(False).alias("unnamed"), F.lit(None).cast("bigint").alias("hex_value"), "ord").alias("place"))
+    rest = roles.where("plain").join(lead.select(key), key, "left_semi").select(key, "ord", "size", "moov_offset", "cut_offset", "cut_size", F.lit(1).alias("phase"), place.alias("place"))
+    order = Window.partitionBy(key).orderBy("phase", "place")
+    line = lead.unionByName(rest).withColumns({"at": F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("size").over(Window.partitionBy(key)), "seq": F.row_number().over(order).cast("bigint")})
+    over = F.when(F.col("at") + F.col("cut_offset") + F.col("cut_size") <= F.col("all"), F.col("at") + F.col("cut_offset"))
+    moov = line.groupBy(key).agg(F.max(F.greatest(F.col("at") + F.col("moov_offset"), over)).alias("moov"), F.first("all").alias("all"))
+    streamed = moov.where(F.col("moov") > F.floor(F.col("all") / 2)).select(key)
+    plain = line.join(streamed, key, "left_anti").where("size > 0").select(key, "seq", F.lit("data").alias("kind"), F.col("ord").alias("source"), F.lit(0).cast("bigint").alias("src_offset"), F.col("size").alias("length"), F.col("at").alias("out_offset"), F.lit(None).cast("binary").alias("literal"), F.lit(None).cast("string").alias("error"))
+
+    # the header taken apart; ``rank`` orders segments
+    tail = roles.where("role = 'tail'").select(key, F.col("ord").alias("t_ord"), F.col("hex_value").alias("t_hex"), F.col("moov_offset").alias("t_moov"), F.col("moov_size").alias("t_moov_size"))
+    facts = header.join(streamed, key, "left_semi").join(stats, key, "left").join(tail, key, "left")
+    facts = facts.select(key, F.col("ord").alias("h_ord"), F.col("size").alias("h_size"), F.col("hex_value").alias("h_hex"), "ftyp_offset", "ftyp_size", "mdat_offset", "mdat_size", "mdat_head", "modal_size", "t_ord", "t_hex", "t_moov", "t_moov_size")
+    facts = facts.withColumn("prefix", F.greatest(F.col("mdat_offset") - F.col("ftyp_offset"), F.col("ftyp_size")))
+    rank = lambda phase, at=None, sub=0: F.struct(F.lit(phase).alias("phase"), (F.lit(0) if at is None else at).cast("bigint").alias("at"), F.lit(sub).alias("sub")).alias("rank")
+    media = F.col("mdat_offset") + F.col("mdat_head")
+    own = [facts.select(key, rank(0), *_segment("prefix", F.col("h_ord"), F.col("ftyp_offset"), F.col("prefix"))), facts.select(key, rank(1), *_segment("mdat head", None, None, F.col("mdat_head"))), facts.select(key, rank(2), *_segment("media", F.col("h_ord"), media, F.col("h_size") - media))]
+    own.append(facts.where("t_ord is not null").select(key, rank(4), *_segment("tail", F.col("t_ord"), F.lit(0), F.col("t_moov"))))
+    by_place = Window.partitionBy(key).orderBy("place")
+    middle = roles.where("role = 'middle'").withColumn("place", place).join(facts.select(key, "h_hex", "t_hex"), key)
+    before = F.coalesce(F.last("hex_value", ignorenulls=True).over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.col("h_hex"))
+    middle = middle.withColumns({"before": before, "nth": F.row_number().over(by_place)})
+    missing = F.greatest(F.col("hex_value") - F.col("before") - 1, F.lit(0))
+    missing = F.coalesce(F.greatest(missing - F.coalesce((F.col("t_hex") > F.col("before")) & (F.col("t_hex") < F.col("hex_value")), F.lit(False)).cast("int"), F.lit(0)), F.lit(0))
+    own += [middle.select(key, rank(3, F.col("nth"), 0), *_segment("zero", None, None, missing * F.col("modal_size"))), middle.select(key, rank(3, F.col("nth"), 1), *_segment("data", F.col("ord"), F.lit(0), F.col("size")))]
+    body = own[0]
+    for other in own[1:]:
+        body = body.unionByName(other)
+    ranked = Window.partitionBy(key).orderBy("rank")
+    body = body.where("length > 0").withColumn("out_offset", F.coalesce(F.sum("length").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ends = body.groupBy(key).agg(F.sum("length").alias("end")).join(facts, key)
+    target, actual = F.col("prefix") + F.col("mdat_size"), F.col("end") - F.col("prefix")
+    ends = ends.withColumn("final", F.when(actual > F.col("mdat_size") * 2, actual).otherwise(F.col("mdat_size"))).withColumn("stop", F.col("prefix") + F.col("final"))
+    body = body.join(ends.select(key, "final", "stop", "mdat_head"), key)
+    fits = F.when(F.col("rank.phase") < 2, F.col("length")).otherwise(F.least("length", F.col("stop") - F.col("out_offset")))
+    body = body.withColumns({"length": fits, "literal": F.when(F.col("kind") == "mdat head", _mdat_head(F.col("final"), F.col("mdat_head")))}).where("length > 0").select(key, "rank", *_SEGMENT)
+    pad = ends.where(target > F.col("end")).select(key, rank(5), *_segment("zero", None, None, target - F.col("end")), F.col("end").alias("out_offset"))
+    moov = ends.where("t_moov is not null").select(key, rank(6), *_segment("moov", F.col("t_ord"), F.col("t_moov"), F.col("t_moov_size")), F.col("stop").alias("out_offset"))
+    apart = body.unionByName(pad).unionByName(moov).withColumn("seq", F.row_number().over(ranked).cast("bigint")).select(key, "seq", *_SEGMENT, F.lit(None).cast("string").alias("error"))
+    return plain.unionByName(apart).unionByName(failed)
+
+
+def segment_plan_index(raw: DataFrame, key: str = "resource_id") -> DataFrame:
+    """Segments of a body that was laid out by an index's offsets, piece 0, from its ``bodies.piece_facts``: columns as of
+    ``segment_plan_chunks`` but ``error``. With ftyp and mdat: what lies before mdat, an mdat head with the size that is there
+    (not the declared one; 64 bits, eight bytes more, where 32 do not hold it), the media up to a moov behind it, and that
+    moov. Otherwise the body as it is."""
+    behind = F.coalesce(F.col("moov_offset") > F.col("mdat_offset"), F.lit(False))
+    media = F.col("mdat_offset") + F.col("mdat_head")
+    facts = raw.withColumns({"prefix": F.greatest(F.col("mdat_offset") - F.col("ftyp_offset"), F.col("ftyp_size")), "behind": behind, "media": F.greatest(F.when(behind, F.col("moov_offset")).otherwise(F.col("size")) - media, F.lit(0))})
+    whole = facts.where("ftyp_offset is null or mdat_offset is null").where("size > 0").select(key, F.lit(0).alias("rank"), *_segment("data", F.lit(0), F.lit(0), F.col("size")))
+    facts = facts.where("ftyp_offset is not null and mdat_offset is not null")
+    actual = F.col("mdat_head") + F.col("media")
+    head = F.when(actual > (1 << 32) - 1, 16).otherwise(F.col("mdat_head"))
+    parts = [whole, facts.select(key, F.lit(0).alias("rank"), *_segment("prefix", F.lit(0), F.col("ftyp_offset"), F.col("prefix")))]
+    parts.append(facts.select(key, F.lit(1).alias("rank"), *_segment("mdat head", None, None, head, _mdat_head(F.col("media") + head, head))))
+    parts.append(facts.select(key, F.lit(2).alias("rank"), *_segment("media", F.lit(0), media, F.col("media"))))
+    parts.append(facts.where("behind").select(key, F.lit(3).alias("rank"), *_segment("moov", F.lit(0), F.col("moov_offset"), F.col("moov_size"))))
+    plan = parts[0]
+    for other in parts[1:]:
+        plan = plan.unionByName(other)
+    order = Window.partitionBy(key).orderBy("rank")
+    plan = plan.where("length > 0").withColumn("out_offset", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return plan.select(key, F.row_number().over(order).cast("bigint").alias("seq"), *_SEGMENT)

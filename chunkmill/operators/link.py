@@ -18,23 +18,24 @@ def with_child_keys(children: DataFrame) -> DataFrame:
 
 
 def first_parents(entries: DataFrame) -> DataFrame:
-    """The sparse entries that get the children of their URL: the first one of each URL, by ``ord``
-    where there is one."""
-    order = [F.col("ord")] if "ord" in entries.columns else [F.col(c) for c in sorted(entries.columns)]
-    first = Window.partitionBy(CACHE, "url").orderBy(*order)
+    """The sparse entries that get the children of their URL: the first one of each URL by ``ord``."""
+    first = Window.partitionBy(CACHE, "url").orderBy("ord")
     return entries.where("is_sparse").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
 def link_sparse_children(entries: DataFrame, children: DataFrame) -> DataFrame:
     """Children of each sparse parent, in order of their id: one row a parent with ``n_children``,
-    ``body_size`` (sum of the children) and ``children``, an array of (child_id, offset_bytes,
-    size, file_name). Parents without children have an empty array."""
+    ``body_size`` (its own, or the sum of the children where that is 0) and ``children``, an array of
+    (child_id, offset_bytes, size, file_name). Parents without children have an empty array.
+    Needs ``ord`` of the entries; without a ``body_size`` theirs is 0."""
     kids = with_child_keys(children).where("reject_reason is null")
     part = F.struct("child_id", "file_name", "size", "is_external")
-    grouped = kids.groupBy(CACHE, F.col("parent_url").alias("url")).agg(F.sort_array(F.collect_list(part)).alias("_kids"), F.sum("size").alias("body_size"))
+    grouped = kids.groupBy(CACHE, F.col("parent_url").alias("url")).agg(F.sort_array(F.collect_list(part)).alias("_kids"), F.sum("size").alias("_sum"))
     linked = first_parents(entries).join(grouped, [CACHE, "url"], "left")
     made = F.transform(F.col("_kids"), lambda k: F.struct(k["child_id"].alias("child_id"), (k["child_id"] * CHILD_BYTES).alias("offset_bytes"), k["size"].alias("size"), k["file_name"].alias("file_name"), k["is_external"].alias("is_external")))
-    return linked.withColumns({"children": F.coalesce(made, F.array().cast("array<struct<child_id:bigint,offset_bytes:bigint,size:bigint,file_name:string,is_external:boolean>>")), "body_size": F.coalesce("body_size", F.lit(0))}).withColumn("n_children", F.size("children")).drop("_kids")
+    told = F.col("body_size") if "body_size" in entries.columns else F.lit(0)
+    own = F.when(told == 0, F.coalesce("_sum", F.lit(0))).otherwise(told)
+    return linked.withColumns({"children": F.coalesce(made, F.array().cast("array<struct<child_id:bigint,offset_bytes:bigint,size:bigint,file_name:string,is_external:boolean>>")), "body_size": own}).withColumn("n_children", F.size("children")).drop("_kids", "_sum")
 
 
 def orphan_children(entries: DataFrame, children: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.media import file_extension, media_category
 from ..functions.names import client_name
+from .group import HEADER_TYPES
 
 CACHE = "cache_dir"
 
@@ -65,13 +66,16 @@ def new_or_changed(files: DataFrame, done: DataFrame) -> DataFrame:
     return met.withColumn("reason", reason).where("reason is not null").drop("_s", "_m")
 
 
-def recovery_plan(resources: DataFrame, convert_webm: bool = False, convert_gif: bool = False) -> DataFrame:
+def recovery_plan(resources: DataFrame, convert_webm: bool = False, convert_gif: bool = False, concat_groups: bool = False) -> DataFrame:
     """One row a resource: action, subfolder, sanitised name, extension, output path, conversion,
-    and ``collides`` where two resources would be written to one path."""
+    and ``collides`` where two resources would be written to one path. Of a group of several files only
+    WebM ones are concatenated, of others the first file is copied; ``concat_groups`` concatenates all
+    kinds that a media header can begin."""
     kind = F.col("resource_type")
+    joined = kind.isin(HEADER_TYPES if concat_groups else ["webm_mkv"])
     action = (
         F.when(kind == "unknown_data", "none").when((kind == "mp4_chunked") & F.col("index_is_sparse"), "index_reassemble").when(kind == "mp4_chunked", "chunk_reassemble")
-        .when((kind == "webm_mkv") & (F.col("n_files") > 1), "concat").when(F.col("sparse_stream"), "sparse_copy").otherwise("copy")
+        .when(joined & (F.col("n_files") > 1), "concat").when(F.col("sparse_stream"), "sparse_copy").otherwise("copy")
     )
     folder = F.concat(media_category(kind), F.lit("s"))
     name = F.regexp_replace("display_name", r"[^a-zA-Z0-9_-]", "_")

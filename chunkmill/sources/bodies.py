@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 import struct
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,25 +86,29 @@ def simple_ranges(data: bytes) -> list[tuple[int, int, int]]:
     return [(0, end - begin, begin)] if end > begin else []
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -> list[tuple[int, int, int, str, int]]:
-    """(offset, size, header size, type, depth) of every container box, parents before children."""
-    end, found = len(data) if end is None else end, []
-    while start < end - 7:
-        size, kind, head = struct.unpack_from(">I", data, start)[0], data[start + 4 : start + 8], 8
-        if not _PRINTABLE(kind):
-            break
-        if size == 1:
-            if start + 16 > end:
+def boxes(data: bytes, deep: bool = True) -> list[tuple[int, int, int, str, int]]:
+    """(offset, size, header size, type, depth) of every container box, parents before children; only
+    the top level unless ``deep``. Boxes still to walk are held in a list, so nesting has no limit."""
+    found, todo = [], [(0, len(data), 0)]
+    while todo:
+        start, end, depth = todo.pop()
+        while start < end - 7:
+            size, kind, head = struct.unpack_from(">I", data, start)[0], data[start + 4 : start + 8], 8
+            if not _PRINTABLE(kind):
                 break
-            size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
-        elif size == 0:
-            size = end - start
-        if size < 8:
-            break
-        found.append((start, min(size, (1 << 63) - 1), head, kind.decode(), depth))
-        if kind in CONTAINERS:
-            found += boxes(data, start + head, min(start + size, end), depth + 1)
-        start += size
+            if size == 1:
+                if start + 16 > end:
+                    break
+                size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
+            elif size == 0:
+                size = end - start
+            if size < 8:
+                break
+            found.append((start, size, head, kind.decode(), depth))
+            if deep and kind in CONTAINERS:
+                todo += [(start + size, end, depth), (start + head, min(start + size, end), depth + 1)]
+                break
+            start += size
     return found
 
 
@@ -124,14 +130,14 @@ def moov_hits(data: bytes) -> list[tuple[int, int]]:
 def video_facts(moov: bytes) -> tuple[int, int, str, str, float]:
     """(width, height, video codec, audio codec, seconds) told by an index box; 0 and "" where it does
     not say. Of several tracks of a kind, the last decides."""
-    found = boxes(moov)
+    found = boxes(moov)  # in order of offset
+    places = [b[0] for b in found]
     width = height = 0
     codec = {"vide": "", "soun": ""}
     for at, size, _, _, _ in (b for b in found if b[3] == "trak"):
         first = {}
-        for inside in found:
-            if at < inside[0] < at + size:
-                first.setdefault(inside[3], inside[0])
+        for inside in found[bisect_right(places, at) : bisect_left(places, at + size)]:
+            first.setdefault(inside[3], inside[0])
         if "hdlr" not in first or "stsd" not in first:
             continue
         handler = moov[first["hdlr"] + 16 : first["hdlr"] + 20].decode("latin-1")
@@ -153,20 +159,37 @@ def video_facts(moov: bytes) -> tuple[int, int, str, str, float]:
     return width, height, codec["vide"], codec["soun"], seconds
 
 
+#: Bytes of bodies that a helper holds as Python objects at once (one body at least), and the largest integer of a column.
+_HELD, _MOST = 32 << 20, (1 << 63) - 1
+
+
+def _parts(batches, content: str):
+    """Batches cut by rows so that their bodies hold about _HELD bytes."""
+    for batch in batches:
+        begin, held = 0, 0
+        for i, n in enumerate(pc.binary_length(batch.column(content)).fill_null(0).to_pylist()):
+            if held and held + n > _HELD:
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += n
+        if begin < batch.num_rows:
+            yield batch.slice(begin)
+
+
 def _rows(df: DataFrame, keys: list[str], content: str, helper, schema: str) -> DataFrame:
-    """Each body's helper rows beside its keys."""
+    """Each body's helper rows beside its keys. Numbers beyond 64 bits (in damaged files) become the largest."""
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def work(batches):
-        for batch in batches:
+        for batch in _parts(batches, content):
             at, out = [], []
             for i, body in enumerate(batch.column(content).to_pylist()):
                 for row in helper(body) if body is not None else ():
                     at.append(i)
-                    out.append(row)
+                    out.append([min(v, _MOST) if isinstance(v, int) else v for v in row])
             index = pa.array(at, pa.int64())
-            made = [pa.array([r[j] for r in out], pa.string() if f.endswith("string") else pa.float64() if f.endswith("double") else pa.int64()) for j, f in enumerate(schema.split(", "))]
+            made = [pa.array([r[j] for r in out], pa.string() if f.endswith("string") else pa.float64() if f.endswith("double") else pa.bool_() if f.endswith("boolean") else pa.int64()) for j, f in enumerate(schema.split(", "))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(index) for k in keys), *made], [*keys, *names])
 
     return df.select(*dict.fromkeys([*keys, content])).mapInArrow(work, f"{kinds}, {schema}")
@@ -200,6 +223,34 @@ def video_info(df: DataFrame, keys: list[str], content: str = "content") -> Data
     return _rows(df, keys, content, told, "width bigint, height bigint, video_codec string, audio_codec string, duration double")
 
 
+def _standalone(data: bytes) -> bool:
+    """Whether a chunk begins like a whole file of another kind. Fixed values."""
+    return len(data) >= 8 and (data[:4] == b"\x1a\x45\xdf\xa3" or data[:8] == b"\x89PNG\r\n\x1a\n" or data[:4] in (b"\xff\xd8\xff\xe0", b"\xff\xd8\xff\xe1") or data[:6] in (b"GIF87a", b"GIF89a"))
+
+
+def _facts(data: bytes) -> list[tuple]:
+    top = {}
+    for at, size, head, kind, _ in boxes(data, deep=False):
+        top.setdefault(kind, (at, size, head))
+    ftyp, mdat = top.get("ftyp", (None, None, None)), top.get("mdat", (None, None, None))
+    hits = moov_hits(data)
+    cut = (None, None)
+    for m in re.finditer(b"moov", data[-MOOV_BYTES[1] :]):
+        at = max(len(data) - MOOV_BYTES[1], 0) + m.start() - 4
+        if at >= 0 and MOOV_BYTES[0] <= (size := struct.unpack_from(">I", data, at)[0]) <= MOOV_BYTES[1] and at + size > len(data) and b"mvhd" in data[at:]:
+            cut = (at, size)
+    return [(len(data), *ftyp[:2], *mdat, *(hits[-1] if hits else (None, None)), *cut, _standalone(data))]
+
+
+def piece_facts(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """What layouts need to know of each body, so that bodies need not move: ``size``, its first top-level
+    ftyp (``ftyp_offset``, ``ftyp_size``) and mdat (with ``mdat_head``, bytes of its box head), its last plausible index box
+    (``moov_offset``, ``moov_size``), one that begins in it and runs over its end (``cut_offset``, ``cut_size``), and whether
+    it looks like a whole file of another kind (``standalone``)."""
+    names = "size ftyp_offset ftyp_size mdat_offset mdat_size mdat_head moov_offset moov_size cut_offset cut_size".split()
+    return _rows(df, keys, content, _facts, ", ".join(f"{n} bigint" for n in names) + ", standalone boolean")
+
+
 def file_head(content: Column, start: Column, n: int = 256) -> Column:
     """First bytes of a body (at most 4096), from where it starts."""
     return F.substring(content, start.cast("int") + 1, F.lit(min(n, 4096)))
@@ -213,11 +264,12 @@ def concat_bodies(df: DataFrame, keys: list[str], order: str, body: str) -> Data
 
 def assemble_sparse(df: DataFrame, keys: list[str], content: str = "content", most_bytes: int = 1 << 30) -> DataFrame:
     """Each sparse file as one body: ranges by offset, holes zero, a later range over an earlier one.
-    A body above ``most_bytes`` is not allocated: its ``content`` is null and ``error`` says so."""
+    A body above ``most_bytes`` is not allocated as one row: its ``content`` is null and ``error`` says so;
+    ``assemble.sparse_pieces`` and ``assemble.assemble_plan`` give it in parts."""
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def work(batches):
-        for batch in batches:
+        for batch in _parts(batches, content):
             out, errors = [], []
             for data in batch.column(content).to_pylist():
                 ranges = sorted(simple_ranges(data or b""), key=lambda r: r[0])
