@@ -54,5 +54,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = lambda other: own[key].eqNullSafe(other["_id"]) & (own[sha] == other["_sha"])
     gone = marked.where("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     repeated = marked.where("kept").groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_sha")
-    single = own.join(gone.unionByName(repeated), same, "left_anti")
-    return single.unionByName(own.join(repeated, same, "left_semi").dropDuplicates([key, sha])).drop(key, sha)
+    other = gone.unionByName(repeated)
+    single = own.join(other, same(other), "left_anti")
+    return single.unionByName(own.join(repeated, same(repeated), "left_semi").dropDuplicates([key, sha])).drop(key, sha)

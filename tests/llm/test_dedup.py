@@ -38,6 +38,16 @@ def test_exact_with_few_counters(small):
     assert sorted(a) == sorted(exact_dedup.mark_copies(small).collect())
 
 
+def test_keep_one_row_of_each_text(edge, empty):
+    kept = exact_dedup.keep_one(edge.unionByName(edge))
+    assert kept.columns == edge.columns and exact_dedup.keep_one(empty).count() == 0
+    last = {}
+    for r in edge.collect():
+        last[folded(r.text)] = max(r.doc_id if r.doc_id is not None else -1, last.get(folded(r.text), -1))
+    got = sorted((folded(r.text), -1 if r.doc_id is None else r.doc_id) for r in kept.collect())
+    assert got == sorted(last.items())
+
+
 def shingles(text, size):
     w = WORD.findall(folded(text))
     if not w:

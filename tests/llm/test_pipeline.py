@@ -58,5 +58,24 @@ def test_packed(spark, stages):
     for p in pieces:
         own = docs[p.doc_id]
         assert p.doc_tokens == len(own) and p.ids_crc32 == zlib.crc32(np.array(own[p.start : p.start + p.length], "<u4").tobytes())
+        assert list(p.ids) == own[p.start : p.start + p.length]
     assert sum(p.length for p in pieces) == sum(map(len, docs.values()))
     assert len(corpus_pipeline.run(spark, SF).collect()) == len(pieces)
+
+
+@pytest.mark.parametrize("rows", ["edge", "short", "none"])
+def test_odd_documents_pass_through_every_stage(spark, edge, some_labels, tmp_path, rows):
+    """Nulls, empty, short and long texts, repeated rows and clashing column names; an empty table."""
+    df = edge.unionByName(edge) if rows == "edge" else edge.where("length(text) < 6 or text is null") if rows == "short" else edge.limit(0)
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    some_labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[2:4]:  # the classifiers may reject all of these
+        got = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), "t")
+        assert got.columns == docs.columns and (got.count() > 0) == (rows != "none"), name
+        docs = got
+    texts = [folded(r.text) for r in docs.where("doc_id is not null").collect()]
+    assert len(texts) == len(set(texts))
+    pieces = corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()
+    assert len({(p.doc_id, p.start, p.length) for p in pieces}) <= len(pieces) and (len(pieces) > 0) == (rows != "none")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
