@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import folded, stored
+from .shared import broadcast_if_few, folded, stored
 
 #: Counters of the summary; any text that makes up more than about 4 / COUNTERS of the rows is found.
 COUNTERS = 4096
@@ -54,6 +54,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = lambda other: own[key].eqNullSafe(other["_id"]) & (own[sha] == other["_sha"])
     gone = marked.where("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     repeated = marked.where("kept").groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_sha")
-    other = gone.unionByName(repeated)
+    repeated = stored(repeated, "repeated-rows")
+    other = broadcast_if_few(stored(gone.unionByName(repeated), "rows-apart"), 1 << 19)
     single = own.join(other, same(other), "left_anti")
+    if not repeated.limit(1).count():
+        return single.drop(key, sha)
     return single.unionByName(own.join(repeated, same(repeated), "left_semi").dropDuplicates([key, sha])).drop(key, sha)

@@ -91,7 +91,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     ``length`` long, ``ids_crc32`` long (CRC-32 of its ids as little-endian unsigned 32-bit
     integers), ``doc_tokens`` long (ids of its document, the end id included), ``sequence_id``
     long, ``offset`` long (its place in the sequence; no gaps, from 0), and with ``ids_too``
-    ``ids`` array<long>. Null or empty text is the end id alone; repeated rows and null ids are
+    ``ids`` array<int>. Null or empty text is the end id alone; repeated rows and null ids are
     packed each; an empty table gives no rows. Sequences of one task share the upper bits of
     ``sequence_id``.
     """
@@ -129,7 +129,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                 pa.array([s for _, s, _ in rows], pa.int64()), pa.array([o for _, _, o in rows], pa.int64()),
             ]
             if ids_too:
-                arrays.append(pa.array([np.frombuffer(texts[i], "<u4").astype(np.int64) for i in index], pa.list_(pa.int64())))
+                arrays.append(pa.array([np.frombuffer(texts[i], "<u4").astype(np.int32) for i in index], pa.list_(pa.int32())))
             for column in (keys, texts, starts, lengths, totals):
                 del column[: len(index)]  # items are in the order of pieces
             n_items = len(grouped(lengths, step))
@@ -139,15 +139,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
             nonlocal sequence
             arrays = [[], [], [], [], [], [], [], *[[]] * ids_too]
             for key, start, ids, total in whole:
-                for column, v in zip(arrays, (key, start, len(ids), zlib.crc32(ids), total, task + sequence, 0, ids.astype(np.int64)), strict=False):
+                for column, v in zip(arrays, (key, start, len(ids), zlib.crc32(ids), total, task + sequence, 0, ids.astype(np.int32)), strict=False):
                     column.append(v)
                 sequence += 1
-            kinds = [key_type, *[pa.int64()] * 6, pa.list_(pa.int64())]
+            kinds = [key_type, *[pa.int64()] * 6, pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(arrays, kinds, strict=False)], names)
 
         for batch in batches:
             key_type = batch.column("key").type
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 cuts = segment(part.column("text"), coder.fold)
                 ids, bounds = batch_ids(cuts.codes, cuts.bounds, coder(cuts.words))
                 for key, a, b in zip(part.column("key").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -167,7 +167,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                             texts.append(piece.tobytes())
                             totals.append(len(own))
                         at += n
-                    if len(whole) >= 512:
+                    if len(whole) >= 64:
                         yield alone()
                         whole.clear()
                     if n_items >= ITEMS:
@@ -178,5 +178,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
         if lengths:
             yield packed(True)
 
-    schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<bigint>" * ids_too
+    schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * ids_too
     return docs.select(docs[id_col].alias("key"), docs[text_col].alias("text")).mapInArrow(work, schema)

@@ -48,7 +48,7 @@ def discard(*frames: DataFrame) -> None:
 
 
 def broadcast_if_few(ids: DataFrame, most: int = 1 << 22) -> DataFrame:
-    """``ids`` (a stored frame of one long column), to be broadcast if it has at most ``most`` rows (some 100 MB
+    """``ids`` (a stored frame), to be broadcast if it has at most ``most`` rows (for one long column, some 100 MB
     as a hash table); beyond that, left to a shuffled join."""
     return F.broadcast(ids) if ids.count() <= most else ids
 
