@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import bodies
+from ..functions.values import webkit_us_to_unix
+from ..sources import assemble, bodies, index
+from ..sources.resources import kept, shared_folder
+from . import caches, recovery
+from .caches import CACHE, const as _const, little as _le
 
 QUERIES, SQL = {}, {}
 
@@ -20,16 +24,6 @@ def query(sql: str | None):
     return wrap
 
 
-def _le(number: Column, size: int) -> Column:
-    """The lower bytes of an integer, least significant first."""
-    digits = F.lpad(F.hex(number), 16, "0")
-    return F.unhex(F.concat(*(F.substring(digits, 15 - 2 * i, 2) for i in range(size))))
-
-
-def _const(number: int, size: int) -> Column:
-    return F.lit(number.to_bytes(size, "little"))
-
-
 def _eof(size: Column) -> Column:
     return F.concat(_const(bodies.EOF_MAGIC, 8), _const(0, 8), _le(size, 4), _const(0, 4))
 
@@ -131,3 +125,99 @@ def u6_concat_bodies(docs):
 @query(f"SELECT doc_id, 640 AS width, 360 AS height, 'avc1' AS video_codec, 'mp4a' AS audio_codec, {_TEXT} / CAST(1000 AS DOUBLE) AS duration FROM documents")
 def u4_video_info(docs):
     return bodies.video_info(tracked_files(docs), ["doc_id"])
+
+
+def _text():
+    return F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+
+
+_HEX = "lower(hex(encode(coalesce(text, ''))))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_HEX} AS h, {_TEXT} AS n FROM documents), w AS (SELECT doc_id, repeat('00', 50) || '6d646174' || repeat('00', 46) || CASE WHEN n <= 5 THEN h || repeat('00', 5 - CAST(n AS INTEGER)) || h ELSE substr(h, 1, 10) || substr(h, 1, 2 * CAST(least(n, 10) AS INTEGER)) || substr(h, 11 + 2 * CAST(least(n, 10) AS INTEGER)) END AS body FROM t)
+SELECT doc_id, CAST(i AS BIGINT) AS part, md5(substr(body, CAST(i AS INTEGER) * 8192 + 1, 8192)) AS md5 FROM w, generate_series(0, 100) g(i) WHERE i * 8192 < length(body)""")
+def u7_assemble_plan(docs):
+    """A literal after 50 zeros, the text after 100 bytes, and its first ten bytes over it again at byte 105."""
+    pieces = docs.select("doc_id", F.lit(0).cast("bigint").alias("ord"), _text().alias("content"))
+    n = F.octet_length("content").cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    row = lambda seq, source, length, out, literal: F.struct(F.lit(seq).cast("bigint").alias("seq"), source.cast("bigint").alias("source"), zero.alias("src_offset"), length.cast("bigint").alias("length"), F.lit(out).cast("bigint").alias("out_offset"), literal.cast("binary").alias("literal"))
+    plan = pieces.select("doc_id", F.inline(F.array(row(1, zero, n, 100, F.lit(None)), row(2, F.lit(None), F.lit(4), 50, F.lit(b"mdat")), row(3, zero, F.least(n, F.lit(10)), 105, F.lit(None)))))
+    parts = assemble.assemble_plan(plan, pieces, ["doc_id"], part_bytes=4096)
+    return parts.select("doc_id", "part", F.md5(F.lower(F.hex("content"))).alias("md5"))
+
+
+@query(f"""WITH p AS (SELECT source || '/' || CAST(doc_id % 300 AS VARCHAR) || '.txt' AS out_path, arg_max({_HEX}, doc_id) AS h FROM documents WHERE doc_id IS NOT NULL GROUP BY 1) SELECT out_path, CAST(length(h) // 2 AS BIGINT) AS bytes, md5(h) AS md5, CAST(NULL AS VARCHAR) AS error FROM p""")
+def s8_write_bodies(docs):
+    """Every text as a file; of those with one path the last stays. The files are read again."""
+    folder = shared_folder(docs.sparkSession)
+    rows = docs.where("doc_id is not null")
+    zero = F.lit(0).cast("bigint")
+    parts = rows.select("doc_id", zero.alias("part"), zero.alias("begin"), _text().alias("content"))
+    targets = rows.select("doc_id", F.concat("source", F.lit("/"), (F.col("doc_id") % 300).cast("string"), F.lit(".txt")).alias("out_path"), F.col("doc_id").alias("ord"), F.octet_length(_text()).cast("bigint").alias("total"))
+    written = kept(assemble.write_bodies(parts, targets, ["doc_id"], folder))
+    back = docs.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    back = back.select(F.regexp_extract("path", "([^/]*/[^/]*)$", 1).alias("out_path"), F.md5(F.lower(F.hex("content"))).alias("md5"))
+    return written.join(back, "out_path").select("out_path", "bytes", "md5", "error")
+
+
+@query("SELECT 'dir' || CAST(doc_id // 500 AS VARCHAR) AS cache_dir, 'f_' || printf('%06x', doc_id) AS name, any_value(octet_length(encode(coalesce(text, '')))) AS size FROM documents WHERE doc_id IS NOT NULL AND doc_id % 10 <> 3 GROUP BY ALL")
+def s1_list_cache_files(docs):
+    """A file of each document, a tenth of them under names that no cache has; then the listing."""
+    folder = shared_folder(docs.sparkSession)
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    name = F.when(F.col("doc_id") % 10 == 3, F.format_string("x_%06x", "doc_id")).otherwise(F.format_string("f_%06x", "doc_id"))
+    zero = F.lit(0).cast("bigint")
+    parts = rows.select("doc_id", zero.alias("part"), zero.alias("begin"), _text().alias("content"))
+    targets = rows.select("doc_id", F.concat(caches.cache_of(F.col("doc_id")), F.lit("/"), name).alias("out_path"), F.col("doc_id").alias("ord"), F.octet_length(_text()).cast("bigint").alias("total"))
+    assemble.write_bodies(parts, targets, ["doc_id"], folder).count()
+    found = bodies.list_cache_files(docs.sparkSession, [folder])
+    return found.select(F.element_at(F.split(CACHE, "/"), -1).alias("cache_dir"), "name", F.col("size").cast("int").alias("size"))
+
+
+_ENTRIES = """WITH e AS (SELECT doc_id, 0 AS sub, CASE WHEN doc_id % 20 = 1 THEN 1 ELSE 0 END AS flags, CASE WHEN doc_id % 20 = 1 THEN '1/0/https://x.org/v/' || doc_id || '.mp4' ELSE '1/0/https://x.org/a/' || doc_id || '.png' END AS url FROM documents
+UNION ALL SELECT doc_id, s, 2, 'Range_1/0/https://x.org/v/' || doc_id || '.mp4:00000000000a1b2c:' || (s - 1) FROM documents, (VALUES (1), (2)) c(s) WHERE doc_id % 20 = 1)"""
+
+
+@query(_ENTRIES + """ SELECT 'dir' || CAST(doc_id // 500 AS VARCHAR) AS cache_dir, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id, sub) - 1 AS ord, url, CAST(0 AS BIGINT) AS state, CAST(flags AS BIGINT) AS flags, CAST(doc_id % 1000 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS created_at, CAST(NULL AS VARCHAR) AS error FROM e""")
+def s4_read_index_entries(docs):
+    found = index.read_index_entries(caches.indexed_caches(docs)[0])
+    return found.select("cache_dir", "ord", "url", "state", "flags", F.round(webkit_us_to_unix(F.col("creation_time_us")), 3).alias("created_at"), "error")
+
+
+@query(_ENTRIES + """ SELECT 'dir' || CAST(doc_id // 500 AS VARCHAR) AS cache_dir, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id, sub) - 1 AS ord, CAST(CASE WHEN sub = 0 THEN doc_id END AS BIGINT) AS request_time_us, CAST(CASE WHEN sub = 0 THEN doc_id + 7 END AS BIGINT) AS response_time_us,
+CASE WHEN sub = 0 THEN 'HTTP/1.1 200 OK' || chr(0) || 'content-type: ' || CASE doc_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'video/mp4' WHEN 2 THEN 'text/html' ELSE 'audio/ogg' END || chr(0) || chr(0) END AS raw_headers FROM e""")
+def s5_read_http_meta(docs):
+    return index.read_http_meta(index.read_index_entries(caches.indexed_caches(docs)[0]), ["cache_dir", "ord"])
+
+
+_KIND = "CASE doc_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN CASE WHEN doc_id % 20 = 1 THEN 'mp4_chunked' ELSE 'mp4_complete' END WHEN 3 THEN 'ogg' END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_HEX} AS h, CAST({_TEXT} AS BIGINT) AS n, 'dir' || CAST(doc_id // 500 AS VARCHAR) AS cache_dir, {_KIND} AS kind FROM documents)
+SELECT cache_dir, doc_id, kind AS resource_type, CASE WHEN kind = 'mp4_chunked' THEN 'index_reassemble' ELSE 'copy' END AS action, CASE WHEN kind = 'mp4_chunked' THEN 2 ELSE 0 END AS n_children, CASE WHEN kind = 'mp4_chunked' THEN 2 * n ELSE n END AS total_size,
+CASE WHEN kind = 'png' THEN 'image' WHEN kind = 'ogg' THEN 'audio' ELSE 'video' END || 's/' || doc_id || CASE kind WHEN 'mp4_chunked' THEN '_mp4.mp4' WHEN 'mp4_complete' THEN '_png.mp4' WHEN 'png' THEN '_png.png' ELSE '_png.ogg' END AS out_path,
+md5(CASE WHEN kind = 'mp4_chunked' THEN h || repeat('00', 1048576 - CAST(n AS INTEGER)) || h ELSE h END) AS md5 FROM t WHERE kind IS NOT NULL AND n > 0""")
+def job_recover_indexed(docs):
+    """Index-first recovery of the caches built from the texts: resources, plan and the bytes of each."""
+    got = recovery.recover_indexed(*caches.indexed_caches(docs))
+    body = got["parts"].select("resource_id", F.md5(F.lower(F.hex("content"))).alias("md5"))
+    number = F.regexp_extract("url", "/([0-9]+)[.]", 1).cast("bigint").alias("doc_id")
+    return got["resources"].join(body, "resource_id").select("cache_dir", number, "resource_type", "action", "n_children", "total_size", "out_path", "md5")
+
+
+@query(f"""SELECT 'dir' || CAST(doc_id // 500 AS VARCHAR) AS cache_dir, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'sparse' ELSE 'body' END AS source, CASE WHEN doc_id % 3 = 0 THEN 'sparse_copy' ELSE 'copy' END AS action, CAST(CASE WHEN doc_id % 3 = 0 THEN 1000 + {_TEXT} ELSE {_TEXT} END AS BIGINT) AS n_bytes,
+md5(CASE WHEN doc_id % 3 = 0 THEN repeat('00', 1000) ELSE '' END || {_HEX}) AS md5 FROM documents WHERE {_TEXT} > 0 AND doc_id IS NOT NULL""")
+def job_recover_simple(docs):
+    """Recovery of Simple caches built from the texts; a third have a sparse stream, a text behind a hole."""
+    got = recovery.recover_simple(caches.simple_caches(docs))
+    body = got["parts"].select("resource_id", F.octet_length("content").cast("bigint").alias("n_bytes"), F.md5(F.lower(F.hex("content"))).alias("md5"))
+    return got["resources"].join(body, "resource_id").select("cache_dir", F.conv("hash", 16, 10).cast("bigint").alias("doc_id"), "source", "action", "n_bytes", "md5")
+
+
+@query(None)
+def job_recover_unclaimed(docs):
+    """Heuristic recovery of files without an index, cut from the texts: resources and the bytes of each."""
+    got = recovery.recover_unclaimed(caches.loose_files(docs))
+    body = got["parts"].groupBy("resource_id").agg(F.sum(F.octet_length("content")).alias("n_bytes"), F.max(F.md5("content")).alias("md5"))
+    return got["resources"].join(body, "resource_id").select("cache_dir", "header_file", "resource_type", "action", "n_files", "n_bytes", "md5")

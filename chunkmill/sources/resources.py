@@ -19,6 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/resources-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once into a new shared folder and read again: later steps do not compute it anew,
+    and survive lost executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_resources(resources: DataFrame, path: str) -> None:
     """Parquet, a folder a media category; a category is then read without the others."""
     resources.write.mode("errorifexists").partitionBy("media_category").parquet(path)
