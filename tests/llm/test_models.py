@@ -158,3 +158,90 @@ def test_held_out_labels_are_not_used(small, spark):
     other = spark.createDataFrame([(i, 1 - i % 2 if in_bucket(i, 5, 0) else i % 2) for i in ids], "doc_id bigint, toxic int")
     a, b = (sorted(toxicity.score(small, x).collect()) for x in (one, other))
     assert a == b
+
+
+def plain_ngrams(text):
+    """Buckets of a text's n-grams, byte by byte."""
+    line = b" " + bytes(b + 32 if 65 <= b < 91 else 32 if b < 128 and not chr(b).isalnum() else b for b in (text or "").encode()) + b" "
+    out = set()
+    for n in toxicity.ORDERS:
+        for i in range(len(line) - n + 1):
+            code = n
+            for b in line[i : i + n]:
+                code = (code << 8 | b) & (1 << 64) - 1
+            out.add((code * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 44)
+    return out
+
+
+def test_toxicity_by_hand(spark, small):
+    rows = [(r.doc_id, r.text[:400] if r.text else r.text, int("a" in (r.text or "")[:20]) ^ r.doc_id % 7 // 6) for r in small.limit(60).collect()] + [(900, None, 0), (901, "", 1), (902, "x", 1)]
+    sample = spark.createDataFrame([(t or "", y) for _, t, y in rows], "text string, label int").repartition(3)
+    model = toxicity.fit(sample, features=300)
+    seen = [(plain_ngrams(t), y) for _, t, y in rows]
+    count = [Counter(), Counter()]
+    for features, y in seen:
+        count[y].update(features)
+    size = [sum(y == c for _, _, y in rows) for c in (0, 1)]
+    every = sorted(count[0].keys() | count[1].keys())
+    totals = [sum(c.values()) for c in count]
+    ratio = {f: math.log((count[1][f] + 1) / (totals[1] + len(every))) - math.log((count[0][f] + 1) / (totals[0] + len(every))) for f in every}
+
+    def chi(f):
+        both, n = count[0][f] + count[1][f], sum(size)
+        return (count[1][f] - both * size[1] / n) ** 2 * n**2 / max(size[0] * size[1] * both * max(n - both, 1), 1)
+
+    kept = np.flatnonzero(model.chosen >= 0)
+    least = sorted(map(chi, every), reverse=True)[:300][-1]
+    assert len(kept) == 300 and all(chi(f) >= least - 1e-9 for f in kept.tolist())
+    # each text's score from its features, and no slope left at the weights of the scaled features
+    weight = {f: model.weight[model.chosen[f]] for f in kept.tolist()}
+    slope, slip = Counter(), 0.0
+    for (_, t, y), (features, _) in zip(rows, seen, strict=True):
+        p = 1 / (1 + math.exp(-(model.bias + sum(weight[f] for f in features if f in weight))))
+        assert model.scores(pa.array([t]))[0] == pytest.approx(p)
+        slip += p - y
+        for f in features & weight.keys():
+            slope[f] += ratio[f] * (p - y) / len(rows)
+    worst = max(abs(slope[f] + 1e-4 * weight[f] / ratio[f]) for f in weight if abs(ratio[f]) > 1e-9)
+    assert worst < 2e-3 and abs(slip) / len(rows) < 2e-3
+
+
+def plain_statistics(text):
+    t = text or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    chars, count = max(len(t), 1), max(len(w), 1)
+    share = lambda some: sum(c in some for c in t) / chars
+    return {
+        "s_chars": len(t), "s_words": len(w), "s_upper": share(quality._UPPER), "s_digits": share(quality._DIGITS), "s_marks": share(quality._MARKS), "s_stops": share(quality._STOPS), "s_lines": share("\n"),
+        "s_word_length": len(t) / count, "s_distinct": len(set(w)) / count, "s_repeats": sum(a == b for a, b in zip(w, w[1:], strict=False)) / count,
+    }
+
+
+def test_quality_by_hand(spark, small, edge):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality._fitted(small, labels, "quality", 5, 0, 20_000, "doc_id", "text")
+    assert 3 < len(model.rules) < 400 and all(r.tests for r in model.rules)
+    for df in (small, edge):
+        measured, names = quality.with_statistics(df.select("doc_id", "text"))
+        for r in measured.withColumn("out", model.column()).collect():
+            own = plain_statistics(r.text)
+            assert all(r[n] == pytest.approx(own[n]) for n in names)
+            margin = model.bias
+            for rule, w in zip(model.rules, model.weights, strict=True):
+                margin += w * all((r[n] > cut) == above for n, cut, above in rule.tests)
+            assert r.out == pytest.approx(1 / (1 + math.exp(-margin)))
+
+
+def test_rules_are_paths_of_trees_and_lasso_leaves_few():
+    rng = np.random.default_rng(1)
+    table = {f"x{i}": rng.random(800) for i in range(6)}
+    label = ((table["x1"] > 0.6) & (table["x4"] < 0.5)).astype(float)
+    model = quality.fit(table, label)
+    rules = quality.extract_rules(table, list(table), label)
+    assert 0 < len(model.rules) < len(rules) and all(1 <= len(r.tests) <= 3 for r in rules)
+    margin = model.bias + sum(w * r.holds(table) for r, w in zip(model.rules, model.weights, strict=True))
+    assert ((margin > 0) == (label > 0)).mean() > 0.97
+    # a rule that is left out has no slope beyond the penalty
+    miss = 1 / (1 + np.exp(-margin)) - label
+    left = [r for r in rules if r not in model.rules]
+    assert max(abs((r.holds(table) * miss).mean()) for r in left) < 5e-4 * 1.5
