@@ -13,6 +13,7 @@ SIGNATURES = [
     ("FFF3", "mp3"), ("FFF2", "mp3"), ("FFFE", "mp3"), ("4F676753", "ogg"), ("664C6143", "flac"),
     ("3026B2758E66CF11A6D900AA0062CE6C", "wma"),
 ]
+#: Forms of RIFF files, brands of ISO media files (also the ones that need all four bytes), boxes of fragments. Fixed values.
 RIFF_FORMS = {"57454250": "webp", "41564920": "avi", "57415645": "wav"}
 BRANDS = {"avif": "avif", "avis": "avif", "heic": "heic", "hevc": "heic", "mif1": "heic", "msf1": "heic"}
 STRICT_BRANDS = {"M4A ": "m4a", "m4a ": "m4a", "M4B ": "m4a", "M4P ": "m4a", "qt  ": "mov"}
@@ -46,6 +47,7 @@ IMAGE_MIME = {
     "png": "image/png", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp",
     "tiff": "image/tiff", "ico": "image/x-icon", "avif": "image/avif", "heic": "image/heic",
 }
+#: Content types of files that are no media, and suffixes of URL paths with their types. Fixed values.
 NON_MEDIA_PREFIXES = (
     "font/", "text/", "application/javascript", "application/json", "application/xml",
     "application/wasm", "application/x-font", "application/font", "application/octet-stream",
