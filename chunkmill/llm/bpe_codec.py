@@ -170,7 +170,7 @@ def codec(path: str) -> PrefixCodec:
 
 @functools.lru_cache(maxsize=2)
 def _codec_cache(path: str) -> GenerationCache:
-    return GenerationCache(150_000)
+    return GenerationCache(100_000)
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

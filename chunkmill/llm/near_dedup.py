@@ -318,7 +318,7 @@ def _retained(dealt: DataFrame, signed: DataFrame, percent: int, matches: int, c
                     x = first[at : at + 64]
                     small, large = np.minimum(n[x][:, None], n[second]), np.maximum(n[x][:, None], n[second])
                     p, q = np.nonzero((small * 100 >= large * percent) & (comp[x][:, None] != comp[second]))
-                    for u, v in zip(*(np.array_split(k, len(p) // 65536 + 1) for k in (x[p], second[q])), strict=True):
+                    for u, v in zip(*(np.array_split(k, len(p) // 32768 + 1) for k in (x[p], second[q])), strict=True):
                         agree = sig[u] == sig[v]
                         hit = agree.sum(axis=1) >= matches
                         if not nearest:
@@ -329,22 +329,21 @@ def _retained(dealt: DataFrame, signed: DataFrame, percent: int, matches: int, c
                         u, v = u[hit], v[hit]
                         same = (fine[u] == fine[v]).sum(axis=1)
                         hit = same >= close
-                        held.append(np.stack([u[hit], v[hit], same[hit]]))
+                        # a pair is held in both orders if both sides are one
+                        u, v, same = np.r_[u[hit], v[hit]], np.r_[v[hit], u[hit]], np.r_[same[hit], same[hit]]
+                        if nearest:
+                            held.append(_first_of_each(np.stack([u, v, same])[:, far[u]], lambda k: (ids[k[1]], -k[2], k[0]), 1))
+                        else:
+                            less, more = weight[u - s], weight[v - s]
+                            go = (less < more) | ((less == more) & (comp[u] > comp[v]))
+                            held.append(_first_of_each(np.stack([ids[u[go]], comp[u[go]], block[v[go]]]), lambda k: (k[1], k[2], k[0]), 3))
                 if not held:
                     continue
-                u, v, same = np.concatenate(held, axis=1)
-                # a pair is held in both orders if both sides are one
-                u, v, same = np.r_[u, v], np.r_[v, u], np.r_[same, same]
                 if nearest:
-                    u, v, same = u[far[u]], v[far[u]], same[far[u]]
-                    order = np.lexsort((ids[v], -same, u))
-                    u, v, same = u[order], v[order], same[order]
-                    one = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else u
-                    out.append(np.stack([ids[u[one]], ids[v[one]], comp[u[one]], comp[v[one]], same[one]]))
+                    u, v, same = _first_of_each(np.concatenate(held, axis=1), lambda k: (ids[k[1]], -k[2], k[0]), 1)
+                    out.append(np.stack([ids[u], ids[v], comp[u], comp[v], same]))
                 else:
-                    less, more = weight[u - s], weight[v - s]
-                    go = (less < more) | ((less == more) & (comp[u] > comp[v]))
-                    out.append(np.unique(np.stack([ids[u[go]], comp[u[go]], block[v[go]]]), axis=1))
+                    out.append(_first_of_each(np.concatenate(held, axis=1), lambda k: (k[1], k[2], k[0]), 3))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names)
 
@@ -357,6 +356,14 @@ def _retained(dealt: DataFrame, signed: DataFrame, percent: int, matches: int, c
     return found.groupBy("id").agg(best.alias("best")).select("id", "best.*")
 
 
+def _first_of_each(rows: np.ndarray, order, width: int) -> np.ndarray:
+    """Of columns that are equal in the first ``width`` rows, the first by ``order`` (keys for lexsort)."""
+    rows = rows[:, np.lexsort(order(rows))]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:width, 1:] != rows[:width, :-1]).any(axis=0)
+    return rows[:, new]
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the components x, y of pairs (id, mate) whose full sets have the similarity."""
     met = pairs.join(sets.withColumnRenamed("shingles", "own"), "id").join(sets.select(F.col("id").alias("mate"), "shingles"), "mate")

@@ -129,14 +129,15 @@ def fit(sample: DataFrame, features: int = FEATURES, penalty: float = 1e-4) -> N
         total = np.zeros((2, BUCKETS), np.int64)
         size = np.zeros(2, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 label = part.column("label").to_numpy()
                 text, feature = text_features(part.column("text"))
                 for c in (0, 1):
                     total[c] += np.bincount(feature[label[text] == c], minlength=BUCKETS)
                     size[c] += int((label == c).sum())
         at = np.flatnonzero(total.sum(axis=0) >= 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[0, at], size[0])), pa.array(np.append(total[1, at], size[1]))], ["feature", "clean", "toxic"])
+        made = pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[0, at], size[0])), pa.array(np.append(total[1, at], size[1]))], ["feature", "clean", "toxic"])
+        yield from (made.slice(i, 1 << 15) for i in range(0, made.num_rows, 1 << 15))
 
     counts = sample.select("text", "label").mapInArrow(count, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     at, clean, toxic = (counts.column(i).to_numpy().astype(np.float64) for i in range(3))
@@ -155,7 +156,7 @@ def fit(sample: DataFrame, features: int = FEATURES, penalty: float = 1e-4) -> N
 
     def vectors(batches):
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 text, feature = text_features(part.column("text"), chosen)
                 edges = np.searchsorted(text, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(feature.astype(np.int32)))], ["label", "features"])
@@ -184,7 +185,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", buckets: int
 
     def work(batches):
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("held_out"), pa.array(sent.value.scores(part.column("text")), pa.float64())], ["key", "held_out", "score"])
 
     rows = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text"), F.coalesce(crc32_bucket(docs[id_col], buckets) == held, F.lit(False)).alias("held_out"))
@@ -200,7 +201,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", buckets
 
     def work(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
+            for part in slices(batch, text_col, 1 << 19):
                 yield part.filter(pa.array(sent.value.scores(part.column(text_col)) < threshold))
 
     return docs.mapInArrow(work, docs.schema)

@@ -10,7 +10,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Entries of one generation of a worker's cache; two generations are held at most.
-GENERATION = 250_000
+GENERATION = 100_000
 
 
 @functools.lru_cache(maxsize=1)
