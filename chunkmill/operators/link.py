@@ -13,8 +13,10 @@ CACHE = "cache_dir"
 
 
 def with_child_keys(children: DataFrame) -> DataFrame:
-    """``children`` with ``parent_url``, ``child_id``, ``offset_bytes`` and ``reject_reason``."""
-    return children.withColumn("_k", parse_child_key(F.col("child_key"))).select("*", "_k.*").drop("_k")
+    """``children`` with ``parent_url``, ``child_id``, ``offset_bytes`` and ``reject_reason``. The key is cut once a
+    row: a generated struct is opaque to the optimizer, which would else copy the cutting into every
+    filter and join condition that it infers (most of the time of a join, before)."""
+    return children.select("*", F.inline(F.array(parse_child_key(F.col("child_key")))))
 
 
 def first_parents(entries: DataFrame) -> DataFrame:
