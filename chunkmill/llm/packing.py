@@ -27,7 +27,7 @@ from .vocab import batch_ids, segment_ids
 #: Pieces are at most this share of a window, so that differencing has pieces to balance with.
 SHARE = 8
 #: Items that are differenced together, and how many ids of a window may stay free so that they fit.
-ITEMS, SLACK = 512, 4
+ITEMS, SLACK = 512, 12
 
 
 def difference(lengths: list[int], windows: int) -> list[list[int]]:
@@ -73,10 +73,11 @@ def cut(length: int, capacity: int, share: int = SHARE) -> list[int]:
 
 
 def grouped(lengths: list[int], most: int) -> list[list[int]]:
-    """Indexes of ``lengths`` in items: neighbours together up to ``most``."""
+    """Indexes of ``lengths`` in items: neighbours together up to ``most``, but every fourth alone, so that
+    there are small ones to fill windows with."""
     items, held = [], most + 1
     for i, n in enumerate(lengths):
-        if held + n > most:
+        if held + n > most or len(items) % 4 == 0:
             items.append([])
             held = 0
         items[-1].append(i)
@@ -158,7 +159,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                         if n == capacity:
                             whole.append((key, at, piece, len(own)))
                         else:
-                            if not lengths or held + n > step:
+                            if not lengths or held + n > step or n_items % 4 == 0:
                                 n_items, held = n_items + 1, 0
                             held += n
                             keys.append(key)
