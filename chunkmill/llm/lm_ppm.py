@@ -27,7 +27,7 @@ from .shared import crc32_bucket, stored
 ORDER = 5
 HEAD = 1 << 22
 #: Unseen entries that one task gives code lengths to at once.
-_UNSEEN = 20_000
+_UNSEEN = 8_000
 #: Symbols are byte + 1; 0 stands before a text, _END after it. Nine bits hold one.
 _BITS, _END, _SYMBOLS = 9, 257, 257
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -245,7 +245,7 @@ def score(docs: DataFrame, buckets: int = 7, held: int = 2, order: int = ORDER,
     def work(batches):
         keys, lengths, known, gain = sent.value
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 data, starts = raw_buffer(part.column("text"))
                 code, begins = grams(data, starts, order)
                 own, inverse = np.unique(code, return_inverse=True)
