@@ -202,7 +202,7 @@ def _run(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, digests: b
                 ids, texts, bounds = named[cut.codes, 0], named[cut.codes, 1], cut.bounds.tolist()
                 n, first, second = [], [], []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    raw, text = b"".join(ids[a:b].tolist()), joint.join(texts[a:b].tolist())
+                    raw, text = b"".join(ids[a:b].tolist()), joint.join(filter(None, texts[a:b].tolist()))  # white space alone has no ids
                     n.append(len(raw) // 4)
                     first.append(hashlib.sha256(raw).hexdigest() if digests else np.frombuffer(raw, "<u4").astype(np.int64))
                     second.append(hashlib.sha256(text).hexdigest() if digests else text.decode())

@@ -10,8 +10,9 @@ byte-level pattern and for the word-end pattern alike:
 * between an ASCII letter and one of ``PUNCTUATION`` (apostrophes and the characters of
   special tokens are left out, so contractions and special strings stay whole).
 
-Leaving a possible cut out is always right, it only makes a segment longer; so a cut next
-to bytes that may end a non-ASCII space is never made.
+Where white space is part of the ids, leaving a possible cut out is always right, it only makes
+a segment longer; so a cut next to bytes that may end a non-ASCII space is not made. Where it is
+dropped (``fold``), the cut before a run of it is always made, as words would be glued without.
 """
 
 from __future__ import annotations
@@ -77,7 +78,8 @@ def segment(texts: pa.Array, fold: bool = False) -> Segments:
     before, here = space[:-1], space[1:]
     soft = _MAYBE_SPACE_END[data]
     soft[1:] &= _MAYBE_SPACE_LEAD[data[:-1]]
-    cut[1:n] = here & ~before & ~soft[:-1]
+    # where white space is dropped, every run of it is a border; else one may go on a non-ASCII space before it
+    cut[1:n] = here & ~before & (fold | ~soft[:-1])
     if n > 2:
         # x \n | y : the line feed is a piece of its own
         cut[2:n] |= (data[1:-1] == 10) & ~space[2:] & ~_MAYBE_SPACE_BEGIN[data[2:]] & ~space[:-2] & ~soft[:-2]

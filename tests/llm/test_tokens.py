@@ -1,6 +1,7 @@
 """Encoding, counting, storing and packing, against the tokenizers library."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -18,7 +19,7 @@ from chunkmill.llm.vocab import batch_ids, segment_ids
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
-ODD = st.lists(st.sampled_from([*" \t\n\r'srelvtmdxX.,!(é1<|>", "\x1c", "\x85", "\xa0", "\u0301", "\u1680", "\u2003", "\u2028", "\u3000", "日", "，", "😀", "²", "<|endoftext|>"]), max_size=60).map("".join)
+ODD = st.lists(st.sampled_from([*" \t\n\r'srelvtmdxX.,!(é1<|>", "\x1c", "\x85", "\xa0", "\u0301", "\u1680", "\u2003", "\u2028", "\u3000", "日", "，", "😀", "²", "©", "速", "退", "造", "あ", "構", "報", *(bytes([0xE3, 0x81, b]).decode() for b in range(0x81, 0x8B)), "ʟ", "<|endoftext|>"]), max_size=60).map("".join)
 
 
 def ids_of(path, text):
@@ -75,6 +76,20 @@ def test_encode(small, edge, empty):
     assert sorted(r.decoded for r in back) == sorted(r.decoded for r in coded.collect()) == sorted(r.text or "" for r in edge.collect())
 
 
+def test_random_texts_through_whole_operators(spark):
+    """Characters whose last bytes are those of non-ASCII spaces, beside all kinds of white space."""
+    draw = random.Random(3)
+    odd = [*" \t\n\r\x0b'sxX.,!(1<|", "\x85", "\xa0", "\u2003", "\u3000", *"é©速退造あ構報日ʟ", *(bytes([0xE3, 0x81, b]).decode() for b in range(0x81, 0x8B))]
+    texts = ["© -- x", "速 報", "構造\n次の", "退 a", "あ b", "a ©\n(b)", *("".join(draw.choices(odd, k=draw.randrange(40))) for _ in range(10_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {k: ids_of(WORD, t) for k, t in enumerate(texts)}
+    assert {r.doc_id: list(r.ids) for r in bpe_codec.encode(df, WORD).collect()} == want
+    packed = defaultdict(list)
+    for p in sorted(packing.pack_documents(df, WORD, 1, ids_too=True).collect(), key=lambda p: p.start):
+        packed[p.doc_id] += p.ids
+    assert packed == {k: [*ids, 1] for k, ids in want.items()}
+
+
 @pytest.mark.parametrize("chunk", [1 << 16, 500])
 def test_count_tokens(small, edge, empty, chunk):
     for df, rows in frames(small, edge):
