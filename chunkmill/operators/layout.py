@@ -121,56 +121,75 @@ def segment_plan_chunks(pieces: DataFrame, key: str = "resource_id") -> DataFram
     zeros to the size it declared, or kept longer if that is more than twice as large, or else cut; the
     tail's moov ends the file. Otherwise the concatenation is the plan. A header without ftyp or mdat
     gives one row with ``error``. A moov that runs over the end of a piece counts if its mvhd is in the piece.
+
+    Pieces are shuffled once, by ``key``: all that follows are windows of that partitioning, and each piece
+    then makes its own segments from running sums.
     """
-    chunks = pieces.where(~F.col("is_header"))
-    stats = chunk_size_stats(chunks, key, "size").select(key, "modal_size")
-    roles = chunk_roles(chunks.join(stats, key).withColumn("has_moov", F.col("moov_offset").isNotNull()), key)
-    header = pieces.where("is_header")
-    able = F.col("ftyp_offset").isNotNull() & F.col("mdat_offset").isNotNull()
-    failed = header.where(~able).select(key, F.lit(0).cast("bigint").alias("seq"), *(F.lit(None).cast("bigint" if c not in ("kind", "literal") else "string" if c == "kind" else "binary").alias(c) for c in _SEGMENT), F.when(F.col("ftyp_offset").isNull(), "no ftyp box").otherwise("no mdat box").alias("error"))
+    whole = Window.partitionBy(key)
+    line = whole.orderBy("phase", "place")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    chunk, named = ~F.col("is_header"), lambda *c: F.struct(*c)
+
+    # header, most common chunk size, tail: facts of the key beside each of its pieces
+    head = F.max(F.when(F.col("is_header"), named("ord", "size", "hex_value", "ftyp_offset", "ftyp_size", "mdat_offset", "mdat_size", "mdat_head"))).over(whole)
+    rows = pieces.withColumn("h", head).where("h is not null")
+    rows = rows.withColumn("alike", F.count(F.when(chunk, 1)).over(Window.partitionBy(key, "size")))
+    rows = rows.withColumn("modal_size", F.max(F.when(chunk, named("alike", "size"))).over(whole)["size"])
+    moov = F.col("moov_offset").isNotNull()
+    tail = F.min(F.when(chunk & moov, named((F.col("size") >= F.col("modal_size")).alias("late"), "ord", "hex_value", "moov_offset", "moov_size"))).over(whole)
+    odd = F.col("size") != F.col("modal_size")
+    role = F.when(F.col("is_header"), "header").when(F.col("ord") == F.col("t.ord"), "tail").when(odd & moov, "duplicate").when((F.col("size") < F.col("modal_size")) & F.col("standalone"), "foreign").otherwise("middle")
+    rows = rows.withColumn("t", tail).withColumn("role", role).where("role not in ('duplicate', 'foreign')")
 
     # the concatenation: header, middle chunks, tail
-    place = F.struct((F.col("role") == "tail").cast("int").alias("last"), F.col("hex_value").isNull().alias("unnamed"), F.col("hex_value"), F.col("ord"))
-    lead = header.where(able).select(key, "ord", "size", "moov_offset", "cut_offset", "cut_size", F.lit(0).alias("phase"), F.struct(F.lit(0).alias("last"), F.lit(False).alias("unnamed"), F.lit(None).cast("bigint").alias("hex_value"), "ord").alias("place"))
-    rest = roles.where("plain").join(lead.select(key), key, "left_semi").select(key, "ord", "size", "moov_offset", "cut_offset", "cut_size", F.lit(1).alias("phase"), place.alias("place"))
-    order = Window.partitionBy(key).orderBy("phase", "place")
-    line = lead.unionByName(rest).withColumns({"at": F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("size").over(Window.partitionBy(key)), "seq": F.row_number().over(order).cast("bigint")})
+    able = F.col("h.ftyp_offset").isNotNull() & F.col("h.mdat_offset").isNotNull()
+    phase = F.when(F.col("role") == "header", 0).when(F.col("role") == "middle", 1).otherwise(2)
+    rows = rows.withColumns({"phase": phase, "place": named(F.col("hex_value").isNull().alias("unnamed"), "hex_value", "ord"), "plain": able & ((F.col("role") != "middle") | ~(odd & F.col("standalone")))})
+    length = F.when(F.col("plain"), F.col("size")).otherwise(zero)
+    middle = F.col("role") == "middle"
+    last_hex = F.coalesce(F.last(F.when(middle, F.col("hex_value")), ignorenulls=True).over(before), F.col("h.hex_value"))
+    rows = rows.withColumns({"at": F.coalesce(F.sum(length).over(before), zero), "nth": F.count(F.when(F.col("plain"), 1)).over(line), "last_hex": last_hex, "all": F.sum(length).over(whole)})
     over = F.when(F.col("at") + F.col("cut_offset") + F.col("cut_size") <= F.col("all"), F.col("at") + F.col("cut_offset"))
-    moov = line.groupBy(key).agg(F.max(F.greatest(F.col("at") + F.col("moov_offset"), over)).alias("moov"), F.first("all").alias("all"))
-    streamed = moov.where(F.col("moov") > F.floor(F.col("all") / 2)).select(key)
-    plain = line.join(streamed, key, "left_anti").where("size > 0").select(key, "seq", F.lit("data").alias("kind"), F.col("ord").alias("source"), F.lit(0).cast("bigint").alias("src_offset"), F.col("size").alias("length"), F.col("at").alias("out_offset"), F.lit(None).cast("binary").alias("literal"), F.lit(None).cast("string").alias("error"))
-
-    # the header taken apart; ``rank`` orders segments
-    tail = roles.where("role = 'tail'").select(key, F.col("ord").alias("t_ord"), F.col("hex_value").alias("t_hex"), F.col("moov_offset").alias("t_moov"), F.col("moov_size").alias("t_moov_size"))
-    facts = header.join(streamed, key, "left_semi").join(stats, key, "left").join(tail, key, "left")
-    facts = facts.select(key, F.col("ord").alias("h_ord"), F.col("size").alias("h_size"), F.col("hex_value").alias("h_hex"), "ftyp_offset", "ftyp_size", "mdat_offset", "mdat_size", "mdat_head", "modal_size", "t_ord", "t_hex", "t_moov", "t_moov_size")
-    facts = facts.withColumn("prefix", F.greatest(F.col("mdat_offset") - F.col("ftyp_offset"), F.col("ftyp_size")))
-    rank = lambda phase, at=None, sub=0: F.struct(F.lit(phase).alias("phase"), (F.lit(0) if at is None else at).cast("bigint").alias("at"), F.lit(sub).alias("sub")).alias("rank")
-    media = F.col("mdat_offset") + F.col("mdat_head")
-    own = [facts.select(key, rank(0), *_segment("prefix", F.col("h_ord"), F.col("ftyp_offset"), F.col("prefix"))), facts.select(key, rank(1), *_segment("mdat head", None, None, F.col("mdat_head"))), facts.select(key, rank(2), *_segment("media", F.col("h_ord"), media, F.col("h_size") - media))]
-    own.append(facts.where("t_ord is not null").select(key, rank(4), *_segment("tail", F.col("t_ord"), F.lit(0), F.col("t_moov"))))
-    by_place = Window.partitionBy(key).orderBy("place")
-    middle = roles.where("role = 'middle'").withColumn("place", place).join(facts.select(key, "h_hex", "t_hex"), key)
-    before = F.coalesce(F.last("hex_value", ignorenulls=True).over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.col("h_hex"))
-    middle = middle.withColumns({"before": before, "nth": F.row_number().over(by_place)})
-    missing = F.greatest(F.col("hex_value") - F.col("before") - 1, F.lit(0))
-    missing = F.coalesce(F.greatest(missing - F.coalesce((F.col("t_hex") > F.col("before")) & (F.col("t_hex") < F.col("hex_value")), F.lit(False)).cast("int"), F.lit(0)), F.lit(0))
-    own += [middle.select(key, rank(3, F.col("nth"), 0), *_segment("zero", None, None, missing * F.col("modal_size"))), middle.select(key, rank(3, F.col("nth"), 1), *_segment("data", F.col("ord"), F.lit(0), F.col("size")))]
-    body = own[0]
-    for other in own[1:]:
-        body = body.unionByName(other)
-    ranked = Window.partitionBy(key).orderBy("rank")
-    body = body.where("length > 0").withColumn("out_offset", F.coalesce(F.sum("length").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ends = body.groupBy(key).agg(F.sum("length").alias("end")).join(facts, key)
-    target, actual = F.col("prefix") + F.col("mdat_size"), F.col("end") - F.col("prefix")
-    ends = ends.withColumn("final", F.when(actual > F.col("mdat_size") * 2, actual).otherwise(F.col("mdat_size"))).withColumn("stop", F.col("prefix") + F.col("final"))
-    body = body.join(ends.select(key, "final", "stop", "mdat_head"), key)
-    fits = F.when(F.col("rank.phase") < 2, F.col("length")).otherwise(F.least("length", F.col("stop") - F.col("out_offset")))
-    body = body.withColumns({"length": fits, "literal": F.when(F.col("kind") == "mdat head", _mdat_head(F.col("final"), F.col("mdat_head")))}).where("length > 0").select(key, "rank", *_SEGMENT)
-    pad = ends.where(target > F.col("end")).select(key, rank(5), *_segment("zero", None, None, target - F.col("end")), F.col("end").alias("out_offset"))
-    moov = ends.where("t_moov is not null").select(key, rank(6), *_segment("moov", F.col("t_ord"), F.col("t_moov"), F.col("t_moov_size")), F.col("stop").alias("out_offset"))
-    apart = body.unionByName(pad).unionByName(moov).withColumn("seq", F.row_number().over(ranked).cast("bigint")).select(key, "seq", *_SEGMENT, F.lit(None).cast("string").alias("error"))
-    return plain.unionByName(apart).unionByName(failed)
+    hit = F.when(F.col("plain"), F.greatest(F.col("at") + F.col("moov_offset"), over))
+    gap = F.greatest(F.col("hex_value") - F.col("last_hex") - 1, F.lit(0))
+    gap = F.coalesce(F.greatest(gap - F.coalesce((F.col("t.hex_value") > F.col("last_hex")) & (F.col("t.hex_value") < F.col("hex_value")), F.lit(False)).cast("int"), F.lit(0)), F.lit(0))
+    rows = rows.withColumns({"streamed": F.coalesce(F.max(hit).over(whole) > F.floor(F.col("all") / 2), F.lit(False)), "hole": F.when(middle, gap * F.col("modal_size")).otherwise(zero)})
+
+    # the header taken apart
+    more = F.when(middle, F.col("hole") + F.col("size")).otherwise(zero)
+    h = lambda c: F.col(f"h.{c}")
+    rows = rows.withColumns({"behind": F.coalesce(F.sum(more).over(before), zero), "chunks": F.sum(more).over(whole), "prefix": F.greatest(h("mdat_offset") - h("ftyp_offset"), h("ftyp_size")), "media_at": h("mdat_offset") + h("mdat_head")})
+    rows = rows.withColumn("media", F.greatest(h("size") - F.col("media_at"), zero))
+    rows = rows.withColumn("begun", F.col("prefix") + h("mdat_head") + F.col("media"))
+    rows = rows.withColumn("end", F.col("begun") + F.col("chunks") + F.coalesce("t.moov_offset", zero))
+    actual = F.col("end") - F.col("prefix")
+    rows = rows.withColumn("final", F.when(actual > h("mdat_size") * 2, actual).otherwise(h("mdat_size"))).withColumn("stop", F.col("prefix") + F.col("final"))
+
+    none, here = F.lit(None), F.col("begun") + F.col("behind")
+
+    def segment(sub, out, kind, source, src_offset, length, literal=None, cut=True):
+        length = F.least(length, F.col("stop") - out) if cut else length
+        return F.struct(F.lit(sub).alias("sub"), *_segment(kind, source, src_offset, length, literal), out.cast("bigint").alias("out_offset"))
+
+    parts = F.when(middle, F.array(segment(0, here, "zero", None, None, F.col("hole")), segment(1, here + F.col("hole"), "data", F.col("ord"), zero, F.col("size"))))
+    parts = parts.when(F.col("role") == "tail", F.array(segment(0, here, "tail", F.col("ord"), zero, F.col("moov_offset"))))
+    parts = parts.otherwise(
+        F.array(
+            segment(0, zero, "prefix", F.col("ord"), F.col("ftyp_offset"), F.col("prefix"), cut=False), segment(1, F.col("prefix"), "mdat head", None, None, F.col("mdat_head"), _mdat_head(F.col("final"), F.col("mdat_head")), cut=False),
+            segment(2, F.col("prefix") + F.col("mdat_head"), "media", F.col("ord"), F.col("media_at"), F.col("media")),
+            segment(3, F.col("end"), "zero", None, None, F.col("prefix") + F.col("mdat_size") - F.col("end"), cut=False), segment(4, F.col("stop"), "moov", F.col("t.ord"), F.col("t.moov_offset"), F.col("t.moov_size"), cut=False),
+        )
+    )
+    joined = F.when(F.col("plain"), F.array(segment(0, F.col("at"), "data", F.col("ord"), zero, F.col("size"), cut=False)))
+    failed = F.when(F.col("role") == "header", F.array(F.struct(F.lit(0).alias("sub"), none.cast("string").alias("kind"), *(none.cast("binary" if c == "literal" else "bigint").alias(c) for c in ("source", "src_offset", "length", "literal", "out_offset")))))
+    made = rows.withColumn("error", F.when(h("ftyp_offset").isNull(), "no ftyp box").when(h("mdat_offset").isNull(), "no mdat box"))
+    made = made.withColumn("parts", F.when(F.col("error").isNotNull(), failed).when(F.col("streamed"), parts).otherwise(joined))
+    made = made.select(key, "phase", "place", "nth", "streamed", "error", F.explode("parts").alias("p")).select("*", "p.*").where("length > 0 or error is not null")
+    # what ends the file comes after the tail
+    ranked = whole.orderBy(F.when((F.col("phase") == 0) & F.col("sub").isin(3, 4), 3).otherwise(F.col("phase")), "place", "sub")
+    number = F.when(F.col("error").isNotNull(), zero).when(F.col("streamed"), F.row_number().over(ranked).cast("bigint")).otherwise(F.col("nth"))
+    return made.select(key, number.alias("seq"), *_SEGMENT, "error")
 
 
 def segment_plan_index(raw: DataFrame, key: str = "resource_id") -> DataFrame:
