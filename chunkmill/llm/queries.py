@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_ppm, quality, toxicity
+from . import lm_ppm, periodic_runs, quality, toxicity
 from .bpe_codec import encode_digests
 from .exact_dedup import mark_copies
 from .exact_topk import top_k
@@ -59,7 +59,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), label="quality", threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_counts, op3_lm_ppm, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_token_store, op8_packing, op9_exact_topk, op10_quality)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tailed = periodic_runs.repeat_tails(_table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.collapse_runs(tailed, exponent=4, least=6))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_counts, op3_lm_ppm, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_token_store, op8_packing, op9_exact_topk, op10_quality, op12_periodic_runs)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
