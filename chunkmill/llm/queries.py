@@ -11,6 +11,7 @@ from .exact_dedup import mark_copies
 from .exact_topk import top_k
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .token_alignment import alignment_digests
 from .token_counts import count_tokens
 from .token_store import stored_digests
 
@@ -59,12 +60,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), label="quality", threshold=0.3)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tailed = periodic_runs.repeat_tails(_table(spark, sf_dir, "documents"))
     return periodic_runs.run_digests(periodic_runs.collapse_runs(tailed, exponent=4, least=6))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_counts, op3_lm_ppm, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_token_store, op8_packing, op9_exact_topk, op10_quality, op12_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_counts, op3_lm_ppm, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_token_store, op8_packing, op9_exact_topk, op10_quality, op11_token_alignment, op12_periodic_runs)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
