@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .token_alignment import alignment_digests
 from .token_counts import count_tokens
 from .token_store import stored_digests
+from .vector_dedup import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +70,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.collapse_runs(tailed, exponent=4, least=6))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_counts, op3_lm_ppm, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_token_store, op8_packing, op9_exact_topk, op10_quality, op11_token_alignment, op12_periodic_runs)}
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_token_counts, op3_lm_ppm, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_token_store, op8_packing, op9_exact_topk, op10_quality, op11_token_alignment, op12_periodic_runs, op13_vector_dedup)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -100,4 +105,14 @@ ORACLE_SQL = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    # all pairs and all reachable ones, so only for small tables
+    "op13_vector_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+        r(x, y) AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+        c AS (SELECT x, min(y) AS least_id FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.least_id, e.vec_id)) AS component_id, least(e.vec_id, coalesce(c.least_id, e.vec_id)) = e.vec_id AS kept
+        FROM embeddings e LEFT JOIN c ON c.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id""",
 }
