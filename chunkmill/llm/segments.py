@@ -66,25 +66,32 @@ def raw_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def segment(texts: pa.Array, fold: bool = False) -> Segments:
-    """Segments of each text. ``fold``: for tokenizers that lower-case and drop white space;
-    ASCII letters are then folded and leading white space is left out of the segments."""
-    data, starts = raw_buffer(texts)
-    n, docs = len(data), len(starts) - 1
-    if not n:
-        return Segments([], np.zeros(0, np.int64), np.zeros(docs + 1, np.int64))
+def borders(data: np.ndarray, fold: bool = False) -> np.ndarray:
+    """The cuts listed above: whether a piece begins at each byte, as far as that is sure."""
+    n = len(data)
     space = _SPACE[data]
     cut = np.zeros(n + 1, bool)
-    before, here = space[:-1], space[1:]
     soft = _MAYBE_SPACE_END[data]
     soft[1:] &= _MAYBE_SPACE_LEAD[data[:-1]]
     # where white space is dropped, every run of it is a border; else one may go on a non-ASCII space before it
-    cut[1:n] = here & ~before & (fold | ~soft[:-1])
+    cut[1:n] = space[1:] & ~space[:-1] & (fold | ~soft[:-1])
     if n > 2:
         # x \n | y : the line feed is a piece of its own
         cut[2:n] |= (data[1:-1] == 10) & ~space[2:] & ~_MAYBE_SPACE_BEGIN[data[2:]] & ~space[:-2] & ~soft[:-2]
     letter, punct = _LETTER[data], _PUNCT[data]
     cut[1:n] |= (letter[:-1] & punct[1:]) | (punct[:-1] & letter[1:])
+    return cut
+
+
+def segment(texts: pa.Array, fold: bool = False) -> Segments:
+    """Segments of each text. ``fold``: for tokenizers that lower-case and drop white space;
+    ASCII letters are then folded and leading white space is left out of the segments."""
+    data, starts = raw_buffer(texts)
+    n, docs = len(data), len(starts) - 1
+    if not n:
+        return Segments([], np.zeros(0, np.int64), np.zeros(docs + 1, np.int64))
+    space = _SPACE[data]
+    cut = borders(data, fold)
     cut[starts] = True
     cut[n] = True
     at = np.flatnonzero(cut)

@@ -6,9 +6,10 @@ the side behind, which shortens the residual, or takes the lead with what it has
 both end at one byte and a group closes. States and transitions are few, and are memoised by (side and residual,
 token). While it walks, each token that is read overlaps the token that leads: these are the links.
 
-Texts are first cut before a space that follows something else than white space. No token of either side
-spans such a place (checked for the second vocabulary), so both end there, and the alignment of a text is that of
-its distinct parts, one after another.
+Texts are first cut where no token of either side can lie across: at the places where the first tokenizer's
+pattern always begins a new piece (before white space, after a lone line feed, between an ASCII letter and
+punctuation), if no piece of the second vocabulary holds the two characters side by side. Both sides end there,
+so the alignment of a text is that of its distinct parts, one after another.
 
 How often an id pair is linked is counted over the whole corpus by Spark. Pairs that most documents hold are
 broadcast (at most HEAD of them, at any corpus size), the others of a document are joined.
@@ -17,6 +18,7 @@ broadcast (at most HEAD of them, at any corpus size), the others of a document a
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .segments import _MAYBE_SPACE_END, _MAYBE_SPACE_LEAD, _SPACE, raw_buffer, slices
+from .segments import borders, raw_buffer, slices
 from .shared import discard, stored
 from .vocab import GenerationCache, byte_alphabet
 
@@ -47,8 +49,9 @@ class Transducer:
 
     def _clear(self) -> None:
         self.states: dict[tuple[int, bytes], int] = {}
-        self.held: list[tuple[int, bytes] | None] = [None]
-        self.next: dict[tuple[int, int], int] = {}
+        self.held: list[tuple[int, bytes]] = [(1, b"")]  # the second side has nothing more than the first: the first is read
+        self.next: list[dict[int, int]] = [{}]
+        self.size = 0
 
     def _state(self, side: int, residual: bytes) -> int:
         if not residual:
@@ -56,45 +59,54 @@ class Transducer:
         at = self.states.setdefault((side, residual), len(self.held))
         if at == len(self.held):
             self.held.append((side, residual))
+            self.next.append({})
         return at
 
     def _step(self, state: int, token: int) -> int:
-        """The state after the next token: of the first side if nothing dangles, else of the side behind. -1: bytes differ."""
-        if state == 0:
-            return self._state(0, self.bytes[0][token])
+        """The state after the next token of the side behind. -1: bytes differ."""
         side, residual = self.held[state]
         read = self.bytes[1 - side][token]
         if len(read) <= len(residual):
-            return self._state(side, residual[len(read) :]) if residual.startswith(read) else -1
-        return self._state(1 - side, read[len(residual) :]) if read.startswith(residual) else -1
-
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[int]] | None:
-        """Groups, as (ids of the first, ids of the second), and links as ``first id << 32 | second id``; None if the
-        bytes of both differ."""
-        if len(self.next) > TRANSITIONS:
+            made = self._state(side, residual[len(read) :]) if residual.startswith(read) else -1
+        else:
+            made = self._state(1 - side, read[len(residual) :]) if read.startswith(residual) else -1
+        self.next[state][token] = made
+        self.size += 1
+        return made
+
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]] | None:
+        """Groups, as texts ``a1,a2|b1``, and links as ``first id << 32 | second id``; None if the bytes of both differ."""
+        if self.size > TRANSITIONS:
             self._clear()
-        known, held, ids, at = self.next, self.held, (a, b), [0, 0]
-        groups, links, group, state, lead = [], [], ([], []), 0, [0, 0]
-        while at[0] < len(a) or at[1] < len(b):
-            side = 0 if state == 0 else 1 - held[state][0]
-            if at[side] == len(ids[side]):
-                return None
-            token = ids[side][at[side]]
-            at[side] += 1
-            group[side].append(token)
-            lead[side] = token
+        known, held, at_a, at_b, end_a, end_b = self.next, self.held, 0, 0, len(a), len(b)
+        groups, links, state, begun_a, begun_b = [], [], 0, 0, 0
+        lead_a = lead_b = 0
+        while at_a < end_a or at_b < end_b:
+            if held[state][0]:  # the second side leads, or nothing dangles
+                if at_a == end_a:
+                    return None
+                token = lead_a = a[at_a]
+                at_a += 1
+            else:
+                if at_b == end_b:
+                    return None
+                token = lead_b = b[at_b]
+                at_b += 1
             if state:
-                links.append(lead[0] << 32 | lead[1])
-            new = known.get((state, token))
+                links.append(lead_a << 32 | lead_b)
+            new = known[state].get(token)
             if new is None:
-                new = known[state, token] = self._step(state, token)
-            if new < 0:
-                return None
+                new = self._step(state, token)
+            if new <= 0:
+                if new:
+                    return None
+                if at_a - begun_a == 1 == at_b - begun_b:
+                    groups.append(f"{lead_a}|{lead_b}")
+                else:
+                    groups.append(",".join(map(str, a[begun_a:at_a])) + "|" + ",".join(map(str, b[begun_b:at_b])))
+                begun_a, begun_b = at_a, at_b
             state = new
-            if state == 0:
-                groups.append(group)
-                group = ([], [])
-        return (groups, links) if state == 0 else None
+        return None if state else (groups, links)
 
 
 class Aligner:
@@ -112,29 +124,39 @@ class Aligner:
         first = [bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in tokens]
         pieces = [self.second.id_to_piece(i) for i in range(self.second.vocab_size())]
         second = [bytes([int(m[1], 16)]) if (m := _BYTE(p)) else p.replace(_SPACE_PIECE, " ").encode() for p in pieces]
-        if any(re.search(f"[^{_SPACE_PIECE}]{_SPACE_PIECE}", p) for p in pieces):
-            raise ValueError("a piece holds a space behind something else")
+        #: ASCII characters that some piece has side by side, the space mark as the space it stands for
+        self.beside = np.zeros((128, 128), bool)
+        for p in pieces:
+            p = p.replace(_SPACE_PIECE, " ")
+            for x, y in itertools.pairwise(p if not _BYTE(p) else ""):
+                if x < "\x80" and y < "\x80":
+                    self.beside[ord(x), ord(y)] = True
+        if any(re.search(f"[^{_SPACE_PIECE}]{_SPACE_PIECE}", p) for p in pieces) or any("\n" in p for p in pieces):
+            raise ValueError("a piece holds a space behind something else, or a line feed")
         self.space = self.second.piece_to_id(_SPACE_PIECE)
         self.transducer = Transducer(first, second)
         self.cache = GenerationCache(100_000)
 
     def _aligned(self, part: bytes, a: list[int], b: list[int]) -> tuple | None:
+        own = self.transducer.bytes[0]
         found = self.transducer.align(a, b)
-        if found is None or b"".join(self.transducer.bytes[0][i] for i in a) != part:
+        if found is None or b"".join([own[i] for i in a]) != part:
             return (False,)
         groups, links = found
-        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        return True, len(a), len(b), len(groups), text.encode(), np.array(links, np.int64)
+        return True, len(a), len(b), len(groups), ";".join(groups).encode(), np.array(links, np.int64)
+
+    def _second(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part by the second tokenizer, which puts a space before what it is given. A part that begins with one goes
+        without it; another goes behind a line feed, which no piece spans, and loses the ids of both."""
+        coded = self.second.encode([t[1:] if t[0] == " " else "\n" + t for t in parts], num_threads=1)
+        return [[self.space] if t == " " else ids if t[0] == " " else ids[2:] for t, ids in zip(parts, coded, strict=True)]
 
     def _make(self, parts: list[bytes]) -> list[tuple]:
-        """Each part begins with a space, which the second tokenizer adds by itself."""
         out = []
         for at in range(0, len(parts), 4096):
             some = [p.decode() for p in parts[at : at + 4096]]
             first = [e.ids for e in self.first.encode_batch_fast(some, add_special_tokens=False)]
-            second = self.second.encode([t[1:] for t in some], num_threads=1)
-            for part, text, a, b in zip(parts[at : at + 4096], some, first, second, strict=True):
-                out.append(self._aligned(part, a, b if text != " " else [self.space]))
+            out += map(self._aligned, parts[at : at + 4096], first, self._second(some))
         return out
 
     def __call__(self, parts: list[bytes]) -> list[tuple]:
@@ -155,22 +177,20 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 
 
-def cut_texts(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct parts of the texts, each with a space before it, the part of each place as an index, and where each text's
-    parts begin. Empty texts have none."""
+def cut_texts(texts: pa.Array, beside: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct parts of the texts, each text with a space before it, the part of each place as an index, and where each
+    text's parts begin. Empty texts have none. ``beside``: ASCII characters that a token may have side by side."""
     data, starts = raw_buffer(texts)
     full = np.diff(starts) > 0
     # the space before each text
-    at = starts[:-1][full]
-    data = np.insert(data, at, 32)
+    data = np.insert(data, starts[:-1][full], 32)
     moved = starts + np.concatenate([[0], np.cumsum(full)])
     n = len(data)
     if not n:
         return [], np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-    soft = _MAYBE_SPACE_END[data]
-    soft[1:] &= _MAYBE_SPACE_LEAD[data[:-1]]
-    cut = np.zeros(n + 1, bool)
-    cut[1:n] = (data[1:] == 32) & ~_SPACE[data[:-1]] & ~soft[:-1]
+    cut = borders(data)
+    plain = np.minimum(data, 127)  # 127 stands for what is not ASCII; it is a control character, which pieces do not hold
+    cut[1:n] &= ~beside[plain[:-1], plain[1:]]
     cut[moved[:-1][full]] = True
     cut[n] = True
     ends = np.flatnonzero(cut)
@@ -195,7 +215,7 @@ def align_tokens(docs: DataFrame, byte_tokenizer: str, piece_tokenizer: str, id_
         align = aligner(byte_tokenizer, piece_tokenizer)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                parts, codes, bounds = cut_texts(part.column("text"))
+                parts, codes, bounds = cut_texts(part.column("text"), align.beside)
                 made = align(parts)
                 fine = np.array([m[0] for m in made], bool)
                 figures = np.array([[*m[1:4], len(m[5])] if m[0] else [0] * 4 for m in made], np.int64).reshape(-1, 4)
