@@ -34,8 +34,8 @@ sparse AS (SELECT DISTINCT cache_dir, url FROM fx_entries WHERE is_sparse)"""
 
 @query("fx_entries fx_children", _KIDS + """ SELECT s.cache_dir, s.url, count(k.url) AS n_children, CAST(CASE WHEN max(e.body_size) > 0 THEN max(e.body_size) ELSE coalesce(sum(k.size), 0) END AS BIGINT) AS body_size, coalesce(max(k.child_id) * 1048576, -1) AS last_offset FROM sparse s JOIN fx_entries e USING (cache_dir, url) LEFT JOIN kids k ON k.cache_dir = s.cache_dir AND k.url = s.url GROUP BY ALL""")
 def j1_link_sparse_children(entries, children):
-    out = link.link_sparse_children(entries, children)
-    return out.select("cache_dir", "url", F.col("n_children").cast("bigint").alias("n_children"), "body_size", F.coalesce(F.try_element_at("children", F.lit(-1))["offset_bytes"], F.lit(-1)).alias("last_offset"))
+    out = link.linked_parents(entries, children)
+    return out.select("cache_dir", "url", "n_children", "body_size", F.coalesce("last_offset", F.lit(-1)).alias("last_offset"))
 
 
 @query("fx_entries fx_children", _KIDS + """ SELECT cache_dir, substr(url, 1, 200) AS parent_url, count(*) AS n_children FROM kids ANTI JOIN sparse USING (cache_dir, url) GROUP BY ALL""")
@@ -50,19 +50,19 @@ def j3_unmatched_parents(entries, children):
 
 @query("fx_entries fx_children fx_files", _KIDS + """ SELECT k.cache_dir, k.url, count(*) AS n_files, CAST(sum(f.size) AS BIGINT) AS bytes FROM kids k JOIN sparse USING (cache_dir, url) JOIN fx_files f ON f.cache_dir = k.cache_dir AND f.name = k.file_name WHERE k.is_external GROUP BY ALL""")
 def j4_match_entry_files(entries, children, files):
-    out = link.match_entry_files(link.link_sparse_children(entries, children), files)
-    return out.select("cache_dir", "url", "n_files", F.aggregate("files", F.lit(0).cast("bigint"), lambda a, f: a + f["size"]).alias("bytes"))
+    out = link.entry_files(link.child_rows(entries, children), files)
+    return out.groupBy("cache_dir", "url").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
 
 
 @query("fx_entries fx_children", _KIDS + """ SELECT k.cache_dir, file_name AS name, arg_max(k.url, e.ord) AS url FROM kids k JOIN fx_entries e ON e.cache_dir = k.cache_dir AND e.url = k.url WHERE e.is_sparse AND is_external GROUP BY ALL""")
 def j5_file_entry_map(entries, children):
-    return link.file_entry_map(link.link_sparse_children(entries, children))
+    return link.file_entry_map(link.child_rows(entries, children))
 
 
 @query("fx_entries fx_children fx_files", _KIDS + """ SELECT cache_dir, name, size FROM fx_files f WHERE file_type IS DISTINCT FROM 'jpeg' AND NOT EXISTS (SELECT 1 FROM kids k JOIN sparse USING (cache_dir, url) WHERE is_external AND k.cache_dir = f.cache_dir AND k.file_name = f.name)""")
 def j6_unclaimed_files(entries, children, files):
     made = files.where("file_type = 'jpeg'")
-    return link.unclaimed_files(files, link.link_sparse_children(entries, children), made).select("cache_dir", "name", "size")
+    return link.unclaimed_files(files, link.child_rows(entries, children), made).select("cache_dir", "name", "size")
 
 
 # two streams an entry: headers (0) and body (1), the body in the file that comes before the children's
@@ -84,15 +84,15 @@ UNION ALL SELECT cache_dir, url, file_name FROM streams s WHERE stream_index = 1
 SELECT r.cache_dir, r.url, count(*) AS n_files, CAST(sum(f.size) AS BIGINT) AS bytes FROM refs r JOIN fx_files f ON f.cache_dir = r.cache_dir AND f.name = r.file_name GROUP BY ALL""")
 def j4_match_stream_files(entries, children, files):
     entries, streams = _entry_streams(entries)
-    out = link.match_entry_files(link.link_sparse_children(entries, children), files, streams)
-    return out.select("cache_dir", "url", "n_files", F.aggregate("files", F.lit(0).cast("bigint"), lambda a, f: a + f["size"]).alias("bytes"))
+    out = link.entry_files(link.child_rows(entries, children), files, streams)
+    return out.groupBy("cache_dir", "url").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
 
 
 @query("fx_entries fx_children", _KIDS + _STREAMS + """, refs AS (SELECT k.cache_dir, k.url, n.ord, k.file_name AS name FROM kids k JOIN numbered n USING (cache_dir, url) WHERE k.is_external AND n.is_sparse
 UNION ALL SELECT cache_dir, url, ord, file_name FROM streams WHERE is_external AND (is_sparse OR body_size > 0)) SELECT cache_dir, name, arg_max(url, ord) AS url FROM refs GROUP BY ALL""")
 def j5_stream_entry_map(entries, children):
     entries, streams = _entry_streams(entries)
-    return link.file_entry_map(link.link_sparse_children(entries, children), streams)
+    return link.file_entry_map(link.child_rows(entries, children), streams)
 
 
 @query("fx_entries fx_children fx_files", _KIDS + _STREAMS + """ SELECT cache_dir, name, size FROM fx_files f WHERE file_type IS DISTINCT FROM 'jpeg' AND NOT EXISTS (SELECT 1 FROM kids k JOIN sparse USING (cache_dir, url) WHERE is_external AND k.cache_dir = f.cache_dir AND k.file_name = f.name)
@@ -100,7 +100,7 @@ AND NOT EXISTS (SELECT 1 FROM streams s WHERE is_sparse AND is_external AND s.ca
 def j6_unclaimed_stream_files(entries, children, files):
     entries, streams = _entry_streams(entries)
     made = files.where("file_type = 'jpeg'")
-    return link.unclaimed_files(files, link.link_sparse_children(entries, children), made, streams).select("cache_dir", "name", "size")
+    return link.unclaimed_files(files, link.child_rows(entries, children), made, streams).select("cache_dir", "name", "size")
 
 
 _HEADER = f"(coalesce(file_type IN ({', '.join(repr(t) for t in group.HEADER_TYPES)}), false) OR coalesce(file_type = 'mp4_complete' AND size = 1048576, false) OR coalesce(file_type = 'mp4_header_only', false))"
@@ -323,8 +323,10 @@ def a11_unidentified_files(files):
     SELECT cache_dir, index_url, coalesce(-max(best), max(latest)) AS ord, count(*) AS merged_rows, count(DISTINCT 'f' || CAST(ord % 40 AS VARCHAR)) AS n_names FROM g GROUP BY cache_dir, index_url""",
 )
 def a10_dedupe_resources_by_url(files):
-    res = _resources(files).where("index_url is not null").withColumns({"authoritative": F.col("n_children") == 0, "files": F.array(F.struct(F.concat(F.lit("f"), (F.col("ord") % 40).cast("string")).alias("name"), F.col("total_size").alias("size")))})
-    return group.dedupe_resources_by_url(res).select("cache_dir", "index_url", "ord", F.col("merged_rows").cast("bigint").alias("merged_rows"), F.size("files").cast("bigint").alias("n_names"))
+    res = _resources(files).where("index_url is not null").withColumn("authoritative", F.col("n_children") == 0)
+    own = res.select("cache_dir", "ord", F.lit(0).alias("place"), F.concat(F.lit("f"), (F.col("ord") % 40).cast("string")).alias("name"), F.col("total_size").alias("size"))
+    one, merged = group.merge_resources_by_url(res, own)
+    return one.join(merged.groupBy("cache_dir", "ord").agg(F.count(F.lit(1)).alias("n_names")), ["cache_dir", "ord"]).select("cache_dir", "index_url", "ord", "merged_rows", "n_names")
 
 
 @query("fx_ranges", """ SELECT resource_id, max(range_offset + range_length) AS sparse_size FROM fx_ranges GROUP BY resource_id""")

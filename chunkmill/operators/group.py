@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.headers import content_range_total
 from ..functions.media import is_known_non_media
 from ..functions.urls import strip_cache_key_prefix, url_basename
+from .spread import beside, numbered
 
 CACHE = "cache_dir"
 #: Positions of a bucket: a cache is walked in buckets, so that one large cache is many tasks.
@@ -56,12 +57,12 @@ def affinity_files(files: DataFrame) -> DataFrame:
 
 
 def with_affinity(files: DataFrame) -> DataFrame:
-    """Adds ``range_total``, ``etag_members`` and ``range_members``. Counts are joined back, so a common
-    etag is summed before it is shuffled and null keys are not gathered."""
+    """Adds ``range_total``, ``etag_members`` and ``range_members``. A common etag or total is summed before it is shuffled, and
+    its files get the sum from a broadcast of the frequent ones; null keys are not gathered."""
     keyed = files.withColumn("range_total", content_range_total(F.col("content_range")))
     etags = affinity_by_etag(files).select(CACHE, "etag", F.col("members").alias("etag_members"))
     totals = affinity_by_range_total(files).select(CACHE, "range_total", F.col("members").alias("range_members"))
-    return keyed.join(etags, [CACHE, "etag"], "left").join(totals, [CACHE, "range_total"], "left")
+    return beside(beside(keyed, [CACHE, "etag"], etags, "etag_members"), [CACHE, "range_total"], totals, "range_members")
 
 
 def affinity_gate(candidates: DataFrame) -> DataFrame:
@@ -98,26 +99,39 @@ def sequential_chunks(files: DataFrame) -> DataFrame:
     return gated.select(CACHE, "name", "hex_value", F.col("h_name").alias("header_file"), (F.col("hex_value") - F.col("h_hex_value")).alias("hex_distance"), "method")
 
 
+def merge_resources_by_url(resources: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One resource for each URL of a cache: the first one that is sparse or has children, else the last. It gets the files
+    of the others, its own first, then those of earlier rows from near to far, then those of later rows; a name
+    is kept once. Its size is summed anew only if it was 0. Resources without a URL stay as they are.
+
+    ``resources``: ``cache_dir``, ``ord``, ``index_url``, ``total_size``, ``authoritative``; ``files``: ``cache_dir``, ``ord``, ``place``
+    (their order), ``name``, ``size``. Returns the resources, with ``merged_rows``, and their files, whose ``place`` is now
+    (turn, distance, place). Both stay rows, so a URL may have any number of either.
+    """
+    urls = resources.where("index_url is not null").groupBy(CACHE, "index_url").agg(F.coalesce(F.min(F.when(F.col("authoritative"), F.col("ord"))), F.max("ord")).alias("keep"), F.count(F.lit(1)).alias("merged_rows"))
+    known = beside(resources.select(CACHE, "ord", "index_url", "total_size"), [CACHE, "index_url"], urls, "merged_rows")
+    known = known.withColumns({"keep": F.coalesce("keep", "ord"), "merged_rows": F.coalesce("merged_rows", F.lit(1))})
+    turn = F.when(F.col("ord") == F.col("keep"), 0).when(F.col("ord") < F.col("keep"), 1).otherwise(2)
+    far = F.abs(F.col("ord") - F.col("keep"))
+    placed = files.join(known.select(CACHE, "ord", "keep", F.col("index_url").isNotNull().alias("_url"), turn.alias("turn"), far.alias("distance")), [CACHE, "ord"])
+    placed = placed.select(CACHE, F.col("keep").alias("ord"), "_url", F.struct("turn", "distance", "place").alias("place"), "name", "size")
+    first = F.min(F.struct("place", "size")).alias("_f")
+    once = placed.where("_url").groupBy(CACHE, "ord", "name").agg(first).select(CACHE, "ord", "_f.place", "name", "_f.size")
+    merged = once.unionByName(placed.where("not _url").drop("_url"))
+    summed = merged.groupBy(CACHE, "ord").agg(F.sum("size").alias("_sum"))
+    one = known.where("ord = keep").join(summed, [CACHE, "ord"], "left")
+    total = F.when((F.col("total_size") == 0) & F.col("index_url").isNotNull(), F.coalesce("_sum", F.lit(0))).otherwise(F.col("total_size"))
+    return one.select(CACHE, "index_url", "ord", total.alias("total_size"), "merged_rows"), merged
+
+
 def dedupe_resources_by_url(resources: DataFrame) -> DataFrame:
-    """One resource for each URL of a cache: the first one that is sparse or has children, else the
-    last. It gets the files of the others, its own first, then those of earlier rows from near to
-    far, then those of later rows; a name is kept once. Its size is summed anew only if it was 0.
-    Needs ``ord``; rows without URL stay as they are."""
-    rows = resources.withColumn("_n", F.struct("ord", "files", "total_size", "authoritative"))
-    grouped = rows.where("index_url is not null").groupBy(CACHE, "index_url").agg(F.sort_array(F.collect_list("_n")).alias("all"))
-    strong = F.filter("all", lambda x: x["authoritative"])
-    grouped = grouped.withColumn("keep", F.coalesce(F.try_element_at(strong, F.lit(1)), F.element_at("all", -1)))
-    # places: winner 0; earlier rows from near to far; later rows in order
-    earlier = F.reverse(F.filter("all", lambda x: x["ord"] < F.col("keep.ord")))
-    later = F.filter("all", lambda x: x["ord"] > F.col("keep.ord"))
-    merged = F.flatten(F.transform(F.concat(F.array(F.col("keep")), earlier, later), lambda x: x["files"]))
-    grouped = grouped.withColumn("merged", merged).withColumn("_names", F.transform("merged", lambda f: f["name"]))
-    once = F.filter("merged", lambda f, i: F.array_position(F.col("_names"), f["name"]) == i + 1)
-    grouped = grouped.withColumn("files", once)
-    total = F.when(F.col("keep.total_size") == 0, F.aggregate("files", F.lit(0).cast("bigint"), lambda a, f: a + f["size"])).otherwise(F.col("keep.total_size"))
-    urls = grouped.select(CACHE, "index_url", F.col("keep.ord").alias("ord"), "files", total.alias("total_size"), F.size("all").alias("merged_rows"))
-    rest = resources.where("index_url is null").select(CACHE, "index_url", "ord", "files", "total_size", F.lit(1).alias("merged_rows"))
-    return urls.unionByName(rest)
+    """``merge_resources_by_url`` for resources with an array ``files`` of (name, size), for files of which each resource's fit a row."""
+    files = resources.select(CACHE, "ord", F.posexplode("files").alias("place", "f")).select(CACHE, "ord", "place", "f.name", "f.size")
+    one, merged = merge_resources_by_url(resources, files)
+    held = merged.groupBy(CACHE, "ord").agg(F.sort_array(F.collect_list(F.struct("place", "name", "size"))).alias("_f"))
+    listed = F.transform("_f", lambda x: F.struct(x["name"].alias("name"), x["size"].alias("size")))
+    out = one.join(held, [CACHE, "ord"], "left")
+    return out.select(CACHE, "index_url", "ord", F.coalesce(listed, F.array().cast(resources.schema["files"].dataType)).alias("files"), "total_size", F.col("merged_rows").cast("int").alias("merged_rows"))
 
 
 def unidentified_bucket(leftovers: DataFrame) -> DataFrame:
@@ -132,9 +146,10 @@ def unidentified_files(leftovers: DataFrame) -> DataFrame:
 
 
 def number_resources(resources: DataFrame) -> DataFrame:
-    """Running ``number`` within a cache, by phase and order; the unknown bucket has none."""
-    order = Window.partitionBy(CACHE, F.col("resource_type") == "unknown_data").orderBy("phase", "ord")
-    return resources.withColumn("number", F.when(F.col("resource_type") != "unknown_data", F.row_number().over(order)))
+    """Running ``number`` within a cache, by phase and order; the unknown bucket has none. A cache may have any number."""
+    unknown = resources.withColumn("_unknown", F.coalesce(F.col("resource_type") == "unknown_data", F.lit(False)))
+    out = numbered(unknown, [CACHE, "_unknown"], ["phase", "ord"], "number")
+    return out.withColumn("number", F.when(~F.col("_unknown"), F.col("number"))).drop("_unknown")
 
 
 def chunk_gaps(chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spread import numbered
+
 
 def sparse_size(ranges: DataFrame, key: str = "resource_id") -> DataFrame:
     """Size of a sparse body: the largest end of its ranges, 0 if none is valid."""
@@ -67,9 +69,8 @@ def refine_mp4(boxes: DataFrame, key: str = "file_id") -> DataFrame:
 
 
 def order_chunks(chunks: DataFrame, key: str, hex_value: str = "hex_value") -> DataFrame:
-    """``place`` of each chunk in its group by position, chunks without one last."""
-    order = Window.partitionBy(key).orderBy(F.asc_nulls_last(hex_value), "name")
-    return chunks.withColumn("place", F.row_number().over(order))
+    """``place`` of each chunk in its group by position, chunks without one last. A group may have any number."""
+    return numbered(chunks, [key], [F.asc_nulls_last(hex_value), "name"], "place")
 
 
 def pick_tail(chunks: DataFrame, key: str = "resource_id") -> DataFrame:

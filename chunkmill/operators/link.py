@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import media, urls
 from ..functions.names import file_basename
-from ..functions.values import CHILD_BYTES, parse_child_key
+from ..functions.values import parse_child_key
 
 CACHE = "cache_dir"
 
@@ -25,19 +25,37 @@ def first_parents(entries: DataFrame) -> DataFrame:
     return entries.where("is_sparse").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
-def link_sparse_children(entries: DataFrame, children: DataFrame) -> DataFrame:
-    """Children of each sparse parent, in order of their id: one row a parent with ``n_children``,
-    ``body_size`` (its own, or the sum of the children where that is 0) and ``children``, an array of
-    (child_id, offset_bytes, size, file_name). Parents without children have an empty array.
-    Needs ``ord`` of the entries; without a ``body_size`` theirs is 0."""
+def child_rows(entries: DataFrame, children: DataFrame) -> DataFrame:
+    """Children of each sparse parent, a row each: ``cache_dir``, ``url`` and ``ord`` of the parent, ``child_id``,
+    ``offset_bytes``, ``size``, ``file_name``, ``is_external``. Their order is (child_id, file_name, size). Nothing is gathered
+    by URL, so a URL may have any number. Needs ``ord`` of the entries."""
     kids = with_child_keys(children).where("reject_reason is null")
-    part = F.struct("child_id", "file_name", "size", "is_external")
-    grouped = kids.groupBy(CACHE, F.col("parent_url").alias("url")).agg(F.sort_array(F.collect_list(part)).alias("_kids"), F.sum("size").alias("_sum"))
-    linked = first_parents(entries).join(grouped, [CACHE, "url"], "left")
-    made = F.transform(F.col("_kids"), lambda k: F.struct(k["child_id"].alias("child_id"), (k["child_id"] * CHILD_BYTES).alias("offset_bytes"), k["size"].alias("size"), k["file_name"].alias("file_name"), k["is_external"].alias("is_external")))
+    parents = first_parents(entries).select(CACHE, "url", "ord")
+    kids = kids.select(CACHE, F.col("parent_url").alias("url"), "child_id", "offset_bytes", "size", "file_name", "is_external")
+    return kids.join(parents, [CACHE, "url"]).select(CACHE, "url", "ord", "child_id", "offset_bytes", "size", "file_name", "is_external")
+
+
+def linked_parents(entries: DataFrame, children: DataFrame) -> DataFrame:
+    """The sparse parents with ``n_children``, ``body_size`` (their own, or the sum of the children where that is 0) and
+    ``last_offset`` (of the last child; null without any). Children are summed before they are shuffled. Needs
+    ``ord`` of the entries; without a ``body_size`` theirs is 0."""
+    kids = with_child_keys(children).where("reject_reason is null")
+    summed = kids.groupBy(CACHE, F.col("parent_url").alias("url")).agg(F.count(F.lit(1)).alias("n_children"), F.sum("size").alias("_sum"), F.max("offset_bytes").alias("last_offset"))
+    linked = first_parents(entries).join(summed, [CACHE, "url"], "left")
     told = F.col("body_size") if "body_size" in entries.columns else F.lit(0)
     own = F.when(told == 0, F.coalesce("_sum", F.lit(0))).otherwise(told)
-    return linked.withColumns({"children": F.coalesce(made, F.array().cast("array<struct<child_id:bigint,offset_bytes:bigint,size:bigint,file_name:string,is_external:boolean>>")), "body_size": own}).withColumn("n_children", F.size("children")).drop("_kids", "_sum")
+    return linked.withColumns({"body_size": own, "n_children": F.coalesce("n_children", F.lit(0))}).drop("_sum")
+
+
+def link_sparse_children(entries: DataFrame, children: DataFrame) -> DataFrame:
+    """``linked_parents`` with their ``child_rows`` in one array, ``children`` of (child_id, offset_bytes, size, file_name,
+    is_external), for parents of which each fits a row; ``n_children`` is an integer."""
+    part = F.struct("child_id", "file_name", "size", "is_external", "offset_bytes")
+    grouped = child_rows(entries, children).groupBy(CACHE, "url", "ord").agg(F.sort_array(F.collect_list(part)).alias("_kids"))
+    made = F.transform(F.col("_kids"), lambda k: F.struct(*(k[c].alias(c) for c in ("child_id", "offset_bytes", "size", "file_name", "is_external"))))
+    none = F.array().cast("array<struct<child_id:bigint,offset_bytes:bigint,size:bigint,file_name:string,is_external:boolean>>")
+    linked = linked_parents(entries, children).drop("last_offset").join(grouped, [CACHE, "url", "ord"], "left")
+    return linked.withColumn("children", F.coalesce(made, none)).withColumn("n_children", F.col("n_children").cast("int")).drop("_kids")
 
 
 def orphan_children(entries: DataFrame, children: DataFrame) -> DataFrame:
@@ -66,48 +84,59 @@ def link_stats(entries: DataFrame, children: DataFrame) -> DataFrame:
     )
 
 
-def _child_files(linked: DataFrame, *columns: str) -> DataFrame:
-    """``columns``, ``pos`` and the base ``name`` of every external child."""
-    return linked.select(CACHE, *columns, F.posexplode("children").alias("pos", "c")).where("c.is_external").select(CACHE, *columns, "pos", file_basename(F.col("c.file_name")).alias("name"))
+def _child_files(kids: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, ``place`` (their order) and the base ``name`` of every external child of ``child_rows``, or of the arrays of
+    ``link_sparse_children``."""
+    if "children" in kids.columns:
+        kids = kids.select(CACHE, *columns, F.inline("children"))
+    return kids.where("is_external").select(CACHE, *columns, F.struct("child_id", F.col("file_name").alias("file"), "size").alias("place"), file_basename(F.col("file_name")).alias("name"))
 
 
 def _own_files(entry_streams: DataFrame, *columns: str) -> DataFrame:
     """The same of every external stream of the entries themselves."""
-    return entry_streams.where("is_external").select(CACHE, *columns, F.lit(0).alias("pos"), file_basename(F.col("file_name")).alias("name"))
+    none = F.struct(F.lit(0).cast("bigint").alias("child_id"), F.lit("").alias("file"), F.lit(0).cast("bigint").alias("size"))
+    return entry_streams.where("is_external").select(CACHE, *columns, none.alias("place"), file_basename(F.col("file_name")).alias("name"))
 
 
-def match_entry_files(linked: DataFrame, files: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
-    """Files of each entry, in the order of its external children; of an entry without children, its
-    stream 1 if that is external. Files that are not there are dropped: ``files``, an array of (name,
-    size), and ``n_files``.
+def entry_files(kids: DataFrame, files: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
+    """Files of each entry, a row each: ``cache_dir``, ``url``, (``ord``), ``place`` (their order: that of the external children),
+    ``name``, ``size``; of an entry without children, its stream 1 if that is external. Files that are not there are
+    dropped. ``kids`` as of ``child_rows`` (or ``link_sparse_children``).
 
     ``entry_streams`` has a row for every stream of every entry: ``url``, ``ord``, ``is_sparse`` and
-    ``body_size`` of the entry, ``stream_index``, ``file_name``, ``is_external``. With it, ``linked``
+    ``body_size`` of the entry, ``stream_index``, ``file_name``, ``is_external``. With it, ``kids``
     needs ``ord``, and entries of one URL are told apart by it.
     """
     entry = [CACHE, "url"] if entry_streams is None else [CACHE, "url", "ord"]
-    refs = _child_files(linked, *entry[1:])
+    refs = _child_files(kids, *entry[1:])
     if entry_streams is not None:
-        bodies = entry_streams.where("stream_index = 1").join(linked.where(F.size("children") > 0).select(*entry), entry, "left_anti")
+        having = kids.where(F.size("children") > 0) if "children" in kids.columns else kids
+        bodies = entry_streams.where("stream_index = 1").join(having.select(*entry), entry, "left_anti")
         refs = refs.unionByName(_own_files(bodies, *entry[1:]))
-    found = refs.join(files.select(CACHE, "name", "size"), [CACHE, "name"])
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "name", "size")))
+    return refs.join(files.select(CACHE, "name", "size"), [CACHE, "name"]).select(*entry, "place", "name", "size")
+
+
+def match_entry_files(kids: DataFrame, files: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
+    """``entry_files`` in one array an entry, ``files`` of (name, size), and ``n_files``; for entries of which each fits a row."""
+    found = entry_files(kids, files, entry_streams)
+    entry = [c for c in found.columns if c not in ("place", "name", "size")]
+    ordered = F.sort_array(F.collect_list(F.struct("place", "name", "size")))
     return found.groupBy(*entry).agg(F.transform(ordered, lambda x: F.struct(x["name"].alias("name"), x["size"].alias("size"))).alias("files"), F.count(F.lit(1)).alias("n_files"))
 
 
-def file_entry_map(linked: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
+def file_entry_map(kids: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
     """The entry of each external file, a child's or (with ``entry_streams``, as in
-    ``match_entry_files``) any stream's: the last one, by ``ord``, of those with a body or sparse."""
-    refs = _child_files(linked.where("is_sparse or body_size > 0"), "url", "ord")
+    ``entry_files``) any stream's: the last one, by ``ord``, of those with a body or sparse."""
+    refs = _child_files(kids, "url", "ord")
     if entry_streams is not None:
         refs = refs.unionByName(_own_files(entry_streams.where("is_sparse or body_size > 0"), "url", "ord"))
     return refs.groupBy(CACHE, "name").agg(F.max_by("url", F.struct("ord", "url")).alias("url"))
 
 
-def unclaimed_files(files: DataFrame, linked: DataFrame, resource_files: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
-    """Files that neither a sparse entry's external children or streams (``entry_streams``, as in
-    ``match_entry_files``) nor a created resource has taken."""
-    taken = _child_files(linked.where("is_sparse")).select(CACHE, "name").union(resource_files.select(CACHE, "name"))
+def unclaimed_files(files: DataFrame, kids: DataFrame, resource_files: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
+    """Files that neither a sparse entry's external children or streams (``kids`` and ``entry_streams``, as in
+    ``entry_files``) nor a created resource has taken."""
+    taken = _child_files(kids).select(CACHE, "name").union(resource_files.select(CACHE, "name"))
     if entry_streams is not None:
         taken = taken.union(_own_files(entry_streams.where("is_sparse")).select(CACHE, "name"))
     return files.join(taken, [CACHE, "name"], "left_anti")

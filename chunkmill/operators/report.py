@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.media import file_extension, media_category
 from ..functions.names import client_name
 from .group import HEADER_TYPES
+from .spread import numbered
 
 CACHE = "cache_dir"
 
@@ -89,9 +90,7 @@ def recovery_plan(resources: DataFrame, convert_webm: bool = False, convert_gif:
 def concat_playlist(resources: DataFrame) -> DataFrame:
     """Videos without error of each cache, oldest first, if there are two or more."""
     videos = resources.where("media_category = 'video' and error is null")
-    many = videos.groupBy(CACHE).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(CACHE)
-    order = Window.partitionBy(CACHE).orderBy(F.coalesce("modified_at_us", F.lit(0)), "ord")
-    return videos.join(many, CACHE, "left_semi").withColumn("place", F.row_number().over(order))
+    return numbered(videos, [CACHE], [F.coalesce("modified_at_us", F.lit(0)), "ord"], "place", total="_n").where("_n > 1").drop("_n")
 
 
 def scan_union(scans: list[DataFrame]) -> DataFrame:
