@@ -1,18 +1,26 @@
 """Index of the blockfile layout: entries of each cache, and the response metadata they hold.
 
-One group is one cache: its ``index`` and ``data_N`` files, and the external files that hold long
-keys or metadata. A bad block costs the rest of its chain and gives a row with ``error``; a bad index
-gives the cache's only row.
+Entries are chained: a table of buckets has the address of each chain's first entry, each entry that of the next. A walk
+takes the buckets in order and stops where it meets an address again. Here the chains are followed by doubling, over
+rows: every address that a table or a block names is a node, a node learns the first bucket that reaches it and how
+far behind that it lies, and jumps twice as far each round; so one cache is as many tasks as it has blocks, and a
+chain of n entries takes log n rounds. A bad block costs the rest of its chain and gives a row with ``error``; a bad
+index gives the cache's only row.
 """
 
 from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import decode_cache_addr
+from ..operators.spread import numbered
+from .resources import kept
+
 #: Layout constants (little-endian). Fixed values.
 INDEX_MAGIC, BLOCK_MAGIC, VERSIONS = 0xC103CAC3, 0xC104CAC3, (0x20000, 0x20001, 0x30000)
 INDEX_HEAD, BLOCK_HEAD, KEY_AT, ENTRY_BYTES, TABLE_DEFAULT = 368, 8192, 0x60, 256, 0x10000
@@ -63,7 +71,7 @@ def _text(raw: bytes) -> str:
 
 
 def index_entries(files: dict[str, bytes]) -> list[dict]:
-    """Entry rows of one cache, in the order of its table, then its error rows."""
+    """Entry rows of one cache that is at hand, in the order of its table, then its error rows: the walk in one pass."""
     failed = lambda why: [{"error": why}]
     head = files.get("index")
     if head is None or len(head) < INDEX_HEAD:
@@ -105,19 +113,196 @@ def index_entries(files: dict[str, bytes]) -> list[dict]:
     return rows + [{"error": e} for e in errors]
 
 
+CACHE = "cache_dir"
+#: Bytes of a piece of a file: what a block is read from.
+PIECE = 1 << 20
+_ON = 0x80000000
+_BLOCK_FILE = r"^data_(0|[1-9]\d*)$"
+
+
+def _little(raw: Column, at: int, n: int = 4) -> Column:
+    """An unsigned integer of ``n`` bytes of ``raw`` from ``at`` on, least significant first."""
+    return F.conv(F.concat(*(F.hex(F.substring(raw, at + i + 1, 1)) for i in reversed(range(n)))), 16, 10).cast("bigint")
+
+
+def _buckets(files: DataFrame) -> DataFrame:
+    """``cache_dir``, ``bucket`` and ``addr`` of every bucket in use, or ``error`` of the whole index."""
+
+    def told(head: bytes | None) -> tuple[np.ndarray, str | None]:
+        none = np.zeros(0, "<u4")
+        if head is None or len(head) < INDEX_HEAD:
+            return none, "index: too short"
+        magic, version = struct.unpack_from("<II", head)
+        if magic != INDEX_MAGIC:
+            return none, f"index: bad magic {magic:08x}"
+        if version not in VERSIONS:
+            return none, f"index: version {version:x} is not known"
+        n = struct.unpack_from("<I", head, 0x1C)[0] or TABLE_DEFAULT
+        if INDEX_HEAD + 4 * n > len(head):
+            return none, "index: its table is cut off"
+        return np.frombuffer(head, "<u4", n, INDEX_HEAD), None
+
+    def work(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                table, error = told(batch.column("content")[i].as_py())
+                used = np.flatnonzero(table & np.uint32(_ON))
+                rows = [None] if error else used.tolist()
+                key = batch.column(CACHE).slice(i, 1).take(pa.array(np.zeros(len(rows), np.int64)))
+                yield pa.RecordBatch.from_arrays([key, pa.array(rows, pa.int64()), pa.array([None] if error else table[used].astype(np.int64), pa.int64()), pa.array([error] * len(rows), pa.string())], [CACHE, "bucket", "addr", "error"])
+
+    tables = files.where("name = 'index'").select(CACHE, "content")
+    bare = files.select(CACHE).distinct().join(tables.select(CACHE), CACHE, "left_anti").withColumn("content", F.lit(None).cast("binary"))
+    return tables.unionByName(bare).mapInArrow(work, "cache_dir string, bucket bigint, addr bigint, error string")
+
+
+def _named_in_blocks(files: DataFrame) -> DataFrame:
+    """``cache_dir`` and ``addr`` of what follows each block of each block file, and each external file, if that were an entry."""
+
+    def work(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = batch.column("content")[i].as_py()
+                unit = struct.unpack_from("<I", data, 12)[0]
+                words = np.frombuffer(data, np.uint8)
+                begins = np.arange(BLOCK_HEAD, len(data) - 7, unit) if unit else np.array([BLOCK_HEAD][: len(data) >= BLOCK_HEAD + 8], np.int64)
+                follows = sum(words[begins + 4 + k].astype(np.int64) << 8 * k for k in range(4)) if len(begins) else np.zeros(0, np.int64)
+                follows = np.unique(follows[follows >= _ON])
+                key = batch.column(CACHE).slice(i, 1).take(pa.array(np.zeros(len(follows), np.int64)))
+                yield pa.RecordBatch.from_arrays([key, pa.array(follows)], [CACHE, "addr"])
+
+    outside = files.where(F.col("name").startswith("f_") & (F.octet_length("content") >= ENTRY_BYTES)).select(CACHE, _little(F.substring("content", 5, 4), 0).alias("addr"))
+    return files.where(_is_block_file()).select(CACHE, "content").mapInArrow(work, "cache_dir string, addr bigint").unionByName(outside.where(F.col("addr") >= _ON))
+
+
+def _is_block_file() -> Column:
+    return F.col("name").rlike(_BLOCK_FILE) & (F.octet_length("content") >= BLOCK_HEAD) & (F.substring("content", 1, 4) == F.lit(struct.pack("<I", BLOCK_MAGIC)))
+
+
+def _located(refs: DataFrame, known: DataFrame) -> DataFrame:
+    """``refs`` (with ``addr``, and ``want``: how many bytes of it, null for its whole blocks) with ``file``, ``begin`` and ``length`` of what
+    is there (null where nothing is) and ``problem``. ``known``: ``cache_dir``, ``file``, ``bytes``, ``unit`` (null if it is no block file)."""
+    refs = refs.withColumn("a", decode_cache_addr(F.col("addr")))
+    met = refs.withColumn("file", F.col("a.file_name")).join(known, [CACHE, "file"], "left")
+    outside = F.col("a.file_type") == 0
+    begin = F.when(outside, F.lit(0)).otherwise(F.col("a.start_block") * F.col("unit") + BLOCK_HEAD)
+    wanted = F.when(outside, F.coalesce("want", "bytes")).otherwise(F.coalesce(F.col("want"), F.col("a.block_count") * F.col("unit")))
+    met = met.withColumns({"begin": begin.cast("bigint"), "wanted": wanted})
+    met = met.withColumn("there", F.greatest(F.least("wanted", F.col("bytes") - F.col("begin")), F.lit(0)))
+    short = ~outside & (F.col("there") < F.col("wanted"))
+    beyond = F.concat("file", F.lit(": "), F.col("wanted").cast("string"), F.lit(" bytes at "), F.col("begin").cast("string"), F.lit(" are beyond its end"))
+    problem = F.when(outside & F.col("bytes").isNull(), F.concat("file", F.lit(": not there"))).when(~outside & F.col("unit").isNull(), F.concat("file", F.lit(": no block file"))).when(short, beyond)
+    lost = F.when(outside, F.col("bytes").isNull()).otherwise(F.col("unit").isNull() | short & (F.col("want").isNull() | (F.col("there") == 0)))
+    return met.withColumns({"problem": problem, "length": F.when(~lost, F.col("there"))}).drop("a", "bytes", "unit", "wanted", "there")
+
+
+def _read(located: DataFrame, pieces: DataFrame, keys: list[str], skip: int = 0, most: int | None = None) -> DataFrame:
+    """``keys`` and ``raw``, the bytes of each located row (``most`` of them, ``skip`` bytes on). ``pieces``: ``cache_dir``, ``file``, ``part``, ``bytes``."""
+    n = F.col("length") - skip if most is None else F.least(F.col("length") - skip, F.lit(most))
+    rows = located.select(*keys, "file", (F.col("begin") + skip).alias("begin"), n.alias("n")).where("n > 0")
+    cut = rows.withColumn("part", F.explode(F.sequence(F.floor(F.col("begin") / PIECE), F.floor((F.col("begin") + F.col("n") - 1) / PIECE))))
+    first, last = F.greatest("begin", F.col("part") * PIECE), F.least(F.col("begin") + F.col("n"), (F.col("part") + 1) * PIECE)
+    cut = cut.withColumns({"at": first - F.col("part") * PIECE, "size": last - first})
+    met = cut.join(pieces, [CACHE, "file", "part"]).select(*keys, "part", F.expr("substring(bytes, cast(at + 1 as int), cast(size as int))").alias("bytes"))
+    held = met.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "bytes"))).alias("p"))
+    return held.select(*keys, F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["bytes"])).alias("raw"))
+
+
+def _owners(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (``cache_dir``, ``addr``, ``next``, ``bucket`` of the first chain that begins there or null) with ``owner``: (bucket, depth)
+    of the first bucket whose chain reaches it. Each round a node's owner goes on to where the node jumps, and it
+    jumps on to where that jumps."""
+    first = F.when(F.col("bucket").isNotNull(), F.struct("bucket", F.lit(0).cast("bigint").alias("depth")))
+    state = kept(nodes.select(CACHE, "addr", "next", F.col("next").alias("jump"), first.alias("owner")))
+    most = state.groupBy(CACHE).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    step = 1
+    while step <= most and state.where("jump is not null").limit(1).count():
+        told = state.where("jump is not null and owner is not null").groupBy(CACHE, F.col("jump").alias("addr")).agg(F.min(F.struct(F.col("owner.bucket").alias("bucket"), (F.col("owner.depth") + step).alias("depth"))).alias("told"))
+        far = state.select(CACHE, F.col("addr").alias("jump"), F.col("jump").alias("_far"))
+        met = state.join(told, [CACHE, "addr"], "left").join(far, [CACHE, "jump"], "left")
+        state = kept(met.select(CACHE, "addr", "next", F.col("_far").alias("jump"), F.least("owner", "told").alias("owner")))
+        step *= 2
+    return state.select(CACHE, "addr", "next", "owner")
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Fields of entries from their ``raw`` blocks: a record of fixed layout, and the inline key behind it."""
+
+    def work(batches):
+        for batch in batches:
+            raw = batch.column("raw").to_pylist()
+            heads = [struct.unpack_from("<IQII4i4II", r, 0x14) for r in raw]
+            inline = [r[KEY_AT : KEY_AT + h[2]] for r, h in zip(raw, heads, strict=True)]
+            column = lambda i: pa.array([h[i] for h in heads], pa.int64())
+            created = pa.array([min(h[1], (1 << 63) - 1) for h in heads], pa.int64())
+            lists = [pa.array([list(h[i : i + 4]) for h in heads], pa.list_(pa.int64())) for i in (4, 8)]
+            yield pa.RecordBatch.from_arrays([batch.column(CACHE), batch.column("addr"), batch.column("owner"), column(0), column(12), created, column(2), column(3), *lists, pa.array(inline, pa.binary())], [CACHE, "addr", "owner", "state", "flags", "creation_time_us", "key_bytes", "long_key", "sizes", "addrs", "inline"])
+
+    schema = "cache_dir string, addr bigint, owner struct<bucket: bigint, depth: bigint>, state bigint, flags bigint, creation_time_us bigint, key_bytes bigint, long_key bigint, sizes array<bigint>, addrs array<bigint>, inline binary"
+    return rows.select(CACHE, "addr", "owner", "raw").mapInArrow(work, schema)
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    """``url`` from the bytes of a key: up to a NUL, bytes that are no UTF-8 replaced."""
+
+    def work(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("key")
+            yield batch.set_column(at, "url", pa.array([_text(k or b"") for k in batch.column("key").to_pylist()], pa.string()))
+
+    kinds = ", ".join(f"`{'url' if f.name == 'key' else f.name}` {'string' if f.name == 'key' else f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(work, kinds)
+
+
 def read_index_entries(files: DataFrame) -> DataFrame:
     """Entries of every cache. ``files``: ``cache_dir``, ``name``, ``content`` of its index and block
     files, and of the external files that keys or metadata may lie in. Returns ``cache_dir``, ``ord``,
     ``url``, ``state``, ``flags``, ``creation_time_us`` (since 1601), ``sizes`` and ``addrs`` of the four
     streams, ``meta`` (the first stream), ``error`` (its rows have nothing else)."""
+    spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest(F.octet_length("content"), F.lit(1)) - 1) / PIECE)))
+    pieces = files.select(CACHE, F.col("name").alias("file"), spread.alias("part"), "content")
+    pieces = kept(pieces.select(CACHE, "file", "part", F.expr(f"substring(content, cast(part * {PIECE} + 1 as int), {PIECE})").alias("bytes")))
+    known = kept(files.select(CACHE, F.col("name").alias("file"), F.octet_length("content").cast("bigint").alias("bytes"), F.when(_is_block_file(), _little(F.col("content"), 12)).alias("unit")))
+    buckets = kept(_buckets(files))
+    chains = buckets.where("error is null").select(CACHE, "bucket", "addr")
+
+    # nodes, what follows each, and which chain reaches it first
+    heads = chains.groupBy(CACHE, "addr").agg(F.min("bucket").alias("bucket"))
+    named = heads.unionByName(_named_in_blocks(files).join(chains.select(CACHE).distinct(), CACHE, "left_semi").distinct().withColumn("bucket", F.lit(None).cast("bigint")))
+    named = named.groupBy(CACHE, "addr").agg(F.min("bucket").alias("bucket")).withColumn("want", F.lit(None).cast("bigint"))
+    nodes = kept(_located(named, known).withColumn("good", F.coalesce(F.col("length") >= ENTRY_BYTES, F.lit(False))))
+    follows = _read(nodes.where("good"), pieces, [CACHE, "addr"], skip=4, most=4).select(CACHE, "addr", _little(F.col("raw"), 0).alias("next"))
+    linked = nodes.select(CACHE, "addr", "bucket").join(follows.where(F.col("next") >= _ON), [CACHE, "addr"], "left")
+    owned = kept(_owners(linked).where("owner is not null"))
+    place = nodes.drop("bucket", "want").join(owned, [CACHE, "addr"])
 
-    def work(table: pa.Table) -> pa.Table:
-        rows = index_entries(dict(zip(table.column("name").to_pylist(), table.column("content").to_pylist(), strict=True)))
-        cache = table.column("cache_dir")[0].as_py()
-        return pa.table({"cache_dir": pa.array([cache] * len(rows), pa.string()), **{c: pa.array([r.get(c) for r in rows], t) for c, t in FIELDS.items()}})
+    # entries: fields, then the keys and metadata they point to
+    entries = kept(_parsed(_read(place.where("good").withColumnRenamed("owner", "o"), pieces, [CACHE, "addr", "o"]).withColumnRenamed("o", "owner")))
+    long = (F.col("long_key") >= _ON) & (F.col("key_bytes") > 0)
+    keys = kept(_located(entries.where(long).select(CACHE, F.col("addr").alias("of"), F.col("long_key").alias("addr"), F.col("key_bytes").alias("want")), known))
+    metas = kept(_located(entries.where((F.col("addrs")[0] >= _ON) & (F.col("sizes")[0] > 0)).select(CACHE, F.col("addr").alias("of"), F.col("addrs")[0].alias("addr"), F.col("sizes")[0].alias("want")), known))
+    told = entries.withColumn("of", F.col("addr")).join(_read(keys, pieces, [CACHE, "of"]).withColumnRenamed("raw", "long"), [CACHE, "of"], "left")
+    told = told.join(metas.where("length is not null").select(CACHE, "of").distinct().join(_read(metas, pieces, [CACHE, "of"]), [CACHE, "of"], "left").select(CACHE, "of", F.coalesce("raw", F.lit(b"")).alias("meta")), [CACHE, "of"], "left")
+    key = F.when(F.col("long_key") >= _ON, F.coalesce("long", F.lit(b""))).otherwise(F.col("inline"))
+    told = told.select(CACHE, F.col("owner.bucket").alias("bucket"), F.col("owner.depth").alias("depth"), key.alias("key"), "state", "flags", "creation_time_us", "sizes", "addrs", "meta")
+    rows = numbered(_texts(told), [CACHE], ["bucket", "depth"], "ord").withColumn("ord", F.col("ord") - 1)
 
-    schema = "cache_dir string, ord bigint, url string, state bigint, flags bigint, creation_time_us bigint, sizes array<bigint>, addrs array<bigint>, meta binary, error string"
-    return files.select("cache_dir", "name", "content").groupBy("cache_dir").applyInArrow(work, schema)
+    # errors: what is met again, what could not be read
+    again = lambda rows: rows.select(CACHE, F.format_string("%08x: met again in its chain", "addr").alias("error"))
+    own = owned.select(CACHE, "addr", "owner")
+    began = chains.join(own, [CACHE, "addr"]).where("owner.bucket <> bucket")
+    ahead = owned.where("next is not null").select(CACHE, F.col("next").alias("addr"), F.col("owner.bucket").alias("b"), (F.col("owner.depth") + 1).alias("d")).join(own, [CACHE, "addr"]).where("owner.bucket <> b or owner.depth <> d")
+    empty = place.where("not good").select(CACHE, F.format_string("%08x: no entry", "addr").alias("error"))
+    cut = entries.where((F.col("long_key") < _ON) & (F.octet_length("inline") < F.col("key_bytes"))).select(CACHE, F.format_string("%08x: its key is cut off", "addr").alias("error"))
+    problems = place.select(CACHE, "problem").unionByName(keys.select(CACHE, "problem")).unionByName(metas.select(CACHE, "problem")).where("problem is not null")
+    once = F.col("problem").endswith(": no block file")
+    problems = problems.where(~once).unionByName(problems.where(once).distinct()).withColumnRenamed("problem", "error")
+    errors = buckets.where("error is not null").select(CACHE, "error")
+    for more in (again(began), again(ahead), empty, cut, problems):
+        errors = errors.unionByName(more)
+    fields = ["ord", "url", "state", "flags", "creation_time_us", "sizes", "addrs", "meta"]
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in fields]
+    return rows.select(CACHE, *fields, F.lit(None).cast("string").alias("error")).unionByName(errors.select(CACHE, *none, "error"))
 
 
 def http_meta(data: bytes | None) -> tuple[int | None, int | None, bytes | None]:

@@ -1,5 +1,6 @@
 """Index walks over caches written byte by byte."""
 
+import random
 import struct
 
 import pytest
@@ -84,3 +85,42 @@ def test_many_caches(spark):
     parsed = index.read_http_meta(entries, ["cache_dir", "ord"]).where("raw_headers is not null")
     assert {r.t for r in parsed.select(parse_raw_headers(parsed.raw_headers).content_type.alias("t")).collect()} == {"video/mp4"}
     assert index.read_index_entries(df.limit(0)).count() == 0
+
+
+def hostile(rng):
+    """A cache of chains that loop, meet each other, leave their files or lie in files of other kinds."""
+    n = rng.randrange(1, 12)
+    addr = lambda: rng.choice([0, block_addr(1, rng.randrange(n + 2), rng.choice((1, 1, 2, 4))), block_addr(rng.choice((1, 2, 7)), rng.randrange(n)), 0x80000000 | rng.randrange(3)])
+    meta_ = lambda: rng.choice([(0, 0), (9, block_addr(2, rng.randrange(4), kind=3)), (5000, block_addr(2, 1, kind=3)), (7, 0x80000000 | rng.randrange(3)), (-5, block_addr(2, 0)), (3, 77)])
+    blocks = []
+    for i in range(n):
+        size, at = meta_()
+        blocks.append(entry(f"key {i} é".encode() + bytes(rng.randrange(2)) + b"x", addr(), key_bytes=rng.choice([None, None, None, 3, 400, 0]), long_key=rng.choice([0, 0, addr()]), sizes=(size, 1, 2, 3), addrs=(at, 0, 0, 0), state=rng.randrange(3), flags=rng.randrange(4))[:256])
+    files = {"index": index_file([addr() for _ in range(rng.randrange(1, 9))]), "data_1": block_file(blocks), "data_2": block_file([meta(HTTP), b"second", entry(b"in data_2", addr())], 1024), "f_000001": b"\xff\0rest" * 60, "f_000002": entry(b"outside", addr()).ljust(256, b"\0")}
+    if rng.random() < 0.2:
+        files["data_2"] = b"no block file"
+    if rng.random() < 0.1:
+        files["data_1"] = files["data_1"][:-100]
+    return files
+
+
+def rows_of(found):
+    plain = lambda r: (r.get("ord"), r.get("url"), r.get("state"), r.get("flags"), r.get("creation_time_us"), r.get("sizes"), r.get("addrs"), r.get("meta"), r.get("error"))
+    return sorted(map(plain, found), key=str)
+
+
+def test_chains_by_doubling_follow_the_walk(spark, monkeypatch):
+    monkeypatch.setattr(index, "PIECE", 1000)  # blocks over the borders of pieces
+    rng = random.Random(8)
+    caches = {f"c{i}": hostile(rng) for i in range(40)}
+    caches["long"] = {"index": index_file([0, block_addr(1, 0), block_addr(1, 150)]), "data_1": block_file([entry(b"%d" % i, block_addr(1, i + 1) if i < 299 else block_addr(1, 200)) for i in range(300)])}
+    caches["bare"] = {"data_1": block_file([entry(b"a")])}
+    caches["empty"] = {"index": b""}
+    df = spark.createDataFrame([(c, n, bytearray(d)) for c, files in caches.items() for n, d in files.items()], "cache_dir string, name string, content binary").repartition(4)
+    got = {}
+    for r in index.read_index_entries(df).collect():
+        own = r.asDict()
+        own["meta"] = None if r.meta is None else bytes(r.meta)
+        got.setdefault(r.cache_dir, []).append(own)
+    for c, files in caches.items():
+        assert rows_of(got.get(c, [])) == rows_of(index.index_entries(files)), c
