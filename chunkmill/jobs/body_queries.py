@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import webkit_us_to_unix
-from ..sources import assemble, bodies, index
+from ..sources import assemble, bodies, index, ranged
 from ..sources.resources import kept, shared_folder
 from . import caches, recovery
 from .caches import CACHE, const as _const, little as _le
@@ -88,12 +88,47 @@ def s2_file_heads(docs):
     return layout.where("body_end - body_start >= 8").select("doc_id", F.lower(F.hex(bodies.file_head(F.col("content"), F.col("body_start"), 8))).alias("head"))
 
 
-@query(None)
+def _swapped(n: str) -> str:
+    """SQL: an integer as four bytes in hex, least significant first."""
+    return " || ".join(f"substr(lpad(to_hex({n}), 8, '0'), {i}, 2)" for i in (7, 5, 3, 1))
+
+
+def _eof_sql(n: str) -> str:
+    return f"'{bodies.EOF_MAGIC.to_bytes(8, 'little').hex()}' || repeat('0', 16) || {_swapped(n)} || repeat('0', 8)"
+
+
+_HEADS = f"""WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, {_TEXT} AS n, lower(hex(encode(coalesce(lang, '')))) AS k, octet_length(encode(coalesce(lang, ''))) AS m FROM documents)
+SELECT doc_id, lower(substr(h || {_eof_sql('n')} || k || {_eof_sql('m')}, 1, 512)) AS head FROM t"""
+
+
+@query(_HEADS)
 def s2_file_heads_all(docs):
     layout = bodies.unwrap_simple(simple_files(docs), ["doc_id", "content"])
     return layout.select("doc_id", F.lower(F.hex(bodies.file_head(F.col("content"), F.col("body_start")))).alias("head"))
 
 
+def _written(docs: DataFrame) -> DataFrame:
+    """The listing of ``simple_files``, written as files of caches, with ``doc_id``."""
+    folder = shared_folder(docs.sparkSession)
+    files = simple_files(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    zero = F.lit(0).cast("bigint")
+    parts = files.select("doc_id", zero.alias("part"), zero.alias("begin"), "content")
+    path = F.concat(caches.cache_of(F.col("doc_id")), F.lit("/"), F.lpad(F.lower(F.hex("doc_id")), 16, "0"), F.lit("_0"))
+    assemble.write_bodies(parts, files.select("doc_id", path.alias("out_path"), F.col("doc_id").alias("ord"), F.octet_length("content").cast("bigint").alias("total")), ["doc_id"], folder)
+    listed = bodies.list_cache_files(docs.sparkSession, [folder])
+    return listed.withColumn("doc_id", F.conv(F.substring("name", 1, 16), 16, 10).cast("bigint"))
+
+
+@query(_HEADS + " WHERE doc_id IS NOT NULL")
+def s2_file_heads_ranged(docs):
+    return ranged.file_heads(_written(docs), ["doc_id"]).select("doc_id", F.lower(F.hex("head")).alias("head"))
+
+
+@query(f"SELECT doc_id, {_KEY} AS body_start, {_KEY} + {_TEXT} AS body_end, {_KEY} + {_TEXT} + 24 AS headers_start, {_KEY} + {_TEXT} + 24 + length(lang) AS headers_end FROM documents WHERE doc_id IS NOT NULL")
+def s3_unwrap_files(docs):
+    return ranged.unwrap_files(_written(docs), ["doc_id"]).drop("error")
+
+
 @query(f"""SELECT doc_id, {_TEXT} + 1000 AS range_offset, {_TEXT} AS range_length, 24 + length(CAST(doc_id AS VARCHAR)) + 32 AS data_pos FROM documents
 UNION ALL SELECT doc_id, 0, {_TEXT}, 24 + length(CAST(doc_id AS VARCHAR)) + 64 + {_TEXT} FROM documents""")
 def u1_sparse_ranges(docs):

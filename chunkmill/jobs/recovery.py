@@ -16,7 +16,9 @@ from ..functions.names import parse_cache_name
 from ..functions.urls import parse_cdn_url, strip_cache_key_prefix, url_basename
 from ..functions.values import decode_cache_addr, webkit_us_to_unix
 from ..operators import group, layout, link, report
-from ..sources import assemble, bodies
+from ..operators.spread import numbered
+from ..sources import assemble, bodies, ranged
+from ..sources import parts as parts_of
 from ..sources.index import read_http_meta, read_index_entries
 from ..sources.resources import kept
 
@@ -26,11 +28,10 @@ HEAD = 256
 CHILD_STREAMS = (1, 2, 0, 3)
 
 
-def index_tables(index_files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entries, sparse children and streams of every cache's index (``read_index_entries``'s input). Entries have the facts
+def index_tables(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries, sparse children and streams of every cache's index, of the rows of ``read_index_entries``. Entries have the facts
     of their metadata; streams the file, offset and size of each, and their entry's ``is_sparse`` and ``body_size``."""
-    rows = kept(read_index_entries(index_files).where("error is null"))
-    rows = rows.withColumns({"is_child": F.col("flags").bitwiseAND(2) != 0, "is_sparse": F.col("flags").bitwiseAND(1) != 0, "body_size": F.greatest(F.col("sizes")[1], F.lit(0))})
+    rows = read.where("error is null").withColumns({"is_child": F.col("flags").bitwiseAND(2) != 0, "is_sparse": F.col("flags").bitwiseAND(1) != 0, "body_size": F.greatest(F.col("sizes")[1], F.lit(0))})
     meta = read_http_meta(rows.where("not is_child"), [CACHE, "ord"]).withColumn("h", parse_raw_headers(F.col("raw_headers")))
     meta = meta.select(CACHE, "ord", "request_time_us", "response_time_us", "h.content_type", "h.headers", F.col("h.filename").alias("original_filename"), F.regexp_extract("h.status_line", r"^\S+ (\d{3})", 1).try_cast("int").alias("http_status"))
     entries = rows.where("not is_child").select(CACHE, "ord", "url", "state", "is_sparse", "body_size", webkit_us_to_unix(F.col("creation_time_us")).alias("created_at")).join(meta, [CACHE, "ord"], "left")
@@ -43,15 +44,17 @@ def index_tables(index_files: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
 
 def recover_indexed(index_files: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     """Resources that the indexes of blockfile caches name: ``resources`` (one an URL, with their plan), ``skipped``
-    (why an entry made none), ``claimed`` (files that are taken) and ``parts``.
+    (why an entry made none), ``claimed`` (files that are taken), ``errors`` (of indexes and blocks) and ``parts``.
 
     ``files``: ``cache_dir``, ``name``, ``size``, ``content`` of the external files.
     """
-    entries, children, streams = index_tables(index_files)
-    sparse = link.link_sparse_children(entries, children)
+    read = kept(read_index_entries(index_files))
+    entries, children, streams = index_tables(read)
+    sparse = link.linked_parents(entries, children).drop("last_offset").withColumn("n_children", F.col("n_children").cast("int"))
     rest = entries.join(sparse.select(CACHE, "ord"), [CACHE, "ord"], "left_anti")
-    linked = sparse.unionByName(rest.withColumns({"children": F.array().cast(sparse.schema["children"].dataType), "n_children": F.lit(0)}))
-    matched = link.match_entry_files(linked, files, streams)
+    linked = sparse.unionByName(rest.withColumn("n_children", F.lit(0)))
+    child_rows = link.child_rows(entries, children)
+    matched = link.match_entry_files(child_rows, files, streams)
     first = matched.select(CACHE, "ord", F.col("files")[0]["name"].alias("name"))
     magic = first.join(files.select(CACHE, "name", F.substring("content", 1, HEAD).alias("head")), [CACHE, "name"]).select(CACHE, "ord", F.col("name").alias("header_file"), detect_file_type(F.col("head")).alias("magic_type"))
     facts = linked.join(matched.drop("url"), [CACHE, "ord"], "left").join(magic, [CACHE, "ord"], "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
@@ -72,23 +75,28 @@ def recover_indexed(index_files: DataFrame, files: DataFrame) -> dict[str, DataF
     plan = kids.select("resource_id", "seq", F.col("seq").alias("source"), F.col("offset").alias("src_offset"), F.col("size").alias("length"), F.col("offset_bytes").alias("out_offset"), F.lit(None).cast("binary").alias("literal"))
     held = files.select(CACHE, "name", "content").unionByName(index_files.select(CACHE, "name", "content"))
     pieces = kids.select(CACHE, F.col("file_name").alias("name"), "resource_id", F.col("seq").alias("ord")).join(held, [CACHE, "name"]).select("resource_id", "ord", "content")
-    raw = kept(assemble.assemble_plan(plan, pieces, ["resource_id"], part_bytes=1 << 30))
-    # a body of several parts stays as it is: its boxes are not moved
-    large = raw.where("part > 0").select("resource_id").distinct()
-    whole = raw.join(large, "resource_id", "left_anti").select("resource_id", F.lit(0).cast("bigint").alias("ord"), "content")
-    rebuilt = kept(layout.segment_plan_index(kept(bodies.piece_facts(whole, ["resource_id"]))))
-    parts = assemble.assemble_plan(rebuilt, whole, ["resource_id"]).unionByName(raw.join(large, "resource_id"))
+    raw = kept(assemble.assemble_plan(plan, pieces, ["resource_id"], totals=True))
+    rebuilt = kept(layout.segment_plan_index(parts_of.piece_facts(raw, ["resource_id"])))
+    parts = assemble.assemble_plan(assemble.split_sources(rebuilt), raw.select("resource_id", F.col("part").alias("ord"), "content"), ["resource_id"])
     copied = resources.where("action <> 'index_reassemble' and n_files > 0").select(CACHE, F.col("files")[0]["name"].alias("name"), "resource_id").join(files.select(CACHE, "name", "content"), [CACHE, "name"])
     zero = F.lit(0).cast("bigint")
     parts = parts.unionByName(copied.select("resource_id", zero.alias("part"), zero.alias("begin"), "content"))
     taken = resources.select(CACHE, F.explode("files.name").alias("name"))
-    claimed = files.select(CACHE, "name").join(link.unclaimed_files(files.select(CACHE, "name"), linked, taken, streams), [CACHE, "name"], "left_anti")
-    return {"resources": resources, "skipped": typed.where("skip_reason is not null"), "claimed": claimed, "entries": entries, "streams": streams, "linked": linked, "parts": parts}
+    claimed = files.select(CACHE, "name").join(link.unclaimed_files(files.select(CACHE, "name"), child_rows, taken, streams), [CACHE, "name"], "left_anti")
+    return {"resources": resources, "skipped": typed.where("skip_reason is not null"), "claimed": claimed, "entries": entries, "streams": streams, "linked": linked, "children": child_rows, "errors": read.where("error is not null").select(CACHE, "error"), "parts": parts}
+
+
+def refined(rows: DataFrame, kind: str = "file_type") -> DataFrame:
+    """An MP4 stays complete where the top level of its boxes has both moov and mdat (``has_moov``, ``has_mdat``, which are
+    dropped), else it is a header only: the rule of ``layout.refine_mp4`` beside the boxes' own row."""
+    whole = F.coalesce(F.col("has_moov") & F.col("has_mdat"), F.lit(False))
+    return rows.withColumn(kind, F.when((F.col(kind) == "mp4_complete") & ~whole, "mp4_header_only").otherwise(F.col(kind))).drop("has_moov", "has_mdat")
 
 
 def recover_unclaimed(files: DataFrame, entry_of_file: DataFrame | None = None) -> dict[str, DataFrame]:
     """Resources of blockfile files that no index claims: chunks grouped behind their headers by affinity and position,
-    files that stand alone, and one bucket of what is left: ``resources``, ``chunks`` and ``parts``.
+    files that stand alone, and one bucket a cache of what is left: ``resources``, ``chunks``, ``left``, ``unidentified`` (the
+    buckets; they have no number and no bytes), ``errors`` (of plans) and ``parts``.
 
     ``files``: ``cache_dir``, ``name``, ``size``, ``content``, ``etag``, ``content_range``, ``content_type`` (of the index, null
     where it knows nothing). ``entry_of_file`` as in ``attach_index_metadata``.
@@ -97,9 +105,7 @@ def recover_unclaimed(files: DataFrame, entry_of_file: DataFrame | None = None)
     head = F.substring("content", 1, HEAD)
     typed = named.withColumns({"file_type": detect_file_type(head), "head64": F.substring("content", 1, 64)})
     boxed = bodies.piece_facts(named, [CACHE, "name"]).drop("size")
-    known = kept(typed.drop("content").join(boxed, [CACHE, "name"]))
-    both = F.col("moov_offset").isNotNull() & F.col("mdat_offset").isNotNull()
-    known = known.withColumn("file_type", F.when(F.col("file_type") == "mp4_complete", F.when(both, "mp4_complete").otherwise("mp4_header_only")).otherwise(F.col("file_type")))
+    known = kept(refined(typed.drop("content").join(boxed, [CACHE, "name"])))
     known = group.dedupe_mp4_headers(known)
     chunks = kept(group.grouped_chunks(known))
     used = chunks.select(CACHE, "name").union(chunks.select(CACHE, F.col("header_file").alias("name"))).distinct()
@@ -127,36 +133,57 @@ def recover_unclaimed(files: DataFrame, entry_of_file: DataFrame | None = None)
     order = Window.partitionBy("resource_id").orderBy("ord")
     line = joined.select("resource_id", F.col("ord").alias("seq"), F.col("ord").alias("source"), F.lit(0).cast("bigint").alias("src_offset"), F.col("size").alias("length"), F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("out_offset"), F.lit(None).cast("binary").alias("literal"))
     parts = parts.unionByName(assemble.assemble_plan(line, joined.select(CACHE, "name", "resource_id", "ord").join(held, [CACHE, "name"]), ["resource_id"]))
-    return {"resources": resources, "chunks": chunks, "left": left, "parts": parts}
+    stamped = left if "modified_at_us" in left.columns else left.withColumn("modified_at_us", F.lit(None).cast("bigint"))
+    errors = plan.where("error is not null").select("resource_id", "error")
+    return {"resources": resources, "chunks": chunks, "left": left, "unidentified": group.unidentified_bucket(stamped), "errors": errors, "parts": parts}
 
 
 def recover_simple(files: DataFrame) -> dict[str, DataFrame]:
-    """Resources of Simple caches: a file's sparse stream if it has a type, else its body: ``resources`` and ``parts``.
+    """Resources of Simple caches: a file's sparse stream if it has a type, else its body: ``resources``, ``parts`` and ``errors``
+    (files that could not be read).
 
-    ``files``: ``cache_dir``, ``name``, ``size``, ``content``.
+    ``files``: ``cache_dir``, ``name``, ``size``, ``content``. With ``path`` too (``bodies.list_cache_files``), main files are typed by
+    ranges of their bytes, and ``content`` is read only where a body is wanted.
     """
-    named = kept(parse_cache_name(files).where("hash is not null").select(CACHE, "hash", "stream", "size", "content"))
-    key = [CACHE, "hash"]
+    key, by_range = [CACHE, "hash"], "path" in files.columns
+    named = parse_cache_name(files).where("hash is not null").select(CACHE, "hash", "stream", "size", "content", *["path"] * by_range)
+    named = named if by_range else kept(named)
     sizes = report.pair_simple_streams(named)
-    main = named.where("stream = '0'").select(*key, "content")
-    lay = bodies.unwrap_simple(main, [*key, "content"])
+    main = named.where("stream = '0'")
     cut = lambda a, b: F.expr(f"substring(content, cast({a} + 1 as int), cast({b} - {a} as int))")
-    body = lay.select(*key, cut("body_start", "body_end").alias("body"), F.decode(F.when(F.col("headers_start").isNotNull(), cut("headers_start", "headers_end")), "UTF-8").alias("raw"))
-    body = body.select(*key, F.octet_length("body").cast("bigint").alias("body_bytes"), detect_file_type(F.substring("body", 1, HEAD)).alias("body_magic"), simple_content_type(F.col("raw")).alias("content_type"))
+    if by_range:
+        facts = kept(ranged.file_facts(main, key, ("head", "headers", "boxes"), HEAD))
+        errors, facts = facts.where("error is not null").select(*key, "error"), facts.where("error is null")
+        lay = main.select(*key, "content").join(facts.select(*key, "body_start", "body_end"), key)
+        facts = facts.withColumns({"n": F.col("body_end") - F.col("body_start"), "raw": F.col("headers")}).withColumn("head", F.expr("substring(head, 1, cast(least(n, length(head)) as int))"))
+    else:
+        lay = bodies.unwrap_simple(main, [*key, "content"])
+        body = lay.select(*key, cut("body_start", "body_end").alias("content"), F.when(F.col("headers_start").isNotNull(), cut("headers_start", "headers_end")).alias("raw"))
+        tops = bodies.piece_facts(body, key).select(*key, "has_moov", "has_mdat")
+        facts = body.select(*key, F.octet_length("content").cast("bigint").alias("n"), F.substring("content", 1, HEAD).alias("head"), "raw").join(tops, key)
+        errors = facts.limit(0).select(*key, F.lit("").alias("error"))
+    # headers in any bytes; names and types are ASCII
+    body = facts.select(*key, F.col("n").alias("body_size"), detect_file_type(F.col("head")).alias("body_magic"), simple_content_type(F.decode("raw", "ISO-8859-1")).alias("content_type"), "has_moov", "has_mdat")
     sparse = named.where("stream = 's'").select(*key, F.lit(0).cast("bigint").alias("ord"), "content")
     ranges = kept(bodies.sparse_ranges(sparse, key))
     plan = assemble.sparse_pieces(sparse, ranges, key)
-    parts = kept(assemble.assemble_plan(plan, sparse, key))
+    parts = kept(assemble.assemble_plan(plan, sparse, key, totals=True))
     length = plan.groupBy(*key).agg(F.max(F.col("out_offset") + F.col("length")).alias("sparse_length"))
     heads = parts.where("part = 0").select(*key, detect_file_type(F.substring("content", 1, HEAD)).alias("sparse_magic"), F.least(F.octet_length("content"), F.lit(HEAD)).alias("sparse_head_bytes"))
+    video = parts.join(heads.where("sparse_magic = 'mp4_complete'").select(*key), key, "left_semi")
+    tops = parts_of.piece_facts(video, key).select(*key, F.col("has_moov").alias("s_moov"), F.col("has_mdat").alias("s_mdat"))
     told = layout.sparse_size(ranges.withColumn("resource_id", F.struct(*key))).select("resource_id.*", F.col("sparse_size"))
-    facts = sizes.drop("side_size", "sparse_size", "body_size").join(sizes.select(*key, F.col("sparse_size").alias("sparse_disk_size")), key).join(body.withColumnRenamed("body_bytes", "body_size"), key, "left").join(told, key, "left").join(length, key, "left").join(heads, key, "left")
+    facts = sizes.select(*key, F.col("sparse_size").alias("sparse_disk_size"))
+    for own in (body, told, length, heads, tops):
+        facts = facts.join(own, key, "left")
     facts = facts.withColumn("sparse_head_bytes", F.coalesce("sparse_head_bytes", F.lit(0)))
     typed = link.type_simple_entries(facts)
-    order = Window.partitionBy(CACHE).orderBy("hash")
-    made = typed.withColumns({"ord": F.row_number().over(order).cast("bigint"), "resource_type": F.col("file_type"), "total_size": F.col("size"), "phase": F.lit(1), "n_files": F.lit(1), "n_children": F.lit(0), "index_is_sparse": F.lit(False), "media_category": media_category(F.col("file_type")), "original_filename": F.lit(None).cast("string"), "url_name": F.lit(None).cast("string"), "sparse_stream": F.col("source") == "sparse"})
+    # of a sparse stream that has its type from its headers, boxes are not asked
+    own = lambda body, sparse: F.when(F.col("source") == "body", F.col(body)).when(F.col("sparse_magic") == "mp4_complete", F.col(sparse)).otherwise(F.lit(True))
+    typed = refined(typed.withColumns({"has_moov": own("has_moov", "s_moov"), "has_mdat": own("has_mdat", "s_mdat")})).drop("s_moov", "s_mdat")
+    made = numbered(typed, [CACHE], ["hash"], "ord").withColumns({"resource_type": F.col("file_type"), "total_size": F.col("size"), "phase": F.lit(1), "n_files": F.lit(1), "n_children": F.lit(0), "index_is_sparse": F.lit(False), "media_category": media_category(F.col("file_type")), "original_filename": F.lit(None).cast("string"), "url_name": F.lit(None).cast("string"), "sparse_stream": F.col("source") == "sparse"})
     resources = kept(report.recovery_plan(report.display_name(group.number_resources(made)).withColumn("resource_id", F.struct(*key))))
     zero = F.lit(0).cast("bigint")
     plain = lay.join(resources.where("not sparse_stream").select(*key, "resource_id"), key).select("resource_id", zero.alias("part"), zero.alias("begin"), cut("body_start", "body_end").alias("content"))
     own = parts.join(resources.where("sparse_stream").select(*key, "resource_id"), key).select("resource_id", "part", "begin", "content")
-    return {"resources": resources, "parts": plain.unionByName(own)}
+    return {"resources": resources, "parts": plain.unionByName(own), "errors": errors}

@@ -8,11 +8,16 @@ segments overlap, the one of the larger ``seq`` wins.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from .resources import kept
 
 #: Bytes of a part.
 PART = 64 << 20
@@ -25,8 +30,21 @@ def sparse_pieces(files: DataFrame, ranges: DataFrame, keys: list[str]) -> DataF
     return known.select(*keys, F.row_number().over(order).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("source"), F.col("data_pos").alias("src_offset"), F.col("range_length").alias("length"), F.col("range_offset").alias("out_offset"), F.lit(None).cast("binary").alias("literal"))
 
 
-def assemble_plan(plan: DataFrame, pieces: DataFrame, keys: list[str], part_bytes: int = PART) -> DataFrame:
-    """``keys``, ``part``, ``begin``, ``content``: the bytes of each planned body in parts of ``part_bytes`` (the last one
+def split_sources(plan: DataFrame, part_bytes: int = PART) -> DataFrame:
+    """A plan whose pieces (``source`` 0) are there in parts of ``part_bytes`` (``ord`` is the part): each segment is cut where parts
+    end, and reads from its part."""
+    first, last = F.floor(F.col("src_offset") / part_bytes), F.floor((F.col("src_offset") + F.col("length") - 1) / part_bytes)
+    read = F.col("source").isNotNull() & (F.col("length") > 0)
+    cut = plan.withColumn("_part", F.explode(F.when(read, F.sequence(first, last)).otherwise(F.array(F.lit(None).cast("bigint")))))
+    begin, end = F.greatest("src_offset", F.col("_part") * part_bytes), F.least(F.col("src_offset") + F.col("length"), (F.col("_part") + 1) * part_bytes)
+    own = F.col("_part").isNotNull()
+    cut = cut.withColumns({"_begin": begin, "_end": end})
+    cut = cut.withColumns({"out_offset": F.when(own, F.col("out_offset") + F.col("_begin") - F.col("src_offset")).otherwise(F.col("out_offset")), "length": F.when(own, F.col("_end") - F.col("_begin")).otherwise(F.col("length")), "src_offset": F.when(own, F.col("_begin") - F.col("_part") * part_bytes).otherwise(F.col("src_offset")), "source": F.when(own, F.col("_part")).otherwise(F.col("source"))})
+    return cut.select(*plan.columns)
+
+
+def assemble_plan(plan: DataFrame, pieces: DataFrame, keys: list[str], part_bytes: int = PART, totals: bool = False) -> DataFrame:
+    """``keys``, ``part``, ``begin``, ``content`` (and, with ``totals``, ``total``, the bytes of the body): the bytes of each planned body in parts of ``part_bytes`` (the last one
     shorter). Parts that are zeros throughout have no row, nor have empty bodies. ``pieces``: ``keys``, ``ord``,
     ``content``. A segment whose piece is missing or too short leaves zeros.
 
@@ -54,25 +72,35 @@ def assemble_plan(plan: DataFrame, pieces: DataFrame, keys: list[str], part_byte
             data = data.as_buffer()
             buffer[at : at + data.size] = memoryview(data)
         one = table.slice(0, 1)
-        return pa.table([*(one.column(k) for k in keys), one.column("part"), pa.array([bytes(buffer)], pa.binary())], [*keys, "part", "content"])
+        return pa.table([*(one.column(k) for k in keys), one.column("part"), pa.array([bytes(buffer)], pa.binary()), one.column("total")], [*keys, "part", "content", "total"])
 
-    made = slices.join(full, keys).select(*keys, "part", "seq", "at", "bytes", "total").groupBy(*keys, "part").applyInArrow(work, f"{kinds}, part bigint, content binary")
-    return made.select(*keys, "part", (F.col("part") * part_bytes).alias("begin"), "content")
+    made = slices.join(full, keys).select(*keys, "part", "seq", "at", "bytes", "total").groupBy(*keys, "part").applyInArrow(work, f"{kinds}, part bigint, content binary, total bigint")
+    return made.select(*keys, "part", (F.col("part") * part_bytes).alias("begin"), "content", *["total"] * totals)
 
 
-def write_bodies(parts: DataFrame, targets: DataFrame, keys: list[str], folder: str, most_bytes: int = 1 << 40) -> DataFrame:
-    """Write each body to its planned path below ``folder``: ``out_path``, ``bytes``, ``error``.
+def _place(folder: str):
+    """File system and inner path of a folder, a path or a URI."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
+@dataclass
+class _Staged(WriterCommitMessage):
+    """Files that a task has written: (below its staging folder, final path below the target)."""
+
+    files: list[tuple[str, str]]
 
-    ``parts`` as of ``assemble_plan``; ``targets``: ``keys``, ``out_path`` (relative), ``ord``, ``total`` (bytes of the body).
-    Of several bodies with one path the last one by ``ord`` is written, the others are not. Holes are
-    written as zeros; a body above ``most_bytes`` is not written and has an ``error``. A body is written
-    by one task, part by part, under a passing name, and then renamed, so a repeated task does no harm.
-    ``folder``: a path or URI that every worker can write to.
-    """
 
-    def work(batches):
-        place, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        open_path, stream, at, total, held = None, None, 0, 0, ""
+class _BodyWriter(DataSourceArrowWriter):
+    """Rows (out_path, total, begin, content), sorted by them, into files. A task writes below a staging folder of its own; only
+    the tasks that Spark commits are moved into place, so repeated, speculative and failed ones leave nothing."""
+
+    def __init__(self, folder: str):
+        self.folder, self.staging = folder, f".staging-{uuid.uuid4().hex}"
+
+    def write(self, batches):
+        place, root = _place(self.folder)
+        own, done = f"{self.staging}/{uuid.uuid4().hex}", []
+        path, stream, at, total = None, None, 0, 0
 
         def zeros(n):
             while n > 0:
@@ -83,32 +111,69 @@ def write_bodies(parts: DataFrame, targets: DataFrame, keys: list[str], folder:
             if stream is not None:
                 zeros(total - at)
                 stream.close()
-                place.move(held, f"{root}/{open_path}")
 
         for batch in batches:
-            done = []
             for row in range(batch.num_rows):
-                path, size = batch.column("out_path")[row].as_py(), batch.column("total")[row].as_py()
-                if size > most_bytes:
-                    if path != open_path:
-                        close()
-                        open_path, stream = path, None
-                        done.append((path, 0, f"{size} bytes exceed {most_bytes}"))
-                    continue
-                if path != open_path:
+                target = batch.column("out_path")[row].as_py()
+                if target != path:
                     close()
-                    place.create_dir(f"{root}/{path}".rsplit("/", 1)[0], recursive=True)
-                    open_path, at, total, held = path, 0, size, f"{root}/{path}.{uuid.uuid4().hex}"
-                    stream = place.open_output_stream(held)
-                    done.append((path, size, None))
+                    path, at, total = target, 0, batch.column("total")[row].as_py()
+                    done.append((f"{own}/{len(done)}", path))
+                    place.create_dir(f"{root}/{own}", recursive=True)
+                    stream = place.open_output_stream(f"{root}/{done[-1][0]}")
                 begin, content = batch.column("begin")[row].as_py(), batch.column("content")[row]
                 if content.is_valid:
                     zeros(begin - at)
                     stream.write(content.as_buffer())
                     at = begin + content.as_buffer().size
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.string())], ["out_path", "bytes", "error"])
         close()
+        return _Staged(done)
+
+    def commit(self, messages) -> None:
+        place, root = _place(self.folder)
 
-    last = targets.groupBy("out_path").agg(F.max_by(F.struct(*keys, "total"), F.struct("ord", *keys)).alias("t")).select("out_path", "t.*")
-    met = last.join(parts, keys, "left").select("out_path", "total", "begin", "content")
-    return met.repartition("out_path").sortWithinPartitions("out_path", "begin").mapInArrow(work, "out_path string, bytes bigint, error string")
+        def moved(pair):
+            source, path = f"{root}/{pair[0]}", f"{root}/{pair[1]}"
+            place.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            if place.get_file_info(path).type == fs.FileType.File:  # some stores refuse to move onto a file
+                place.delete_file(path)
+            place.move(source, path)
+
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(moved, (pair for m in messages if m is not None for pair in m.files)))
+        self.abort(messages)
+
+    def abort(self, messages) -> None:
+        place, root = _place(self.folder)
+        if place.get_file_info(f"{root}/{self.staging}").type == fs.FileType.Directory:
+            place.delete_dir(f"{root}/{self.staging}")
+
+
+class BodyFiles(DataSource):
+    """``write.format("body_files").option("folder", ...)``: bodies, in rows (out_path, total, begin, content), as files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "body_files"
+
+    def writer(self, schema, overwrite):
+        return _BodyWriter(self.options["folder"])
+
+
+def write_bodies(parts: DataFrame, targets: DataFrame, keys: list[str], folder: str, most_bytes: int = 1 << 40) -> DataFrame:
+    """Write each body to its planned path below ``folder``: ``out_path``, ``bytes``, ``error``.
+
+    ``parts`` as of ``assemble_plan``; ``targets``: ``keys``, ``out_path`` (relative), ``ord``, ``total`` (bytes of the body).
+    Of several bodies with one path the last one by ``ord`` is written, the others are not. Holes are
+    written as zeros; a body above ``most_bytes`` is not written and has an ``error``. The files are there, whole, when this
+    returns: each body is staged by one task, part by part, and all are moved into place when the job commits, onto
+    files that are there already. Reading the result writes nothing again.
+    ``folder``: a path or URI that every worker can write to.
+    """
+    last = kept(targets.groupBy("out_path").agg(F.max_by(F.struct(*keys, "total"), F.struct("ord", *keys)).alias("t")).select("out_path", "t.*"))
+    fits = F.col("total") <= most_bytes
+    met = last.where(fits).join(parts.select(*keys, "begin", "content"), keys, "left").select("out_path", "total", F.coalesce("begin", F.lit(0)).alias("begin"), "content")
+    parts.sparkSession.dataSource.register(BodyFiles)
+    met.repartition("out_path").sortWithinPartitions("out_path", "begin").write.format("body_files").option("folder", folder).mode("append").save()
+    error = F.when(~fits, F.concat(F.col("total").cast("string"), F.lit(f" bytes exceed {most_bytes}")))
+    return last.select("out_path", F.when(fits, F.col("total")).otherwise(0).cast("bigint").alias("bytes"), error.alias("error"))

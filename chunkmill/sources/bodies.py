@@ -36,28 +36,37 @@ def list_cache_files(spark: SparkSession, paths: list[str], with_content: bool =
     return rows.select(*columns, *["content"] * with_content)
 
 
-def simple_layout(data: bytes, side: bool = False) -> tuple[int, int, int | None, int | None] | None:
-    """(body start, end, headers start, end) of a Simple file; None if it is none. Headers are unknown
-    (None) where only a scan finds the body's end, and in side (``_1``) files."""
-    if len(data) < HEADER_BYTES + EOF_BYTES or struct.unpack_from("<Q", data)[0] != FILE_MAGIC:
+def layout_of(read, find, size: int, side: bool = False) -> tuple[int, int, int | None, int | None] | None:
+    """(body start, end, headers start, end) of a Simple file of ``size`` bytes; None if it is none. Headers are unknown
+    (None) where only a scan finds the body's end, and in side (``_1``) files. ``read(at, n)`` gives bytes, ``find(what, at)``
+    the place of some."""
+    if size < HEADER_BYTES + EOF_BYTES:
+        return None
+    head = read(0, HEADER_BYTES)
+    if struct.unpack_from("<Q", head)[0] != FILE_MAGIC:
         return None
-    start = HEADER_BYTES + struct.unpack_from("<I", data, 12)[0]
-    last = len(data) - EOF_BYTES
-    magic, flags, _, size = struct.unpack_from("<QIII", data, last)
+    start = HEADER_BYTES + struct.unpack_from("<I", head, 12)[0]
+    last = size - EOF_BYTES
+    magic, flags, _, length = struct.unpack_from("<QIII", read(last, EOF_BYTES))
     if side:
         if start > last:
             return None
-        return start, last if magic == EOF_MAGIC else len(data), None, None
-    if start >= len(data):
+        return start, last if magic == EOF_MAGIC else size, None, None
+    if start >= size:
         return None
     headers_end = last - (HASH_BYTES if flags & HAS_HASH else 0)
-    headers = headers_end - size
-    if magic == EOF_MAGIC and headers >= EOF_BYTES and struct.unpack_from("<Q", data, headers - EOF_BYTES)[0] == EOF_MAGIC:
+    headers = headers_end - length
+    if magic == EOF_MAGIC and headers >= EOF_BYTES and struct.unpack("<Q", read(headers - EOF_BYTES, 8))[0] == EOF_MAGIC:
         return (start, headers - EOF_BYTES, headers, headers_end) if start <= headers - EOF_BYTES else None
-    end = data.find(struct.pack("<Q", EOF_MAGIC), start)
+    end = find(struct.pack("<Q", EOF_MAGIC), start)
     return None if end < 0 else (start, end, None, None)
 
 
+def simple_layout(data: bytes, side: bool = False) -> tuple[int, int, int | None, int | None] | None:
+    """``layout_of`` a whole file."""
+    return layout_of(lambda at, n: data[at : at + n], data.find, len(data), side)
+
+
 def simple_ranges(data: bytes) -> list[tuple[int, int, int]]:
     """(offset, length, place in the file) of each range of a sparse file. The walk stops at a wrong
     magic; a last range that is cut off is as long as what is there; without ranges, the raw body
@@ -86,24 +95,29 @@ def simple_ranges(data: bytes) -> list[tuple[int, int, int]]:
     return [(0, end - begin, begin)] if end > begin else []
 
 
+def box_head(raw: bytes, room: int) -> tuple[int, int, bytes] | None:
+    """(size, head size, type) of the box that begins with ``raw`` (its first 16 bytes, or all that are there), of which ``room`` bytes are
+    left; None if none does."""
+    if room < 8 or len(raw) < 8 or not _PRINTABLE(raw[4:8]):
+        return None
+    size, head = struct.unpack_from(">I", raw)[0], 8
+    if size == 1:
+        if len(raw) < 16 or room < 16:
+            return None
+        size, head = struct.unpack_from(">Q", raw, 8)[0], 16
+    elif size == 0:
+        size = room
+    return None if size < 8 else (size, head, raw[4:8])
+
+
 def boxes(data: bytes, deep: bool = True) -> list[tuple[int, int, int, str, int]]:
     """(offset, size, header size, type, depth) of every container box, parents before children; only
     the top level unless ``deep``. Boxes still to walk are held in a list, so nesting has no limit."""
     found, todo = [], [(0, len(data), 0)]
     while todo:
         start, end, depth = todo.pop()
-        while start < end - 7:
-            size, kind, head = struct.unpack_from(">I", data, start)[0], data[start + 4 : start + 8], 8
-            if not _PRINTABLE(kind):
-                break
-            if size == 1:
-                if start + 16 > end:
-                    break
-                size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
-            elif size == 0:
-                size = end - start
-            if size < 8:
-                break
+        while (top := box_head(data[start : min(start + 16, end)], end - start)) is not None:
+            size, head, kind = top
             found.append((start, size, head, kind.decode(), depth))
             if deep and kind in CONTAINERS:
                 todo += [(start + size, end, depth), (start + head, min(start + size, end), depth + 1)]
@@ -234,21 +248,22 @@ def _facts(data: bytes) -> list[tuple]:
         top.setdefault(kind, (at, size, head))
     ftyp, mdat = top.get("ftyp", (None, None, None)), top.get("mdat", (None, None, None))
     hits = moov_hits(data)
+    kinds = ("moov" in top, "mdat" in top)
     cut = (None, None)
     for m in re.finditer(b"moov", data[-MOOV_BYTES[1] :]):
         at = max(len(data) - MOOV_BYTES[1], 0) + m.start() - 4
         if at >= 0 and MOOV_BYTES[0] <= (size := struct.unpack_from(">I", data, at)[0]) <= MOOV_BYTES[1] and at + size > len(data) and b"mvhd" in data[at:]:
             cut = (at, size)
-    return [(len(data), *ftyp[:2], *mdat, *(hits[-1] if hits else (None, None)), *cut, _standalone(data))]
+    return [(len(data), *ftyp[:2], *mdat, *(hits[-1] if hits else (None, None)), *cut, _standalone(data), *kinds)]
 
 
 def piece_facts(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """What layouts need to know of each body, so that bodies need not move: ``size``, its first top-level
     ftyp (``ftyp_offset``, ``ftyp_size``) and mdat (with ``mdat_head``, bytes of its box head), its last plausible index box
     (``moov_offset``, ``moov_size``), one that begins in it and runs over its end (``cut_offset``, ``cut_size``), and whether
-    it looks like a whole file of another kind (``standalone``)."""
+    it looks like a whole file of another kind (``standalone``); ``has_moov`` and ``has_mdat`` of its top level."""
     names = "size ftyp_offset ftyp_size mdat_offset mdat_size mdat_head moov_offset moov_size cut_offset cut_size".split()
-    return _rows(df, keys, content, _facts, ", ".join(f"{n} bigint" for n in names) + ", standalone boolean")
+    return _rows(df, keys, content, _facts, ", ".join(f"{n} bigint" for n in names) + ", standalone boolean, has_moov boolean, has_mdat boolean")
 
 
 def file_head(content: Column, start: Column, n: int = 256) -> Column:
