@@ -108,6 +108,7 @@ def recover_unclaimed(files: DataFrame, entry_of_file: DataFrame | None = None)
     known = kept(refined(typed.drop("content").join(boxed, [CACHE, "name"])))
     known = group.dedupe_mp4_headers(known)
     chunks = kept(group.grouped_chunks(known))
+    methods = chunks.groupBy(CACHE, F.col("header_file").alias("name")).agg(F.min("method").alias("method"))
     used = chunks.select(CACHE, "name").union(chunks.select(CACHE, F.col("header_file").alias("name"))).distinct()
     heads = known.join(chunks.select(CACHE, F.col("header_file").alias("name")).distinct(), [CACHE, "name"], "left_semi")
     alone = known.join(used, [CACHE, "name"], "left_anti")
@@ -115,7 +116,7 @@ def recover_unclaimed(files: DataFrame, entry_of_file: DataFrame | None = None)
     left = alone.join(single.select(CACHE, "name"), [CACHE, "name"], "left_anti")
     grouped = chunks.groupBy(CACHE, F.col("header_file").alias("name")).agg(F.sort_array(F.collect_list(F.struct("hex_value", F.col("name").alias("file")))).alias("behind"))
     kind = F.when((F.col("file_type").isin("mp4_header_only", "mp4_complete")) & F.col("behind").isNotNull(), "mp4_chunked").otherwise(F.col("file_type"))
-    made = heads.unionByName(single).join(grouped, [CACHE, "name"], "left").withColumns({"resource_type": kind, "phase": F.when(F.col("behind").isNotNull(), 2).otherwise(3), "ord": F.col("hex_value"), "header_file": F.col("name")})
+    made = heads.unionByName(single).join(grouped, [CACHE, "name"], "left").join(methods, [CACHE, "name"], "left").withColumns({"resource_type": kind, "phase": F.when(F.col("behind").isNotNull(), 2).otherwise(3), "ord": F.col("hex_value"), "header_file": F.col("name")})
     made = made.withColumns({"media_category": media_category(F.col("resource_type")), "file_names": F.concat(F.array("name"), F.coalesce(F.transform("behind", lambda b: b["file"]), F.array().cast("array<string>")))})
     made = made.withColumns({"n_files": F.size("file_names"), "n_children": F.size("file_names") - 1, "index_is_sparse": F.lit(False), "index_url": F.lit(None).cast("string"), "original_filename": F.lit(None).cast("string"), "url_name": F.lit(None).cast("string"), "sparse_stream": F.lit(False)})
     made = report.display_name(group.number_resources(made))

@@ -339,10 +339,10 @@ def a13_chunk_size_stats(ranges):
     return layout.chunk_size_stats(ranges.withColumn("size", F.floor(F.col("range_length") / 262144)), "resource_id", "size")
 
 
-@query("fx_bodies", """, h AS (SELECT doc_id, cache_dir, substr(body_hex, 1, 24) AS head, CASE doc_id % 8 WHEN 4 THEN 'mp4_complete' WHEN 6 THEN 'mp4_header_only' END AS kind FROM fx_bodies), r AS (SELECT *, CASE WHEN kind IS NOT NULL THEN row_number() OVER (PARTITION BY cache_dir, kind IS NOT NULL, head ORDER BY doc_id) END AS n FROM h) SELECT doc_id, CASE WHEN coalesce(n, 1) = 1 THEN kind END AS file_type, coalesce(n > 1, false) AS demoted FROM r""")
+@query("fx_bodies", """, h AS (SELECT doc_id, cache_dir, substr(body_hex, 1, 128) AS head, CASE doc_id % 8 WHEN 4 THEN 'mp4_complete' WHEN 6 THEN 'mp4_header_only' END AS kind FROM fx_bodies), r AS (SELECT *, CASE WHEN kind IS NOT NULL THEN row_number() OVER (PARTITION BY cache_dir, kind IS NOT NULL, head ORDER BY doc_id) END AS n FROM h) SELECT doc_id, CASE WHEN coalesce(n, 1) = 1 THEN kind END AS file_type, coalesce(n > 1, false) AS demoted FROM r""")
 def w1_dedupe_mp4_headers(bodies):
     kind = F.when(F.col("doc_id") % 8 == 4, "mp4_complete").when(F.col("doc_id") % 8 == 6, "mp4_header_only")
-    rows = bodies.select("cache_dir", F.col("doc_id").alias("hex_value"), F.substring(F.unhex("body_hex"), 1, 12).alias("head64"), kind.alias("file_type"))
+    rows = bodies.select("cache_dir", F.col("doc_id").alias("hex_value"), F.substring(F.unhex("body_hex"), 1, 64).alias("head64"), kind.alias("file_type"))
     return group.dedupe_mp4_headers(rows).select(F.col("hex_value").alias("doc_id"), "file_type", "demoted")
 
 

@@ -176,12 +176,15 @@ def _mp4_reach(files: DataFrame) -> DataFrame:
 def _claims(batches):
     """Greedy claims, island by island: headers in order, each takes the first free chunks it may. Batches are
     sorted by cache, island and position."""
-    held = None
+    held = []
     names = ["cache_dir", "name", "hex_value", "header_file", "hex_distance", "method"]
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
 
     def told(table: pa.Table) -> pa.RecordBatch:
         column = {c: table.column(c).to_pylist() for c in ("cache_dir", "island", "is_header", "name", "etag", "range_total", "etag_members", "range_members", "max_chunks", "reach")}
         place = table.column("hex_value").to_numpy()
+        if not table.num_rows:
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names)
         ends = [i for i in range(1, table.num_rows) if column["island"][i] != column["island"][i - 1] or column["cache_dir"][i] != column["cache_dir"][i - 1]]
         out = []
         for a, b in zip([0, *ends], [*ends, table.num_rows], strict=True):
@@ -192,22 +195,29 @@ def _claims(batches):
                 key, method = ("etag", "etag") if column["etag_members"][h] is not None else ("range_total", "content-range") if column["range_members"][h] is not None else (None, "hex-proximity")
                 left = column["max_chunks"][h]
                 for n in range(first, last):
-                    if left and free[n] and (key is None or column[key][chunks[n]] == column[key][h]):
+                    if not left:
+                        break
+                    if free[n] and (key is None or column[key][chunks[n]] == column[key][h]):
                         free[n], left, i = False, left - 1, chunks[n]
                         out.append((column["cache_dir"][i], column["name"][i], int(place[i]), column["name"][h], int(place[i] - place[h]), method))
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names)
 
+    last = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        cache, island = held.column("cache_dir").to_pylist(), held.column("island").to_pylist()
-        cut = next((i for i in range(held.num_rows - 1, 0, -1) if cache[i] != cache[i - 1] or island[i] != island[i - 1]), 0)
-        if cut:
-            yield told(held.slice(0, cut))
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield told(held)
+        if not batch.num_rows:
+            continue
+        # only the new rows are looked at, so a long island costs no more than its length
+        keys = list(zip(batch.column("cache_dir").to_pylist(), batch.column("island").to_pylist(), strict=True))
+        cut = next((i for i in range(len(keys) - 1, 0, -1) if keys[i] != keys[i - 1]), 0)
+        if held and (cut or keys[0] != last):
+            yield told(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        elif cut:
+            yield told(pa.Table.from_batches([batch.slice(0, cut)]))
+        held.append(batch.slice(cut))
+        last = keys[-1]
+    if held:
+        yield told(pa.Table.from_batches(held))
 
 
 def _running_max(rows: DataFrame, value: Column, name: str, own_too: bool) -> DataFrame:

@@ -124,13 +124,18 @@ def match_entry_files(kids: DataFrame, files: DataFrame, entry_streams: DataFram
     return found.groupBy(*entry).agg(F.transform(ordered, lambda x: F.struct(x["name"].alias("name"), x["size"].alias("size"))).alias("files"), F.count(F.lit(1)).alias("n_files"))
 
 
-def file_entry_map(kids: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
-    """The entry of each external file, a child's or (with ``entry_streams``, as in
+def file_entries(kids: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
+    """The entry (``url``, ``ord``) of each external file, a child's or (with ``entry_streams``, as in
     ``entry_files``) any stream's: the last one, by ``ord``, of those with a body or sparse."""
     refs = _child_files(kids, "url", "ord")
     if entry_streams is not None:
         refs = refs.unionByName(_own_files(entry_streams.where("is_sparse or body_size > 0"), "url", "ord"))
-    return refs.groupBy(CACHE, "name").agg(F.max_by("url", F.struct("ord", "url")).alias("url"))
+    return refs.groupBy(CACHE, "name").agg(F.max(F.struct("ord", "url")).alias("e")).select(CACHE, "name", "e.url", "e.ord")
+
+
+def file_entry_map(kids: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:
+    """``file_entries`` without ``ord``: the URL of each external file."""
+    return file_entries(kids, entry_streams).drop("ord")
 
 
 def unclaimed_files(files: DataFrame, kids: DataFrame, resource_files: DataFrame, entry_streams: DataFrame | None = None) -> DataFrame:

@@ -273,8 +273,7 @@ def file_head(content: Column, start: Column, n: int = 256) -> Column:
 
 def concat_bodies(df: DataFrame, keys: list[str], order: str, body: str) -> DataFrame:
     """Bodies of each group in order, as one; for groups that fit a row."""
-    parts = F.sort_array(F.collect_list(F.struct(order, body)))
-    return df.groupBy(*keys).agg(F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p[body])).alias("content"))
+    return df.groupBy(*keys).agg(F.coalesce(F.expr(f"listagg(`{body}`) within group (order by `{order}`, `{body}`)"), F.lit(b"")).alias("content"))
 
 
 def assemble_sparse(df: DataFrame, keys: list[str], content: str = "content", most_bytes: int = 1 << 30) -> DataFrame:
