@@ -4,12 +4,15 @@ The ids of the documents, in ascending order of their ids, are cut into chunks o
 documents. A chunk's ids are split into blocks of ``block`` ids; each block is transposed into
 byte planes (or bit planes), so that the slowly varying high parts of ids lie together, and the
 planes of one rank are compressed with zstandard. A stored chunk is one row of a Parquet
-dataset: its place (``part``, ``seq``, ``first``), the chunk index (document ids and lengths),
-the plane sizes, and the compressed planes one after another. A chunk can be decoded alone.
+dataset: its place (``part``, ``seq``, ``first``), how it was made (``block``, ``bits``, ``end_id`` and the SHA-256 of the
+``tokenizer`` file), the chunk index (document ids and lengths), the plane sizes, and the compressed planes one
+after another. A chunk can be decoded alone, by what it says itself.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import zlib
 
 import numpy as np
@@ -60,8 +63,14 @@ def from_planes(planes: list[bytes], n: int, block: int = BLOCK, bits: bool = Fa
     return raw.view("<u4").reshape(-1)
 
 
+@functools.lru_cache(maxsize=4)
+def file_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def _stored_schema(kind: str) -> str:
-    return f"part bigint, seq bigint, first bigint, n_ids bigint, doc_ids array<{kind}>, lengths array<bigint>, plane_bytes array<bigint>, planes binary"
+    return f"part bigint, seq bigint, first bigint, n_ids bigint, block bigint, bits boolean, end_id bigint, tokenizer string, doc_ids array<{kind}>, lengths array<bigint>, plane_bytes array<bigint>, planes binary"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: bool = False, chunk_ids: int = CHUNK_IDS, parts: int | None = None) -> None:
@@ -85,6 +94,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             return pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([part_no], pa.int64()), "seq": pa.array([seq], pa.int64()), "first": pa.array([first], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()),
+                    "block": pa.array([block], pa.int64()), "bits": pa.array([bits]), "end_id": pa.array([end_id], pa.int64()), "tokenizer": pa.array([file_digest(tokenizer)]),
                     "doc_ids": pa.array([keys], pa.list_(key_type)), "lengths": pa.array([lengths], pa.list_(pa.int64())),
                     "plane_bytes": pa.array([[len(p) for p in planes]], pa.list_(pa.int64())), "planes": pa.array([b"".join(planes)], pa.binary()),
                 }
@@ -129,18 +139,18 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return chunks.join(parts.select("part", before.alias("before")), "part").withColumn("base", F.col("before") + F.col("first"))
 
 
-def _decoded(chunks: DataFrame, id_col: str, block: int, bits: bool, digest: bool) -> DataFrame:
+def _decoded(chunks: DataFrame, id_col: str, digest: bool) -> DataFrame:
     kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def work(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {n: batch.column(n)[row] for n in ("base", "n_ids", "doc_ids", "lengths", "plane_bytes", "planes")}
+                one = {n: batch.column(n)[row] for n in ("base", "n_ids", "block", "bits", "doc_ids", "lengths", "plane_bytes", "planes")}
                 payload, planes, at = one["planes"].as_py(), [], 0
                 for n in one["plane_bytes"].as_py():
                     planes.append(payload[at : at + n])
                     at += n
-                ids = from_planes(planes, one["n_ids"].as_py(), block, bits)
+                ids = from_planes(planes, one["n_ids"].as_py(), one["block"].as_py(), one["bits"].as_py())
                 lengths = np.array(one["lengths"].as_py(), np.int64)
                 ends = np.cumsum(lengths)
                 pairs = list(zip((ends - lengths).tolist(), ends.tolist(), strict=True))
@@ -149,13 +159,13 @@ def _decoded(chunks: DataFrame, id_col: str, block: int, bits: bool, digest: boo
 
     names = [id_col, "start", "n_tokens", "ids_crc32" if digest else "ids"]
     schema = f"`{id_col}` {kind}, start bigint, n_tokens bigint, {names[3]} {'bigint' if digest else 'array<bigint>'}"
-    return chunks.select("base", "n_ids", "doc_ids", "lengths", "plane_bytes", "planes").mapInArrow(work, schema)
+    return chunks.select("base", "n_ids", "block", "bits", "doc_ids", "lengths", "plane_bytes", "planes").mapInArrow(work, schema)
 
 
-def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", block: int = BLOCK, bits: bool = False) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Documents of a stored dataset: ``id_col``, ``start`` (ids before it), ``n_tokens`` (its end
-    id included), ``ids`` array<long>. ``block`` and ``bits`` as they were written."""
-    return _decoded(read_chunks(spark, path), id_col, block, bits, digest=False)
+    id included), ``ids`` array<long>."""
+    return _decoded(read_chunks(spark, path), id_col, digest=False)
 
 
 def stored_digests(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: bool = False) -> DataFrame:
@@ -164,4 +174,4 @@ def stored_digests(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
     spark = docs.sparkSession
     path = new_folder(spark, "token-store")
     write_tokens(docs, path, tokenizer, end_id, id_col, text_col, block, bits)
-    return _decoded(read_chunks(spark, path), id_col, block, bits, digest=True)
+    return _decoded(read_chunks(spark, path), id_col, digest=True)

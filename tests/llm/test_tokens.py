@@ -129,6 +129,15 @@ def test_read_tokens(spark, edge):
     assert got == want
 
 
+def test_stored_rows_say_how_they_were_made(spark, edge):
+    want = sorted((r.doc_id is None, r.doc_id or 0, [*ids_of(BYTE, r.text), 2]) for r in edge.collect())
+    for bits, block in ((True, 96), (False, 7)):
+        path = token_store.new_folder(spark, "t")
+        token_store.write_tokens(edge, path, BYTE, 2, bits=bits, block=block)
+        assert {tuple(r) for r in spark.read.parquet(path).select("block", "bits", "end_id", "tokenizer").collect()} == {(block, bits, 2, hashlib.sha256(open(BYTE, "rb").read()).hexdigest())}
+        assert sorted((r.doc_id is None, r.doc_id or 0, list(r.ids)) for r in token_store.read_tokens(spark, path).collect()) == want
+
+
 def test_difference_balances():
     sets = packing.difference([8, 7, 6, 5, 4], 2)
     assert sorted(i for s in sets for i in s) == [0, 1, 2, 3, 4]
