@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.values import webkit_us_to_unix
 from ..sources import assemble, bodies, index, ranged
 from ..sources.resources import kept, shared_folder
-from . import caches, recovery
+from . import caches, recovery, scan
 from .caches import CACHE, const as _const, little as _le
 
 QUERIES, SQL = {}, {}
@@ -256,3 +256,13 @@ def job_recover_unclaimed(docs):
     got = recovery.recover_unclaimed(caches.loose_files(docs))
     body = got["parts"].groupBy("resource_id").agg(F.sum(F.octet_length("content")).alias("n_bytes"), F.max(F.md5("content")).alias("md5"))
     return got["resources"].join(body, "resource_id").select("cache_dir", "header_file", "resource_type", "action", "n_files", "n_bytes", "md5")
+
+
+@query(f"""WITH t AS (SELECT DISTINCT ON (doc_id) doc_id, 'dir' || CAST(doc_id // 500 AS VARCHAR) AS cache_dir, {_TEXT} > 0 AS used, {_TEXT} > 0 AND {_KIND} IS NOT NULL AS made FROM documents WHERE doc_id IS NOT NULL)
+SELECT cache_dir, count(*) + count(*) FILTER (used) + count(*) FILTER (used AND doc_id % 3 = 0) AS total_files, count(*) AS blockfile_files, count(*) FILTER (used) AS simple_files, count(*) FILTER (made) + count(*) FILTER (used) AS resources, count(*) FILTER (made) AS with_metadata,
+count(*) AS index_entries, count(*) FILTER (made) AS index_claimed, CAST(0 AS BIGINT) AS heuristic_grouped, count(*) FILTER (NOT made) AS unclaimed FROM t GROUP BY cache_dir""")
+def job_scan_stats(docs):
+    """One scan of caches that have an index and Simple files, built from the texts: its counters."""
+    index_files, files = caches.indexed_caches(docs)
+    both = files.unionByName(caches.simple_caches(docs)).withColumn("modified_at_us", F.lit(0).cast("bigint"))
+    return scan.scan(index_files, both)["stats"]

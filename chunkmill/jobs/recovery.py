@@ -139,14 +139,25 @@ def recover_unclaimed(files: DataFrame, entry_of_file: DataFrame | None = None)
     return {"resources": resources, "chunks": chunks, "left": left, "unidentified": group.unidentified_bucket(stamped), "errors": errors, "parts": parts}
 
 
+def _opens(files: DataFrame) -> bool:
+    """Whether the files have paths that tasks can open by themselves (some stores are read by Spark only)."""
+    one = files.select("path").limit(1).collect() if "path" in files.columns else []
+    try:
+        for row in one:
+            ranged.opened(row.path).close()
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return bool(one)
+
+
 def recover_simple(files: DataFrame) -> dict[str, DataFrame]:
     """Resources of Simple caches: a file's sparse stream if it has a type, else its body: ``resources``, ``parts`` and ``errors``
     (files that could not be read).
 
-    ``files``: ``cache_dir``, ``name``, ``size``, ``content``. With ``path`` too (``bodies.list_cache_files``), main files are typed by
-    ranges of their bytes, and ``content`` is read only where a body is wanted.
+    ``files``: ``cache_dir``, ``name``, ``size``, ``content``. With ``path`` too (``bodies.list_cache_files``), if it can be opened, main files are
+    typed by ranges of their bytes, and ``content`` is read only where a body is wanted.
     """
-    key, by_range = [CACHE, "hash"], "path" in files.columns
+    key, by_range = [CACHE, "hash"], _opens(files)
     named = parse_cache_name(files).where("hash is not null").select(CACHE, "hash", "stream", "size", "content", *["path"] * by_range)
     named = named if by_range else kept(named)
     sizes = report.pair_simple_streams(named)
