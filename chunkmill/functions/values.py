@@ -44,7 +44,7 @@ def _all_hex(text: Column, least: int, most: int) -> Column:
 
 def parse_child_key(key: Column) -> Column:
     """Struct of ``parent_url``, ``child_id`` (hex after the last colon, bad: 0), ``offset_bytes``,
-    ``reject_reason`` (no prefix, no colon, or an id whose offset passes 64 bits). The signature before the id is
+    ``reject_reason`` (no prefix, no colon, or an id whose offset passes 64 bits and is null). The signature before the id is
     dropped if it has four hex digits or more. Cuts at the last colons by length, without patterns."""
     rest = F.substr(key, F.lit(7))
     tail = F.substring_index(rest, ":", -1)
@@ -54,10 +54,9 @@ def parse_child_key(key: Column) -> Column:
     parent = F.when(signed, F.left(body, F.length(body) - F.length(signature) - 1)).otherwise(body)
     child = F.when(_all_hex(tail, 1, 15), F.conv(tail, 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     reason = F.when(~key.startswith("Range_"), "no-prefix").when(~F.contains(rest, F.lit(":")), "no-colon")
-    reason = reason.when(F.try_multiply(child, F.lit(CHILD_BYTES)).isNull(), "offset-overflow")
-    ok = reason.isNull()
+    ok, far = reason.isNull(), child >= (1 << 63) // CHILD_BYTES
     return F.struct(
-        F.when(ok, parent).alias("parent_url"), F.when(ok, child).alias("child_id"), F.when(ok, F.try_multiply(child, F.lit(CHILD_BYTES))).alias("offset_bytes"), reason.alias("reject_reason")
+        F.when(ok, parent).alias("parent_url"), F.when(ok, child).alias("child_id"), F.when(ok & ~far, child * CHILD_BYTES).alias("offset_bytes"), reason.when(far, "offset-overflow").alias("reject_reason")
     )
 
 

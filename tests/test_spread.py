@@ -35,7 +35,7 @@ def test_facts_beside_frequent_and_rare_keys(spark, monkeypatch):
 def test_ids_beyond_64_bits_are_rejected(spark):
     keys = ["Range_u:0000:7fffffffffffff", "Range_u:0000:7ffffffffff", "Range_u:0000:fffffffffffffff", "Range_u:0000:zz"]
     rows = spark.createDataFrame([(k,) for k in keys], "key string").select("key", F.inline(F.array(parse_child_key(F.col("key"))))).collect()
-    assert {r.key: (r.child_id, r.offset_bytes, r.reject_reason) for r in rows} == {keys[0]: (None, None, "offset-overflow"), keys[1]: (0x7FFFFFFFFFF, 0x7FFFFFFFFFF << 20, None), keys[2]: (None, None, "offset-overflow"), keys[3]: (0, 0, None)}
+    assert {r.key: (r.child_id, r.offset_bytes, r.reject_reason) for r in rows} == {keys[0]: (0x7FFFFFFFFFFFFF, None, "offset-overflow"), keys[1]: (0x7FFFFFFFFFF, 0x7FFFFFFFFFF << 20, None), keys[2]: (0xFFFFFFFFFFFFFFF, None, "offset-overflow"), keys[3]: (0, 0, None)}
     entries = spark.createDataFrame([("c", "u", True, 1)], "cache_dir string, url string, is_sparse boolean, ord bigint")
     kids = spark.createDataFrame([("c", k, 1, "f_000001", True) for k in keys], "cache_dir string, child_key string, size bigint, file_name string, is_external boolean")
     assert link.linked_parents(entries, kids).first().n_children == 2 and link.child_rows(entries, kids).count() == 2
