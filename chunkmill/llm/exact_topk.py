@@ -1,16 +1,21 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-Vectors of integers are cut into *blocks* of rows that point the same way (the signs of a fixed
-set of random projections name a cell; a crowded cell has several blocks). A block is packed into
-one row, its forward index, with its *term maxima*: per dimension the largest component and the
-smallest (for negative weights). Of a query, the sum over its terms of weight times the block's
-maximum bounds every score in the block.
-
-Queries are packed into *lots* the same way. The maxima of all blocks (at most BOUNDS_BYTES, by the
-choice of the block size) are broadcast. A lot is first scored in the SEEDS blocks that most of its
-queries bound highest, which gives each query a k-th score; after that it is sent only to blocks in
-which the bound of one of its queries reaches that query's k-th score. Inside a block, smaller
-blocks are taken in order of falling bound until the next bound is below the k-th score so far.
+Vectors of integers are sorted by their *cell* (the signs of fixed random projections, read as a
+number) and cut into *blocks* of ROWS rows, which so point the same way; rows of one cell, however
+many, fill several. A block is packed into one row, its forward index, with its *term maxima*: per
+dimension the largest component and the smallest (for negative weights). Of a query, the sum over
+its terms of weight times the block's maximum bounds every score in the block. A *group* is a run of
+neighbouring blocks, with the maxima of all of them.
+
+Queries are packed into *lots* the same way. Blocks keep their size at any number of vectors; groups
+grow, so that the maxima of all groups, which are broadcast, stay within BOUNDS_BYTES. The maxima of
+blocks are rows, LEAF blocks each, that only lots which reach their group meet. A lot is first scored
+in the SEEDS blocks that its queries bound highest, in the SEEDS groups that most of its queries
+bound highest, which gives each query a k-th score; after that it is sent only to groups, and of
+those only to blocks, in which the bound of one of its queries reaches that query's k-th score.
+Inside a block, smaller blocks are taken in order of falling bound until the next bound is below the
+k-th score so far. A row that many lots meet is copied for every MEET of them, so that no join key
+is hot.
 """
 
 from __future__ import annotations
@@ -18,15 +23,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
-#: Rows of a block (more where the maxima would exceed BOUNDS_BYTES) and of the blocks inside it;
-#: queries of a lot, and blocks that a lot begins with.
+#: Rows of a block and of the blocks inside it; queries of a lot; groups, and blocks in them, that a lot begins with.
 ROWS, BLOCK, LOT, SEEDS = 4096, 128, 512, 2
-BOUNDS_BYTES = 32 << 20
+#: Bytes of all maxima that are broadcast; blocks whose maxima are one row; lots that meet one copy of a row.
+BOUNDS_BYTES, LEAF, MEET = 32 << 20, 64, 64
+#: Bytes of vectors that one task packs.
+TASK_BYTES = 64 << 20
+#: Projections whose signs make a cell.
+PLANES = 24
 
 
 def _finite(vector):
@@ -87,7 +97,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, i
 
 def _signs(rows: np.ndarray, planes: int) -> np.ndarray:
     """On which side of fixed random planes each row lies."""
-    return rows @ np.random.default_rng(7).standard_normal((rows.shape[1], 12))[:, :planes] > 0
+    return rows @ np.random.default_rng(7).standard_normal((rows.shape[1], PLANES))[:, :planes] > 0
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind=np.float64) -> np.ndarray:
@@ -101,21 +111,47 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind=np.float64) ->
     return out
 
 
-def _packed(rows: DataFrame, most: int, width: int, kind: str, name: str) -> DataFrame:
-    """Rows of one cell, at most about ``most``, as one row: ``name`` (its number), ``ids`` and ``values`` (in bytes),
-    ``high`` and ``low`` (per dimension)."""
-    cells = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
-    # 4,096 cells at most
-    dealt = rows.join(F.broadcast(cells), "cell").withColumn(name, F.xxhash64("cell", F.pmod(F.xxhash64("vec_id", F.lit(name)), "parts")))
-
-    def work(key, table):
-        ids = table.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        values = _matrix(table.column("v"), width, np.int64)[order]
-        ends = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (values.max(axis=0), values.min(axis=0))]
-        return pa.table([pa.array([key[0].as_py()]), pa.array([ids[order].tobytes()], pa.binary()), pa.array([values.astype(kind).tobytes()], pa.binary()), *ends], [name, "ids", "values", "high", "low"])
-
-    return stored(dealt.select(name, "vec_id", "v").groupBy(name).applyInArrow(work, f"{name} bigint, ids binary, values binary, high array<bigint>, low array<bigint>"), name)
+def _cut(batches, size: int):
+    """The rows of the batches as tables of ``size`` rows, the last one shorter."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        while n >= size:
+            whole = pa.Table.from_batches(held)
+            yield whole.slice(0, size)
+            held, n = whole.slice(size).to_batches(), n - size
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _packed(placed: DataFrame, rows: int, size: int, width: int, kind: str, tasks: int, groups: int, name: str) -> DataFrame:
+    """Rows in order of their cells, ``size`` as one row: ``name`` (its number), ``group`` (at most ``groups`` of them,
+    runs of neighbours), ``ids`` and ``values`` (in bytes), ``high`` and ``low`` (per dimension). ``rows``: about how many there are."""
+    runs, joined = max(1, groups // tasks), -(-tasks // groups)
+    per = max(1, -(-rows // (tasks * size * runs)))
+
+    def work(batches):
+        task = TaskContext.get().partitionId()
+        for i, table in enumerate(_cut(batches, size)):
+            ids = table.column("vec_id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            values = _matrix(table.column("v"), width, np.int64)[order]
+            ends = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (values.max(axis=0), values.min(axis=0))]
+            group = task // joined * runs + min(i // per, runs - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | i]), pa.array([group]), pa.array([ids[order].tobytes()], pa.binary()), pa.array([values.astype(kind).tobytes()], pa.binary()), *ends], [name, "group", "ids", "values", "high", "low"])
+
+    # the hashed id splits a cell that holds many rows
+    sorted_rows = placed.repartitionByRange(tasks, "cell", F.xxhash64("vec_id")).sortWithinPartitions("cell", F.xxhash64("vec_id")).select("vec_id", "v")
+    return stored(sorted_rows.mapInArrow(work, f"{name} bigint, group bigint, ids binary, values binary, high array<bigint>, low array<bigint>"), name)
+
+
+def _meeting(pairs: DataFrame, lots: DataFrame, others: DataFrame, on: str) -> DataFrame:
+    """Stored pairs of ``lot`` and ``on`` with the columns of both sides; a row of ``others`` is copied for every MEET lots."""
+    slices = pairs.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / MEET).alias("slices"))
+    dealt = pairs.join(slices, on).select("lot", on, F.pmod(F.xxhash64("lot"), "slices").alias("slice"))
+    copies = slices.select(on, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice")).join(others, on)
+    return dealt.join(lots, "lot").join(copies, [on, "slice"]).drop("slice")
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -137,43 +173,63 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
         raise OverflowError(f"components up to {top:g} in {width} dimensions could give scores beyond 64 bits")
     exact = np.float64 if top * top * width < 2.0**53 else np.int64
     kind = next(t for t, bits in (("<i2", 15), ("<i4", 31), ("<i8", 64)) if top < 2.0**bits)
-    most_blocks = max(BOUNDS_BYTES // (16 * width), 16)
-    planes = min(12, max(0, int(min(n / ROWS, most_blocks / 2))).bit_length())
+    groups = max(BOUNDS_BYTES // (16 * width), 16)
+    tasks = max(1, -(-n * width * 8 // TASK_BYTES))
 
     def cells(batches):
         for batch in batches:
-            signs = _signs(_matrix(batch.column("v"), width), planes)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs @ (1 << np.arange(planes)), pa.int64())], ["vec_id", "v", "cell"])
+            signs = _signs(_matrix(batch.column("v"), width), PLANES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs @ (1 << np.arange(PLANES)[::-1]), pa.int64())], ["vec_id", "v", "cell"])
 
     placed = rows.select("vec_id", "v").mapInArrow(cells, "vec_id bigint, v array<bigint>, cell bigint")
-    blocks = _packed(placed, max(ROWS, 2 * n // most_blocks), width, kind, "block")
+    blocks = _packed(placed, n, ROWS, width, kind, tasks, groups, "block")
     asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max(F.struct("v", "cell")).alias("q")).select("vec_id", "q.*")
-    lots = _packed(asked, LOT, width, kind, "lot").drop("high", "low")
-    ends = blocks.select("block", "high", "low").sort("block").toArrow()  # within BOUNDS_BYTES
-    sent = spark.sparkContext.broadcast((ends.column("block").to_numpy(), *(_matrix(ends.column(c), width, exact) for c in ("high", "low"))))
+    lots = _packed(asked, -(-n // every), LOT, width, kind, -(-tasks // every), 1, "lot").select("lot", "ids", "values")
+    leaves = blocks.groupBy("group", F.shiftright("block", LEAF.bit_length() - 1).alias("leaf")).agg(F.collect_list(F.struct("block", "high", "low")).alias("ends")).drop("leaf")
+    ends = blocks.select("group", F.posexplode(F.arrays_zip("high", "low"))).groupBy("group", "pos").agg(F.max("col.high").alias("high"), F.min("col.low").alias("low"))
+    ends = ends.sort("group", "pos").toArrow()  # within BOUNDS_BYTES
+    sent = spark.sparkContext.broadcast((ends.column("group").to_numpy()[::width], *(ends.column(c).to_numpy().reshape(-1, width).astype(exact) for c in ("high", "low"))))
 
     def unpacked(batch, prefix, i):
         ids = np.frombuffer(batch.column(f"{prefix}ids")[i].as_py(), np.int64)
         return ids, np.frombuffer(batch.column(f"{prefix}values")[i].as_py(), kind).reshape(-1, width).astype(exact)
 
-    def seeds(batches):
+    def leaf(batch, i):
+        own = batch.column("ends")[i].values
+        return own.field("block").to_numpy(), *(_matrix(own.field(c), width, exact) for c in ("high", "low"))
+
+    def chosen(batch, i, *found):
+        return pa.RecordBatch.from_arrays([pa.array([batch.column("lot")[i].as_py()] * len(found[0]), pa.int64()), *map(pa.array, found)], ["lot", "group"] if len(found) == 1 else ["lot", "block", "weight"])
+
+    def seed_groups(batches):
         names, high, low = sent.value
         for batch in batches:
             for i in range(batch.num_rows):
-                _, queries = unpacked(batch, "", i)
-                votes = np.bincount(_bounds(queries, high, low).argmax(axis=1), minlength=len(names))
-                best = [j for j in np.argsort(-votes, kind="stable")[:SEEDS] if votes[j]]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("lot")[i].as_py()] * len(best), pa.int64()), pa.array(names[best])], ["lot", "block"])
+                votes = np.bincount(_bounds(unpacked(batch, "", i)[1], high, low).argmax(axis=1), minlength=len(names))
+                yield chosen(batch, i, names[[j for j in np.argsort(-votes, kind="stable")[:SEEDS] if votes[j]]])
+
+    def weighed(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, high, low = leaf(batch, i)
+                yield chosen(batch, i, names, _bounds(unpacked(batch, "", i)[1], high, low).sum(axis=0, dtype=np.float64))
 
-    def reached(batches):
+    def reached_groups(batches):
         names, high, low = sent.value
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, queries = unpacked(batch, "", i)
                 floor = _floors(ids, batch.column("floors")[i].as_py(), exact)
-                done = set(batch.column("done")[i].as_py() or ())
-                hit = [b for b in names[(_bounds(queries, high, low) >= floor[:, None]).any(axis=0)].tolist() if b not in done]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("lot")[i].as_py()] * len(hit), pa.int64()), pa.array(hit, pa.int64())], ["lot", "block"])
+                yield chosen(batch, i, names[(_bounds(queries, high, low) >= floor[:, None]).any(axis=0)])
+
+    def reached_blocks(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, queries = unpacked(batch, "", i)
+                floor = _floors(ids, batch.column("floors")[i].as_py(), exact)
+                names, high, low = leaf(batch, i)
+                hit = (_bounds(queries, high, low) >= floor[:, None]).any(axis=0) & ~np.isin(names, batch.column("done")[i].as_py() or [])
+                yield chosen(batch, i, names[hit], np.zeros(hit.sum()))
 
     def scored(batches):
         for batch in batches:
@@ -183,21 +239,28 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
                 q, r, score = search_block(queries, query_ids, values, ids, k, _floors(query_ids, batch.column("floors")[i].as_py(), exact))
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("lot")[i].as_py()] * len(q), pa.int64()), pa.array(query_ids[q]), pa.array(ids[r]), pa.array(score.astype(np.int64))], ["lot", "query_id", "vec_id", "score"])
 
+    packed_blocks = blocks.select("block", F.col("ids").alias("b_ids"), F.col("values").alias("b_values"))
+    pair, weighted = "lot bigint, group bigint", "lot bigint, block bigint, weight double"
+
     def met(pairs, lots):
-        both = pairs.join(lots.select("lot", "ids", "values", "floors"), "lot").join(blocks.select("block", F.col("ids").alias("b_ids"), F.col("values").alias("b_values")), "block")
-        return both.drop("block").mapInArrow(scored, "lot bigint, query_id bigint, vec_id bigint, score bigint")
+        return _meeting(pairs, lots.select("lot", "ids", "values", "floors"), packed_blocks, "block").mapInArrow(scored, "lot bigint, query_id bigint, vec_id bigint, score bigint")
 
-    floor = "array<struct<query_id:bigint,floor:bigint>>"
-    first = stored(lots.select("lot", "ids", "values").mapInArrow(seeds, "lot bigint, block bigint"), "seeds")
+    first_groups = stored(lots.mapInArrow(seed_groups, pair), "seed-groups")
+    highest = Window.partitionBy("lot").orderBy(F.desc("weight"), "block")
+    first = _meeting(first_groups, lots, leaves, "group").mapInArrow(weighed, weighted)
+    first = stored(first.withColumn("nth", F.row_number().over(highest)).where(F.col("nth") <= SEEDS).select("lot", "block"), "seeds")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    found = stored(ranked(met(first, lots.withColumn("floors", F.lit(None).cast(floor)))).drop("rank"), "found")
+    found = stored(ranked(met(first, lots.withColumn("floors", F.lit(None).cast("array<struct<query_id:bigint,floor:bigint>>")))).drop("rank"), "found")
     floors = found.groupBy("lot", "query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
     floors = floors.groupBy("lot").agg(F.collect_list(F.struct("query_id", "floor")).alias("floors"))
     known = lots.join(floors, "lot", "left").join(first.groupBy("lot").agg(F.collect_list("block").alias("done")), "lot", "left")
     known = stored(known, "lots-known")
-    rest = known.select("lot", "ids", "values", "floors", "done").mapInArrow(reached, "lot bigint, block bigint")
-    return ranked(found.unionByName(met(rest, known))).select("query_id", "rank", "vec_id", "score")
+    near = stored(known.select("lot", "ids", "values", "floors").mapInArrow(reached_groups, pair), "near-groups")
+    rest = stored(_meeting(near, known, leaves, "group").mapInArrow(reached_blocks, weighted).select("lot", "block"), "near-blocks")
+    result = stored(ranked(found.unionByName(met(rest, known))).select("query_id", "rank", "vec_id", "score"), "top")
+    discard(rows, blocks, lots, first_groups, first, found, known, near, rest)
+    return result
 
 
 def _floors(ids: np.ndarray, known: list | None, kind) -> np.ndarray:

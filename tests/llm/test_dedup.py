@@ -181,6 +181,17 @@ def test_topk_over_blocks_and_lots(spark, monkeypatch, size):
     assert sorted(tuple(r) for r in exact_topk.top_k(df, every=30).collect()) == brute_topk(rows, 20, 30)
 
 
+@pytest.mark.parametrize("task_bytes", [1 << 40, 2000])
+def test_topk_over_groups(spark, monkeypatch, task_bytes):
+    """Several blocks a group (of one task, and of many), several leaves, rows copied for several lots, and a third of all rows alike."""
+    for name, least in (("ROWS", 8), ("LOT", 4), ("BOUNDS_BYTES", 1), ("LEAF", 2), ("MEET", 2), ("TASK_BYTES", task_bytes)):
+        monkeypatch.setattr(exact_topk, name, least)
+    rng = random.Random(8)
+    rows = [(i, [float(rng.choice((-3, -1, 0, 1, 2))) / 64 for _ in range(6)] if i % 3 else [2.0 / 64] * 6) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in exact_topk.top_k(df, every=20).collect()) == brute_topk(rows, 20, 20)
+
+
 def test_topk_refuses_scores_beyond_a_long(spark):
     df = spark.createDataFrame([(i, [1e17 + i]) for i in range(21)], "vec_id bigint, embedding array<double>")
     with pytest.raises(OverflowError):
