@@ -148,10 +148,10 @@ def _packed(placed: DataFrame, rows: int, size: int, width: int, kind: str, task
 
 def _meeting(pairs: DataFrame, lots: DataFrame, others: DataFrame, on: str) -> DataFrame:
     """Stored pairs of ``lot`` and ``on`` with the columns of both sides; a row of ``others`` is copied for every MEET lots."""
-    slices = pairs.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / MEET).alias("slices"))
-    dealt = pairs.join(slices, on).select("lot", on, F.pmod(F.xxhash64("lot"), "slices").alias("slice"))
-    copies = slices.select(on, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice")).join(others, on)
-    return dealt.join(lots, "lot").join(copies, [on, "slice"]).drop("slice")
+    nth = F.row_number().over(Window.partitionBy(on).orderBy("lot")) - 1
+    dealt = pairs.withColumn("nth", nth).select("lot", on, F.floor(F.col("nth") / MEET).alias("slice"), (F.col("nth") % MEET == 0).alias("leads"))
+    copies = dealt.where("leads").select(on, "slice").join(others, on)
+    return dealt.drop("leads").join(lots, "lot").join(copies, [on, "slice"]).drop("slice")
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -187,7 +187,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     lots = _packed(asked, -(-n // every), LOT, width, kind, -(-tasks // every), 1, "lot").select("lot", "ids", "values")
     leaves = blocks.groupBy("group", F.shiftright("block", LEAF.bit_length() - 1).alias("leaf")).agg(F.collect_list(F.struct("block", "high", "low")).alias("ends")).drop("leaf")
     ends = blocks.select("group", F.posexplode(F.arrays_zip("high", "low"))).groupBy("group", "pos").agg(F.max("col.high").alias("high"), F.min("col.low").alias("low"))
-    ends = ends.sort("group", "pos").toArrow()  # within BOUNDS_BYTES
+    ends = ends.toArrow().sort_by([("group", "ascending"), ("pos", "ascending")])  # within BOUNDS_BYTES
     sent = spark.sparkContext.broadcast((ends.column("group").to_numpy()[::width], *(ends.column(c).to_numpy().reshape(-1, width).astype(exact) for c in ("high", "low"))))
 
     def unpacked(batch, prefix, i):
