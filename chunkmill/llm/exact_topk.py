@@ -219,14 +219,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, queries = unpacked(batch, "", i)
-                floor = _floors(ids, batch.column("floors")[i].as_py(), exact)
+                floor, _ = _floors(ids, batch.column("floors")[i].as_py(), exact)
                 yield chosen(batch, i, names[(_bounds(queries, high, low) >= floor[:, None]).any(axis=0)])
 
     def reached_blocks(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, queries = unpacked(batch, "", i)
-                floor = _floors(ids, batch.column("floors")[i].as_py(), exact)
+                floor, _ = _floors(ids, batch.column("floors")[i].as_py(), exact)
                 names, high, low = leaf(batch, i)
                 hit = (_bounds(queries, high, low) >= floor[:, None]).any(axis=0) & ~np.isin(names, batch.column("done")[i].as_py() or [])
                 yield chosen(batch, i, names[hit], np.zeros(hit.sum()))
@@ -236,7 +236,11 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
             for i in range(batch.num_rows):
                 query_ids, queries = unpacked(batch, "", i)
                 ids, values = unpacked(batch, "b_", i)
-                q, r, score = search_block(queries, query_ids, values, ids, k, _floors(query_ids, batch.column("floors")[i].as_py(), exact))
+                floor, last = _floors(query_ids, batch.column("floors")[i].as_py(), exact)
+                q, r, score = search_block(queries, query_ids, values, ids, k, floor)
+                # a tie with the k-th row so far needs a smaller id
+                better = (score > floor[q]) | (ids[r] < last[q])
+                q, r, score = q[better], r[better], score[better]
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("lot")[i].as_py()] * len(q), pa.int64()), pa.array(query_ids[q]), pa.array(ids[r]), pa.array(score.astype(np.int64))], ["lot", "query_id", "vec_id", "score"])
 
     packed_blocks = blocks.select("block", F.col("ids").alias("b_ids"), F.col("values").alias("b_values"))
@@ -251,9 +255,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     first = stored(first.withColumn("nth", F.row_number().over(highest)).where(F.col("nth") <= SEEDS).select("lot", "block"), "seeds")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    found = stored(ranked(met(first, lots.withColumn("floors", F.lit(None).cast("array<struct<query_id:bigint,floor:bigint>>")))).drop("rank"), "found")
-    floors = found.groupBy("lot", "query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
-    floors = floors.groupBy("lot").agg(F.collect_list(F.struct("query_id", "floor")).alias("floors"))
+    found = stored(ranked(met(first, lots.withColumn("floors", F.lit(None).cast("array<struct<query_id:bigint,floor:bigint,last:bigint>>")))).drop("rank"), "found")
+    floors = found.groupBy("lot", "query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"), F.min_by("vec_id", F.struct("score", -F.col("vec_id"))).alias("last")).where(F.col("n") >= k)
+    floors = floors.groupBy("lot").agg(F.collect_list(F.struct("query_id", "floor", "last")).alias("floors"))
     known = lots.join(floors, "lot", "left").join(first.groupBy("lot").agg(F.collect_list("block").alias("done")), "lot", "left")
     known = stored(known, "lots-known")
     near = stored(known.select("lot", "ids", "values", "floors").mapInArrow(reached_groups, pair), "near-groups")
@@ -263,8 +267,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     return result
 
 
-def _floors(ids: np.ndarray, known: list | None, kind) -> np.ndarray:
-    """The k-th score of each query that has one, else the least value."""
-    least = np.iinfo(np.int64).min if kind == np.int64 else -np.inf
-    floor = {x["query_id"]: x["floor"] for x in known or ()}
-    return np.array([floor.get(i, least) for i in ids.tolist()], kind)
+def _floors(ids: np.ndarray, known: list | None, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The k-th score of each query that has one, else the least value, and the id of that row, else the largest."""
+    least, most = np.iinfo(np.int64).min if kind == np.int64 else -np.inf, np.iinfo(np.int64).max
+    floor = {x["query_id"]: (x["floor"], x["last"]) for x in known or ()}
+    return np.array([floor.get(i, (least, most))[0] for i in ids.tolist()], kind), np.array([floor.get(i, (least, most))[1] for i in ids.tolist()], np.int64)
