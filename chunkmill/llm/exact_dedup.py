@@ -49,7 +49,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the one with the largest id, null ids being smaller than any. Of rows that repeat this id and its text one stays,
     whichever it is. An empty table stays empty. Columns of any name pass through."""
     marked = mark_copies(docs, id_col, text_col)
-    key, sha = "_kept_id", "_kept_sha"
+    unlike = "_" * max(map(len, docs.columns))  # longer than any name in use
+    key, sha = f"{unlike}id", f"{unlike}sha"
     own = docs.select("*", docs[id_col].alias(key), F.sha2(folded(docs[text_col]), 256).alias(sha))
     same = lambda other: own[key].eqNullSafe(other["_id"]) & (own[sha] == other["_sha"])
     gone = marked.where("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()

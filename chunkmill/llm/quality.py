@@ -194,8 +194,9 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: int = 5, held: int = 0, fit_rows: int = FIT_ROWS, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, whose text scores ``threshold`` or more; filtered
-    where they are read."""
+    """The rows of ``docs``, with their columns of any name, whose text scores ``threshold`` or more; filtered
+    where they are read. Null and empty texts are scored as texts without words; rows without an id, repeated
+    rows and ties are judged each for itself; an empty table stays empty."""
     model = _fitted(docs, labels, label, buckets, held, fit_rows, id_col, text_col)
     held_columns = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].alias("text"))
     measured, _ = with_statistics(held_columns)

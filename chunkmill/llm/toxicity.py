@@ -194,8 +194,9 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", buckets: int
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", buckets: int = 5, held: int = 0, fit_rows: int = FIT_ROWS, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, whose text scores below ``threshold``; filtered
-    where they are read."""
+    """The rows of ``docs``, with their columns of any name, whose text scores below ``threshold``; filtered
+    where they are read. Null text is scored as empty; rows without an id, repeated rows and ties are judged
+    each for itself; an empty table stays empty."""
     model = fit(stored(labelled_sample(docs, labels, label, buckets, held, fit_rows, id_col, text_col), "labelled-texts"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

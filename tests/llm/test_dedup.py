@@ -196,3 +196,13 @@ def test_topk_refuses_scores_beyond_a_long(spark):
     df = spark.createDataFrame([(i, [1e17 + i]) for i in range(21)], "vec_id bigint, embedding array<double>")
     with pytest.raises(OverflowError):
         exact_topk.top_k(df)
+
+
+def test_kept_rows_with_clashing_names(spark):
+    """Columns named like those that the join once made, and like its own, pass through."""
+    rows = [(1, "a b", 7, "x", 1, "s"), (2, "A b", 8, "y", 2, "t"), (2, "A b", 8, "y", 2, "t"), (None, None, 9, "z", None, None), (3, "", 1, None, 3, "u")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _kept_id bigint, _kept_sha string, _id bigint, _sha string")
+    kept = exact_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[4]], key=str)
+    assert exact_dedup.keep_one(df.limit(0)).count() == 0
