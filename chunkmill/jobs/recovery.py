@@ -24,6 +24,8 @@ from ..sources.resources import kept
 
 CACHE = "cache_dir"
 HEAD = 256
+#: Bytes of a part of a body that is stored to be laid out anew: readers of stored rows hold thousands at once.
+STORED_PART = 64 << 10
 #: Streams in which the body of a sparse child is looked for, in order. Fixed values.
 CHILD_STREAMS = (1, 2, 0, 3)
 
@@ -75,9 +77,9 @@ def recover_indexed(index_files: DataFrame, files: DataFrame) -> dict[str, DataF
     plan = kids.select("resource_id", "seq", F.col("seq").alias("source"), F.col("offset").alias("src_offset"), F.col("size").alias("length"), F.col("offset_bytes").alias("out_offset"), F.lit(None).cast("binary").alias("literal"))
     held = files.select(CACHE, "name", "content").unionByName(index_files.select(CACHE, "name", "content"))
     pieces = kids.select(CACHE, F.col("file_name").alias("name"), "resource_id", F.col("seq").alias("ord")).join(held, [CACHE, "name"]).select("resource_id", "ord", "content")
-    raw = kept(assemble.assemble_plan(plan, pieces, ["resource_id"], totals=True))
+    raw = kept(assemble.assemble_plan(plan, pieces, ["resource_id"], STORED_PART, totals=True))
     rebuilt = kept(layout.segment_plan_index(parts_of.piece_facts(raw, ["resource_id"])))
-    parts = assemble.assemble_plan(assemble.split_sources(rebuilt), raw.select("resource_id", F.col("part").alias("ord"), "content"), ["resource_id"])
+    parts = assemble.assemble_plan(assemble.split_sources(rebuilt, STORED_PART), raw.select("resource_id", F.col("part").alias("ord"), "content"), ["resource_id"])
     copied = resources.where("action <> 'index_reassemble' and n_files > 0").select(CACHE, F.col("files")[0]["name"].alias("name"), "resource_id").join(files.select(CACHE, "name", "content"), [CACHE, "name"])
     zero = F.lit(0).cast("bigint")
     parts = parts.unionByName(copied.select("resource_id", zero.alias("part"), zero.alias("begin"), "content"))
