@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.media import CATEGORIES, EXTENSIONS, media_category
-from ..operators import group, layout, link, report
+from ..operators import group, layout, link, report, spread
 from .column_queries import _sql_map
 from .fixtures import ORACLE, fixture
 from .recoverable import recoverable_downloads
@@ -415,7 +415,7 @@ UNION ALL SELECT resource_id, 0, NULL, NULL, NULL, NULL, NULL, 'no mdat box' FRO
 @query("fx_ranges", _CHUNK_PLAN + """ SELECT resource_id, seq, kind, CAST(source AS BIGINT) AS source, CAST(src_offset AS BIGINT) AS src_offset, CAST(length AS BIGINT) AS length, CAST(out_offset AS BIGINT) AS out_offset, CAST(error AS VARCHAR) AS error FROM plan""")
 def w3_segment_plan_chunks(ranges):
     order = Window.partitionBy("resource_id").orderBy("range_offset", "seq", "range_length")
-    p = ranges.withColumn("ord", F.row_number().over(order).cast("bigint") - 1)
+    p = spread.dealt(ranges, ["resource_id"]).withColumn("ord", F.row_number().over(order).cast("bigint") - 1)
     n, seq, later = F.col("range_length"), F.col("seq"), F.col("ord") > 0
     none = F.lit(None).cast("bigint")
     pieces = p.select(
@@ -423,7 +423,7 @@ def w3_segment_plan_chunks(ranges):
         F.lit(0).cast("bigint").alias("ftyp_offset"), F.lit(24).cast("bigint").alias("ftyp_size"), F.when(seq % 13 != 0, F.lit(24)).cast("bigint").alias("mdat_offset"), (n * (seq % 9) + 16).alias("mdat_size"), F.when(seq % 2 == 0, 16).otherwise(8).cast("bigint").alias("mdat_head"),
         F.when(later & (seq % 4 == 0), F.floor(n / 2)).alias("moov_offset"), F.lit(600).cast("bigint").alias("moov_size"), none.alias("cut_offset"), none.alias("cut_size"), (seq % 7 == 0).alias("standalone"),
     )
-    return layout.segment_plan_chunks(pieces).drop("literal")
+    return layout.segment_plan_chunks(pieces, by_key=True).drop("literal")
 
 
 @query("fx_boxes", """, n AS (SELECT *, sum(CASE WHEN box_type = 'moov' THEN 1 ELSE 0 END) OVER w AS nth, CAST(sum(CASE WHEN box_type = 'moov' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id) AS BIGINT) AS moov_found FROM fx_boxes WINDOW w AS (PARTITION BY file_id ORDER BY box_offset, tie, box_size, box_type ROWS UNBOUNDED PRECEDING)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spread import numbered
+from .spread import dealt, numbered
 
 
 def sparse_size(ranges: DataFrame, key: str = "resource_id") -> DataFrame:
@@ -110,7 +110,7 @@ def _segment(kind: str, source, src_offset, length, literal=None) -> list[Column
     return [F.lit(kind).alias("kind"), long(source).alias("source"), long(src_offset).alias("src_offset"), length.cast("bigint").alias("length"), (none if literal is None else literal).cast("binary").alias("literal")]
 
 
-def segment_plan_chunks(pieces: DataFrame, key: str = "resource_id") -> DataFrame:
+def segment_plan_chunks(pieces: DataFrame, key: str = "resource_id", by_key: bool = False) -> DataFrame:
     """Segments of each chunked MP4, before any byte is touched: ``key``, ``seq``, ``kind``, ``source`` (``ord`` of a piece),
     ``src_offset``, ``length``, ``out_offset``, ``literal``, ``error``.
 
@@ -123,9 +123,10 @@ def segment_plan_chunks(pieces: DataFrame, key: str = "resource_id") -> DataFram
     tail's moov ends the file. Otherwise the concatenation is the plan. A header without ftyp or mdat
     gives one row with ``error``. A moov that runs over the end of a piece counts if its mvhd is in the piece.
 
-    Pieces are shuffled once, by ``key``: all that follows are windows of that partitioning, and each piece
-    then makes its own segments from running sums.
+    Pieces are shuffled once, by ``key``, into tasks of bounded size (unless they come so, ``by_key``): all that follows
+    are windows of that partitioning, and each piece then makes its own segments from running sums.
     """
+    pieces = pieces if by_key else dealt(pieces, [key])
     whole = Window.partitionBy(key)
     line = whole.orderBy("phase", "place")
     before = line.rowsBetween(Window.unboundedPreceding, -1)

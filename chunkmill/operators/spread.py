@@ -9,6 +9,15 @@ from ..sources.resources import kept
 
 #: A key with more than one in so many of all rows is frequent, so there are fewer frequent keys than this.
 FREQUENT = 4096
+#: Rows that a task holds on average where windows go over keys.
+TASK_ROWS = 200_000
+
+
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` shuffled by ``keys`` into as many partitions as they have times TASK_ROWS, so that a task's sorts hold no more on a larger
+    table; fewer than the session's partitions are left to the next operator."""
+    n = -(-rows.count() // TASK_ROWS)
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str | Column], number: str, total: str | None = None) -> DataFrame:

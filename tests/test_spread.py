@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from chunkmill.operators import spread
 from chunkmill.functions.values import parse_child_key
 from chunkmill.operators import group, link, spread
 
@@ -54,3 +55,13 @@ def test_a_million_children_and_files_of_one_url(spark):
     one, merged = group.merge_resources_by_url(resources, files)
     assert [tuple(r) for r in one.collect()] == [("c", "u", 1, n, 3)] and merged.count() == n // 2
     assert merged.where("place.turn = 0").count() == -(-(n - 1) // 3)
+
+
+def test_tasks_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(spread, "TASK_ROWS", 50)
+    rows = spark.range(1000).selectExpr("id", "id % 300 as k")
+    got = spread.dealt(rows, ["k"])
+    assert got.rdd.getNumPartitions() == 20 and got.count() == 1000
+    assert max(map(len, got.rdd.glom().collect())) < 150
+    assert got.selectExpr("k", "spark_partition_id() as p").distinct().count() == 300
+    assert spread.dealt(rows.limit(40), ["k"]).count() == 40
