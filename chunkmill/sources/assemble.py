@@ -7,13 +7,14 @@ segments overlap, the one of the larger ``seq`` wins.
 
 from __future__ import annotations
 
+import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -83,6 +84,24 @@ def _place(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
+def _moved(folder: str, files: list[tuple[str, str]]) -> None:
+    """Moves (source, path), both below ``folder``; what an earlier attempt has moved stays."""
+    place, root = _place(folder)
+    for parent in {path.rpartition("/")[0] for _, path in files}:
+        place.create_dir(f"{root}/{parent}", recursive=True)
+
+    def move(pair):
+        source, path = f"{root}/{pair[0]}", f"{root}/{pair[1]}"
+        if place.get_file_info(source).type != fs.FileType.File:
+            return
+        if place.get_file_info(path).type == fs.FileType.File:  # some stores refuse to move onto a file
+            place.delete_file(path)
+        place.move(source, path)
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(move, files))
+
+
 @dataclass
 class _Staged(WriterCommitMessage):
     """Files that a task has written: (below its staging folder, final path below the target)."""
@@ -119,7 +138,8 @@ class _BodyWriter(DataSourceArrowWriter):
                     close()
                     path, at, total = target, 0, batch.column("total")[row].as_py()
                     done.append((f"{own}/{len(done)}", path))
-                    place.create_dir(f"{root}/{own}", recursive=True)
+                    if len(done) == 1:
+                        place.create_dir(f"{root}/{own}", recursive=True)
                     stream = place.open_output_stream(f"{root}/{done[-1][0]}")
                 begin, content = batch.column("begin")[row].as_py(), batch.column("content")[row]
                 if content.is_valid:
@@ -130,17 +150,7 @@ class _BodyWriter(DataSourceArrowWriter):
         return _Staged(done)
 
     def commit(self, messages) -> None:
-        place, root = _place(self.folder)
-
-        def moved(pair):
-            source, path = f"{root}/{pair[0]}", f"{root}/{pair[1]}"
-            place.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            if place.get_file_info(path).type == fs.FileType.File:  # some stores refuse to move onto a file
-                place.delete_file(path)
-            place.move(source, path)
-
-        with ThreadPoolExecutor(16) as pool:
-            list(pool.map(moved, (pair for m in messages if m is not None for pair in m.files)))
+        _moved(self.folder, [pair for m in messages if m is not None for pair in m.files])
         self.abort(messages)
 
     def abort(self, messages) -> None:
@@ -149,15 +159,59 @@ class _BodyWriter(DataSourceArrowWriter):
             place.delete_dir(f"{root}/{self.staging}")
 
 
+class _ListedWriter(_BodyWriter):
+    """A writer whose tasks list their files beside them: the driver gets the name of each task's folder only. On commit these are
+    written down, in ``committed``; the moves are tasks again (``_move_committed``)."""
+
+    def __init__(self, folder: str, staging: str):
+        self.folder, self.staging = folder, staging
+
+    def write(self, batches):
+        files = super().write(batches).files
+        if not files:
+            return _Staged([])
+        own = files[0][0].rpartition("/")[0]
+        place, root = _place(self.folder)
+        with place.open_output_stream(f"{root}/{own}/files") as listed:
+            listed.write(json.dumps(files).encode())
+        return _Staged([(own, "")])
+
+    def commit(self, messages) -> None:
+        place, root = _place(self.folder)
+        place.create_dir(f"{root}/{self.staging}", recursive=True)
+        with place.open_output_stream(f"{root}/{self.staging}/committed") as listed:
+            listed.write(json.dumps([own for m in messages if m is not None for own, _ in m.files]).encode())
+
+
+def _move_committed(spark: SparkSession, folder: str, staging: str) -> None:
+    """Moves the files of committed tasks into place, a task for each, and deletes the staging folder."""
+    place, root = _place(folder)
+    with place.open_input_stream(f"{root}/{staging}/committed") as listed:
+        tasks = json.loads(listed.read())
+
+    def work(batches):
+        inner, base = _place(folder)
+        for batch in batches:
+            for own in batch.column("own").to_pylist():
+                with inner.open_input_stream(f"{base}/{own}/files") as listed:
+                    _moved(folder, json.loads(listed.read()))
+                yield pa.RecordBatch.from_arrays([pa.array([own])], ["own"])
+
+    if tasks:
+        rows = spark.createDataFrame([(i, own) for i, own in enumerate(tasks)], "i int, own string")
+        rows.repartitionByRange(len(tasks), "i").select("own").mapInArrow(work, "own string").count()
+    place.delete_dir(f"{root}/{staging}")
+
+
 class BodyFiles(DataSource):
-    """``write.format("body_files").option("folder", ...)``: bodies, in rows (out_path, total, begin, content), as files."""
+    """``write.format("body_files")`` with ``folder`` and ``staging`` (below it): bodies, in rows (out_path, total, begin, content), as files."""
 
     @classmethod
     def name(cls) -> str:
         return "body_files"
 
     def writer(self, schema, overwrite):
-        return _BodyWriter(self.options["folder"])
+        return _ListedWriter(self.options["folder"], self.options["staging"])
 
 
 def write_bodies(parts: DataFrame, targets: DataFrame, keys: list[str], folder: str, most_bytes: int = 1 << 40) -> DataFrame:
@@ -166,7 +220,7 @@ def write_bodies(parts: DataFrame, targets: DataFrame, keys: list[str], folder:
     ``parts`` as of ``assemble_plan``; ``targets``: ``keys``, ``out_path`` (relative), ``ord``, ``total`` (bytes of the body).
     Of several bodies with one path the last one by ``ord`` is written, the others are not. Holes are
     written as zeros; a body above ``most_bytes`` is not written and has an ``error``. The files are there, whole, when this
-    returns: each body is staged by one task, part by part, and all are moved into place when the job commits, onto
+    returns: each body is staged by one task, part by part, and all are moved into place, by tasks, when the job has committed, onto
     files that are there already. Reading the result writes nothing again.
     ``folder``: a path or URI that every worker can write to.
     """
@@ -174,6 +228,8 @@ def write_bodies(parts: DataFrame, targets: DataFrame, keys: list[str], folder:
     fits = F.col("total") <= most_bytes
     met = last.where(fits).join(parts.select(*keys, "begin", "content"), keys, "left").select("out_path", "total", F.coalesce("begin", F.lit(0)).alias("begin"), "content")
     parts.sparkSession.dataSource.register(BodyFiles)
-    met.repartition("out_path").sortWithinPartitions("out_path", "begin").write.format("body_files").option("folder", folder).mode("append").save()
+    staging = f".staging-{uuid.uuid4().hex}"
+    met.repartition("out_path").sortWithinPartitions("out_path", "begin").write.format("body_files").option("folder", folder).option("staging", staging).mode("append").save()
+    _move_committed(parts.sparkSession, folder, staging)
     error = F.when(~fits, F.concat(F.col("total").cast("string"), F.lit(f" bytes exceed {most_bytes}")))
     return last.select("out_path", F.when(fits, F.col("total")).otherwise(0).cast("bigint").alias("bytes"), error.alias("error"))

@@ -124,3 +124,16 @@ def test_writes_commit_once_and_move_onto_files(spark, tmp_path):
     other.write(iter(batch))
     other.abort([])
     assert not list(tmp_path.glob(".staging*"))
+
+
+def test_moves_are_made_by_tasks(spark, tmp_path):
+    batch = spark.createDataFrame([(f"b/{i}", 4, 0, bytearray(b"data")) for i in range(50)], "out_path string, total bigint, begin bigint, content binary").toArrow().to_batches()
+    writer = assemble._ListedWriter(str(tmp_path), ".staging-1")
+    lost, told = writer.write(iter(batch)), writer.write(iter(batch))
+    assert len(told.files) == 1 and told.files != lost.files  # a folder, whatever the number of files
+    writer.commit([told, None, writer.write(iter([]))])
+    assert not (tmp_path / "b").exists()
+    moved = [f".staging-1/{told.files[0][0].rpartition('/')[2]}/{i}" for i in (0, 1)]
+    assemble._moved(str(tmp_path), [(moved[0], "b/0"), (moved[1], "b/1")])  # an attempt that was lost half way
+    assemble._move_committed(spark, str(tmp_path), ".staging-1")
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == sorted(map(str, range(50))) and not list(tmp_path.glob(".staging*"))
