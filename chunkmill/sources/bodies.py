@@ -6,9 +6,11 @@ carry ``content`` only as long as a body is needed.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from bisect import bisect_left, bisect_right
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import is_cache_file
+from .resources import kept
 
 #: Layout constants of the Simple cache (little-endian). Fixed values.
 FILE_MAGIC, EOF_MAGIC, RANGE_MAGIC = 0xFCFB6D1BA7725C30, 0xF4FA6F45970D41D8, 0xEB97BF016553676B
@@ -26,10 +29,43 @@ MOOV_BYTES = (500, 2_000_000)
 _PRINTABLE = re.compile(rb"[\x20-\x7e]{4}").fullmatch
 
 
+def _listed(folders: DataFrame) -> DataFrame:
+    """``path``, ``size``, ``ms`` and ``folder`` of all that lies directly in each folder (``path``); each is listed by a task, in blocks of rows."""
+
+    def work(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                found = os.scandir("/" + path.removeprefix("file:").lstrip("/"))
+                while block := list(islice(found, 4096)):
+                    told = [(f"{path}/{e.name}", e.is_dir(), e.stat()) for e in block if not e.name.startswith((".", "_"))]
+                    yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in told], pa.string()), pa.array([t[2].st_size for t in told], pa.int64()), pa.array([t[2].st_mtime_ns // 1_000_000 for t in told], pa.int64()), pa.array([t[1] for t in told], pa.bool_())], ["path", "size", "ms", "folder"])
+
+    return folders.select("path").mapInArrow(work, "path string, size bigint, ms bigint, folder boolean")
+
+
+def _walked(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path``, ``length`` and ``modificationTime`` of all files below local folders, level by level; no list of them meets on the driver."""
+    made, level = None, spark.createDataFrame([("file:/" + p.removeprefix("file:").strip("/"),) for p in paths], "path string")
+    while True:
+        level = kept(_listed(level))
+        files = level.where("not folder and size > 0").select("path", F.col("size").alias("length"), F.timestamp_millis("ms").alias("modificationTime"))
+        made = files if made is None else made.unionByName(files)
+        level = level.where("folder")
+        n = level.count()
+        if not n:
+            return made
+        level = level.repartition(min(n, spark.sparkContext.defaultParallelism * 8))
+
+
 def list_cache_files(spark: SparkSession, paths: list[str], with_content: bool = False) -> DataFrame:
     """One row a cache file below ``paths``: ``cache_dir``, ``name``, ``path``, ``size``,
-    ``modified_at`` (unix seconds); other files are left out. Bodies are not read unless asked for."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    ``modified_at`` (unix seconds); other files are left out. Bodies are not read unless asked for. Local folders are listed
+    by tasks; other stores, and with bodies, by Spark, whose driver holds the list."""
+    local = all(p.startswith("file:/") or p.startswith("/") and spark.conf.get("spark.hadoop.fs.defaultFS", "file:///").startswith("file:") for p in paths)
+    if local and not with_content and all(os.path.isdir("/" + p.removeprefix("file:").lstrip("/")) for p in paths):
+        found = _walked(spark, paths)
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     name = F.element_at(F.split("path", "/"), -1)
     rows = found.withColumn("name", name).where(is_cache_file(F.col("name")))
     columns = [F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("cache_dir"), "name", "path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / F.lit(1e6)).alias("modified_at")]

@@ -137,3 +137,14 @@ def test_moves_are_made_by_tasks(spark, tmp_path):
     assemble._moved(str(tmp_path), [(moved[0], "b/0"), (moved[1], "b/1")])  # an attempt that was lost half way
     assemble._move_committed(spark, str(tmp_path), ".staging-1")
     assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == sorted(map(str, range(50))) and not list(tmp_path.glob(".staging*"))
+
+
+def test_tasks_list_what_spark_lists(spark, tmp_path, monkeypatch):
+    for name in ("a b/f_000001", "a b/c/f_000002", "a b/c/x_000003", ".h/f_000004", "_t/f_000005", "f_000006", "a b/f_000007"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name.endswith("7") else name.encode())
+    want = bodies.list_cache_files(spark, [str(tmp_path)], with_content=True).drop("content").collect()
+    asked = []
+    monkeypatch.setattr(bodies, "_listed", lambda level, f=bodies._listed: asked.append(1) or f(level))
+    assert sorted(bodies.list_cache_files(spark, [str(tmp_path)]).collect()) == sorted(want) and len(want) == 3
+    assert len(asked) == 3  # a step a level
