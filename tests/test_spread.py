@@ -2,11 +2,15 @@
 
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from chunkmill.operators import spread
 from chunkmill.functions.values import parse_child_key
+from chunkmill.llm.shared import stored
 from chunkmill.operators import group, link, spread
+from chunkmill.sources.resources import BATCH_BYTES, kept
 
 
 def test_numbers_equal_a_sort(spark):
@@ -65,3 +69,17 @@ def test_tasks_do_not_grow_with_the_table(spark, monkeypatch):
     assert max(map(len, got.rdd.glom().collect())) < 150
     assert got.selectExpr("k", "spark_partition_id() as p").distinct().count() == 300
     assert spread.dealt(rows.limit(40), ["k"]).count() == 40
+
+
+def _sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+
+@pytest.mark.parametrize("store", [kept, lambda df: stored(df, "sizes")])
+def test_stored_frames_send_small_batches(spark, store):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    rows = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    assert store(rows.mapInArrow(_sizes, "bytes bigint")).agg(F.max("bytes")).first()[0] < 2 * BATCH_BYTES
+    assert spark.conf.get(name, None) == before
