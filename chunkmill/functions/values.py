@@ -83,3 +83,8 @@ def decode_cache_addr(addr: Column) -> Column:
         on.alias("initialised"), kind.alias("file_type"), F.when(external, number).alias("file_no"), F.when(~external, selector).alias("selector"),
         F.when(~external, start).alias("start_block"), F.when(~external, count).alias("block_count"), F.when(on, name).alias("file_name"), F.when(~external, start * size + 8192).alias("byte_offset"),
     )
+
+
+def little_endian(raw: Column, at: int, n: int = 4) -> Column:
+    """An unsigned integer of ``n`` bytes of ``raw`` from ``at`` on, least significant first."""
+    return F.conv(F.concat(*(F.hex(F.substring(raw, at + i + 1, 1)) for i in reversed(range(n)))), 16, 10).cast("bigint")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import is_cache_file
+from ..functions.values import little_endian
 from .resources import kept
 
 #: Layout constants of the Simple cache (little-endian). Fixed values.
@@ -245,10 +246,35 @@ def _rows(df: DataFrame, keys: list[str], content: str, helper, schema: str) ->
     return df.select(*dict.fromkeys([*keys, content])).mapInArrow(work, f"{kinds}, {schema}")
 
 
+def simple_layout_of(raw: Column, side: bool = False) -> Column:
+    """``simple_layout`` of a file's bytes as a column expression, a struct; a file that is not in the Simple layout is all body."""
+    size = F.octet_length(raw).cast("bigint")
+    bytes_at = lambda at, n: F.substring(raw, F.greatest(at + 1, F.lit(1)).cast("int"), F.lit(n))
+    eof = struct.pack("<Q", EOF_MAGIC)
+    names = ("body_start", "body_end", "headers_start", "headers_end")
+    made = lambda *at: F.struct(*(F.lit(x).cast("bigint").alias(n) if x is None or isinstance(x, int) else x.alias(n) for x, n in zip(at, names, strict=True)))
+    whole = made(0, size, None, None)
+    start, last = HEADER_BYTES + little_endian(raw, 12), size - EOF_BYTES
+    trailer = bytes_at(last, EOF_BYTES)
+    simple, ended = (size >= HEADER_BYTES + EOF_BYTES) & (F.substring(raw, 1, 8) == F.lit(struct.pack("<Q", FILE_MAGIC))), F.substring(trailer, 1, 8) == F.lit(eof)
+    if side:
+        return F.when(simple & (start <= last), made(start, F.when(ended, last).otherwise(size), None, None)).otherwise(whole)
+    headers_end = last - F.when(little_endian(trailer, 8).bitwiseAND(HAS_HASH) != 0, HASH_BYTES).otherwise(0)
+    headers = headers_end - little_endian(trailer, 16)
+    body_end = headers - EOF_BYTES
+    told = ended & (body_end >= 0) & (bytes_at(body_end, 8) == F.lit(eof))
+    # a character a byte, so that the place found is one of bytes
+    found = F.position(F.lit(eof.decode("latin-1")), F.decode(raw, "ISO-8859-1"), F.least(start, size).cast("int") + 1).cast("bigint") - 1
+    scanned = F.when(found >= 0, made(start, found, None, None)).otherwise(whole)
+    return F.when(~simple | (start >= size), whole).when(told, F.when(start <= body_end, made(start, body_end, headers, headers_end)).otherwise(whole)).otherwise(scanned)
+
+
 def unwrap_simple(df: DataFrame, keys: list[str], content: str = "content", side: bool = False) -> DataFrame:
     """``body_start``, ``body_end``, ``headers_start``, ``headers_end`` of each file; a file that is not
-    in the Simple layout is all body."""
-    return _rows(df, keys, content, lambda d: [simple_layout(d, side) or (0, len(d), None, None)], "body_start bigint, body_end bigint, headers_start bigint, headers_end bigint")
+    in the Simple layout is all body. Built-in expressions only, so that bodies, which ``keys`` may name, do not pass through Python.
+    As rows of a generator, what makes a body is not copied into each condition on its layout."""
+    made = F.when(F.col(content).isNotNull(), F.array(simple_layout_of(F.col(content), side)))
+    return df.select(*keys, F.inline(made))
 
 
 def sparse_ranges(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:

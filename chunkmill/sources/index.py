@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import decode_cache_addr
+from ..functions.values import decode_cache_addr, little_endian
 from ..operators.spread import numbered
 from .resources import kept
 
@@ -120,11 +120,6 @@ _ON = 0x80000000
 _BLOCK_FILE = r"^data_(0|[1-9]\d*)$"
 
 
-def _little(raw: Column, at: int, n: int = 4) -> Column:
-    """An unsigned integer of ``n`` bytes of ``raw`` from ``at`` on, least significant first."""
-    return F.conv(F.concat(*(F.hex(F.substring(raw, at + i + 1, 1)) for i in reversed(range(n)))), 16, 10).cast("bigint")
-
-
 def _buckets(files: DataFrame) -> DataFrame:
     """``cache_dir``, ``bucket`` and ``addr`` of every bucket in use, or ``error`` of the whole index."""
 
@@ -171,7 +166,7 @@ def _named_in_blocks(files: DataFrame) -> DataFrame:
                 key = batch.column(CACHE).slice(i, 1).take(pa.array(np.zeros(len(follows), np.int64)))
                 yield pa.RecordBatch.from_arrays([key, pa.array(follows)], [CACHE, "addr"])
 
-    outside = files.where(F.col("name").startswith("f_") & (F.octet_length("content") >= ENTRY_BYTES)).select(CACHE, _little(F.substring("content", 5, 4), 0).alias("addr"))
+    outside = files.where(F.col("name").startswith("f_") & (F.octet_length("content") >= ENTRY_BYTES)).select(CACHE, little_endian(F.substring("content", 5, 4), 0).alias("addr"))
     return files.where(_is_block_file()).select(CACHE, "content").mapInArrow(work, "cache_dir string, addr bigint").unionByName(outside.where(F.col("addr") >= _ON))
 
 
@@ -262,7 +257,7 @@ def read_index_entries(files: DataFrame) -> DataFrame:
     spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest(F.octet_length("content"), F.lit(1)) - 1) / PIECE)))
     pieces = files.select(CACHE, F.col("name").alias("file"), spread.alias("part"), "content")
     pieces = kept(pieces.select(CACHE, "file", "part", F.expr(f"substring(content, cast(part * {PIECE} + 1 as int), {PIECE})").alias("bytes")))
-    known = kept(files.select(CACHE, F.col("name").alias("file"), F.octet_length("content").cast("bigint").alias("bytes"), F.when(_is_block_file(), _little(F.col("content"), 12)).alias("unit")))
+    known = kept(files.select(CACHE, F.col("name").alias("file"), F.octet_length("content").cast("bigint").alias("bytes"), F.when(_is_block_file(), little_endian(F.col("content"), 12)).alias("unit")))
     buckets = kept(_buckets(files))
     chains = buckets.where("error is null").select(CACHE, "bucket", "addr")
 
@@ -271,7 +266,7 @@ def read_index_entries(files: DataFrame) -> DataFrame:
     named = heads.unionByName(_named_in_blocks(files).join(chains.select(CACHE).distinct(), CACHE, "left_semi").distinct().withColumn("bucket", F.lit(None).cast("bigint")))
     named = named.groupBy(CACHE, "addr").agg(F.min("bucket").alias("bucket")).withColumn("want", F.lit(None).cast("bigint"))
     nodes = kept(_located(named, known).withColumn("good", F.coalesce(F.col("length") >= ENTRY_BYTES, F.lit(False))))
-    follows = _read(nodes.where("good"), pieces, [CACHE, "addr"], skip=4, most=4).select(CACHE, "addr", _little(F.col("raw"), 0).alias("next"))
+    follows = _read(nodes.where("good"), pieces, [CACHE, "addr"], skip=4, most=4).select(CACHE, "addr", little_endian(F.col("raw"), 0).alias("next"))
     linked = nodes.select(CACHE, "addr", "bucket").join(follows.where(F.col("next") >= _ON), [CACHE, "addr"], "left")
     owned = kept(_owners(linked).where("owner is not null"))
     place = nodes.drop("bucket", "want").join(owned, [CACHE, "addr"])

@@ -1,5 +1,6 @@
 """Byte layouts against files written by hand."""
 
+import random
 import struct
 
 import pytest
@@ -40,6 +41,23 @@ def test_side_files():
     assert bodies.simple_layout(HEAD + b"side" * 9, side=True) == (N, N + 36, None, None)
 
 
+@pytest.mark.parametrize("side", [False, True])
+def test_layouts_of_columns_equal_the_walk(spark, side):
+    """Without Python in the plan: bodies of any number and size do not pass through a worker."""
+    rng = random.Random(5)
+    files = [data for data, _ in FILES] + [HEAD[:30], HEAD, HEAD[:12] + b"\xff" * 4 + b"k" * 60, HEAD[:12] + b"\xff\xff\xff\x7f" + b"k" * 60 + eof(4), HEAD + b"body" + eof(4) + eof(1 << 32 - 1), HEAD + bytes(range(256)) + eof(3) + b"\xff\xfe" + eof(90)]
+    for _ in range(300):
+        data = bytearray(HEAD + rng.randbytes(rng.randrange(40)) + eof(4) + rng.randbytes(rng.randrange(40)) + eof(rng.randrange(60), rng.choice([0, 2, 3])))
+        for _ in range(rng.randrange(3)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        files.append(bytes(data[: rng.choice([len(data), rng.randrange(len(data))])]))
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(files)] + [(-1, None)], "k int, content binary")
+    made = bodies.unwrap_simple(df, ["k", "content"], side=side)
+    assert "InArrow" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: tuple(r[2:]) for r in made.collect()}
+    assert got == {i: bodies.simple_layout(d, side) or (0, len(d), None, None) for i, d in enumerate(files)}
+
+
 RANGES = [
     (HEAD + span(0, b"aaaa") + span(8, b"bb"), [(0, 4), (8, 2)], b"aaaa\0\0\0\0bb"), (HEAD + span(4, b"bb") + span(0, b"aaa"), [(4, 2), (0, 3)], b"aaa\0bb"),
     (HEAD + span(0, b"aaaa") + span(2, b"bbbb"), [(0, 4), (2, 4)], b"aabbbb"), (HEAD + span(0, b"aaaa") + span(4, b"b", 90), [(0, 4), (4, 1)], b"aaaab"),
