@@ -2,6 +2,8 @@
 
 import struct
 
+from pyspark.sql import functions as F
+
 from chunkmill.jobs import recovery
 from chunkmill.sources import bodies
 from tests.test_assemble import MOOV, box
@@ -117,3 +119,10 @@ def test_simple(spark):
     assert {r.hash[-2:]: (r.resource_type, r.action, r.source) for r in got["resources"].collect()} == {"aa": ("png", "copy", "body"), "bb": ("ogg", "sparse_copy", "sparse"), "ee": ("gif", "copy", "body")}
     assert {k[-2:]: v for k, v in together(got, "hash").items()} == {"aa": PNG, "bb": ogg + b"end", "ee": b"by mime"}
     assert recovery.recover_simple(df.limit(0))["resources"].count() == 0
+
+
+def test_simple_bodies_do_not_pass_through_python(spark):
+    rows = [("c", "00000000000000aa_0", bytearray(simple(PNG, b"HTTP/1.1 200\0content-type: image/png\0")))]
+    df = spark.createDataFrame(rows, "cache_dir string, name string, content binary").withColumn("size", F.octet_length("content").cast("bigint"))
+    parts = recovery.recover_simple(df)["parts"]
+    assert "InArrow" not in parts._jdf.queryExecution().executedPlan().toString() and bytes(parts.first().content) == PNG
