@@ -114,64 +114,63 @@ def index_entries(files: dict[str, bytes]) -> list[dict]:
 
 
 CACHE = "cache_dir"
-#: Bytes of a piece of a file: what a block is read from.
-PIECE = 1 << 20
+#: Bytes of a piece of a file: what a block is read from, and so what each read of an address copies.
+PIECE = 16 << 10
 _ON = 0x80000000
 _BLOCK_FILE = r"^data_(0|[1-9]\d*)$"
 
 
-def _buckets(files: DataFrame) -> DataFrame:
+def _buckets(pieces: DataFrame) -> DataFrame:
     """``cache_dir``, ``bucket`` and ``addr`` of every bucket in use, or ``error`` of the whole index."""
-
-    def told(head: bytes | None) -> tuple[np.ndarray, str | None]:
-        none = np.zeros(0, "<u4")
-        if head is None or len(head) < INDEX_HEAD:
-            return none, "index: too short"
-        magic, version = struct.unpack_from("<II", head)
-        if magic != INDEX_MAGIC:
-            return none, f"index: bad magic {magic:08x}"
-        if version not in VERSIONS:
-            return none, f"index: version {version:x} is not known"
-        n = struct.unpack_from("<I", head, 0x1C)[0] or TABLE_DEFAULT
-        if INDEX_HEAD + 4 * n > len(head):
-            return none, "index: its table is cut off"
-        return np.frombuffer(head, "<u4", n, INDEX_HEAD), None
+    magic, version, n = (little_endian(F.col("head"), at) for at in (0, 4, 0x1C))
+    n = F.when(n == 0, TABLE_DEFAULT).otherwise(n)
+    error = F.when(F.coalesce("total", F.lit(0)) < INDEX_HEAD, "index: too short").when(magic != INDEX_MAGIC, F.concat(F.lit("index: bad magic "), F.format_string("%08x", magic)))
+    error = error.when(~version.isin(*VERSIONS), F.concat(F.lit("index: version "), F.format_string("%x", version), F.lit(" is not known"))).when(INDEX_HEAD + 4 * n > F.col("total"), "index: its table is cut off")
+    tables = pieces.where("file = 'index'").withColumns({"error": error, "n": n})
 
     def work(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                table, error = told(batch.column("content")[i].as_py())
+                part, n, data = (batch.column(c)[i].as_py() for c in ("part", "n", "bytes"))
+                first = max(0, -(-(part * PIECE - INDEX_HEAD) // 4))
+                begin = INDEX_HEAD + 4 * first - part * PIECE
+                table = np.frombuffer(data, "<u4", max(0, min(n - first, -(-(PIECE - begin) // 4))), begin)
                 used = np.flatnonzero(table & np.uint32(_ON))
-                rows = [None] if error else used.tolist()
-                key = batch.column(CACHE).slice(i, 1).take(pa.array(np.zeros(len(rows), np.int64)))
-                yield pa.RecordBatch.from_arrays([key, pa.array(rows, pa.int64()), pa.array([None] if error else table[used].astype(np.int64), pa.int64()), pa.array([error] * len(rows), pa.string())], [CACHE, "bucket", "addr", "error"])
+                key = batch.column(CACHE).slice(i, 1).take(pa.array(np.zeros(len(used), np.int64)))
+                yield pa.RecordBatch.from_arrays([key, pa.array(used + first), pa.array(table[used].astype(np.int64))], [CACHE, "bucket", "addr"])
 
-    tables = files.where("name = 'index'").select(CACHE, "content")
-    bare = files.select(CACHE).distinct().join(tables.select(CACHE), CACHE, "left_anti").withColumn("content", F.lit(None).cast("binary"))
-    return tables.unionByName(bare).mapInArrow(work, "cache_dir string, bucket bigint, addr bigint, error string")
+    none = F.lit(None).cast("bigint")
+    found = tables.where("error is null").select(CACHE, "part", "n", "bytes").mapInArrow(work, "cache_dir string, bucket bigint, addr bigint").withColumn("error", F.lit(None).cast("string"))
+    bare = pieces.select(CACHE).distinct().join(tables.select(CACHE), CACHE, "left_anti").withColumn("error", F.lit("index: too short"))
+    bad = tables.where("error is not null and part = 0").select(CACHE, "error").unionByName(bare)
+    return found.unionByName(bad.select(CACHE, none.alias("bucket"), none.alias("addr"), "error"))
 
 
-def _named_in_blocks(files: DataFrame) -> DataFrame:
+def _named_in_blocks(pieces: DataFrame) -> DataFrame:
     """``cache_dir`` and ``addr`` of what follows each block of each block file, and each external file, if that were an entry."""
 
     def work(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                data = batch.column("content")[i].as_py()
-                unit = struct.unpack_from("<I", data, 12)[0]
+                part, total, unit, data = (batch.column(c)[i].as_py() for c in ("part", "total", "unit", "bytes"))
+                start = part * PIECE
+                # blocks whose address of what follows, four bytes from the fourth on, begins in this piece
+                first = BLOCK_HEAD + max(0, -(-(start - 4 - BLOCK_HEAD) // unit)) * unit if unit else BLOCK_HEAD if start <= BLOCK_HEAD + 4 else total
+                begins = np.arange(first, min(start + PIECE - 4, total - 7), unit or total)
                 words = np.frombuffer(data, np.uint8)
-                begins = np.arange(BLOCK_HEAD, len(data) - 7, unit) if unit else np.array([BLOCK_HEAD][: len(data) >= BLOCK_HEAD + 8], np.int64)
-                follows = sum(words[begins + 4 + k].astype(np.int64) << 8 * k for k in range(4)) if len(begins) else np.zeros(0, np.int64)
+                follows = sum(words[begins + 4 - start + k].astype(np.int64) << 8 * k for k in range(4)) if len(begins) else np.zeros(0, np.int64)
                 follows = np.unique(follows[follows >= _ON])
                 key = batch.column(CACHE).slice(i, 1).take(pa.array(np.zeros(len(follows), np.int64)))
                 yield pa.RecordBatch.from_arrays([key, pa.array(follows)], [CACHE, "addr"])
 
-    outside = files.where(F.col("name").startswith("f_") & (F.octet_length("content") >= ENTRY_BYTES)).select(CACHE, little_endian(F.substring("content", 5, 4), 0).alias("addr"))
-    return files.where(_is_block_file()).select(CACHE, "content").mapInArrow(work, "cache_dir string, addr bigint").unionByName(outside.where(F.col("addr") >= _ON))
+    outside = pieces.where(F.col("file").startswith("f_") & (F.col("total") >= ENTRY_BYTES) & (F.col("part") == 0)).select(CACHE, little_endian(F.col("head"), 4).alias("addr"))
+    inside = pieces.withColumn("unit", _unit()).where("unit is not null").select(CACHE, "part", "total", "unit", "bytes")
+    return inside.mapInArrow(work, "cache_dir string, addr bigint").unionByName(outside.where(F.col("addr") >= _ON))
 
 
-def _is_block_file() -> Column:
-    return F.col("name").rlike(_BLOCK_FILE) & (F.octet_length("content") >= BLOCK_HEAD) & (F.substring("content", 1, 4) == F.lit(struct.pack("<I", BLOCK_MAGIC)))
+def _unit() -> Column:
+    """Bytes of a block of a piece's file, null if that is no block file."""
+    return F.when(F.col("file").rlike(_BLOCK_FILE) & (F.col("total") >= BLOCK_HEAD) & (F.substring("head", 1, 4) == F.lit(struct.pack("<I", BLOCK_MAGIC))), little_endian(F.col("head"), 12))
 
 
 def _located(refs: DataFrame, known: DataFrame) -> DataFrame:
@@ -256,14 +255,16 @@ def read_index_entries(files: DataFrame) -> DataFrame:
     streams, ``meta`` (the first stream), ``error`` (its rows have nothing else)."""
     spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest(F.octet_length("content"), F.lit(1)) - 1) / PIECE)))
     pieces = files.select(CACHE, F.col("name").alias("file"), spread.alias("part"), "content")
-    pieces = kept(pieces.select(CACHE, "file", "part", F.expr(f"substring(content, cast(part * {PIECE} + 1 as int), {PIECE})").alias("bytes")))
-    known = kept(files.select(CACHE, F.col("name").alias("file"), F.octet_length("content").cast("bigint").alias("bytes"), F.when(_is_block_file(), little_endian(F.col("content"), 12)).alias("unit")))
-    buckets = kept(_buckets(files))
+    # all that follows reads these; a piece goes on for three bytes, so that an address that begins in it is whole
+    piece = F.expr(f"substring(content, cast(part * {PIECE} + 1 as int), {PIECE + 3})").alias("bytes")
+    pieces = kept(pieces.select(CACHE, "file", "part", F.octet_length("content").cast("bigint").alias("total"), F.substring("content", 1, 32).alias("head"), piece))
+    known = kept(pieces.where("part = 0").select(CACHE, "file", F.col("total").alias("bytes"), _unit().alias("unit")))
+    buckets = kept(_buckets(pieces))
     chains = buckets.where("error is null").select(CACHE, "bucket", "addr")
 
     # nodes, what follows each, and which chain reaches it first
     heads = chains.groupBy(CACHE, "addr").agg(F.min("bucket").alias("bucket"))
-    named = heads.unionByName(_named_in_blocks(files).join(chains.select(CACHE).distinct(), CACHE, "left_semi").distinct().withColumn("bucket", F.lit(None).cast("bigint")))
+    named = heads.unionByName(_named_in_blocks(pieces).join(chains.select(CACHE).distinct(), CACHE, "left_semi").distinct().withColumn("bucket", F.lit(None).cast("bigint")))
     named = named.groupBy(CACHE, "addr").agg(F.min("bucket").alias("bucket")).withColumn("want", F.lit(None).cast("bigint"))
     nodes = kept(_located(named, known).withColumn("good", F.coalesce(F.col("length") >= ENTRY_BYTES, F.lit(False))))
     follows = _read(nodes.where("good"), pieces, [CACHE, "addr"], skip=4, most=4).select(CACHE, "addr", little_endian(F.col("raw"), 0).alias("next"))

@@ -124,3 +124,17 @@ def test_chains_by_doubling_follow_the_walk(spark, monkeypatch):
         got.setdefault(r.cache_dir, []).append(own)
     for c, files in caches.items():
         assert rows_of(got.get(c, [])) == rows_of(index.index_entries(files)), c
+
+
+def test_files_are_computed_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("a", n, bytearray(d)) for n, d in CHAIN.items()]
+    schema = "cache_dir string, name string, content binary"
+    found = index.read_index_entries(spark.createDataFrame(rows, schema).mapInArrow(work, schema))
+    assert found.where("error is null").count() == 4 and read.value == len(rows)
