@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chunkmill.llm import exact_dedup, near_dedup, packing, quality, toxicity
 from chunkmill.llm.shared import stored
+from chunkmill.sources.resources import keep_batches_small
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +19,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not mark, with all their columns; null text is empty,
     and every row is judged for itself."""
+    keep_batches_small(spark)
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.5)
 
 
@@ -35,6 +37,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, with their ids, in sequences of at most 2,048 ids; null and empty texts are their
     end id, and an empty table has no pieces."""
+    keep_batches_small(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048, ids_too=True)
 
 

@@ -5,10 +5,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from chunkmill.llm import quality, toxicity
+from chunkmill.llm import packing, quality, toxicity
+from chunkmill.sources.resources import BATCH_BYTES
 from tests.llm.test_dedup import brute_components, folded
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +81,21 @@ def test_odd_documents_pass_through_every_stage(spark, edge, some_labels, tmp_pa
     pieces = corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()
     assert len({(p.doc_id, p.start, p.length) for p in pieces}) <= len(pieces) and (len(pieces) > 0) == (rows != "none")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+
+
+@pytest.mark.parametrize(("module", "stage"), [(toxicity, corpus_pipeline.clean), (packing, corpus_pipeline.packed)])
+def test_callers_write_small_batches(spark, tmp_path, monkeypatch, module, stage):
+    """What a stage returns sends small batches to Python whoever writes it, not only where it is stored."""
+    cut = module.slices
+
+    def watched(batch, column, most_bytes):
+        with open(f"{tmp_path}/sizes", "a") as out:
+            out.write(f"{batch.nbytes}\n")
+        return cut(batch, column, most_bytes)
+
+    monkeypatch.setattr(module, "slices", watched)
+    rows = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" words ")), 2000).alias("text"))
+    stage(spark, rows, SF).write.parquet(f"{tmp_path}/out")
+    sizes = [int(n) for n in (tmp_path / "sizes").read_text().split()]
+    assert sum(sizes) > 5 * BATCH_BYTES
+    assert max(sizes) < 2 * BATCH_BYTES
