@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.headers import parse_raw_headers, simple_content_type
-from ..functions.media import detect_file_type, media_category
+from ..functions.media import detect_file_type, media_category, mime_to_file_type
 from ..functions.names import parse_cache_name
 from ..functions.urls import parse_cdn_url, strip_cache_key_prefix, url_basename
 from ..functions.values import decode_cache_addr, webkit_us_to_unix
@@ -173,8 +173,10 @@ def recover_simple(files: DataFrame) -> dict[str, DataFrame]:
     else:
         lay = bodies.unwrap_simple(main, [*key, "content"])
         body = lay.select(*key, cut("body_start", "body_end").alias("content"), F.when(F.col("headers_start").isNotNull(), cut("headers_start", "headers_end")).alias("raw"))
-        tops = bodies.piece_facts(body, key).select(*key, "has_moov", "has_mdat")
-        facts = body.select(*key, F.octet_length("content").cast("bigint").alias("n"), F.substring("content", 1, HEAD).alias("head"), "raw").join(tops, key)
+        # boxes tell complete MP4s from headers; no other body is walked
+        kind = F.coalesce(detect_file_type(F.substring("content", 1, HEAD)), mime_to_file_type(simple_content_type(F.decode("raw", "ISO-8859-1"))))
+        tops = bodies.piece_facts(body.where(kind == "mp4_complete"), key).select(*key, "has_moov", "has_mdat")
+        facts = body.select(*key, F.octet_length("content").cast("bigint").alias("n"), F.substring("content", 1, HEAD).alias("head"), "raw").join(tops, key, "left")
         errors = facts.limit(0).select(*key, F.lit("").alias("error"))
     # headers in any bytes; names and types are ASCII
     body = facts.select(*key, F.col("n").alias("body_size"), detect_file_type(F.col("head")).alias("body_magic"), simple_content_type(F.decode("raw", "ISO-8859-1")).alias("content_type"), "has_moov", "has_mdat")

@@ -126,3 +126,17 @@ def test_simple_bodies_do_not_pass_through_python(spark):
     df = spark.createDataFrame(rows, "cache_dir string, name string, content binary").withColumn("size", F.octet_length("content").cast("bigint"))
     parts = recovery.recover_simple(df)["parts"]
     assert "InArrow" not in parts._jdf.queryExecution().executedPlan().toString() and bytes(parts.first().content) == PNG
+
+
+def test_only_bodies_that_may_be_mp4_are_walked(spark, monkeypatch):
+    walk, seen = bodies.piece_facts, []
+    monkeypatch.setattr(bodies, "piece_facts", lambda df, keys: seen.append(df) or walk(df, keys))
+    box = lambda kind, data: (8 + len(data)).to_bytes(4, "big") + kind + data
+    begin = box(b"ftyp", b"mp42" + bytes(8)) + box(b"moov", bytes(600))
+    told = b"HTTP/1.1 200\0content-type: %s\0"
+    files = {"a0": (begin + box(b"mdat", bytes(50)), b"text/plain"), "a1": (begin, b"x"), "a2": (b"by mime", b"video/mp4"), "b0": (PNG, b"video/mp4"), "b1": (b"just text", b"text/plain"), "b2": (b"by mime", b"image/gif"), "b3": (b"", b"x")}
+    rows = [("c", f"{k:0>16}_0", bytearray(simple(body, told % kind))) for k, (body, kind) in files.items()]
+    df = spark.createDataFrame(rows, "cache_dir string, name string, content binary").withColumn("size", F.octet_length("content").cast("bigint"))
+    got = {r.hash[-2:]: r.resource_type for r in recovery.recover_simple(df)["resources"].collect()}
+    assert got == {"a0": "mp4_complete", "a1": "mp4_header_only", "a2": "mp4_header_only", "b0": "png", "b2": "gif"}
+    assert {r.hash[-2:] for r in seen[0].select("hash").collect()} == {"a0", "a1", "a2"}
