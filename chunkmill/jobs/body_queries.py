@@ -191,23 +191,26 @@ def s8_write_bodies(docs):
     parts = rows.select("doc_id", zero.alias("part"), zero.alias("begin"), _text().alias("content"))
     targets = rows.select("doc_id", F.concat("source", F.lit("/"), (F.col("doc_id") % 300).cast("string"), F.lit(".txt")).alias("out_path"), F.col("doc_id").alias("ord"), F.octet_length(_text()).cast("bigint").alias("total"))
     written = kept(assemble.write_bodies(parts, targets, ["doc_id"], folder))
-    back = docs.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    back = bodies.all_files(docs.sparkSession, [folder], with_content=True, with_empty=True)
     back = back.select(F.regexp_extract("path", "([^/]*/[^/]*)$", 1).alias("out_path"), F.md5(F.lower(F.hex("content"))).alias("md5"))
     return written.join(back, "out_path").select("out_path", "bytes", "md5", "error")
 
 
 @query("SELECT 'dir' || CAST(doc_id // 500 AS VARCHAR) AS cache_dir, 'f_' || printf('%06x', doc_id) AS name, any_value(octet_length(encode(coalesce(text, '')))) AS size FROM documents WHERE doc_id IS NOT NULL AND doc_id % 10 <> 3 GROUP BY ALL")
 def s1_list_cache_files(docs):
-    """A file of each document, a tenth of them under names that no cache has; then the listing."""
+    """A file of each document, a tenth of them under names that no cache has; then the listing. Names of files have room for
+    six hex digits of an id; the rest of a larger one is told by its cache."""
     folder = shared_folder(docs.sparkSession)
     rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    name = F.when(F.col("doc_id") % 10 == 3, F.format_string("x_%06x", "doc_id")).otherwise(F.format_string("f_%06x", "doc_id"))
+    name = F.format_string("%s_%06x", F.when(F.col("doc_id") % 10 == 3, "x").otherwise("f"), F.col("doc_id") % 0x1000000)
     zero = F.lit(0).cast("bigint")
     parts = rows.select("doc_id", zero.alias("part"), zero.alias("begin"), _text().alias("content"))
     targets = rows.select("doc_id", F.concat(caches.cache_of(F.col("doc_id")), F.lit("/"), name).alias("out_path"), F.col("doc_id").alias("ord"), F.octet_length(_text()).cast("bigint").alias("total"))
     assemble.write_bodies(parts, targets, ["doc_id"], folder).count()
-    found = bodies.list_cache_files(docs.sparkSession, [folder])
-    return found.select(F.element_at(F.split(CACHE, "/"), -1).alias("cache_dir"), "name", F.col("size").cast("int").alias("size"))
+    found = bodies.list_cache_files(docs.sparkSession, [folder], with_empty=True).withColumn(CACHE, F.element_at(F.split(CACHE, "/"), -1))
+    first = F.substring(CACHE, 4, 20).cast("bigint") * caches.DOCUMENTS
+    number = first + F.pmod(F.conv(F.substring("name", 3, 6), 16, 10).cast("bigint") - first, F.lit(0x1000000))
+    return found.select(CACHE, F.format_string("f_%06x", number).alias("name"), F.col("size").cast("int").alias("size"))
 
 
 _ENTRIES = """WITH e AS (SELECT doc_id, 0 AS sub, CASE WHEN doc_id % 20 = 1 THEN 1 ELSE 0 END AS flags, CASE WHEN doc_id % 20 = 1 THEN '1/0/https://x.org/v/' || doc_id || '.mp4' ELSE '1/0/https://x.org/a/' || doc_id || '.png' END AS url FROM documents

@@ -80,12 +80,12 @@ def assemble_plan(plan: DataFrame, pieces: DataFrame, keys: list[str], part_byte
 
 
 def _place(folder: str):
-    """File system and inner path of a folder, a path or a URI."""
-    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    """File system and inner path of a folder, a path or a URI (Spark's own local ones have one slash)."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
 
 
 def _moved(folder: str, files: list[tuple[str, str]]) -> None:
-    """Moves (source, path), both below ``folder``; what an earlier attempt has moved stays."""
+    """Moves (source, path), both below ``folder``; what an earlier attempt has moved, or another moves meanwhile, stays."""
     place, root = _place(folder)
     for parent in {path.rpartition("/")[0] for _, path in files}:
         place.create_dir(f"{root}/{parent}", recursive=True)
@@ -94,9 +94,14 @@ def _moved(folder: str, files: list[tuple[str, str]]) -> None:
         source, path = f"{root}/{pair[0]}", f"{root}/{pair[1]}"
         if place.get_file_info(source).type != fs.FileType.File:
             return
-        if place.get_file_info(path).type == fs.FileType.File:  # some stores refuse to move onto a file
-            place.delete_file(path)
-        place.move(source, path)
+        try:
+            place.move(source, path)
+        except OSError:
+            # another attempt may have moved it by now; some stores refuse to move onto a file
+            if place.get_file_info(source).type == fs.FileType.File:
+                if place.get_file_info(path).type == fs.FileType.File:
+                    place.delete_file(path)
+                place.move(source, path)
 
     with ThreadPoolExecutor(16) as pool:
         list(pool.map(move, files))

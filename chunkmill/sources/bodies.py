@@ -44,12 +44,12 @@ def _listed(folders: DataFrame) -> DataFrame:
     return folders.select("path").mapInArrow(work, "path string, size bigint, ms bigint, folder boolean")
 
 
-def _walked(spark: SparkSession, paths: list[str]) -> DataFrame:
+def _walked(spark: SparkSession, paths: list[str], with_empty: bool) -> DataFrame:
     """``path``, ``length`` and ``modificationTime`` of all files below local folders, level by level; no list of them meets on the driver."""
     made, level = None, spark.createDataFrame([("file:/" + p.removeprefix("file:").strip("/"),) for p in paths], "path string")
     while True:
         level = kept(_listed(level))
-        files = level.where("not folder and size > 0").select("path", F.col("size").alias("length"), F.timestamp_millis("ms").alias("modificationTime"))
+        files = level.where("not folder" if with_empty else "not folder and size > 0").select("path", F.col("size").alias("length"), F.timestamp_millis("ms").alias("modificationTime"))
         made = files if made is None else made.unionByName(files)
         level = level.where("folder")
         n = level.count()
@@ -58,17 +58,26 @@ def _walked(spark: SparkSession, paths: list[str]) -> DataFrame:
         level = level.repartition(min(n, spark.sparkContext.defaultParallelism * 8))
 
 
-def list_cache_files(spark: SparkSession, paths: list[str], with_content: bool = False) -> DataFrame:
+def all_files(spark: SparkSession, paths: list[str], with_content: bool = False, with_empty: bool = False) -> DataFrame:
+    """``path``, ``length``, ``modificationTime`` (and ``content``) of every file below ``paths``; see ``list_cache_files``."""
+    local = all(p.startswith("file:/") or p.startswith("/") and spark.conf.get("spark.hadoop.fs.defaultFS", "file:///").startswith("file:") for p in paths)
+    local = local and all(os.path.isdir("/" + p.removeprefix("file:").lstrip("/")) for p in paths)
+    if local and not with_content:
+        return _walked(spark, paths, with_empty)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    if local and with_empty:
+        empty = _walked(spark, paths, True).where("length = 0").withColumn("content", F.lit(b""))
+        found = found.unionByName(empty)
+    return found
+
+
+def list_cache_files(spark: SparkSession, paths: list[str], with_content: bool = False, with_empty: bool = False) -> DataFrame:
     """One row a cache file below ``paths``: ``cache_dir``, ``name``, ``path``, ``size``,
     ``modified_at`` (unix seconds); other files are left out. Bodies are not read unless asked for. Local folders are listed
-    by tasks; other stores, and with bodies, by Spark, whose driver holds the list."""
-    local = all(p.startswith("file:/") or p.startswith("/") and spark.conf.get("spark.hadoop.fs.defaultFS", "file:///").startswith("file:") for p in paths)
-    if local and not with_content and all(os.path.isdir("/" + p.removeprefix("file:").lstrip("/")) for p in paths):
-        found = _walked(spark, paths)
-    else:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    by tasks; other stores, and with bodies, by Spark, whose driver holds the list. Files without bytes, of which Spark
+    lists none, are listed if asked for (in local folders)."""
     name = F.element_at(F.split("path", "/"), -1)
-    rows = found.withColumn("name", name).where(is_cache_file(F.col("name")))
+    rows = all_files(spark, paths, with_content, with_empty).withColumn("name", name).where(is_cache_file(F.col("name")))
     columns = [F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("cache_dir"), "name", "path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / F.lit(1e6)).alias("modified_at")]
     return rows.select(*columns, *["content"] * with_content)
 

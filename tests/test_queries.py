@@ -77,3 +77,16 @@ def test_pages_that_begin_like_media(spark, name):
     want = sorted(tuple(map(_plain, r)) for r in found.fetchall())
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert sorted(tuple(_plain(r[c]) for c in columns) for r in getattr(body_queries, name)(docs).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["s1_list_cache_files", "s8_write_bodies"])
+def test_files_without_bytes_and_ids_beyond_six_digits(spark, name):
+    rows = [(1, "ab", "s"), (2, "", "s"), (3, "x", "s"), (4, None, "s"), (0x1000000, "zz", "s"), (0x1000001, "", "s"), (0x1000003, "q", "s"), (5 * 0x1000000 - 1, "é", "s"), (None, "none", "s")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    found = con.execute(SQL[name])
+    columns = [d[0] for d in found.description]
+    want = sorted(tuple(map(_plain, r)) for r in found.fetchall())
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert sorted(tuple(_plain(r[c]) for c in columns) for r in getattr(body_queries, name)(docs).collect()) == want

@@ -4,6 +4,7 @@ import random
 import struct
 
 import pytest
+from pyarrow import fs
 
 from chunkmill.jobs import recovery
 from chunkmill.sources import assemble, bodies, parts, ranged
@@ -139,6 +140,29 @@ def test_moves_are_made_by_tasks(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == sorted(map(str, range(50))) and not list(tmp_path.glob(".staging*"))
 
 
+@pytest.mark.parametrize("prefix", ["", "file:", "file://"])
+def test_attempts_at_once_lose_no_file(tmp_path, monkeypatch, prefix):
+    """Another attempt moves the file after this one has seen it, and has its own in place."""
+    (tmp_path / "own").write_bytes(b"data")
+    local, asked = fs.LocalFileSystem, []
+
+    class Late:
+        def get_file_info(self, path):
+            found = local().get_file_info(path)
+            if not asked:
+                asked.append(path)
+                assemble._moved(f"{prefix}{tmp_path}", [("own", "a/b")])
+            return found
+
+        def __getattr__(self, name):
+            return getattr(local(), name)
+
+    place = assemble._place
+    monkeypatch.setattr(assemble, "_place", lambda folder: (Late(), place(folder)[1]))
+    assemble._moved(f"{prefix}{tmp_path}", [("own", "a/b")])
+    assert asked and (tmp_path / "a/b").read_bytes() == b"data" and not (tmp_path / "own").exists()
+
+
 def test_tasks_list_what_spark_lists(spark, tmp_path, monkeypatch):
     for name in ("a b/f_000001", "a b/c/f_000002", "a b/c/x_000003", ".h/f_000004", "_t/f_000005", "f_000006", "a b/f_000007"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
