@@ -1,5 +1,6 @@
 """Hot keys: numbers by ranges, facts beside frequent keys, rows in place of arrays, hostile child keys."""
 
+import os
 import random
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from chunkmill.operators import spread
 from chunkmill.functions.values import parse_child_key
 from chunkmill.llm.shared import stored
 from chunkmill.operators import group, link, spread
-from chunkmill.sources.resources import BATCH_BYTES, kept
+from chunkmill.sources.resources import BATCH_BYTES, _bytes, kept
 
 
 def test_numbers_equal_a_sort(spark):
@@ -83,3 +84,16 @@ def test_stored_frames_send_small_batches(spark, store):
     rows = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
     assert store(rows.mapInArrow(_sizes, "bytes bigint")).agg(F.max("bytes")).first()[0] < 2 * BATCH_BYTES
     assert spark.conf.get(name, None) == before
+
+
+def test_broadcasts_do_not_grow_with_stored_rows(spark):
+    """Files below the threshold, rows above it: by its files' size the table would go through the driver."""
+    left, right = (kept(spark.range(n).select(F.lit("dir0").alias("cache_dir"), "id")) for n in (1 << 20, 1 << 19))
+    assert 0 < sum(os.path.getsize(p.removeprefix("file://")) for p in right.inputFiles()) < 10 << 20
+    for rows, told in ((right, False), (right.where("id < 100000"), False), (right.where("id < 10"), True)):
+        met = left.join(rows, ["cache_dir", "id"]).agg(F.count(F.lit(1)).alias("n"))
+        assert met.first().n == rows.count()
+        run = met._jdf.queryExecution()
+        met.collect()
+        assert ("BroadcastHashJoin" in run.executedPlan().toString().split("Initial Plan")[0]) == told
+    assert [_bytes(x) for x in ("10485760b", "256k", "10MB", "-1", "7")] == [10 << 20, 256 << 10, 10 << 20, -1, 7]
