@@ -1,5 +1,7 @@
 """One scan over caches that have all kinds of files."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from chunkmill.jobs import scan
@@ -43,3 +45,14 @@ def test_only_changed_caches(spark):
     done = spark.createDataFrame([("a", "f_1", 1, 5), ("b", "f_1", 1, 5), ("c", "f_1", 1, 5), ("d", "f_1", 1, 5), ("d", "f_2", 1, 5)], "cache_dir string, name string, size bigint, modified_at_us bigint")
     now = done.where("not (cache_dir = 'd' and name = 'f_2')").withColumn("size", F.when(F.col("cache_dir") == "b", 2).otherwise(F.col("size"))).unionByName(spark.createDataFrame([("e", "f_1", 1, 1)], done.schema))
     assert {r.cache_dir for r in scan.changed_caches(now, done).collect()} == {"b", "d", "e"}
+
+
+def test_what_a_scan_stores_counts_by_its_rows(spark):
+    """Not by its files, or tables of any size would be broadcast."""
+    index, files, _ = indexed_cache()
+    index_df = spark.createDataFrame([("a", n, bytearray(d)) for n, d in index.items()], "cache_dir string, name string, content binary")
+    files_df = spark.createDataFrame([("a", n, len(d), 0, bytearray(d)) for n, d in files.items()], "cache_dir string, name string, size bigint, modified_at_us bigint, content binary")
+    got = scan.scan(index_df, files_df)
+    for name in ("resources", "resource_files"):
+        size = int(str(got[name]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        assert size >= 100 * sum(os.path.getsize(p.removeprefix("file://")) for p in got[name].inputFiles()) > 0
